@@ -12,7 +12,8 @@ The meetings are arranged as a tree: documents are dealt by a hash into blocks o
 ``BLOCK`` of one source, each block leaves one fractional document, and the left-over ones
 of BLOCK blocks meet on the next level. A block is the largest group that any task
 collects, however large its source is. Large documents meet first, so that the last
-fractional ones are small; the last document of a source is rounded to the nearer side.
+fractional ones are small. The last document of a source is rounded to the nearer side, and
+one document of the last block is turned where that brings the source nearer its target.
 
 Random directions are hashes of the seed and the ids that meet, so reruns agree.
 
@@ -95,6 +96,25 @@ def _meet(items: Column, seed: int) -> Column:
     return F.aggregate(items, start, step)
 
 
+def _settle(x: Column) -> Column:
+    """Round the last item of a source; turn the one other item that brings the sum nearest."""
+
+    def best(t: Column) -> Column:
+        near = F.array_min(F.transform(t["out"], lambda o: F.struct(F.abs(t["e"] + F.when(o["copy"] == 1, -o["size"]).otherwise(o["size"])).alias("d"), o["size"], o["doc_id"], o["n"])))
+        return F.transform(F.array(F.struct(t["out"].alias("out"), t["e"].alias("e"), near.alias("b"))), turned)[0]
+
+    def turned(t: Column) -> Column:
+        b = t["b"]
+        hit = lambda o: (b["d"] < F.abs(t["e"])) & (o["size"] == b["size"]) & o["doc_id"].eqNullSafe(b["doc_id"]) & (o["n"] == b["n"])
+        return F.transform(t["out"], lambda o: F.struct(o["doc_id"], o["n"], o["size"], F.when(hit(o), 1 - o["copy"]).otherwise(o["copy"]).alias("copy")))
+
+    cur = x["cur"]
+    copy = (cur["mass"] * 2 >= cur["size"]).cast("int")
+    terms = F.struct(x["out"].alias("out"), (copy * cur["size"] - cur["mass"]).alias("e"))
+    last = F.array(F.struct(cur["doc_id"].alias("doc_id"), cur["n"].alias("n"), cur["size"].alias("size"), copy.alias("copy")))
+    return F.struct(F.concat(_let(terms, best), last).alias("out"))
+
+
 def pivotal_rounding(items: DataFrame, seed: int = 1) -> DataFrame:
     """items (source, doc_id, n, size, mass), 0 < mass < size: rows (source, doc_id, n, size, copy)."""
     per = items.groupBy("source").agg(F.count("*").alias("items"))
@@ -104,17 +124,18 @@ def pivotal_rounding(items: DataFrame, seed: int = 1) -> DataFrame:
     largest = per.agg(F.max("items")).first()[0] or 0
     blocks_left, decided, depth = math.ceil(largest / BLOCK), None, 0
     while True:
+        # every level is one group of at most about BLOCK items
         groups = level.groupBy("source", "block").agg(F.sort_array(F.collect_list("item"), asc=False).alias("items"))
         met = materialize(groups.select("source", "block", _meet(F.col("items"), seed + depth).alias("x")), f"meetings{depth}")
+        if blocks_left <= 1:
+            met = met.select("source", "block", _settle(F.col("x")).alias("x"))
         done = met.select("source", F.explode("x.out").alias("y")).select("source", "y.*")
         decided = done if decided is None else decided.unionByName(done)
-        left = met.select("source", "block", F.col("x.cur").alias("item"))
         if blocks_left <= 1:
-            break
+            return decided
+        left = met.select("source", "block", F.col("x.cur").alias("item"))
         blocks_left, depth = math.ceil(blocks_left / BLOCK), depth + 1
         level = left.select("source", F.floor(F.col("block") / F.lit(BLOCK)).alias("block"), "item")
-    last = left.select("source", "item.doc_id", "item.n", "item.size", (F.col("item.mass") * 2 >= F.col("item.size")).cast("int").alias("copy"))
-    return decided.unionByName(last)
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1) -> DataFrame:
