@@ -7,9 +7,9 @@ the product is determinised once into a table of transitions. All words of a blo
 through the table in step, one byte at a time, so a misspelled term is found as cheaply as
 an exact one. Edits are counted in bytes.
 
-Hits are weighed by their term's log-odds and put into features: exact and misspelled mass
-outside quotation, quoted mass, hits near words of direct address, the strongest hit and
-density. A hit is quoted when it stands between double quotation marks or guillemets. A
+Hits are weighed by their term's log-odds (a misspelled hit counts four fifths) and put into
+features: mass and number of hits outside quotation, quoted mass, mass with and without
+direct address nearby, the strongest hit outside and inside quotation, and density. A hit is quoted when it stands between double quotation marks or guillemets. A
 logistic model on these features gives the score.
 
 What is learned from: at most about ``max_rows`` labelled documents, taken by a hash of
@@ -39,7 +39,11 @@ FEATURES = 8
 #: words of direct address, a fixed list of the context window
 ADDRESS = ("you", "your", "are", "tu", "vous", "du", "sie", "ihr", "eres", "sois", "usted")
 REACH = 4
-STEMS = (3, 4, 5, 6, 7)
+#: what a misspelled hit counts of an exact one
+MISSPELLED = 0.8
+STEMS = (3, 4, 5, 6, 7, 8)
+#: occurrences of a word in one document that count
+MOST = 5
 
 
 def held_out(id_col: str) -> Column:
@@ -62,16 +66,16 @@ def stripped(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
 class Automaton:
     """Deterministic product of a lexicon's trie with Levenshtein automata of one edit.
 
-    terms: (bytes, weight, is_stem). States are numbered; 0 is dead and 1 the start.
+    terms: (bytes, weight, is_stem, may_be_misspelled). States are numbered; 0 is dead and 1 the start.
     ``exact`` and ``near`` hold the best weight that a word ending in a state reaches.
     """
 
-    def __init__(self, terms: list[tuple[bytes, float, bool]], shortest: int = 5):
+    def __init__(self, terms: list[tuple[bytes, float, bool, bool]]):
         children: list[dict[int, int]] = [{}]
         word, stem, fuzzy = [0.0], [0.0], [False]
-        for text, weight, is_stem in terms:
+        misspelled = set()
+        for text, weight, is_stem, may in terms:
             node = 0
-            may = not is_stem and len(text) >= shortest
             fuzzy[0] |= may
             for b in text:
                 if b not in children[node]:
@@ -83,11 +87,12 @@ class Automaton:
                 node = children[node][b]
                 fuzzy[node] |= may
             (stem if is_stem else word)[node] = max(weight, (stem if is_stem else word)[node])
+            if may:
+                misspelled.add(node)
         alphabet = sorted({b for c in children for b in c})
         self.classes = np.zeros(256, np.int32)
         for i, b in enumerate(alphabet):
             self.classes[b] = i + 1
-        lengths = self._fuzzy_words(children, word, shortest)
 
         def close(states: set) -> frozenset:
             todo = [s for s in states if s[1] == 0 and fuzzy[s[0]]]
@@ -122,17 +127,7 @@ class Automaton:
             at += 1
         self.table = np.array(rows, np.int32)
         self.exact = np.array([max([max(word[n], stem[n]) for n, e in s if e == 0], default=0.0) for s in order], np.float32)
-        self.near = np.array([max([word[n] for n, e in s if e == 1 and n in lengths], default=0.0) for s in order], np.float32)
-
-    @staticmethod
-    def _fuzzy_words(children, word, shortest) -> set:
-        out, todo = set(), [(0, 0)]
-        while todo:
-            node, depth = todo.pop()
-            if depth >= shortest and word[node]:
-                out.add(node)
-            todo += [(c, depth + 1) for c in children[node].values()]
-        return out
+        self.near = np.array([max([word[n] for n, e in s if e == 1 and n in misspelled], default=0.0) for s in order], np.float32)
 
     def run(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(words that hit, exact weight, near weight)."""
@@ -196,20 +191,20 @@ def features(block: tk.Block, automaton: Automaton) -> np.ndarray:
     base = block.offsets[doc]
     quoted = ((marks[bare_s[hit]] - marks[base]) % 2 == 1) & (marks[block.offsets[doc + 1]] > marks[bare_s[hit]])
     quoted |= turn[bare_s[hit]] - turn[base] > 0
-    h = tk.hash_words(data, bare_s, np.maximum(bare_e, bare_s + 1), "word") if len(starts) else np.zeros(0, tk.U64)
+    h = tk.hash_words(data, starts, ends, "word")
     direct_words = np.zeros(len(h) + 1, np.int64)
     np.cumsum(_address(h), out=direct_words[1:])
     direct = direct_words[np.minimum(hit + REACH + 1, first[doc + 1])] > direct_words[np.maximum(hit - REACH, first[doc])]
     weight = np.where(exact > 0, exact, 0.0)
     miss = np.where(exact > 0, 0.0, near)
     add = lambda col, v: np.add.at(x[:, col], doc, v)
-    add(0, weight * ~quoted)
-    add(1, miss * ~quoted)
+    add(0, (weight + MISSPELLED * miss) * ~quoted)
+    add(1, np.where(exact > 0, 1.0, MISSPELLED) * ~quoted)
     add(2, (weight + miss) * quoted)
     add(3, ((weight + miss) * direct).astype(float))
-    add(4, np.where(exact > 0, 1.0, 0.0))
-    np.maximum.at(x[:, 5], doc, weight * ~quoted)
-    np.maximum.at(x[:, 6], doc, miss * ~quoted)
+    add(4, ((weight + miss) * ~direct).astype(float))
+    np.maximum.at(x[:, 5], doc, (weight + MISSPELLED * miss) * ~quoted)
+    np.maximum.at(x[:, 6], doc, (weight + MISSPELLED * miss) * quoted)
     total = np.zeros(n)
     np.add.at(total, doc, weight + miss)
     x[:, 7] = total / np.maximum(np.diff(first), 1)
@@ -220,8 +215,9 @@ def features(block: tk.Block, automaton: Automaton) -> np.ndarray:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, toxic) to (term, stem, positive, negative), counted in documents and summed per batch."""
+    """(text, toxic) to (term, stem, docs: toxic documents, pos, neg: occurrences), summed per batch."""
     for batch in batches:
+        docs: dict = {}
         pos: dict = {}
         neg: dict = {}
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -232,22 +228,51 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             raw = block.data.tobytes()
             s, e = stripped(block.data, starts, ends)
-            terms = set()
-            for w in {raw[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True) if b - a >= 3}:
-                if len(w) <= 40:
-                    word = w.decode("utf-8", "ignore")
-                    if not word.isalpha():
-                        continue
-                    terms.add((word, False))
-                    terms.update((word[:k], True) for k in STEMS if len(word) >= k)
+            found: dict = {}
+            for a, b in zip(s.tolist(), e.tolist(), strict=True):
+                if 3 <= b - a <= 40:
+                    found[raw[a:b]] = min(found.get(raw[a:b], 0) + 1, MOST)
+            terms: dict = {}
+            for w, n in found.items():
+                word = w.decode("utf-8", "ignore")
+                if word.isalpha():
+                    terms[word, False] = n
+                    for k in STEMS:
+                        if len(word) >= k:
+                            terms[word[:k], True] = terms.get((word[:k], True), 0) + n
             into = pos if toxic else neg
-            for t in terms:
-                into[t] = into.get(t, 0) + 1
+            for t, n in terms.items():
+                into[t] = into.get(t, 0) + n
+                if toxic:
+                    docs[t] = docs.get(t, 0) + 1
         keys = list({**pos, **neg})
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([pos.get(k, 0) for k in keys], pa.int64()), pa.array([neg.get(k, 0) for k in keys], pa.int64())],
-            names=["term", "stem", "pos", "neg"],
-        )
+        counts = [pa.array([d.get(k, 0) for k in keys], pa.int64()) for d in (docs, pos, neg)]
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), *counts], names=["term", "stem", "docs", "pos", "neg"])
+
+
+def _lexicon(rows: list, max_terms: int, shortest: int = 5) -> list[tuple[bytes, float, bool, bool]]:
+    """rows (term, stem, docs, odds), best first: drop what a longer or a shorter term explains.
+
+    A stem that one longer term accounts for gives way to it, so a word is learned as a
+    word; a longer term that is no stronger than its stem is left out. Words of ``shortest``
+    bytes or more with strong evidence may be misspelled, unless a stem catches their kind.
+    """
+    docs = {(r["term"], r["stem"]): r["docs"] for r in rows}
+    longest: dict = {}
+    for (term, stem), n in docs.items():
+        for k in range(3, len(term) + (0 if stem else 1)):
+            if (term[:k], True) in docs:
+                longest[term[:k]] = max(longest.get(term[:k], 0), n)
+    stems = {r["term"]: r["odds"] for r in rows if r["stem"] and longest.get(r["term"], 0) < 0.8 * r["docs"]}
+    chosen = []
+    for r in rows:
+        if r["stem"] and r["term"] not in stems:
+            continue
+        shorter = [stems[r["term"][:k]] for k in range(3, len(r["term"]) + (0 if r["stem"] else 1)) if r["term"][:k] in stems]
+        if not shorter or r["odds"] > max(shorter) + 0.7:
+            text = r["term"].encode()
+            chosen.append((text, float(r["odds"]), bool(r["stem"]), not r["stem"] and not shorter and len(text) >= shortest and r["odds"] >= 3))
+    return chosen[:max_terms]
 
 
 def _featurise(automaton: Automaton):
@@ -308,20 +333,15 @@ def train(
         n_pos, n_neg = counts.get((True, 1), 0), counts.get((True, 0), 0)
         if not n_pos or not n_neg or not counts.get((False, 1)) or not counts.get((False, 0)):
             return Model(None, None, [])
-        terms = rows.where("lexical").select("text", "toxic").mapInArrow(_candidates, "term string, stem boolean, pos long, neg long").groupBy("term", "stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        terms = rows.where("lexical").select("text", "toxic").mapInArrow(_candidates, "term string, stem boolean, docs long, pos long, neg long")
+        terms = terms.groupBy("term", "stem").agg(F.sum("docs").alias("docs"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        # log-odds of occurrences per document, less 1.5 standard errors
         odds = F.log((F.col("pos") + 0.5) / (n_pos + 1.0)) - F.log((F.col("neg") + 0.5) / (n_neg + 1.0))
+        odds = odds - 1.5 * F.sqrt(1 / (F.col("docs") + 0.5) + 1 / (F.col("neg") + 0.5))
         least = max(3, math.ceil(0.01 * n_pos))
-        terms = terms.where(F.col("pos") >= least).withColumn("odds", odds).where(F.col("odds") >= 2.2)
-        # evidence: a term must be surprising for its number of documents
-        terms = terms.orderBy((F.col("odds") * F.sqrt("pos")).desc(), "term", "stem").limit(max_terms).collect()
-        stems = {r["term"]: r["odds"] for r in terms if r["stem"]}
-        chosen = []
-        for r in terms:
-            # a longer term that adds nothing to a stem of it is left out
-            shorter = [stems[r["term"][:k]] for k in range(3, len(r["term"]) + (0 if r["stem"] else 1)) if r["term"][:k] in stems]
-            if not shorter or r["odds"] > max(shorter) + (0.7 if r["stem"] else 0.0):
-                chosen.append((r["term"].encode(), float(r["odds"]), bool(r["stem"])))
-        # whole words that are stems too: keep both, the word allows a misspelling
+        terms = terms.where(F.col("docs") >= least).withColumn("odds", odds).where(F.col("odds") >= 1.8)
+        best = terms.orderBy((F.col("odds") * F.sqrt("docs")).desc(), "term", "stem").limit(8 * max_terms).collect()
+        chosen = _lexicon(best, max_terms)
         automaton = Automaton(chosen)
         sample = rows.where("not lexical").select("text", "toxic").mapInArrow(_featurise(automaton), "toxic int, x array<double>").collect()
         x, y = np.array([r["x"] for r in sample]), np.array([r["toxic"] for r in sample], float)
