@@ -9,8 +9,11 @@ class carries a minwise signature. The join grows ``trees`` independent trees:
 * a larger node compares its classes with its smallest member (a star, linear in the
   node), and is dropped once all of its members are known to be connected; what is left
   branches over two of the signature's tokens that the node's path selects, and so on;
-* nodes that still are large after ``depth`` levels are cut into blocks whose pairs are
-  compared, so that nothing is lost (``_blocked``).
+* classes of nodes that still are large and mixed after ``depth`` levels are as a rule
+  documents made of the same frequent passages, too alike for any minwise token to part
+  them. They are compared exactly by their rarest shingles (``_rest_pairs``): sets of
+  similarity t share one of the first n - ceil(t * n) + 1 of their n shingles in any fixed
+  order, and in the order of rarity such shingles are few. Nothing is capped.
 
 A pair of similarity s meets in a tree's first node with probability s and passes each
 further level with 1 - (1 - s)^2; with ten trees the share of links at 0.85 that no tree
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .shared import components, materialize
+from .shared import components, discard, materialize
 
 SIGNATURE = 64
 SET_SCHEMA = "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>"
@@ -152,7 +155,7 @@ def _pairs_to_links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, size: i
         .select("u", "v")
     )
     likely = materialize(likely, "pairs")
-    asked = likely.select(F.explode(F.array("u", "v")).alias("rep")).distinct()
+    asked = materialize(likely.select(F.explode(F.array("u", "v")).alias("rep")).distinct(), "asked")
     t = materialize(texts.join(asked, "rep", "left_semi"), "texts")
     found = likely.join(t.select(F.col("rep").alias("u"), F.col("text").alias("tu")), "u").join(t.select(F.col("rep").alias("v"), F.col("text").alias("tv")), "v")
     return found.select("u", "v", "tu", "tv").mapInArrow(_verify(size, percent), "u long, v long")
@@ -166,23 +169,40 @@ def _leaf_pairs(members: DataFrame) -> DataFrame:
             b -> struct(a.rep as u, b.rep as v)))))""").alias("p")).select("p.u", "p.v")
 
 
-def _blocked(members: DataFrame, block: int = 256) -> DataFrame:
-    """All pairs of unlike components inside nodes of any size, one task row at a time.
+def _shingles_of(size: int):
+    """Rows (rep, text) to one row per distinct shingle (rep, n, token)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reps = batch.column(0).to_numpy()
+            for block in tk.blocks(batch.column(1)):
+                h, offsets = shingle_sets(block, size)
+                n = np.diff(offsets)
+                own = reps[block.first : block.first + len(block)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, n)), pa.array(np.repeat(n, n)), pa.array(_signed(h))], names=["rep", "n", "token"])
+
+    return run
 
-    Members are dealt into ceil(n / block) parts by a hash; each pair of parts meets under
-    a key of its own, so no group grows with the node.
-    """
-    n = members.groupBy("node").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"))
-    m = members.join(n, "node").withColumn("part", F.expr("cast(pmod(xxhash64(rep, 7), parts) as int)"))
-    a = m.select("node", "rep", "component", F.expr("explode(transform(sequence(0, parts - 1), q -> struct(least(part, q) as p, greatest(part, q) as q)))").alias("k"))
-    a = a.select("node", "k", "rep", "component")
-    left = a.select("node", "k", F.col("rep").alias("u"), F.col("component").alias("cu"))
-    right = a.select("node", "k", F.col("rep").alias("v"), F.col("component").alias("cv"))
-    return left.join(right, ["node", "k"]).where("u < v and cu <> cv").select("u", "v")
+
+def _rest_pairs(rest: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Exact candidates among rows (rep, component): pairs of unlike components that share a rare shingle."""
+    rest = materialize(rest, "rest")
+    tokens = materialize(texts.join(rest.select("rep"), "rep", "left_semi").mapInArrow(_shingles_of(size), "rep long, n long, token long"), "tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("f"))
+    ranked = tokens.join(often, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("t"))
+    first = F.slice("t", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    rare = ranked.select("rep", F.explode(first).alias("x")).select("rep", "x.token", "x.f").where("f > 1").drop("f").join(rest, "rep")
+    mixed = rare.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    rare = materialize(rare.join(mixed, "token", "left_semi"), "rare")
+    # components meet first, so members of one component never do
+    by = rare.select("token", "component").distinct()
+    meet = by.select("token", F.col("component").alias("cu")).join(by.select("token", F.col("component").alias("cv")), "token").where("cu < cv")
+    one = meet.join(rare.select("token", F.col("component").alias("cu"), F.col("rep").alias("u")), ["token", "cu"])
+    return one.join(rare.select("token", F.col("component").alias("cv"), F.col("rep").alias("v")), ["token", "cv"]).select("u", "v")
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, trees: int = 10, leaf: int = 12, depth: int = 8
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, trees: int = 10, leaf: int = 12, depth: int = 3
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -204,41 +224,41 @@ def near_duplicates(
         "rep",
         F.explode(F.expr(f"transform(sequence(0, {trees - 1}), r -> xxhash64(r, element_at(sig, r + 1)))")).alias("node"),
     )
-    links, known = None, None
+    stars = lambda c: c.select(F.col("node_id").alias("u"), F.col("component").alias("v"))
+    known = None
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        if known is None:
+            return rows.withColumn("component", F.col("rep"))
+        return rows.join(known, rows.rep == known.node_id, "left").drop("node_id").withColumn("component", F.coalesce("component", "rep"))
+
+    def connect(pairs: DataFrame, label: str) -> None:
+        """Verify pairs and merge what they link into the components known so far."""
+        nonlocal known
+        links = materialize(_pairs_to_links(pairs, sets, texts, shingle, percent), label)
+        if known is None or not links.isEmpty():
+            links = links if known is None else links.unionByName(stars(known))
+            known = components(links).select(F.col("node").alias("node_id"), "component")
+
+    def mixed_only(rows: DataFrame) -> DataFrame:
+        mixed = rows.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("node")
+        return rows.join(mixed, "node", "left_semi")
+
     for level in range(depth):
         counted = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).where("n > 1")
-        members = nodes.join(counted, "node")
-        if known is not None:
-            members = members.join(known, members.rep == known.node_id, "left").drop("node_id")
-            members = members.withColumn("component", F.coalesce("component", "rep"))
-        else:
-            members = members.withColumn("component", F.col("rep"))
-        members = materialize(members, f"members{level}")
-        if known is not None:
-            mixed = members.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("node")
-            members = materialize(members.join(mixed, "node", "left_semi"), f"mixed{level}")
-        small, large = members.where(f"n <= {leaf}"), members.where(f"n > {leaf}")
-        pairs = _leaf_pairs(small)
-        last = level == depth - 1
-        pairs = pairs.unionByName(_blocked(large) if last else large.select(F.col("leader").alias("u"), F.col("rep").alias("v")))
-        fresh = materialize(_pairs_to_links(pairs, sets, texts, shingle, percent), f"links{level}")
-        links = fresh if links is None else links.unionByName(fresh)
-        known = components(links).select(F.col("node").alias("node_id"), "component")
-        if last:
-            break
+        members = labelled(nodes.join(counted, "node"))
+        members = materialize(mixed_only(members) if known is not None else members, f"members{level}")
+        large = members.where(f"n > {leaf}")
+        connect(_leaf_pairs(members.where(f"n <= {leaf}")).unionByName(large.select(F.col("leader").alias("u"), F.col("rep").alias("v"))), f"links{level}")
         # what is connected already needs no further comparison
-        rest = large.drop("component").join(known, large.rep == known.node_id, "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = rest.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("node")
-        open_ = rest.select("node", "rep").join(mixed, "node", "left_semi").join(sets.select("rep", "sig"), "rep")
-        nodes = materialize(
-            open_.select(
-                "rep",
-                F.explode(F.expr(
-                    f"transform(sequence(0, 1), b -> xxhash64(node, b, element_at(sig, 1 + cast(pmod(xxhash64(node, {level}) + b * 17, {SIGNATURE}) as int))))"
-                )).alias("node"),
-            ).distinct(),
-            f"nodes{level + 1}",
-        )
+        open_ = mixed_only(labelled(large.select("node", "rep")))
+        if level == depth - 1:
+            connect(_rest_pairs(open_.select("rep", "component").distinct(), texts, shingle, percent), "links_rest")
+            break
+        branch = f"transform(sequence(0, 1), b -> xxhash64(node, b, element_at(sig, 1 + cast(pmod(xxhash64(node, {level}) + b * 17, {SIGNATURE}) as int))))"
+        old = nodes
+        nodes = materialize(open_.select("node", "rep").join(sets.select("rep", "sig"), "rep").select("rep", F.explode(F.expr(branch)).alias("node")).distinct(), f"nodes{level + 1}")
+        discard(members, old)
         if nodes.isEmpty():
             break
 

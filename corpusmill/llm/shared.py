@@ -27,7 +27,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/corpusmill-{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._corpusmill_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete materialised tables that no later step reads."""
+    for df in tables:
+        if path := getattr(df, "_corpusmill_path", None):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
 
 
 def row_key(*columns: str) -> F.Column:
@@ -46,10 +57,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     e = materialize(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges"
     )
-    known = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    if known[0] == 0:
-        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(rounds):
+        # done when every larger node has one edge and no node is on both sides: stars
+        sides = e.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("low")).unionByName(e.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("low")))
+        sides = sides.groupBy("n").agg(F.sum("up").alias("up"), F.max("low").alias("low"))
+        if sides.where("up > 1 or (up > 0 and low > 0)").isEmpty():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -61,9 +74,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        e = materialize(small, "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == known:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        known = now
+        before, e = e, materialize(small, "edges")
+        discard(before)
     raise RuntimeError("components did not settle")
