@@ -18,10 +18,10 @@ from . import (
     op8_chat,
     op9_mixing,
     op10_quality,
+    oracles,
 )
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
 
 
 def _query(f):
@@ -93,4 +93,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(oracles.SQL)
