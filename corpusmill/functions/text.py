@@ -39,7 +39,7 @@ def content_hash(c) -> Column:
 
 def truncate_preview(c, n: int) -> Column:
     """At most n bytes, then '...'; a split character becomes U+FFFD."""
-    cut = F.concat(F.make_valid_utf8(F.decode(byte_slice(c, 0, n), "UTF-8")), F.lit("..."))
+    cut = F.concat(F.make_valid_utf8(byte_slice(c, 0, n).cast("string")), F.lit("..."))
     return F.when(F.octet_length(_col(c)) <= n, _col(c)).otherwise(cut)
 
 

@@ -215,7 +215,7 @@ def load_directory(spark: SparkSession, path: str, json_fields: tuple[str, ...]
     Rows (source_path, mime_type, content, row_count). Each MIME type is one branch of the plan.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    files = files.select(F.col("path").alias("source_path"), mime_column(F.col("path")).alias("m"), F.decode("content", "UTF-8").alias("content"))
+    files = files.select(F.col("path").alias("source_path"), mime_column(F.col("path")).alias("m"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
     parts = []
     for mime in ("text/plain", "text/markdown", "text/html", "text/csv", "application/json"):
         part = load(files.where(F.col("m") == mime).drop("m"), "content", mime, json_fields)

@@ -74,8 +74,8 @@ def entries(spark, rows):
 
 
 def test_search_filters_and_threshold(spark):
-    e = entries(spark, [("a", [1.0, 0, 0], "hello", {"tag": "x", "tenant_id": "acme"}), ("b", [0.0, 1, 0], "world", {"tag": "y"}), ("far", [0.0, 0, 1], "f", {}), ("odd", [1.0], "o", {})])
-    q = {"q": [1.0, 0, 0]}
+    e = entries(spark, [("a", [1.0, 0.0, 0.0], "hello", {"tag": "x", "tenant_id": "acme"}), ("b", [0.0, 1.0, 0.0], "world", {"tag": "y"}), ("far", [0.0, 0.0, 1.0], "f", {}), ("odd", [1.0], "o", {})])
+    q = {"q": [1.0, 0.0, 0.0]}
     assert [r["id"] for r in vectors.search(e, q, 2).orderBy("rank").collect()] == ["a", "b"]
     assert [r["id"] for r in vectors.search(e, q, 10, min_score=0.9).collect()] == ["a"]
     assert [r["id"] for r in vectors.search(e, q, 5, tenant="acme").collect()] == ["a"]
