@@ -128,7 +128,8 @@ def _pack(buckets: int, window: int, run: int):
                     for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                         c0 = int(total[x - 1]) if x else 0
                         body = head[x:y].tobytes() + joined[c0 : int(total[y - 1])].tobytes()
-                        out.append((int(bucket[x]), 1, 0, y - x, zlib.compress(body, 1)))
+                        # a few strings aren't worth a compressor
+                        out.append((int(bucket[x]), 1, 0, y - x, body) if len(body) < 2048 else (int(bucket[x]), 2, 0, y - x, zlib.compress(body, 1)))
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.binary())],
@@ -138,11 +139,11 @@ def _pack(buckets: int, window: int, run: int):
     return batch_rows
 
 
-def _count_bucket(parts: list[tuple[int, bytes]], window: int):
+def _count_bucket(parts: list[tuple[int, int, bytes]], window: int):
     """Flags of one bucket: (ids, keys, starts, lengths) of runs of flagged windows."""
     heads, texts = [], []
-    for n, payload in parts:
-        body = zlib.decompress(payload)
+    for n, packed, payload in parts:
+        body = zlib.decompress(payload) if packed == 2 else payload
         heads.append(np.frombuffer(body, _ROW, n))
         texts.append(np.frombuffer(body, np.uint8, offset=n * _ROW.itemsize))
     head, data = np.concatenate(heads), np.concatenate(texts)
@@ -182,13 +183,13 @@ def _sort_buckets(window: int):
             if len(local):
                 take = pa.array(local)
                 yield pa.RecordBatch.from_arrays([batch.column(2).take(take), batch.column(3).take(take), batch.column(4).take(take)], names=["id", "row_key", "flags"])
-            for i in np.flatnonzero(kind == 1).tolist():
+            for i in np.flatnonzero(kind > 0).tolist():
                 if bucket[i] != now and parts:
                     if (out := emit(parts)) is not None:
                         yield out
                     parts = []
                 now = bucket[i]
-                parts.append((batch.column(3)[i].as_py(), batch.column(4)[i].as_py()))
+                parts.append((batch.column(3)[i].as_py(), kind[i], batch.column(4)[i].as_py()))
         if parts and (out := emit(parts)) is not None:
             yield out
 
@@ -251,14 +252,18 @@ def _remove(window: int, keep_text: bool):
     return run
 
 
+def _bucket_count(docs: DataFrame, each: int = 1 << 20, unknown: int = 1024) -> int:
+    """Buckets in proportion to the input, by the planner's estimate of its size on disk."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(64, size // each) if size < 1 << 60 else unknown
+
+
 def deduplicate_substrings(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, run: int = 3, buckets: int | None = None, keep_text: bool = True
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 (and kept_text)."""
-    spark = docs.sparkSession
     if buckets is None:
-        # the scan's partitions are in proportion to the input; several buckets for each
-        buckets = max(64, 16 * docs.select(text_col).rdd.getNumPartitions())
+        buckets = _bucket_count(docs)
     key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), key.alias("row_key"))
     moved = rows.mapInArrow(_pack(buckets, window, run), MOVED)
