@@ -254,7 +254,7 @@ def _remove(window: int, keep_text: bool):
 
 def _bucket_count(docs: DataFrame, each: int = 1 << 20, unknown: int = 1024) -> int:
     """Buckets in proportion to the input, by the planner's estimate of its size on disk."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return max(64, size // each) if size < 1 << 60 else unknown
 
 
