@@ -191,14 +191,19 @@ def _rest_pairs(rest: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     often = tokens.groupBy("token").agg(F.count("*").alias("f"))
     ranked = tokens.join(often, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("t"))
     first = F.slice("t", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-    rare = ranked.select("rep", F.explode(first).alias("x")).select("rep", "x.token", "x.f").where("f > 1").drop("f").join(rest, "rep")
+    rare = ranked.select("rep", "n", F.posexplode(first).alias("at", "x")).where("x.f > 1")
+    # r shingles follow this one; if it is the first that two sets share, they share 1 + r at most
+    rare = rare.select("rep", "n", (F.col("n") - F.col("at") - 1).alias("r"), "x.token").join(rest, "rep")
     mixed = rare.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     rare = materialize(rare.join(mixed, "token", "left_semi"), "rare")
-    # components meet first, so members of one component never do
-    by = rare.select("token", "component").distinct()
-    meet = by.select("token", F.col("component").alias("cu")).join(by.select("token", F.col("component").alias("cv")), "token").where("cu < cv")
-    one = meet.join(rare.select("token", F.col("component").alias("cu"), F.col("rep").alias("u")), ["token", "cu"])
-    return one.join(rare.select("token", F.col("component").alias("cv"), F.col("rep").alias("v")), ["token", "cv"]).select("u", "v")
+    enough = f"{100 + percent} * (1 + least(ru, rv)) >= {percent} * (nu + nv)"
+    # components meet first, by the best that any of their members could share, so members of one never meet
+    by = rare.groupBy("token", "component").agg(F.max("r").alias("r"), F.min("n").alias("n"))
+    side = lambda df, k, *more: df.select("token", *[F.col(c).alias(a + k) for c, a in (("component", "c"), ("r", "r"), ("n", "n"), *more)])
+    meet = side(by, "u").join(side(by, "v"), "token").where(f"cu < cv and {enough}").select("token", "cu", "cv", "rv", "nv")
+    one = meet.join(side(rare, "u", ("rep", "")), ["token", "cu"]).where(enough).select("token", "u", "ru", "nu", "cv")
+    pairs = one.join(side(rare, "v", ("rep", "")), ["token", "cv"])
+    return pairs.where(f"{enough} and 100 * least(nu, nv) >= {percent} * greatest(nu, nv)").select("u", "v")
 
 
 def near_duplicates(
