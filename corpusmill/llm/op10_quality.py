@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .shared import materialize, row_key
+from .shared import materialize, row_key, small_batches
 
 SYMBOLS = "#*$%&|<>"
 _IS_SYMBOL = np.zeros(256, bool)
@@ -137,6 +137,7 @@ def line_decisions(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20, max_share: float = 0.001
 ) -> tuple[DataFrame, DataFrame]:
     """(base statistics of each row, lines to remove: doc_id, row_key, line, words)."""
+    small_batches(docs.sparkSession)
     base = materialize(_rows(docs, id_col, text_col, host_col).mapInArrow(_base, BASE_SCHEMA), "quality")
     host = F.coalesce(F.col("source"), F.lit("\u0000null")).alias("host")
     big = F.lit((1 << 63) - 1)

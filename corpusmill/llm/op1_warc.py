@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, small_batches
 
 CRLF = b"\r\n"
 INDEX = "array<struct<offset:bigint,length:bigint,record_id:string,page_id:bigint,record_type:string>>"
@@ -197,6 +197,7 @@ def _read(with_payload: bool):
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100, archive_bytes: int = 4 << 20) -> DataFrame:
     """Monolithic gzip archives of all pages: rows (archive, content) in the shared folder."""
+    small_batches(pages.sparkSession)
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("size"))
     # only payloads that repeat are joined: their digests, not the pages, are grouped

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
+from .shared import small_batches
 
 HELD_OUT = (4, 2)
 FEATURES = 8
@@ -362,6 +363,7 @@ def _score(model: Model):
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.3, model: Model | None = None, **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted."""
+    small_batches(docs.sparkSession)
     model = model or train(docs, labels, id_col, text_col, **options)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out"))
     scored = rows.mapInArrow(_score(model), "doc_id long, held_out boolean, score double")

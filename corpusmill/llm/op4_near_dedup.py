@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .shared import components, discard, materialize
+from .shared import components, discard, materialize, small_batches
 
 SIGNATURE = 64
 SET_SCHEMA = "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>"
@@ -210,6 +210,7 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, trees: int = 10, leaf: int = 12, depth: int = 3
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     described = materialize(rows.mapInArrow(_describe(shingle), SET_SCHEMA), "sets")
     filled = described.where("n_shingles > 0")

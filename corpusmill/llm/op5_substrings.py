@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
+from .shared import small_batches
 
 NULL_ID = (1 << 63) - 1
 _ROW = np.dtype([("id", "<i8"), ("key", "<i8"), ("start", "<i4"), ("n", "<i4"), ("at", "<i4"), ("size", "<i4")])
@@ -262,6 +263,7 @@ def deduplicate_substrings(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, run: int = 3, buckets: int | None = None, keep_text: bool = True
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 (and kept_text)."""
+    small_batches(docs.sparkSession)
     if buckets is None:
         buckets = _bucket_count(docs)
     key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))

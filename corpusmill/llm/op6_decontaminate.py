@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
+from .shared import small_batches
 
 #: Whatever two of thirteen words are substituted, one of the last three masks finds a place
 #: where it sees neither (checked by a test for all pairs).
@@ -136,6 +137,7 @@ def contaminated(
 
     doc_start and item_start count words; n_words aligned words hold n_matched equal ones.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("row_key"))
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null").distinct()
     # upper bound of the words, without building them: a word and its separator take two bytes at least

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .shared import materialize
+from .shared import materialize, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 BITS = 1 << 22
@@ -183,6 +183,7 @@ def _frequencies(bitmap: np.ndarray):
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 10, shortest: int = 4) -> DataFrame:
     key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), key.alias("row_key"))
     return materialize(rows.mapInArrow(_scan(reach, shortest), SCAN), "pii")
 

@@ -18,6 +18,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bound the bytes of Arrow batches, which the JVM holds off heap, unless the session does already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, size)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write a table into the shared folder and read it again.
 
