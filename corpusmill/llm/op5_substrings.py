@@ -11,7 +11,7 @@ words under flagged windows are removed.
 Map side: within a block of documents windows are sorted first. A window that a smaller
 document of the same block holds is flagged at once and doesn't travel, so a passage that
 very many documents share reaches its bucket once per block, not once per document. Packed
-strings of one block and bucket are compressed together. Buckets are in proportion to the
+strings of one block and bucket are compressed together, their numbers column by column. Buckets are in proportion to the
 input. Windows are equal when two independent 64-bit hashes of their words (besides the
 minimiser's) are: 128 bits.
 
@@ -23,7 +23,6 @@ each other's words; repeated rows get equal results. Only the named columns are
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,11 +34,30 @@ from . import textkernel as tk
 from .shared import small_batches
 
 NULL_ID = (1 << 63) - 1
-_ROW = np.dtype([("id", "<i8"), ("key", "<i8"), ("start", "<i4"), ("n", "<i4"), ("at", "<i4"), ("size", "<i4")])
+#: what stands before the packed strings, column by column: ids as differences
+_HEAD = (("id", "<i8"), ("key", "<u4"), ("start", "<i4"), ("n", "<i4"), ("size", "<i4"))
 _FLAG = np.dtype([("start", "<i4"), ("n", "<i4")])
 MOVED = "bucket int, kind int, id long, row_key long, payload binary"
 
 
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=6)
+
+
+def _join(head: dict[str, np.ndarray], text: np.ndarray) -> bytes:
+    columns = [np.diff(head["id"], prepend=0) if name == "id" else head[name] for name, _ in _HEAD]
+    return b"".join([*(c.astype(t).tobytes() for c, (_, t) in zip(columns, _HEAD, strict=True)), text.tobytes()])
+
+
+def _split(body: bytes, n: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    head, at = {}, 0
+    for name, t in _HEAD:
+        head[name] = np.frombuffer(body, t, n, at)
+        at += n * np.dtype(t).itemsize
+    head["id"] = np.cumsum(head["id"])
+    return head, np.frombuffer(body, np.uint8, offset=at)
+
+
 def _minimisers(first: np.ndarray, h: np.ndarray, at: np.ndarray, window: int, run: int) -> np.ndarray:
     """Smallest hash of the runs inside each window that starts at ``at``."""
     grams = tk.roll(h, run, 811)
@@ -83,6 +101,7 @@ def _ranges(at: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _pack(buckets: int, window: int, run: int):
     def batch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec()
         for batch in batches:
             ids_all = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
             keys_all = batch.column(2).to_numpy(zero_copy_only=False)
@@ -114,13 +133,10 @@ def _pack(buckets: int, window: int, run: int):
                     bucket = ((m[lo] >> tk.U64(16)) % tk.U64(buckets)).astype(np.int64)
                     order = np.argsort(bucket, kind="stable")
                     lo, hi, bucket = lo[order], hi[order], bucket[order]
-                    head = np.zeros(len(lo), _ROW)
-                    head["id"], head["key"] = ids[doc[lo]], keys[doc[lo]]
-                    head["start"], head["n"] = at[lo] - first[doc[lo]], hi - lo
                     begin, stop = starts[at[lo]], ends[at[hi - 1] + window - 1]
-                    head["size"] = stop - begin
+                    head = {"id": ids[doc[lo]], "key": keys[doc[lo]], "start": at[lo] - first[doc[lo]], "n": hi - lo, "size": stop - begin}
                     # a packed string keeps its words and separators; lines break between strings
-                    size = head["size"].astype(np.int64) + 1
+                    size = head["size"] + 1
                     total = np.cumsum(size)
                     source = np.arange(int(total[-1])) - np.repeat(total - size - begin, size)
                     joined = block.data[np.minimum(source, len(block.data) - 1)]
@@ -128,9 +144,10 @@ def _pack(buckets: int, window: int, run: int):
                     bounds = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
                     for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                         c0 = int(total[x - 1]) if x else 0
-                        body = head[x:y].tobytes() + joined[c0 : int(total[y - 1])].tobytes()
-                        # a few strings aren't worth a compressor
-                        out.append((int(bucket[x]), 1, 0, y - x, body) if len(body) < 2048 else (int(bucket[x]), 2, 0, y - x, zlib.compress(body, 1)))
+                        body = _join({k: v[x:y] for k, v in head.items()}, joined[c0 : int(total[y - 1])])
+                        # a few strings aren't worth a compressor; id and row_key hold the sizes
+                        small = len(body) < 1024
+                        out.append((int(bucket[x]), 1 if small else 2, len(body), y - x, body if small else codec.compress(body, asbytes=True)))
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.binary())],
@@ -140,41 +157,67 @@ def _pack(buckets: int, window: int, run: int):
     return batch_rows
 
 
-def _count_bucket(parts: list[tuple[int, int, bytes]], window: int):
-    """Flags of one bucket: (ids, keys, starts, lengths) of runs of flagged windows."""
+def _windows_of(parts: list[tuple[int, int, int, bytes]], window: int, codec: pa.Codec):
+    """(id, key, start word, hash a, hash b) of every window of some packed parts."""
     heads, texts = [], []
-    for n, packed, payload in parts:
-        body = zlib.decompress(payload) if packed == 2 else payload
-        heads.append(np.frombuffer(body, _ROW, n))
-        texts.append(np.frombuffer(body, np.uint8, offset=n * _ROW.itemsize))
-    head, data = np.concatenate(heads), np.concatenate(texts)
+    for n, packed, size, payload in parts:
+        head, text = _split(codec.decompress(payload, size, asbytes=True) if packed == 2 else payload, n)
+        heads.append(head)
+        texts.append(text)
+    head = {k: np.concatenate([h[k] for h in heads]) for k, _ in _HEAD}
+    data = np.concatenate(texts)
     offsets = np.concatenate([[0], np.cumsum(head["size"].astype(np.int64) + 1)])
-    block = tk.Block(data, offsets, 0)
-    starts, ends, first = tk.words(block)
+    starts, ends, first = tk.words(tk.Block(data, offsets, 0))
     at, row = tk.window_starts(first, window)
     h, g = tk.hash_words(data, starts, ends, "a"), tk.hash_words(data, starts, ends, "b")
     a, b = _window_hashes(h, g, at, window)
-    flagged = _smaller_elsewhere(a, b, head["id"][row])
-    at, row = at[flagged], row[flagged]
-    lo, hi = _ranges(at, row)
-    r = row[lo] if len(lo) else row
-    return head["id"][r], head["key"][r], head["start"][r] + (at[lo] - first[r] if len(lo) else at), hi - lo
-
-
-def _sort_buckets(window: int):
-    """Rows sorted by bucket to flags; the memory is that of one bucket."""
+    return head["id"][row], head["key"][row].astype(np.int64), head["start"][row] + (at - first[row]), a, b
+
+
+def _count_bucket(parts: list[tuple[int, int, int, bytes]], window: int, most: int) -> Iterator[tuple]:
+    """Flagged windows (ids, keys, starts) of one bucket.
+
+    A bucket of more than ``most`` bytes is unpacked piece by piece, in as many passes as it
+    has pieces, each over the windows of one class of hashes: only packed bytes are held.
+    """
+    codec, pieces, size = _codec(), [[]], 0
+    for part in parts:
+        if size + part[2] > most and pieces[-1]:
+            pieces.append([])
+            size = 0
+        pieces[-1].append(part)
+        size += part[2]
+    n = tk.U64(len(pieces))
+    for k in range(len(pieces)):
+        found = []
+        for piece in pieces:
+            columns = _windows_of(piece, window, codec)
+            if n > 1:
+                mine = (columns[3] >> tk.U64(7)) % n == tk.U64(k)
+                columns = tuple(c[mine] for c in columns)
+            found.append(columns)
+        ids, keys, start, a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+        flagged = _smaller_elsewhere(a, b, ids)
+        yield ids[flagged], keys[flagged], start[flagged]
+
+
+def _sort_buckets(window: int, most: int):
+    """Rows sorted by bucket to flags; the memory is that of one piece of a bucket and of what it has packed."""
 
     def emit(parts):
-        ids, keys, begin, n = _count_bucket(parts, window)
-        if len(ids) == 0:
-            return None
-        order = np.lexsort((begin, keys, ids))
-        ids, keys, begin, n = ids[order], keys[order], begin[order], n[order]
-        flags = np.zeros(len(ids), _FLAG)
-        flags["start"], flags["n"] = begin, n
-        cut = np.concatenate([[0], np.flatnonzero((ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])) + 1, [len(ids)]])
-        blobs = [flags[x:y].tobytes() for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(ids[cut[:-1]]), pa.array(keys[cut[:-1]]), pa.array(blobs, pa.binary())], names=["id", "row_key", "flags"])
+        for ids, keys, begin in _count_bucket(parts, window, most):
+            if len(ids) == 0:
+                continue
+            order = np.lexsort((begin, keys, ids))
+            ids, keys, begin = ids[order], keys[order], begin[order]
+            row = np.concatenate([[0], np.cumsum((ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]))])
+            lo, hi = _ranges(begin, row)
+            flags = np.zeros(len(lo), _FLAG)
+            flags["start"], flags["n"] = begin[lo], hi - lo
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(row[lo])) + 1, [len(lo)]])
+            blobs = [flags[x:y].tobytes() for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            at = lo[cut[:-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(keys[at]), pa.array(blobs, pa.binary())], names=["id", "row_key", "flags"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
@@ -186,13 +229,12 @@ def _sort_buckets(window: int):
                 yield pa.RecordBatch.from_arrays([batch.column(2).take(take), batch.column(3).take(take), batch.column(4).take(take)], names=["id", "row_key", "flags"])
             for i in np.flatnonzero(kind > 0).tolist():
                 if bucket[i] != now and parts:
-                    if (out := emit(parts)) is not None:
-                        yield out
+                    yield from emit(parts)
                     parts = []
                 now = bucket[i]
-                parts.append((batch.column(3)[i].as_py(), kind[i], batch.column(4)[i].as_py()))
-        if parts and (out := emit(parts)) is not None:
-            yield out
+                parts.append((batch.column(3)[i].as_py(), kind[i], batch.column(2)[i].as_py(), batch.column(4)[i].as_py()))
+        if parts:
+            yield from emit(parts)
 
     return run
 
@@ -253,23 +295,24 @@ def _remove(window: int, keep_text: bool):
     return run
 
 
-def _bucket_count(docs: DataFrame, each: int = 1 << 20, unknown: int = 1024) -> int:
+def _bucket_count(docs: DataFrame, each: int = 2 << 20, unknown: int = 1024) -> int:
     """Buckets in proportion to the input, by the planner's estimate of its size on disk."""
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return max(64, size // each) if size < 1 << 60 else unknown
 
 
 def deduplicate_substrings(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, run: int = 3, buckets: int | None = None, keep_text: bool = True
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, run: int = 3, buckets: int | None = None, bucket_bytes: int = 32 << 20, keep_text: bool = True
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 (and kept_text)."""
     small_batches(docs.sparkSession)
     if buckets is None:
         buckets = _bucket_count(docs)
-    key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    # 32 bits tell the texts of one id apart, where an id repeats
+    key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), key.alias("row_key"))
     moved = rows.mapInArrow(_pack(buckets, window, run), MOVED)
-    flags = moved.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets(window), "id long, row_key long, flags binary")
+    flags = moved.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets(window, bucket_bytes), "id long, row_key long, flags binary")
     null = lambda t: F.lit(None).cast(t)
     both = flags.select("id", "row_key", F.lit(0).alias("kind"), null("string").alias("text"), "flags", null("long").alias("doc_id")).unionByName(
         rows.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "row_key", F.lit(1).alias("kind"), "text", null("binary").alias("flags"), "doc_id")

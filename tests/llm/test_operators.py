@@ -86,9 +86,9 @@ def brute_substrings(rows, n=13):
     return out
 
 
-@pytest.mark.parametrize("buckets", [1, 50, None])
-def test_substrings(edge_docs, edge_rows, buckets):
-    got = op5_substrings.deduplicate_substrings(edge_docs, buckets=buckets)
+@pytest.mark.parametrize("buckets,most", [(1, 32 << 20), (1, 2000), (50, 1), (None, 32 << 20)])
+def test_substrings(edge_docs, edge_rows, buckets, most):
+    got = op5_substrings.deduplicate_substrings(edge_docs, buckets=buckets, bucket_bytes=most)
     assert bag(got.drop("kept_text").collect()) == bag(brute_substrings(edge_rows))
     assert got.where(F.sha2("kept_text", 256) != F.col("kept_sha256")).count() == 0
 

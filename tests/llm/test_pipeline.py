@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from conftest import SF, compare
+from tests.conftest import SF, compare
 
 import __spark_entry__
 import corpus_pipeline
