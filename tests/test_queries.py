@@ -1,5 +1,5 @@
 import pytest
-from conftest import compare
+from tests.conftest import compare
 
 from corpusmill.plans import registry
 
