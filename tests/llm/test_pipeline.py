@@ -42,8 +42,13 @@ def test_query_matches_sql(spark, name):
     compare(spark, name, queries.queries()[name], oracles.SQL[name])
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, tmp_path):
+    here = str(tmp_path)
+    more = [(5001, "password = hunter22x and " + " ".join(f"own{i} word{i}" for i in range(30)), "en", "src1", 1), (5002, None, None, None, None)]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs.unionByName(spark.createDataFrame(more, docs.schema)).write.parquet(f"{here}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{here}/benchmark.parquet")
+    docs = spark.read.parquet(f"{here}/documents.parquet")
     rows = [tuple(r) for r in docs.collect()]
     items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     good = [r for r in rows if not brute_quality(r[1])[5]]
@@ -55,7 +60,7 @@ def test_pipeline(spark):
     at = docs
     seen = {}
     for name, stage in corpus_pipeline.STAGES:
-        at = stage(spark, at, SF)
+        at = stage(spark, at, here)
         if name != "mix":
             assert at.columns == docs.columns
         seen[name] = at = spark.createDataFrame(at.collect(), at.schema)
@@ -73,7 +78,7 @@ def test_pipeline(spark):
     want = brute_targets(sizes)
     for r in mixed:
         assert r["target"] == pytest.approx(want[r["source"]]) and r["taken"] == r["copies"] * r["size"] > 0
-    assert sorted((r["doc_id"], r["taken"]) for r in corpus_pipeline.run(spark, SF).collect()) == sorted((r["doc_id"], r["taken"]) for r in mixed)
+    assert sorted((r["doc_id"], r["taken"]) for r in corpus_pipeline.run(spark, here).collect()) == sorted((r["doc_id"], r["taken"]) for r in mixed)
 
 
 def test_masks_leave_a_seed_under_any_two_substitutions():
