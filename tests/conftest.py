@@ -26,6 +26,7 @@ def compare(spark, name: str, query, sql: str, sf_dir: str = SF) -> None:
     import glob
 
     import duckdb
+    import pandas as pd
 
     con = duckdb.connect()
     for p in glob.glob(f"{sf_dir}/*.parquet"):
@@ -35,7 +36,7 @@ def compare(spark, name: str, query, sql: str, sf_dir: str = SF) -> None:
 
     def rows(df):
         def plain(v):
-            return "null" if v is None or v != v else repr(float(v)) if isinstance(v, float) else str(v)
+            return "null" if v is None or pd.isna(v) else repr(float(v)) if isinstance(v, float) and v != int(v) else str(int(v)) if isinstance(v, float) else str(v)
 
         return sorted(tuple(plain(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
 
