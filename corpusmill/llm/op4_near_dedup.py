@@ -24,7 +24,9 @@ verified on the full sets, recomputed from the texts.
 Defined results: null or empty texts have an empty set, are linked with nothing and are
 kept. Repeated rows are copies of each other. Rows with a null id have no place in the
 order: they get component_id null unless a row with an id is reachable, and kept is false
-in that case and true otherwise. Columns other than ``id_col`` and ``text_col`` are never
+in that case and true otherwise; an id with unlike texts is one node. Where rows are dropped
+(``drop_near_duplicates``) unlike texts without an id or under one id are documents of their
+own, compared like all others. Columns other than ``id_col`` and ``text_col`` are never
 looked at, so clashing names do no harm.
 """
 
@@ -276,8 +278,22 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stand for their group; of repeated rows one stays."""
-    labelled = near_duplicates(docs, **options)
-    id_col = options.get("id_col", "doc_id")
-    kept = labelled.where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi").dropDuplicates([id_col])
+    """The rows of ``docs`` that stand for their group; of repeated rows (equal id and text) one stays.
+
+    Here a document is an id and its text: unlike texts under one id or under no id are
+    documents of their own, in the order of id (none comes last) and text fingerprint.
+    """
+    id_col, text_col = options.pop("id_col", "doc_id"), options.pop("text_col", "text")
+    own_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    key = F.xxhash64(F.coalesce(text, F.lit("\u0000null")))
+    pairs = docs.select(own_id.alias("_kept_id"), key.alias("_kept_key"))
+    if pairs.groupBy("_kept_id").agg(F.min("_kept_key").alias("lo"), F.max("_kept_key").alias("hi")).where("_kept_id is null or lo <> hi").isEmpty():
+        labelled = near_duplicates(docs, id_col, text_col, **options)
+        kept = labelled.where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+        return docs.join(kept, docs[id_col].cast("long") == kept["_kept_id"], "left_semi").dropDuplicates([id_col])
+    # ids don't name documents: number them; the numbers ascend through the sorted partitions
+    numbers = materialize(pairs.distinct().orderBy(F.asc_nulls_last("_kept_id"), "_kept_key").withColumn("_kept_n", F.monotonically_increasing_id()), "numbers")
+    numbered = docs.join(numbers, own_id.eqNullSafe(numbers["_kept_id"]) & (key == numbers["_kept_key"])).drop("_kept_id", "_kept_key")
+    labelled = near_duplicates(numbered, "_kept_n", text_col, **options)
+    kept = labelled.where("kept").select(F.col("doc_id").alias("_kept_n")).distinct()
+    return numbered.join(kept, "_kept_n", "left_semi").dropDuplicates(["_kept_n"]).select(*docs.columns)

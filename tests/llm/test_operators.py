@@ -67,6 +67,22 @@ def test_near_duplicates_drop_and_empty(edge_docs, edge_rows, no_docs):
     assert op4_near_dedup.near_duplicates(no_docs).count() == 0
 
 
+def test_near_duplicates_drop_unlike_texts_of_one_id(spark):
+    """Null ids and repeated ids: every unlike text stays, one of each group."""
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    near = lambda c: text(c).replace(f"{c}39", "edited")
+    rows = [
+        (None, text("a")), (None, text("b")), (None, text("b")), (None, near("b")), (None, text("c")), (None, near("f")), (3, text("c")), (5, text("d")), (5, text("e")), (5, near("e")),
+        (4, text("d")), (6, text("f")), (7, None), (7, ""), (None, None), (None, ""), (8, text("g")), (8, text("g")),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in op4_near_dedup.drop_near_duplicates(docs).collect()]
+    # which of two near-copies with equal ids stays isn't defined
+    got = Counter((i, t.replace("edited", f"{t[0]}39") if t and t[0] in "be" else t) for i, t in got)
+    want = [(None, text("a")), (None, text("b")), (3, text("c")), (5, text("e")), (4, text("d")), (6, text("f")), (7, None), (7, ""), (None, None), (None, ""), (8, text("g"))]
+    assert got == Counter(want)
+
+
 # 5
 
 
