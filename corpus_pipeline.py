@@ -16,8 +16,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return op10_quality.keep_good_rows(docs.select(*COLUMNS))
+    """Documents that the quality rules keep, without lines over the limit; n_chars counts the new text."""
+    from pyspark.sql import functions as F
+
+    return op10_quality.keep_good_rows(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

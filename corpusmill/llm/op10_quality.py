@@ -6,7 +6,9 @@ once, and the counts are pre-aggregated inside each batch before any shuffle. A
 over the limit when more than max(``min_docs``, ``max_share`` of the host's documents)
 distinct documents hold it. Such lines are removed from every document but the host's
 first (smallest id), and a document that lost lines and keeps fewer than ``least_words``
-words, or less than ``least_share`` of its words, is depleted and rejected.
+words, or less than ``least_share`` of its words, is depleted and rejected. ``quality`` gives
+the figures and decisions, ``keep_good_rows`` the documents without the removed lines: the
+pieces between line breaks that stay, joined by line breaks again.
 
 Defined results: null or empty texts have no words and fail the base rules; a null host is
 a host of its own; a null id comes after all others; repeated rows count as one document
@@ -69,6 +71,14 @@ def _found_again(keys: np.ndarray) -> np.ndarray:
     return many
 
 
+def _line_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each normalised line, and its number of words."""
+    plain = tk.hash_words(tk.LINE_NORMAL[data], starts, ends, "b")
+    lo, hi = np.searchsorted(starts, begin), np.searchsorted(starts, end)
+    norm = tk.hash_segments(plain, lo, hi - lo, 0xD6E8FEB86659FD93)
+    return tk.mix(norm + (hi - lo).astype(tk.U64)).view(np.int64), (hi - lo).astype(np.int32)
+
+
 def statistics(block: tk.Block, window: int = 8) -> dict[str, np.ndarray]:
     """The base statistics of every document, and its normalised lines."""
     data, offsets = block.data, block.offsets
@@ -99,16 +109,11 @@ def statistics(block: tk.Block, window: int = 8) -> dict[str, np.ndarray]:
         key = tk.mix(tk.hash_segments(raw, begin, end - begin, 0x9FB21C651E98DF25) + (end - begin).astype(tk.U64) * tk.U64(0x9E3779B97F4A7C15))
         again = _repeats(key ^ own[line_doc])
         out["n_dup_lines"] = np.bincount(line_doc[again], minlength=n).astype(np.int64)
-        plain = tk.hash_words(tk.LINE_NORMAL[data], starts, ends, "b")
-        lo, hi = np.searchsorted(starts, begin), np.searchsorted(starts, end)
-        norm = tk.hash_segments(plain, lo, hi - lo, 0xD6E8FEB86659FD93)
-        out["line"] = tk.mix(norm + (hi - lo).astype(tk.U64)).view(np.int64)
-        out["line_words"] = (hi - lo).astype(np.int32)
+        out["line"], out["line_words"] = _line_keys(data, starts, ends, begin, end)
     else:
         out["n_dup_lines"] = np.zeros(n, np.int64)
         out["line"], out["line_words"] = np.zeros(0, np.int64), np.zeros(0, np.int32)
     out["line_offsets"] = np.searchsorted(line_doc, np.arange(n + 1)).astype(np.int32) if len(begin) else np.zeros(n + 1, np.int32)
-    out["begin"], out["end"] = begin, end
     return out
 
 
@@ -165,7 +170,11 @@ def quality(
     min_docs: int = 20, max_share: float = 0.001, least_words: int = 10, least_share: float = 0.3,
 ) -> DataFrame:
     """One row per row of ``docs``: the base statistics, n_line_words (words in removed lines), base_failed, kept."""
-    base, removed = line_decisions(docs, id_col, text_col, host_col, min_docs, max_share)
+    return decisions(*line_decisions(docs, id_col, text_col, host_col, min_docs, max_share), least_words, least_share)
+
+
+def decisions(base: DataFrame, removed: DataFrame, least_words: int = 10, least_share: float = 0.3) -> DataFrame:
+    """The rows of ``quality`` from what ``line_decisions`` gives."""
     # repeated rows share id and key: their line words are summed once per row
     copies = base.groupBy(F.col("doc_id").alias("d"), F.col("row_key").alias("k")).agg(F.count("*").alias("c"))
     lost = removed.groupBy(F.col("doc_id").alias("d"), F.col("row_key").alias("k")).agg(F.sum("words").alias("lost"))
@@ -181,8 +190,42 @@ def quality(
     )
 
 
+def _cut_lines(texts: pa.Array, gone: pa.Array) -> pa.Array:
+    """Texts without the lines whose hashes are listed beside them; null where no list is."""
+    out: list[str | None] = []
+    for block in tk.blocks(texts):
+        data, offsets = block.data, block.offsets
+        starts, ends, _ = tk.words(block)
+        begin, end, doc = _lines(block, starts)
+        keys = _line_keys(data, starts, ends, begin, end)[0] if len(begin) else np.zeros(0, np.int64)
+        breaks = np.flatnonzero(data == 10)
+        # which piece of its document, as split at line breaks, each line is
+        piece = np.searchsorted(breaks, begin) - np.searchsorted(breaks, offsets[doc]) if len(begin) else begin
+        of = np.searchsorted(doc, np.arange(len(block) + 1))
+        for i in range(len(block)):
+            bad = gone[block.first + i].as_py()
+            if bad is None:
+                out.append(None)
+                continue
+            a, b = of[i], of[i + 1]
+            cut = set(piece[a:b][np.isin(keys[a:b], np.array(bad, np.int64))].tolist())
+            pieces = data[offsets[i] : offsets[i + 1]].tobytes().split(b"\n")
+            out.append(b"\n".join(x for k, x in enumerate(pieces) if k not in cut).decode())
+    return pa.array(out, pa.string())
+
+
 def keep_good_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **options) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their columns unchanged."""
-    good = quality(docs, id_col, text_col, host_col, **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct()
+    """The rows of ``docs`` that the rules keep, removed lines cut from their texts; other columns unchanged."""
+    limits = {k: options.pop(k) for k in ("min_docs", "max_share") if k in options}
+    base, removed = line_decisions(docs, id_col, text_col, host_col, **limits)
+    removed = materialize(removed, "removed")
+    # a row's list is no longer than its text has lines
+    lines = removed.groupBy(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k")).agg(F.collect_set("line").alias("_gone"))
+    good = decisions(base, removed, **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct()
+    good = good.join(lines, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left").drop("_d", "_k")
     key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.coalesce(F.col(host_col).cast("string"), F.lit("\u0000null")))
-    return docs.join(good, docs[id_col].cast("long").eqNullSafe(good["_id"]) & (key == good["_key"]), "left_semi")
+    rows = docs.join(good, docs[id_col].cast("long").eqNullSafe(good["_id"]) & (key == good["_key"]))
+    # texts that lose nothing don't travel to Python
+    touched = F.when(F.col("_gone").isNotNull(), F.col(text_col).cast("string"))
+    shorter = F.arrow_udf(_cut_lines, "string")(touched, F.col("_gone"))
+    return rows.withColumn(text_col, F.coalesce(shorter, F.col(text_col))).select(*docs.columns)

@@ -432,6 +432,45 @@ def test_quality_lines(spark):
     assert all(got[200 + i]["n_line_words"] == 0 for i in range(40)) and got[300]["kept"]
 
 
+def brute_cut(rows, min_docs=20, max_share=0.001):
+    """Kept rows (id, text, host), lines over the limit cut from all but their host's first document."""
+    normal = lambda x: tuple(re.sub("[0-9]", "0", w.translate(LOWER)) for w in WORD.findall(x))
+    order = lambda i: math.inf if i is None else i
+    hosts, holders = defaultdict(set), defaultdict(dict)
+    for i, t, h in rows:
+        hosts[h].add(t or "")
+        for x in {normal(x) for x in (t or "").split("\n")} - {()}:
+            holders[h, x][t] = min(order(i), holders[h, x].get(t, math.inf))
+    keeper = {k: min(v.values()) for k, v in holders.items() if len(v) > max(min_docs, max_share * len(hosts[k[0]]))}
+    out = []
+    for i, t, h in rows:
+        pieces = (t or "").split("\n")
+        stay = [x for x in pieces if order(i) == keeper.get((h, normal(x)), order(i))]
+        new = "\n".join(stay)
+        n, rest = len(WORD.findall(t or "")), len(WORD.findall(new))
+        if not brute_quality(t)[5] and not (rest < n and (rest < 10 or rest < 0.3 * n)):
+            out.append((i, new, h))
+    return out
+
+
+def test_quality_cuts_lines(spark):
+    own = lambda i: " ".join(f"é{chr(97 + i // 26)}{chr(97 + i % 26)}y{chr(97 + j)}" for j in range(25))
+    a, b = "Read all 12 of our  pages", "follow us\tevery day now"
+    shapes = [f"{a}\n{{}}", f"{{}}\n{a}", f"{{}}\n\n {a} \r\n\n", f"{a}\n{b}\n{{}}\n{a}", f"\n{{}}\n{b}\n\n{a}\n"]
+    rows = [(i, shapes[i % 5].format(own(i)).replace("12", str(10 + i)), "h" if i % 11 else None) for i in range(90)]
+    rows += [(i + 200, f"{a}\n{b}\nfew {i} words left here " + " ".join([a, b] * 3), "h") for i in range(3)]
+    rows += [(300, "\n".join([a, b] * 5) + "\nnothing else", "h"), (None, f"{own(400)}\n{a}", "h"), (5, rows[5][1], "h"), (6, None, "h"), (7, "", "h"), (500, own(500) + "\n" + a, "g")]
+    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, source string, _d int").repartition(3)
+    got = op10_quality.keep_good_rows(docs)
+    want = brute_cut(rows)
+    assert got.columns == docs.columns and bag(got.drop("_d").collect()) == bag(want)
+    assert sum(t not in {r[1] for r in rows} for _, t, _ in want) > 70
+    import corpus_pipeline
+
+    stage = corpus_pipeline.quality(spark, docs.selectExpr("doc_id", "text", "'en' lang", "source", "cast(-1 as bigint) n_chars"), "")
+    assert bag(stage.select("doc_id", "text", "source", "n_chars").collect()) == bag((i, t, h, len(t)) for i, t, h in want)
+
+
 # 1
 
 
