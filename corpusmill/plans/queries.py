@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +27,25 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.concat(F.lit("vec "), "vec_id").alias("content"), meta.alias("metadata"), F.col("label").alias("collection_id"))
 
 
-def _queries(spark: SparkSession, sf_dir: str, shift: int = 0) -> dict[str, list[float]]:
-    """The stated query set: every vector whose id is divisible by 100 (shift: the one after it)."""
-    rows = _t(spark, sf_dir, "embeddings").where(F.col("vec_id") % 100 == shift).orderBy("vec_id").limit(10_001).collect()
-    return {str(r["vec_id"] - shift): r["embedding"] for r in rows}
+def _query_blocks(spark: SparkSession, sf_dir: str, shift: int = 0, size: int = 512) -> Iterator[dict[str, list[float]]]:
+    """The stated query set in blocks: every vector whose id is divisible by 100 (shift: the one after it)."""
+    rows = _t(spark, sf_dir, "embeddings").where(F.col("vec_id") % 100 == shift).select("vec_id", "embedding").orderBy("vec_id")
+    block = {}
+    for r in rows.toLocalIterator():
+        block[str(r["vec_id"] - shift)] = r["embedding"]
+        if len(block) == size:
+            yield block
+            block = {}
+    yield block
+
+
+def _searched(spark: SparkSession, sf_dir: str, search: Callable[[dict[str, list[float]]], DataFrame], shift: int = 0) -> DataFrame:
+    """The hits of all blocks of queries; a query's rows come from one block."""
+    found = None
+    for block in _query_blocks(spark, sf_dir, shift):
+        if block or found is None:
+            found = search(block) if found is None else found.unionByName(search(block))
+    return found
 
 
 def _shown(found: DataFrame, *more: str) -> DataFrame:
@@ -49,38 +66,34 @@ SELECT query_id, id, round(score, 6) AS score, rank FROM (
 
 @query(_search_sql())
 def search_topk_cosine(spark, sf_dir):
-    return _shown(vectors.search(_entries(spark, sf_dir), _queries(spark, sf_dir), K))
+    return _shown(_searched(spark, sf_dir, lambda q: vectors.search(_entries(spark, sf_dir), q, K)))
 
 
 @query(_search_sql("score >= 0.2"))
 def search_min_score(spark, sf_dir):
-    return _shown(vectors.search(_entries(spark, sf_dir), _queries(spark, sf_dir), K, min_score=0.2))
+    return _shown(_searched(spark, sf_dir, lambda q: vectors.search(_entries(spark, sf_dir), q, K, min_score=0.2)))
 
 
 @query(_search_sql("label = 3"))
 def search_metadata_filter(spark, sf_dir):
-    return _shown(vectors.search(_entries(spark, sf_dir), _queries(spark, sf_dir), K, filters={"collection_id": "3"}))
+    return _shown(_searched(spark, sf_dir, lambda q: vectors.search(_entries(spark, sf_dir), q, K, filters={"collection_id": "3"})))
 
 
 @query(_search_sql("id % 3 = 1"))
 def search_tenant_filter(spark, sf_dir):
-    return _shown(vectors.search(_entries(spark, sf_dir), _queries(spark, sf_dir), K, tenant="1"))
+    return _shown(_searched(spark, sf_dir, lambda q: vectors.search(_entries(spark, sf_dir), q, K, tenant="1")))
 
 
 @query(_search_sql(k=5))
 def search_batch_topk(spark, sf_dir):
-    found = None
-    for block in retrieve.batches(_queries(spark, sf_dir), 512):
-        part = vectors.search(_entries(spark, sf_dir), block, 5)
-        found = part if found is None else found.unionByName(part)
-    return _shown(found)
+    return _shown(_searched(spark, sf_dir, lambda q: vectors.search(_entries(spark, sf_dir), q, 5)))
 
 
 @query(f"""WITH {_SCORED}
 SELECT query_id, id, round(score, 6) AS score, rank, label::VARCHAR AS collection_id FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM s WHERE label IN (1, 3, 5)) WHERE rank <= {K}""")
 def search_cross_collection(spark, sf_dir):
-    return _shown(retrieve.cross_collection(_entries(spark, sf_dir), _queries(spark, sf_dir), ["1", "3", "5"], K), "collection_id")
+    return _shown(_searched(spark, sf_dir, lambda q: retrieve.cross_collection(_entries(spark, sf_dir), q, ["1", "3", "5"], K)), "collection_id")
 
 
 @query(f"""WITH {_SCORED},
@@ -97,7 +110,7 @@ def retrieve_rrf(spark, sf_dir):
     e = _entries(spark, sf_dir)
     lists = []
     for shift in (0, 1):
-        found = vectors.search(e, _queries(spark, sf_dir, shift), 30)
+        found = _searched(spark, sf_dir, lambda q: vectors.search(e, q, 30), shift)
         lists.append(found.select("query_id", F.concat(F.lit("vec "), "id").alias("content"), "rank"))
     return retrieve.reciprocal_rank_fusion(lists, K).select("query_id", "content", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
@@ -116,7 +129,7 @@ sel AS (
     FROM sel s JOIN sims c ON c.q = s.q WHERE s.n < {K} AND NOT list_contains(s.chosen, c.id)) GROUP BY q, n)
 SELECT sel.q AS query_id, sel.id, round(c.rel, 6) AS score, sel.n AS rank FROM sel JOIN cand c ON c.q = sel.q AND c.id = sel.id WHERE sel.n > 0""")
 def retrieve_mmr(spark, sf_dir):
-    return _shown(retrieve.mmr(_entries(spark, sf_dir), _queries(spark, sf_dir), K))
+    return _shown(_searched(spark, sf_dir, lambda q: retrieve.mmr(_entries(spark, sf_dir), q, K)))
 
 
 @query(rf"""WITH b AS (SELECT item_id::VARCHAR AS query_id, list_distinct(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM benchmark),

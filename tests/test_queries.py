@@ -16,3 +16,19 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(registry.queries()) <= set(__spark_entry__.queries())
+
+
+def test_search_answers_every_query(spark, tmp_path):
+    """More queries than one search takes."""
+    n = 10_300
+    rows = [(100 * i, [float(i % 97) + 1, float(i % 89) - 40], 3 if i % 4000 == 7 else 1 if i == 50 else 2) for i in range(n)]
+    rows += [(100 * i + 1, v, 2) for (_, v, _), i in zip(rows[:20], range(20), strict=True)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    (tmp_path / "flat").mkdir()
+    (part,) = (tmp_path / "embeddings.parquet").glob("*.parquet")
+    part.rename(tmp_path / "flat" / "embeddings.parquet")
+    flat = str(tmp_path / "flat")
+    for name in ("search_metadata_filter", "search_cross_collection"):
+        compare(spark, name, registry.queries()[name], SQL[name], flat)
+    found = registry.queries()["search_batch_topk"](spark, flat)
+    assert found.groupBy("query_id").count().where("count = 5").count() == n
