@@ -502,6 +502,13 @@ def truncate_preview(spark, sf_dir):
     return d.select("doc_id", F.when(F.octet_length("text") <= 4000, F.col("p")).alias("whole"), F.octet_length("p").alias("n_bytes"))
 
 
+@query()
+def truncate_preview_all(spark, sf_dir):
+    """All texts, also those whose cut splits a character; the whole preview counts, by its hash."""
+    p = tx.truncate_preview("text", 4000)
+    return _docs(spark, sf_dir).select("doc_id", F.octet_length(p).alias("n_bytes"), F.sha2(p, 256).alias("sha256"))
+
+
 @query("SELECT doc_id, substr(sha256(text), 1, 16) || '...' AS preview, (strlen(text) // 4)::INTEGER AS tokens FROM documents")
 def hash_preview(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", tx.hash_preview(tx.content_hash("text")).alias("preview"), tx.token_count("text").alias("tokens"))

@@ -1,5 +1,5 @@
 import pytest
-from tests.conftest import compare
+from tests.conftest import SF, compare
 
 from corpusmill.plans import registry
 
@@ -32,3 +32,22 @@ def test_search_answers_every_query(spark, tmp_path):
         compare(spark, name, registry.queries()[name], SQL[name], flat)
     found = registry.queries()["search_batch_topk"](spark, flat)
     assert found.groupBy("query_id").count().where("count = 5").count() == n
+
+
+def test_truncate_preview_of_every_text(spark, tmp_path):
+    """Cuts before, inside and after characters of two to four bytes."""
+    import hashlib
+    from collections import Counter
+
+    def cut(t):
+        raw = t.encode()
+        return t if len(raw) <= 4000 else raw[:4000].decode(errors="replace") + "..."
+
+    rows = [(k, "x" * (4000 - k) + c * 3 + tail) for c in "é€😀" for k in range(6) for tail in ("", "y" * 99)] + [(7, ""), (8, "é" * 2000), (9, "é" * 2001), (10, None), (None, "x😀" * 3000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows += [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = []
+    for sf_dir in (str(tmp_path), SF):
+        got += [tuple(r) for r in registry.queries()["truncate_preview_all"](spark, sf_dir).collect()]
+    want = [(i, None, None) if t is None else (i, len(cut(t).encode()), hashlib.sha256(cut(t).encode()).hexdigest()) for i, t in rows]
+    assert Counter(got) == Counter(want)
