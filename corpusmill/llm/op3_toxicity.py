@@ -2,8 +2,9 @@
 
 The lexicon is learned from labelled documents: whole words, and beginnings of words
 (stems), whose documents are labelled toxic far more often than others. Its trie is
-intersected with Levenshtein automata of one edit for whole words of five or more bytes;
-the product is determinised once into a table of transitions. All words of a block run
+intersected with Levenshtein automata of one edit for terms of five or more bytes (a stem
+takes an edit before its last byte, then any ending), unless a term's misspellings are
+words of clean text (``_safe_to_misspell``); the product is determinised once into a table of transitions. All words of a block run
 through the table in step, one byte at a time, so a misspelled term is found as cheaply as
 an exact one. Edits are counted in bytes.
 
@@ -74,7 +75,7 @@ class Automaton:
     def __init__(self, terms: list[tuple[bytes, float, bool, bool]]):
         children: list[dict[int, int]] = [{}]
         word, stem, fuzzy = [0.0], [0.0], [False]
-        misspelled = set()
+        near_word, near_stem = {}, {}
         for text, weight, is_stem, may in terms:
             node = 0
             fuzzy[0] |= may
@@ -89,7 +90,8 @@ class Automaton:
                 fuzzy[node] |= may
             (stem if is_stem else word)[node] = max(weight, (stem if is_stem else word)[node])
             if may:
-                misspelled.add(node)
+                into = near_stem if is_stem else near_word
+                into[node] = max(weight, into.get(node, 0.0))
         alphabet = sorted({b for c in children for b in c})
         self.classes = np.zeros(256, np.int32)
         for i, b in enumerate(alphabet):
@@ -99,13 +101,18 @@ class Automaton:
             todo = [s for s in states if s[1] == 0 and fuzzy[s[0]]]
             for node, _ in todo:  # a byte of the term is missing from the word
                 states |= {(c, 1) for c in children[node].values() if fuzzy[c]}
-            return frozenset(s for s in states if s[1] == 0 or (s[0], 0) not in states)
+            return frozenset(s for s in states if s[1] != 1 or (s[0], 0) not in states)
 
         def step(states: frozenset, b: int) -> frozenset:
             out = set()
             for node, e in states:
+                if e == 2:  # a misspelled stem holds whatever follows, too
+                    out.add((node, 2))
+                    continue
                 if (c := children[node].get(b)) is not None and (e == 0 or fuzzy[c]):
                     out.add((c, e))
+                    if e == 1 and c in near_stem:
+                        out.add((c, 2))
                 if stem[node] and e == 0:
                     out.add((node, 0))  # a stem holds whatever follows
                 if e == 0 and fuzzy[node]:
@@ -128,7 +135,7 @@ class Automaton:
             at += 1
         self.table = np.array(rows, np.int32)
         self.exact = np.array([max([max(word[n], stem[n]) for n, e in s if e == 0], default=0.0) for s in order], np.float32)
-        self.near = np.array([max([word[n] for n, e in s if e == 1 and n in misspelled], default=0.0) for s in order], np.float32)
+        self.near = np.array([max([(near_word if e == 1 else near_stem).get(n, 0.0) for n, e in s if e], default=0.0) for s in order], np.float32)
 
     def run(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(words that hit, exact weight, near weight)."""
@@ -255,8 +262,8 @@ def _lexicon(rows: list, max_terms: int, shortest: int = 5) -> list[tuple[bytes,
     """rows (term, stem, docs, odds), best first: drop what a longer or a shorter term explains.
 
     A stem that one longer term accounts for gives way to it, so a word is learned as a
-    word; a longer term that is no stronger than its stem is left out. Words of ``shortest``
-    bytes or more with strong evidence may be misspelled, unless a stem catches their kind.
+    word; a longer term that is no stronger than its stem is left out. Terms of ``shortest``
+    bytes or more may be misspelled.
     """
     docs = {(r["term"], r["stem"]): r["docs"] for r in rows}
     longest: dict = {}
@@ -272,10 +279,36 @@ def _lexicon(rows: list, max_terms: int, shortest: int = 5) -> list[tuple[bytes,
         shorter = [stems[r["term"][:k]] for k in range(3, len(r["term"]) + (0 if r["stem"] else 1)) if r["term"][:k] in stems]
         if not shorter or r["odds"] > max(shorter) + 0.7:
             text = r["term"].encode()
-            chosen.append((text, float(r["odds"]), bool(r["stem"]), not r["stem"] and not shorter and len(text) >= shortest and r["odds"] >= 3))
+            chosen.append((text, float(r["odds"]), bool(r["stem"]), len(text) >= shortest))
     return chosen[:max_terms]
 
 
+def _misspelt(terms: list[tuple[bytes, float, bool, bool]]):
+    """Words with their counts to (term's number, counts) of the words that hit it by an edit and no term exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        exact = Automaton([(t, w, s, False) for t, w, s, _ in terms])
+        near = [(i, Automaton([t])) for i, t in enumerate(terms) if t[3]]
+        for batch in batches:
+            data, offsets = tk.string_bytes(batch.column(0))
+            pos, neg = (batch.column(k).to_numpy() for k in (1, 2))
+            plain = np.ones(len(pos), bool)
+            plain[exact.run(data, offsets[:-1], offsets[1:])[0]] = False
+            hits = [(i, h[plain[h]]) for i, one in near for h in [one.run(data, offsets[:-1], offsets[1:])[0]]]
+            rows = [(i, int(pos[h].sum()), int(neg[h].sum())) for i, h in hits if len(h)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["term", "pos", "neg"])
+
+    return run
+
+
+def _safe_to_misspell(terms: list[tuple[bytes, float, bool, bool]], words: DataFrame, n_pos: int, n_neg: int, rate: float = 0.001) -> list[tuple[bytes, float, bool, bool]]:
+    """Terms whose misspellings are in clean text more than ``rate`` times a document, and no sign of toxicity, match exactly only."""
+    found = words.mapInArrow(_misspelt(terms), "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()
+    odds = lambda r: math.log((r["pos"] + 0.5) / (n_pos + 1)) - math.log((r["neg"] + 0.5) / (n_neg + 1))
+    bad = {r["term"] for r in found if r["neg"] > rate * n_neg and odds(r) < 1.8}
+    return [(t, w, s, may and i not in bad) for i, (t, w, s, may) in enumerate(terms)]
+
+
 def _featurise(automaton: Automaton):
     kind = pa.list_(pa.float64())
 
@@ -335,14 +368,14 @@ def train(
         if not n_pos or not n_neg or not counts.get((False, 1)) or not counts.get((False, 0)):
             return Model(None, None, [])
         terms = rows.where("lexical").select("text", "toxic").mapInArrow(_candidates, "term string, stem boolean, docs long, pos long, neg long")
-        terms = terms.groupBy("term", "stem").agg(F.sum("docs").alias("docs"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        terms = every = terms.groupBy("term", "stem").agg(F.sum("docs").alias("docs"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         # log-odds of occurrences per document, less 1.5 standard errors
         odds = F.log((F.col("pos") + 0.5) / (n_pos + 1.0)) - F.log((F.col("neg") + 0.5) / (n_neg + 1.0))
         odds = odds - 1.5 * F.sqrt(1 / (F.col("docs") + 0.5) + 1 / (F.col("neg") + 0.5))
         least = max(3, math.ceil(0.01 * n_pos))
         terms = terms.where(F.col("docs") >= least).withColumn("odds", odds).where(F.col("odds") >= 1.8)
         best = terms.orderBy((F.col("odds") * F.sqrt("docs")).desc(), "term", "stem").limit(8 * max_terms).collect()
-        chosen = _lexicon(best, max_terms)
+        chosen = _safe_to_misspell(_lexicon(best, max_terms), every.where("not stem").select("term", "pos", "neg"), n_pos, n_neg)
         automaton = Automaton(chosen)
         sample = rows.where("not lexical").select("text", "toxic").mapInArrow(_featurise(automaton), "toxic int, x array<double>").collect()
         x, y = np.array([r["x"] for r in sample]), np.array([r["toxic"] for r in sample], float)

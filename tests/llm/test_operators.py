@@ -270,6 +270,27 @@ def test_automaton_is_the_edit_distance():
                 assert i not in got, w
 
 
+def test_misspelled_stems(spark):
+    """An edit before a stem's last byte, then any ending; not where clean words look like it."""
+    import numpy as np
+
+    auto = op3_toxicity.Automaton([(b"idiot", 2.0, True, True), (b"mixed", 3.0, False, True), (b"mixe", 1.0, True, False)])
+    words = "idiot idiots 1diot idjotic idot idiiotisch iidiot idiom idio idioxt idiox mixxed mxe mixe".split()
+    ends = np.cumsum([len(w) for w in words])
+    hit, exact, near = auto.run(np.frombuffer("".join(words).encode(), np.uint8), np.append(0, ends[:-1]), ends)
+    got = {words[h]: (float(x), float(y)) for h, x, y in zip(hit, exact, near, strict=True)}
+    assert {w for w, (x, y) in got.items() if not x and y == 2} == {"1diot", "idjotic", "idot", "idiiotisch", "iidiot", "idioxt"}
+    assert got["idiot"][0] == got["idiots"][0] == 2 and got["mixxed"] == (0, 3) and not {"idiom", "idio", "idiox", "mxe"} & set(got)
+    rows, labels = toxic_rows()
+    for k, word in enumerate(("blorgish", "snarfle", "grumpling")):
+        rows = [(i, " ".join(f"{word}{'abcdefg'[(i + j) % 7]}" if w == word else w for j, w in enumerate(t.split()))) for i, t in rows]
+    # words of clean text that are one edit from a stem
+    rows = [(i, t + " grampling" * (i % 6 > 2)) for i, t in rows]
+    docs = spark.createDataFrame([*rows, (9001, "tali bl0rgishx reno sn4rflez"), (9002, "tali reno"), (9003, "tali grampling")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in op3_toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert got[9001] > 0.3 > got[9002] == got[9003]
+
+
 # 7
 
 
