@@ -14,7 +14,7 @@ against all documents, so the result doesn't depend on the bound.
 
 Words are compared without ASCII case and without punctuation at their end. Defined
 results: items of fewer than ``shortest`` words are never matched; items shorter than the
-shortest mask are looked up as a whole. Null or empty texts match nothing. Repeated rows
+shortest mask are looked up as a whole, items of 7 to 10 words also with any one word substituted. Null or empty texts match nothing. Repeated rows
 give equal rows; null ids are kept as null. Only the named columns are read.
 """
 
@@ -33,6 +33,8 @@ from .shared import small_batches
 #: Whatever two of thirteen words are substituted, one of the last three masks finds a place
 #: where it sees neither (checked by a test for all pairs).
 MASKS = ("11111111", "11011111", "11110000111", "11100011011")
+#: Items of 7 to 10 words may have one substitution: every place is the gap of one mask.
+ONE_GAP = tuple("1" * i + "0" + "1" * (n - i - 1) for n in range(7, 11) for i in range(n))
 SCHEMA = "doc_id long, item_id long, row_key long, doc_start long, item_start long, n_words long, n_matched long"
 
 
@@ -61,13 +63,13 @@ class SeedIndex:
         self.h, self.first = word_hashes(block)
         self.ids = ids
         sizes = np.diff(self.first)
-        shapes = list(MASKS) + ["1" * n for n in range(shortest, min(map(len, MASKS)))]
+        shapes = list(MASKS) + ["1" * n for n in range(shortest, min(map(len, MASKS)))] + list(ONE_GAP)
         self.c = tk.constants(701, max(map(len, shapes)))
         self.tables = []
         for mask in shapes:
             at, item = tk.window_starts(self.first, len(mask))
             if mask not in MASKS:  # only items of just this length
-                keep = sizes[item] == len(mask)
+                keep = (sizes[item] == len(mask)) & (len(mask) >= shortest)
                 at, item = at[keep], item[keep]
             if len(at) == 0:
                 continue

@@ -151,6 +151,21 @@ def test_masks_find_two_substitutions(spark, gap):
     assert not missed, missed
 
 
+def test_short_items_find_one_substitution(spark):
+    """Any one substituted word in seven to twelve; two are too many, and so is one in six."""
+    items, rows, want = [], [], set()
+    for n in range(5, 13):
+        w = [f"n{n}w{i}" for i in range(n)]
+        items.append((n, " ".join(w)))
+        for i in range(n):
+            one = w[:i] + ["other"] + w[i + 1 :]
+            rows += [(n * 100 + i, "start " + " ".join(one) + " end"), (n * 100 + 50 + i, " ".join(one[:-1] + ["more"] if i < n - 1 else ["more", *one[1:]]))]
+            if n > 6:
+                want.add((n * 100 + i, n))
+    got = op6_decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+
+
 # 2
 
 
