@@ -12,7 +12,8 @@ pieces between line breaks that stay, joined by line breaks again.
 
 Defined results: null or empty texts have no words and fail the base rules; a null host is
 a host of its own; a null id comes after all others; repeated rows count as one document
-and get equal results; only the named columns are read.
+and get equal results; only the named columns are read; an empty table gives an empty
+result. Texts of any length are read whole. Lines are told apart by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -75,8 +76,7 @@ def _line_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, begin: np
     """Hash of each normalised line, and its number of words."""
     plain = tk.hash_words(tk.LINE_NORMAL[data], starts, ends, "b")
     lo, hi = np.searchsorted(starts, begin), np.searchsorted(starts, end)
-    norm = tk.hash_segments(plain, lo, hi - lo, 0xD6E8FEB86659FD93)
-    return tk.mix(norm + (hi - lo).astype(tk.U64)).view(np.int64), (hi - lo).astype(np.int32)
+    return tk.hash_sequence(plain, lo, hi - lo, 131).view(np.int64), (hi - lo).astype(np.int32)
 
 
 def statistics(block: tk.Block, window: int = 8) -> dict[str, np.ndarray]:
@@ -99,14 +99,7 @@ def statistics(block: tk.Block, window: int = 8) -> dict[str, np.ndarray]:
         out["n_repeat_words"] = np.zeros(n, np.int64)
     begin, end, line_doc = _lines(block, starts)
     if len(begin):
-        # raw lines: separators between lines must not count, so line breaks hash to 0
-        raw = tk.RAW[data]
-        raw[data == 10] = 0
-        inside = np.zeros(len(data) + 1, np.int8)
-        np.add.at(inside, begin, 1)
-        np.add.at(inside, end, -1)
-        raw[np.cumsum(inside[:-1]) == 0] = 0
-        key = tk.mix(tk.hash_segments(raw, begin, end - begin, 0x9FB21C651E98DF25) + (end - begin).astype(tk.U64) * tk.U64(0x9E3779B97F4A7C15))
+        key = tk.hash_bytes(data, begin, end, 59)
         again = _repeats(key ^ own[line_doc])
         out["n_dup_lines"] = np.bincount(line_doc[again], minlength=n).astype(np.int64)
         out["line"], out["line_words"] = _line_keys(data, starts, ends, begin, end)
@@ -138,6 +131,19 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFra
     )
 
 
+#: shares into which the rows of one line are dealt where they meet what was counted for it
+SALTS = 16
+
+
+def _dealt(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("salt", F.pmod("row_key", F.lit(SALTS)).cast("int"))
+
+
+def _to_all(counted: DataFrame) -> DataFrame:
+    """The small side, once for each share: a line that a third of all documents hold is no one task's."""
+    return counted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def line_decisions(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20, max_share: float = 0.001
 ) -> tuple[DataFrame, DataFrame]:
@@ -154,14 +160,14 @@ def line_decisions(
     )
     # only lines that many rows hold need the exact count of distinct documents
     often = lines.groupBy("host", "line").agg(F.count("*").alias("rows")).where(f"rows > {min_docs}").select("host", "line")
-    hits = materialize(lines.join(often, ["host", "line"]), "frequent")
+    hits = materialize(_dealt(lines).join(_to_all(often), ["host", "line", "salt"]), "frequent")
     over = (
         hits.groupBy("host", "line", "row_key").agg(F.min(F.coalesce("doc_id", big)).alias("first_id"))
         .groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.min("first_id").alias("keeper"))
         .join(per_host, "host")
         .where(F.col("n_docs") > F.greatest(F.lit(float(min_docs)), F.col("host_docs") * max_share))
     )
-    removed = hits.join(over.select("host", "line", "keeper"), ["host", "line"]).where(F.coalesce("doc_id", big) != F.col("keeper"))
+    removed = hits.join(_to_all(over.select("host", "line", "keeper")), ["host", "line", "salt"]).where(F.coalesce("doc_id", big) != F.col("keeper"))
     return base, removed.select("doc_id", "row_key", "line", "words")
 
 

@@ -52,19 +52,6 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(HELD_OUT[0])) == HELD_OUT[1], F.lit(False))
 
 
-def stripped(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words without ASCII punctuation at their edges."""
-    silent = tk._PUNCT
-    starts, ends = starts.copy(), ends.copy()
-    live = np.arange(len(starts))
-    while len(live := live[(starts[live] < ends[live]) & silent[data[np.minimum(starts[live], len(data) - 1)]]]):
-        starts[live] += 1
-    live = np.arange(len(starts))
-    while len(live := live[(starts[live] < ends[live]) & silent[data[np.maximum(ends[live] - 1, 0)]]]):
-        ends[live] -= 1
-    return starts, ends
-
-
 class Automaton:
     """Deterministic product of a lexicon's trie with Levenshtein automata of one edit.
 
@@ -181,7 +168,7 @@ def features(block: tk.Block, automaton: Automaton) -> np.ndarray:
     x = np.zeros((n, FEATURES))
     data = tk.LOWER[block.data]
     starts, ends, first = tk.words(block)
-    bare_s, bare_e = stripped(data, starts, ends)
+    bare_s, bare_e = tk.stripped(data, starts, ends)
     hit, exact, near = automaton.run(data, bare_s, bare_e)
     if len(hit) == 0:
         return x
@@ -235,7 +222,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(starts) == 0:
                 continue
             raw = block.data.tobytes()
-            s, e = stripped(block.data, starts, ends)
+            s, e = tk.stripped(block.data, starts, ends)
             found: dict = {}
             for a, b in zip(s.tolist(), e.tolist(), strict=True):
                 if 3 <= b - a <= 40:

@@ -54,31 +54,48 @@ _PUNCT = np.zeros(256, dtype=bool)
 _PUNCT[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
 
-def _table(seed: int, silent: np.ndarray | None = None) -> np.ndarray:
-    t = constants(seed, 256)
-    t[IS_SPACE] = 0
-    if silent is not None:
-        t[silent] = 0
-    return t
+SEEDS = {"a": 11, "b": 23, "word": 37}
+#: keeps the first 0..8 bytes of a little-endian lane
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=U64)
 
 
-TABLES = {"a": _table(11), "b": _table(23), "word": _table(37, _PUNCT)}
-RAW = constants(53, 256)
-_BASES = {"a": 0x5851F42D4C957F2D, "b": 0xDA942042E4DD58B5, "word": 0xAF251AF3B0F025B5}
-_powers: dict[int, np.ndarray] = {}
+def _keys(places: np.ndarray, seed: int) -> np.ndarray:
+    """One pseudo-random key for each place."""
+    return mix(places.astype(U64) * U64(_GOLD) + U64(_mix_int(seed * _GOLD + 1)))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n-1), modulo 2 ** 64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1024)
-        have = np.full(size, base, dtype=U64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        if size <= 1 << 20:
-            _powers[base] = have
-    return have[:n]
+def hash_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hash of data[start:end].
+
+    The bytes are read in lanes of eight; every lane is added to the key of its place and
+    mixed before the lanes are summed, so no arithmetic pattern in a text cancels out (as
+    it does in a polynomial modulo 2 ** 64). Strings of up to eight bytes never collide.
+    """
+    if len(starts) == 0:
+        return np.zeros(0, U64)
+    lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+    lengths = ends - starts
+    h = mix((lanes[starts] & _KEEP[np.minimum(lengths, 8)]) + _keys(np.zeros(1, np.int64), seed))
+    long = np.flatnonzero(lengths > 8)
+    if len(long):
+        more = (lengths[long] - 1) >> 3
+        total = np.cumsum(more)
+        place = np.arange(1, int(total[-1]) + 1) - np.repeat(total - more, more)
+        left = np.repeat(lengths[long], more) - 8 * place
+        lane = lanes[np.repeat(starts[long], more) + 8 * place] & _KEEP[np.minimum(left, 8)]
+        table = _keys(np.arange(int(more.max()) + 1), seed)
+        h[long] += np.add.reduceat(mix(lane + table[place]), total - more)
+    return mix(h + lengths.astype(U64) * U64(_GOLD))
+
+
+def hash_sequence(values: np.ndarray, starts: np.ndarray, counts: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hash of the values[start:start+count] of sequences that follow each other without gaps."""
+    if len(starts) == 0:
+        return np.zeros(0, U64)
+    begin = int(starts[0])
+    place = np.arange(begin, begin + int(counts.sum())) - np.repeat(starts, counts)
+    table = _keys(np.arange(int(counts.max())), seed)
+    return mix(np.add.reduceat(mix(values[begin : begin + len(place)] + table[place]), starts - begin) + counts.astype(U64))
 
 
 class Block:
@@ -137,27 +154,23 @@ def words(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hash_segments(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
-    """Polynomial hash of values[start:start+length]; what lies between segments must be 0."""
-    if len(starts) == 0:
-        return np.zeros(0, U64)
-    first = int(starts[0])
-    tail = values[first:]
-    span = np.diff(np.append(starts, len(values)))
-    place = np.arange(first, len(values), dtype=np.int64)
-    place -= np.repeat(starts, span)
-    longest = int(lengths.max())
-    np.minimum(place, max(longest - 1, 0), out=place)
-    return np.add.reduceat(tail * powers(base, max(longest, 1))[place], starts - first)
+def stripped(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words without ASCII punctuation at their edges."""
+    starts, ends = starts.copy(), ends.copy()
+    live = np.arange(len(starts))
+    while len(live := live[(starts[live] < ends[live]) & _PUNCT[data[np.minimum(starts[live], len(data) - 1)]]]):
+        starts[live] += 1
+    live = np.arange(len(starts))
+    while len(live := live[(starts[live] < ends[live]) & _PUNCT[data[np.maximum(ends[live] - 1, 0)]]]):
+        ends[live] -= 1
+    return starts, ends
 
 
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: str = "a") -> np.ndarray:
-    """64-bit hash of each word. Kind "word" ignores ASCII punctuation at a word's end."""
-    lengths = ends - starts
-    h = hash_segments(TABLES[kind][data], starts, lengths, _BASES[kind])
-    if kind != "word":
-        h += lengths.astype(U64) * U64(_GOLD)
-    return mix(h)
+    """64-bit hash of each word. Kinds "a" and "b" are independent; "word" ignores ASCII punctuation at a word's edges."""
+    if kind == "word":
+        starts, ends = stripped(data, starts, ends)
+    return hash_bytes(data, starts, ends, SEEDS[kind])
 
 
 def roll(hashes: np.ndarray, size: int, seed: int) -> np.ndarray:
