@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import tempfile
 import uuid
 
@@ -10,12 +12,22 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that the session names; one of our own only where none is set."""
+    """The shared folder that the session names.
+
+    Where none is set, a folder of this process, and only with a local master: on a cluster
+    executors wouldn't see each other's files there.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _local_root()
+
+
+@functools.cache
+def _local_root() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="corpusmill-")
 
 
 def small_batches(spark: SparkSession, size: str = "8m") -> None:
@@ -29,11 +41,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write a table into the shared folder and read it again.
 
     The written files survive the loss of executors, and later steps read only the
-    columns that they need.
+    columns that they need. Results are lazy and read them later, so a table goes by
+    ``discard`` where its reader has run, and in any case when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/corpusmill-{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
     out._corpusmill_path = path
     return out
@@ -44,7 +59,7 @@ def discard(*tables: DataFrame | None) -> None:
     for df in tables:
         if path := getattr(df, "_corpusmill_path", None):
             jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            place = jvm.org.apache.hadoop.fs.Path(path)
+            place = jvm.org.apache.hadoop.fs.Path(path).getParent()
             place.getFileSystem(conf).delete(place, True)
 
 
@@ -53,18 +68,18 @@ def row_key(*columns: str) -> F.Column:
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000null")) for c in columns])
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u, v): rows (node, component), component the smallest node.
 
     Alternating large-star and small-star contractions. Every step is a partial
     aggregation and a join on the node, so a node with very many neighbours is neither
     collected nor kept in one task (AQE splits its side of the join). Isolated nodes
-    have no row.
+    have no row. The rounds go up with the logarithm of the nodes; none limits them.
     """
     e = materialize(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges"
     )
-    for _ in range(rounds):
+    for _ in itertools.count():
         # done when every larger node has one edge and no node is on both sides: stars
         sides = e.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("low")).unionByName(e.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("low")))
         sides = sides.groupBy("n").agg(F.sum("up").alias("up"), F.max("low").alias("low"))
@@ -83,4 +98,4 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         )
         before, e = e, materialize(small, "edges")
         discard(before)
-    raise RuntimeError("components did not settle")
+    raise AssertionError
