@@ -12,8 +12,11 @@ Map side: within a block of documents windows are sorted first. A window that a
 document of the same block holds is flagged at once and doesn't travel, so a passage that
 very many documents share reaches its bucket once per block, not once per document. Packed
 strings of one block and bucket are compressed together, their numbers column by column. Buckets are in proportion to the
-input. Windows are equal when two independent 64-bit hashes of their words (besides the
-minimiser's) are: 128 bits.
+input. Windows are equal when two hashes of their words are (independent keys, 64 bits each).
+
+Hot buckets: a run that is frequent in a sample of the documents ranks behind all others, so
+it is a minimiser only where a window holds nothing else; no common phrase gathers the
+windows of the whole corpus. The sample decides where windows travel, never which are equal.
 
 Defined results: windows are judged on the input, not on what is left. Null and empty texts
 have no words. A null id counts as larger than any other. Rows with one id don't remove
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .shared import small_batches
+from .shared import discard, materialize, small_batches
 
 NULL_ID = (1 << 63) - 1
 #: what stands before the packed strings, column by column: ids as differences
@@ -58,9 +61,51 @@ def _split(body: bytes, n: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
     return head, np.frombuffer(body, np.uint8, offset=at)
 
 
-def _minimisers(first: np.ndarray, h: np.ndarray, at: np.ndarray, window: int, run: int) -> np.ndarray:
-    """Smallest hash of the runs inside each window that starts at ``at``."""
-    grams = tk.roll(h, run, 811)
+_RUNS = 811
+
+
+def _common_runs(rows: DataFrame, run: int, sample: int, share: float) -> np.ndarray:
+    """Sorted hashes of the runs that make up more than ``share`` of the words of one document in ``sample``: 1 / share at most."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in tk.blocks(batch.column(0)):
+                starts, ends, _ = tk.words(block)
+                found, n = np.unique(tk.roll(tk.hash_words(block.data, starts, ends, "a"), run, _RUNS), return_counts=True)
+                again = n > 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.append(found[again].view(np.int64), 0)), pa.array(np.append(n[again], len(starts)).astype(np.int64)), pa.array(np.append(again[again], False))],
+                    names=["run", "n", "is_run"],
+                )
+
+    counted = rows.where(F.pmod(F.xxhash64("row_key"), F.lit(sample)) == 0).select("text").mapInArrow(count, "run long, n long, is_run boolean")
+    counted = materialize(counted.groupBy("run", "is_run").agg(F.sum("n").alias("n")).where("n > 20 or not is_run"), "runs")
+    words = counted.where("not is_run").agg(F.sum("n")).first()[0] or 0
+    often = counted.where(F.col("is_run") & (F.col("n") > F.lit(words * share))).select("run").collect()
+    discard(counted)
+    return np.sort(np.array([r["run"] for r in often], np.int64).view(tk.U64))
+
+
+class _Ranking:
+    """Order of runs for the choice of minimisers: by hash, common ones last."""
+
+    def __init__(self, common: np.ndarray):
+        self.common = common
+        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe[(common & tk.U64(0xFFFF)).astype(np.int64)] = True
+
+    def __call__(self, runs: np.ndarray) -> np.ndarray:
+        rank = runs >> tk.U64(1)
+        if len(self.common):
+            asked = np.flatnonzero(self.maybe[(runs & tk.U64(0xFFFF)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.common, runs[asked]), len(self.common) - 1)
+            rank[asked[self.common[at] == runs[asked]]] |= tk.U64(1 << 63)
+        return rank
+
+
+def _minimisers(h: np.ndarray, at: np.ndarray, window: int, run: int, ranking: _Ranking) -> np.ndarray:
+    """First-ranked of the runs inside each window that starts at ``at``."""
+    grams = ranking(tk.roll(h, run, _RUNS))
     out = grams[at].copy()
     for j in range(1, window - run + 1):
         np.minimum(out, grams[at + j], out=out)
@@ -99,7 +144,7 @@ def _ranges(at: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], cut]), np.concatenate([cut, [len(at)]])
 
 
-def _pack(buckets: int, window: int, run: int):
+def _pack(buckets: int, window: int, run: int, ranking: _Ranking):
     def batch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec()
         for batch in batches:
@@ -124,10 +169,11 @@ def _pack(buckets: int, window: int, run: int):
                     cuts = np.flatnonzero(np.diff(owner)) + 1
                     for part in np.split(np.arange(len(lo)), cuts):
                         d = owner[part[0]]
-                        out.append((int(keys[d] % buckets), 0, int(ids[d]), int(keys[d]), flags[part].tobytes()))
+                        # flags only pass through: any bucket will do, but not one for all copies of a text
+                        out.append(((int(ids[d]) * 2654435761 + int(keys[d])) % buckets, 0, int(ids[d]), int(keys[d]), flags[part].tobytes()))
                 at, doc = at[~local], doc[~local]
                 if len(at):
-                    m = _minimisers(first, h, at, window, run)
+                    m = _minimisers(h, at, window, run, ranking)
                     cut = np.flatnonzero((m[1:] != m[:-1]) | (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1])) + 1
                     lo, hi = np.concatenate([[0], cut]), np.concatenate([cut, [len(at)]])
                     bucket = ((m[lo] >> tk.U64(16)) % tk.U64(buckets)).astype(np.int64)
@@ -302,8 +348,9 @@ def _bucket_count(docs: DataFrame, each: int = 2 << 20, unknown: int = 1024) ->
 
 
 def deduplicate_substrings(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, run: int = 3, buckets: int | None = None, bucket_bytes: int = 32 << 20, keep_text: bool = True
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, run: int = 3, buckets: int | None = None, bucket_bytes: int = 32 << 20, keep_text: bool = True,
+    sample: int = 32, share: float = 1 / 20_000,
+) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 (and kept_text)."""
     small_batches(docs.sparkSession)
     if buckets is None:
@@ -311,7 +358,8 @@ def deduplicate_substrings(
     # 32 bits tell the texts of one id apart, where an id repeats
     key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), key.alias("row_key"))
-    moved = rows.mapInArrow(_pack(buckets, window, run), MOVED)
+    ranking = _Ranking(_common_runs(rows, run, sample, share))
+    moved = rows.mapInArrow(_pack(buckets, window, run, ranking), MOVED)
     flags = moved.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets(window, bucket_bytes), "id long, row_key long, flags binary")
     null = lambda t: F.lit(None).cast(t)
     both = flags.select("id", "row_key", F.lit(0).alias("kind"), null("string").alias("text"), "flags", null("long").alias("doc_id")).unionByName(
