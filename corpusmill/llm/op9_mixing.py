@@ -2,25 +2,29 @@
 
 Each source gets a target number of words; every document of a source is to be copied
 target / source_size times. The whole part of that number is certain; the fractional
-parts are rounded by the pivotal method on word mass: two documents meet, mass moves from
-one to the other until one of them holds none or all of its size, in a random direction
-whose odds keep every document's expectation, and the one left fractional meets the next.
-A meeting never changes the mass of its pair, so a source's taken words differ from its
-target by the rounding of one last document.
+parts are rounded by the pivotal method on word mass: a document meets the pool of the
+smaller ones of its block, and mass moves between the two, in a random direction whose odds
+keep every document's expectation, until the document holds none or all of its size (or the
+pool does, and the document stays fractional). What the pool takes or gives is spread in
+proportion to what its documents hold or lack, so their masses are a linear function of
+what they were: one fold over the block. Then the next smaller document meets its pool.
+A meeting never changes the total mass.
 
 The meetings are arranged as a tree: documents are dealt by a hash into blocks of about
 ``BLOCK`` of one source, each block leaves one fractional document, and the left-over ones
 of BLOCK blocks meet on the next level. A block is the largest group that any task
-collects, however large its source is. Large documents meet first, so that the last
-fractional ones are small. The last document of a source is rounded to the nearer side, and
-one document of the last block is turned where that brings the source nearer its target.
+collects, however large its source is. Large documents meet first, so what is left in the
+end is a small one as a rule. It is rounded at random by its fraction: a source's taken words
+differ from its target by less than the size of that one document, and every document is
+taken as often as its fraction says, without exception.
 
 Random directions are hashes of the seed and the ids that meet, so reruns agree.
 
 Defined results: a null text has size 0; documents of size 0 take nothing; a null source is
 a source of its own, last in order; rows that repeat id, source and size are told apart by
 a running number and rounded one by one; null ids are ids like others. Empty input gives
-an empty result. Only the named columns are read.
+an empty result. Only the named columns are read; ``mixed_rows`` keeps all columns of its
+input and adds its own as one struct, ``mix``, or as columns where no name clashes.
 """
 
 from __future__ import annotations
@@ -69,50 +73,64 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     return t.select("source", "source_size", target.alias("target"))
 
 
-def _meet(items: Column, seed: int) -> Column:
-    """Fold a sorted block: struct(cur: the fractional item left, out: (doc_id, n, size, copy))."""
+def _meet(items: Column, source: Column, seed: int) -> Column:
+    """Fold a block, largest first: struct(cur: the fractional item left, out: (doc_id, n, size, copy)).
 
-    def step(acc: Column, x: Column) -> Column:
-        def duel(d: Column) -> Column:
-            cur = acc["cur"]
-            gain, loss = d["gain"], d["loss"]
-            up = d["u"] < loss / (gain + loss)
-            cur_full, x_full = up & (gain == cur["size"] - cur["mass"]), ~up & (loss == x["size"] - x["mass"])
-            cur_done = cur_full | (~up & ~x_full)
-            done = F.when(cur_done, F.struct(cur["doc_id"], cur["n"], cur["size"])).otherwise(F.struct(x["doc_id"], x["n"], x["size"]))
-            finished = F.struct(done["doc_id"].alias("doc_id"), done["n"].alias("n"), done["size"].alias("size"), (cur_full | x_full).cast("int").alias("copy"))
-            mass = F.when(cur_done, F.when(up, x["mass"] - gain).otherwise(x["mass"] + loss)).otherwise(F.when(up, cur["mass"] + gain).otherwise(cur["mass"] - loss))
-            stays = lambda f: F.when(cur_done, x[f]).otherwise(cur[f]).alias(f)
-            return F.struct(F.struct(stays("size"), stays("doc_id"), stays("n"), mass.alias("mass")).alias("cur"), F.concat(acc["out"], F.array(finished)).alias("out"))
-
-        cur = acc["cur"]
-        odds = F.pmod(F.xxhash64(F.lit(seed), cur["doc_id"], cur["n"], x["doc_id"], x["n"]), F.lit(1 << 52)).cast("double") / float(1 << 52)
-        terms = F.struct(
-            F.least(cur["size"] - cur["mass"], x["mass"]).alias("gain"), F.least(x["size"] - x["mass"], cur["mass"]).alias("loss"), odds.alias("u")
-        )
-        return F.when(cur.isNull(), F.struct(x.alias("cur"), acc["out"].alias("out"))).otherwise(_let(terms, duel))
-
-    start = F.struct(F.lit(None).cast(ITEM).alias("cur"), F.array().cast("array<struct<doc_id:bigint,n:int,size:bigint,copy:int>>").alias("out"))
-    return F.aggregate(items, start, step)
-
-
-def _settle(x: Column) -> Column:
-    """Round the last item of a source; turn the one other item that brings the sum nearest."""
-
-    def best(t: Column) -> Column:
-        near = F.array_min(F.transform(t["out"], lambda o: F.struct(F.abs(t["e"] + F.when(o["copy"] == 1, -o["size"]).otherwise(o["size"])).alias("d"), o["size"], o["doc_id"], o["n"])))
-        return F.transform(F.array(F.struct(t["out"].alias("out"), t["e"].alias("e"), near.alias("b"))), turned)[0]
-
-    def turned(t: Column) -> Column:
-        b = t["b"]
-        hit = lambda o: (b["d"] < F.abs(t["e"])) & (o["size"] == b["size"]) & o["doc_id"].eqNullSafe(b["doc_id"]) & (o["n"] == b["n"])
-        return F.transform(t["out"], lambda o: F.struct(o["doc_id"], o["n"], o["size"], F.when(hit(o), 1 - o["copy"]).otherwise(o["copy"]).alias("copy")))
+    The pool of all items not met yet has size ``z`` and mass ``m``; the mass of one of them is
+    ``a`` times its first mass plus ``b`` times its size.
+    """
 
+    def step(acc: Column, x: Column) -> Column:
+        def met(d: Column) -> Column:
+            # d: size and mass of the item, z and m of the pool without it, gain, loss, odds u
+            up = d["u"] * (d["gain"] + d["loss"]) < d["loss"]
+            item_done = F.when(up, d["gain"] == d["size"] - d["mass"]).otherwise(d["loss"] == d["mass"])
+            moved = F.when(up, d["gain"]).otherwise(-d["loss"])
+            m = d["m"] - moved
+            shrink = F.when(d["m"] > 0, m / d["m"]).otherwise(F.lit(0.0))
+            fill = F.when(d["z"] > d["m"], (d["z"] - m) / (d["z"] - d["m"])).otherwise(F.lit(0.0))
+            # a pool that gave or took all is exactly empty or full
+            empty, full = ~item_done & up, ~item_done & ~up
+            a = F.when(empty | full, F.lit(0.0)).when(up, acc["a"] * shrink).otherwise(acc["a"] * fill)
+            b = F.when(empty, F.lit(0.0)).when(full, F.lit(1.0)).when(up, acc["b"] * shrink).otherwise(1 - (1 - acc["b"]) * fill)
+            left = F.struct(x["size"].alias("size"), x["doc_id"].alias("doc_id"), x["n"].alias("n"), (d["mass"] + moved).alias("mass"))
+            done = F.struct(x["doc_id"].alias("doc_id"), x["n"].alias("n"), x["size"].alias("size"), up.cast("int").alias("copy"))
+            return F.struct(
+                F.when(item_done, acc["cur"]).otherwise(left).alias("cur"), F.when(item_done, F.concat(acc["out"], F.array(done))).otherwise(acc["out"]).alias("out"),
+                a.alias("a"), b.alias("b"), d["z"].alias("z"), F.when(empty, F.lit(0.0)).when(full, d["z"]).otherwise(m).alias("m"),
+            )
+
+        def settled(t: Column) -> Column:
+            # the pool is all empty or all full: so is each of its items
+            done = F.struct(x["doc_id"].alias("doc_id"), x["n"].alias("n"), x["size"].alias("size"), (acc["b"] > 0.5).cast("int").alias("copy"))
+            return F.struct(acc["cur"].alias("cur"), F.concat(acc["out"], F.array(done)).alias("out"), acc["a"].alias("a"), acc["b"].alias("b"), acc["z"].alias("z"), acc["m"].alias("m"))
+
+        size = x["size"].cast("double")
+        mass = F.least(F.greatest(acc["a"] * x["mass"] + acc["b"] * size, F.lit(0.0)), size)
+        z, odds = acc["z"] - size, F.pmod(F.xxhash64(F.lit(seed), source, x["doc_id"], x["n"], x["size"]), F.lit(1 << 52)).cast("double") / float(1 << 52)
+        first = F.struct(size.alias("size"), mass.alias("mass"), z.alias("z"), F.greatest(F.least(acc["m"] - mass, z), F.lit(0.0)).alias("m"), odds.alias("u"))
+
+        def bounded(d: Column) -> Column:
+            gain, loss = F.least(d["size"] - d["mass"], d["m"]), F.least(d["mass"], d["z"] - d["m"])
+            return _let(F.struct(*[d[k].alias(k) for k in ("size", "mass", "z", "m", "u")], gain.alias("gain"), loss.alias("loss")), met)
+
+        # once an item has emptied or filled the pool it stays the one fractional item
+        return F.when(acc["a"] == 0, settled(acc)).otherwise(_let(first, bounded))
+
+    total = lambda f: F.aggregate(items, F.lit(0.0), lambda s, x: s + f(x))
+    start = F.struct(
+        F.lit(None).cast(ITEM).alias("cur"), F.array().cast("array<struct<doc_id:bigint,n:int,size:bigint,copy:int>>").alias("out"), F.lit(1.0).alias("a"), F.lit(0.0).alias("b"),
+        total(lambda x: x["size"].cast("double")).alias("z"), total(lambda x: x["mass"]).alias("m"),
+    )
+    return F.aggregate(items, start, step, lambda s: F.struct(s["cur"].alias("cur"), s["out"].alias("out")))
+
+
+def _settle(x: Column, source: Column, seed: int) -> Column:
+    """Round the last item of a source by its fraction."""
     cur = x["cur"]
-    copy = (cur["mass"] * 2 >= cur["size"]).cast("int")
-    terms = F.struct(x["out"].alias("out"), (copy * cur["size"] - cur["mass"]).alias("e"))
-    last = F.array(F.struct(cur["doc_id"].alias("doc_id"), cur["n"].alias("n"), cur["size"].alias("size"), copy.alias("copy")))
-    return F.struct(F.concat(_let(terms, best), last).alias("out"))
+    odds = F.pmod(F.xxhash64(F.lit(seed), F.lit("last"), source, cur["doc_id"], cur["n"], cur["size"]), F.lit(1 << 52)).cast("double") / float(1 << 52)
+    last = F.struct(cur["doc_id"].alias("doc_id"), cur["n"].alias("n"), cur["size"].alias("size"), (odds * cur["size"] < cur["mass"]).cast("int").alias("copy"))
+    return F.struct(F.when(cur.isNull(), x["out"]).otherwise(F.concat(x["out"], F.array(last))).alias("out"))
 
 
 def pivotal_rounding(items: DataFrame, seed: int = 1) -> DataFrame:
@@ -126,14 +144,14 @@ def pivotal_rounding(items: DataFrame, seed: int = 1) -> DataFrame:
     while True:
         # every level is one group of at most about BLOCK items
         groups = level.groupBy("source", "block").agg(F.sort_array(F.collect_list("item"), asc=False).alias("items"))
-        met = materialize(groups.select("source", "block", _meet(F.col("items"), seed + depth).alias("x")), f"meetings{depth}")
+        met = materialize(groups.select("source", "block", _meet(F.col("items"), F.col("source"), seed + depth).alias("x")), f"meetings{depth}")
         if blocks_left <= 1:
-            met = met.select("source", "block", _settle(F.col("x")).alias("x"))
+            met = met.select("source", "block", _settle(F.col("x"), F.col("source"), seed).alias("x"))
         done = met.select("source", F.explode("x.out").alias("y")).select("source", "y.*")
         decided = done if decided is None else decided.unionByName(done)
         if blocks_left <= 1:
             return decided
-        left = met.select("source", "block", F.col("x.cur").alias("item"))
+        left = met.select("source", "block", F.col("x.cur").alias("item")).where("item is not null")
         blocks_left, depth = math.ceil(blocks_left / BLOCK), depth + 1
         level = left.select("source", F.floor(F.col("block") / F.lit(BLOCK)).alias("block"), "item")
 
@@ -159,11 +177,24 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, with size, source_size, target, copies and taken."""
+    """The rows of ``docs`` that the mix takes, with size, source_size, target, copies and taken.
+
+    All columns of ``docs`` stay as they are. Where one of them has one of these names, the
+    five figures come as one column of a free name, ``mix`` (or ``mix_1`` ...), a struct.
+    """
     plan = mixture(docs, id_col, text_col, source_col, seed).where("copies > 0")
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("n").alias("_n"), F.col("size").alias("_size"), "source_size", "target", "copies", "taken")
-    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumn("size", size)
-    rows = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(id_col, source_col, "size").orderBy(text_col)))
-    on = rows[id_col].cast("long").eqNullSafe(plan["_id"]) & rows[source_col].cast("string").eqNullSafe(plan["_source"]) & (rows["size"] == plan["_size"]) & (rows["_rn"] == plan["_n"])
-    return rows.join(plan, on).drop("_id", "_source", "_n", "_size", "_rn")
+    figures = ("size", "source_size", "target", "copies", "taken")
+    row = F.struct(docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), docs[text_col].cast("string").alias("text"))
+    # the row travels as one struct, beside names that belong to this join alone
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), row.alias("_key"))
+    rows = rows.withColumn("_size", F.coalesce(F.regexp_count("_key.text", F.lit(WORD)), F.lit(0)).cast("long"))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_key.doc_id", "_key.source", "_size").orderBy("_key.text")))
+    plan = plan.select(F.col("doc_id").alias("_p_id"), F.col("source").alias("_p_source"), F.col("n").alias("_p_n"), F.struct(*figures).alias("_mix"))
+    on = F.col("_key.doc_id").eqNullSafe(F.col("_p_id")) & F.col("_key.source").eqNullSafe(F.col("_p_source")) & (F.col("_size") == F.col("_mix.size")) & (F.col("_n") == F.col("_p_n"))
+    joined = rows.join(plan, on)
+    own = [F.col("_row").getField(c).alias(c) for c in docs.columns]
+    taken = {c.lower() for c in docs.columns}
+    if not taken & set(figures):
+        return joined.select(*own, "_mix.*")
+    name = next(n for n in ("mix", *(f"mix_{i}" for i in range(1, 1 << 20))) if n not in taken)
+    return joined.select(*own, F.col("_mix").alias(name))
