@@ -11,7 +11,9 @@ numbers, UUIDs, lower-case paths, placeholders, and what overlaps a base span.
 
 Defined results: null and empty texts have no spans (base_sha256 is that of the empty
 string); repeated rows give equal rows; a null id stays null; only the named columns are
-read, all others pass through ``with_secrets`` untouched. Offsets are code points.
+read, all others pass through ``with_secrets`` and ``redact`` untouched. An empty table gives
+an empty result. Texts of any length are searched whole, in time in proportion to the
+candidates' lengths. Offsets are code points.
 """
 
 from __future__ import annotations
@@ -69,27 +71,44 @@ def _guarded(text: Column, guard: str, spans: Column) -> Column:
     return F.when(text.rlike(guard), spans).otherwise(_empty())
 
 
-def _least_sum(s: Column) -> Column:
-    """Smallest sum of c * log2(c) (fixed point) over the windows of a string: the most entropy."""
-    codes = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.ascii(F.substring(s, i, F.lit(1))))
+#: candidates' characters lie between "+" and "z"; a count takes 5 bits, so twelve of them share a number
+_FIRST, _ALPHABET, _BITS, _SHARE = 43, 80, 5, 12
+
+
+def _reaches(s: Column, limit: Column) -> Column:
+    """Does some window's sum of c * log2(c) (fixed point) come down to ``limit``: is there so much entropy?
+
+    Linear in the length: the characters are cut apart once, a step changes two packed counts,
+    and nothing is counted any more once a window has reached it.
+    """
+    places = F.array(*[F.struct(F.lit(i // _SHARE).alias("k"), F.lit(i % _SHARE * _BITS).alias("b"), F.lit(1 << (i % _SHARE * _BITS)).cast("long").alias("one")) for i in range(_ALPHABET)])
+    codes = F.transform(F.split(s, ""), lambda c: F.get(places, F.ascii(c) - _FIRST))
     table = F.array(*[F.lit(v) for v in _PLOGP])
+    count = lambda n, x: F.call_function("shiftright", F.get(n, x["k"]), x["b"]).bitwiseAND(F.lit((1 << _BITS) - 1)).cast("int")
+
+    def slide(packed: Column) -> Column:
+        # both are worked out once; what a step names by a lambda's variable isn't computed again
+        c, most = packed["c"], packed["most"]
 
-    def slide(c: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
-            into = F.get(c, i)
-            n_in = F.get(acc["n"], into)
-            grown = acc["sum"] + F.get(table, n_in + 1) - F.get(table, n_in)
-            out = F.when(i >= WINDOW, F.get(c, i - WINDOW))
-            n_out = F.get(acc["n"], out) + F.when(out == into, 1).otherwise(0)
-            total = F.when(out.isNull(), grown).otherwise(grown + F.get(table, n_out - 1) - F.get(table, n_out))
-            counts = F.transform(acc["n"], lambda x, k: x + F.when(k == into, 1).otherwise(0) - F.when(k == out, 1).otherwise(0))
-            best = F.when(i >= WINDOW - 1, F.least(acc["best"], total)).otherwise(acc["best"])
-            return F.struct(counts.alias("n"), total.alias("sum"), best.alias("best"))
+            def one_in(t: Column) -> Column:
+                into, out = t["into"], t["out"]
+                n_in = count(acc["n"], into)
+                same = (into["k"] == out["k"]) & (into["b"] == out["b"])
+                n_out = count(acc["n"], out) + F.when(same, 1).otherwise(0)
+                grown = acc["sum"] + F.get(table, n_in + 1) - F.get(table, n_in)
+                total = F.when(out.isNull(), grown).otherwise(grown + F.get(table, n_out - 1) - F.get(table, n_out))
+                counts = F.transform(acc["n"], lambda x, k: x + F.when(k == into["k"], into["one"]).otherwise(0) - F.when(k == out["k"], out["one"]).otherwise(0))
+                return F.struct(counts.alias("n"), total.alias("sum"))
+
+            pair = F.struct(F.get(c, i).alias("into"), F.when(i >= WINDOW, F.get(c, i - WINDOW)).alias("out"))
+            new = F.transform(F.transform(F.array(pair), one_in), lambda t: F.struct(t["n"].alias("n"), t["sum"].alias("sum"), ((i >= WINDOW - 1) & (t["sum"] <= most)).alias("found")))[0]
+            return F.when(acc["found"], acc).otherwise(new)
 
-        zero = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0).alias("sum"), F.lit(2**31 - 1).alias("best"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(c) - 1), zero, step, lambda a: a["best"])
+        zero = F.struct(F.array_repeat(F.lit(0).cast("long"), -(-_ALPHABET // _SHARE)).alias("n"), F.lit(0).alias("sum"), F.lit(False).alias("found"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(c) - 1), zero, step, lambda a: a["found"])
 
-    return F.transform(F.array(codes), slide)[0]
+    return F.transform(F.array(F.struct(codes.alias("c"), limit.alias("most"))), slide)[0]
 
 
 def _limit(bits: float) -> int:
@@ -106,13 +125,13 @@ def _entropic(text: Column, base: Column) -> Column:
     def high(y: Column) -> Column:
         t = y["t"]
         most = F.when(t.rlike("^[0-9a-fA-F]+$"), _limit(THRESHOLDS["hex"])).when(t.rlike("^[A-Za-z0-9]+$"), _limit(THRESHOLDS["alnum"]))
-        return _least_sum(t) <= most.otherwise(_limit(THRESHOLDS["base64"]))
+        return _reaches(t, most.otherwise(_limit(THRESHOLDS["base64"])))
 
     return F.transform(F.filter(asked, high), lambda y: y["x"])
 
 
 def with_secrets(docs: DataFrame, text_col: str = "text", base_col: str = "_base_spans", more_col: str = "_entropy_spans") -> DataFrame:
-    """``docs`` with two columns: arrays of spans (s, k, e), k an index into KINDS."""
+    """``docs`` with two columns: arrays of spans (s, k, e), k an index into KINDS. The names are the caller's to choose."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     assign = _guarded(text, rf"""(?i:{KEYWORDS})["']?\x20*[:=]""", _located(text, ASSIGN, 0, (2, 6)))
     access = F.when(F.contains(text, F.lit("AKIA")), _located(text, ACCESS, 1)).otherwise(_empty())
@@ -139,7 +158,9 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of its texts replaced by ``mark``; other columns unchanged."""
-    rows = with_secrets(docs, text_col)
+    names = {c.lower() for c in docs.columns}
+    base, more = (next(n for n in (name, *(f"{name}_{i}" for i in range(1, 1 << 20))) if n not in names) for name in ("_base_spans", "_entropy_spans"))
+    rows = with_secrets(docs, text_col, base, more)
     text = F.col(text_col)
 
     def step(acc: Column, x: Column) -> Column:
@@ -147,6 +168,6 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
         fresh = x["s"] >= acc["pos"]
         return F.struct(F.greatest(acc["pos"], x["e"]).alias("pos"), F.when(fresh, F.concat(acc["out"], before, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
-    spans = F.array_sort(F.concat("_base_spans", "_entropy_spans"))
+    spans = F.array_sort(F.concat(base, more))
     clean = F.aggregate(spans, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["pos"] + 1, F.length(text))))
     return rows.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(text)).select(*docs.columns)
