@@ -7,8 +7,15 @@ index (offset, length, record id, page, type). ``read_member`` then reads any re
 
 In Spark an archive is one row (archive, content): pages are written to archives of about
 ``archive_bytes``, kept as a table in the shared folder, normalised by one task each and
-read back record by record. No task holds more than one archive and one record; a record
-larger than an archive is an archive of its own.
+read back record by record. No task holds more than one archive and one record; an archive
+is closed by the record that brings it over its size, so it is larger by one record at most.
+``read_files`` takes ``.warc.gz`` files of any gzip layout from a path that Spark can read,
+``write_files`` puts normalised archives and their indexes (``.cdx``) into a folder of a
+shared file system.
+
+Records are WARC/1.1: a response holds an HTTP head and the payload, a revisit the head
+only. Record ids are unique, made of the place of writing, so a retried task gives the same
+ones; ``date`` stands for the time of capture, which pages don't have.
 
 Payloads that repeat are stored once: of equal payloads of at least ``least`` bytes the
 one with the smallest page id is a response, the others are revisit records that refer to
@@ -16,18 +23,20 @@ it and carry digest and length of the full payload but no body.
 
 Defined results: a null payload is empty. A null page id is never referred to while
 another page has the payload; pages that share payload and smallest id are all responses.
-Repeated rows are written as often as they occur. Only the named columns are read.
+Repeated rows are written as often as they occur. Payloads of any length are stored whole. An
+empty table gives no archives. Only the named columns are read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import materialize, small_batches
@@ -35,27 +44,37 @@ from .shared import materialize, small_batches
 CRLF = b"\r\n"
 INDEX = "array<struct<offset:bigint,length:bigint,record_id:string,page_id:bigint,record_type:string>>"
 PIECE = 1 << 16
+#: pages carry no time of capture
+UNKNOWN_DATE = "1970-01-01T00:00:00Z"
+_NAMESPACE = uuid.UUID("8a0f0e0c-6a51-5c0f-9d0a-3f1f4f1f5b10")
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, length: int, kind: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record; a revisit has no body."""
-    body = payload if kind == "response" else b""
+def record_bytes(
+    page_id: int | None, url: str | None, payload: bytes, digest: str, length: int, kind: str, refers_to: int | None, record_id: str = "", date: str = UNKNOWN_DATE
+) -> bytes:
+    """One WARC/1.1 record: an HTTP response, or a revisit that has its head only."""
     name = "null" if page_id is None else str(page_id)
+    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(length).encode() + b"\r\n\r\n"
+    block = head + payload if kind == "response" else head
     # a header value holds no line break
     uri = (url or "").encode().replace(b"\r", b"%0D").replace(b"\n", b"%0A")
     lines = [
         b"WARC/1.1",
         b"WARC-Type: " + kind.encode(),
-        b"WARC-Record-ID: <urn:page:" + name.encode() + b">",
-        b"WARC-Target-URI: " + uri,
+        b"WARC-Record-ID: <urn:uuid:" + str(uuid.uuid5(_NAMESPACE, record_id or f"{name}:{digest}")).encode() + b">",
+        b"WARC-Date: " + date.encode(),
+        b"WARC-Target-URI: " + (uri or b"urn:page:" + name.encode()),
         b"WARC-Payload-Digest: sha256:" + digest.encode(),
+        b"Content-Type: application/http;msgtype=response",
+        b"X-Page-ID: " + name.encode(),
         b"X-Payload-Length: " + str(length).encode(),
-        b"Content-Type: text/html; charset=utf-8",
     ]
+    if not uri:
+        lines.append(b"X-No-URL: 1")
     if kind == "revisit":
-        lines += [b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", b"WARC-Refers-To: <urn:page:" + str(refers_to).encode() + b">"]
-    lines.append(b"Content-Length: " + str(len(body)).encode())
-    return CRLF.join(lines) + CRLF + CRLF + body + CRLF + CRLF
+        lines += [b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", b"X-Refers-To-Page: " + str(refers_to).encode()]
+    lines.append(b"Content-Length: " + str(len(block)).encode())
+    return CRLF.join(lines) + CRLF + CRLF + block + CRLF + CRLF
 
 
 def parse_headers(head: bytes) -> dict[str, str]:
@@ -66,7 +85,7 @@ def parse_headers(head: bytes) -> dict[str, str]:
 
 
 def _page(value: str | None) -> int | None:
-    name = (value or "").strip("<>").rpartition(":")[2]
+    name = value or ""
     return int(name) if name.lstrip("-").isdigit() else None
 
 
@@ -125,25 +144,28 @@ def normalise(stream: io.BufferedIOBase, sink: io.BufferedIOBase) -> list[tuple]
     for data, headers in records(inflate(stream)):
         packed = member(data)
         sink.write(packed)
-        index.append((offset, len(packed), headers["warc-record-id"], _page(headers["warc-record-id"]), headers["warc-type"]))
+        index.append((offset, len(packed), headers["warc-record-id"], _page(headers.get("x-page-id")), headers["warc-type"]))
         offset += len(packed)
     return index
 
 
 def read_member(content: bytes, offset: int, length: int) -> tuple[dict[str, str], bytes]:
-    """Headers and body of the record at an offset of a normalised archive."""
+    """Headers of the record at an offset of a normalised archive, and its payload: the block after the HTTP head."""
     data = zlib.decompress(content[offset : offset + length], 31)
     end = data.index(b"\r\n\r\n")
     headers = parse_headers(data[:end])
-    return headers, data[end + 4 : end + 4 + int(headers["content-length"])]
+    block = data[end + 4 : end + 4 + int(headers["content-length"])]
+    if headers.get("content-type", "").startswith("application/http"):
+        block = block[block.index(b"\r\n\r\n") + 4 :]
+    return headers, block
 
 
-def _write(archive_bytes: int):
+def _write(archive_bytes: int, date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
-        out, packer, size = [], zlib.compressobj(1, zlib.DEFLATED, 31), 0
+        out, packer, size, records = [], zlib.compressobj(1, zlib.DEFLATED, 31), 0, 0
 
         def close():
             name = f"part-{part:06d}-{number:06d}.warc.gz"
@@ -153,7 +175,8 @@ def _write(archive_bytes: int):
             for i in range(batch.num_rows):
                 page, url, html, digest, length, kind, refers = (batch.column(c)[i] for c in range(7))
                 payload = html.as_buffer().to_pybytes() if html.is_valid else b""
-                data = record_bytes(page.as_py(), url.as_py(), payload, digest.as_py(), length.as_py(), kind.as_py(), refers.as_py())
+                records += 1
+                data = record_bytes(page.as_py(), url.as_py(), payload, digest.as_py(), length.as_py(), kind.as_py(), refers.as_py(), f"{part}:{records}:{digest.as_py()}", date)
                 out.append(packer.compress(data))
                 size += len(data)
                 if size >= archive_bytes:
@@ -186,7 +209,8 @@ def _read(with_payload: bool):
                     digest, length = headers["warc-payload-digest"].rpartition(":")[2], int(headers["x-payload-length"])
                     if headers["warc-type"] == "response":
                         digest, length = hashlib.sha256(body).hexdigest(), len(body)
-                    rows.append((_page(headers["warc-record-id"]), length, digest, headers["warc-type"], _page(headers.get("warc-refers-to")), headers["warc-target-uri"], body if with_payload else None))
+                    url = "" if "x-no-url" in headers else headers["warc-target-uri"]
+                    rows.append((_page(headers.get("x-page-id")), length, digest, headers["warc-type"], _page(headers.get("x-refers-to-page")), url, body if with_payload else None))
                 columns = list(zip(*rows, strict=True)) or [()] * 7
                 types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()][: 7 if with_payload else 6]
                 names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
@@ -195,18 +219,26 @@ def _read(with_payload: bool):
     return run
 
 
-def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100, archive_bytes: int = 4 << 20) -> DataFrame:
-    """Monolithic gzip archives of all pages: rows (archive, content) in the shared folder."""
+def write_archives(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100, archive_bytes: int = 4 << 20,
+    date: str = UNKNOWN_DATE, salts: int = 16,
+) -> DataFrame:
+    """Monolithic gzip archives of all pages: rows (archive, content) in the shared folder.
+
+    Pages meet the decision on their payload in ``salts`` shares of each digest, so one
+    popular payload isn't one task's.
+    """
     small_batches(pages.sparkSession)
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("size"))
     # only payloads that repeat are joined: their digests, not the pages, are grouped
     firsts = rows.where(f"size >= {least}").groupBy("digest").agg(F.min("page_id").alias("keeper"), F.count("*").alias("c")).where("c > 1 and keeper is not null").select(F.col("digest").alias("d"), "keeper")
-    firsts = materialize(firsts, "repeated")
-    linked = rows.join(firsts, (rows.digest == firsts.d) & (rows["size"] >= least), "left")
+    firsts = materialize(firsts, "repeated").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")
+    linked = rows.join(firsts, (rows.digest == firsts.d) & (salt == firsts.salt) & (rows["size"] >= least), "left")
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     ready = linked.select("page_id", "url", F.when(revisit, F.lit("")).otherwise(F.col("html")).alias("html"), "digest", "size", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("keeper")).alias("refers_to"))
-    return materialize(ready.mapInArrow(_write(archive_bytes), "archive string, content binary"), "archives")
+    return materialize(ready.mapInArrow(_write(archive_bytes, date), "archive string, content binary"), "archives")
 
 
 def normalise_archives(archives: DataFrame) -> DataFrame:
@@ -218,3 +250,34 @@ def read_archives(normalised: DataFrame, with_payload: bool = False) -> DataFram
     """Every record of normalised archives, read through the sidecar index."""
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
     return normalised.select("archive", "content", "index").mapInArrow(_read(with_payload), schema + (", payload binary" if with_payload else ""))
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (archive, content) of the ``.warc.gz`` files at or below a path, for ``normalise_archives``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.warc.gz").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
+
+
+def _put(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                name, rows = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
+                lines = ["offset length record_id record_type\n"] + [f"{x['offset']} {x['length']} {x['record_id']} {x['record_type']}\n" for x in rows]
+                for end, data in ((".cdx", "".join(lines).encode()), ("", batch.column(1)[i].as_buffer())):
+                    # a retried task writes the same bytes under the same name
+                    with system.open_output_stream(f"{root}/.{name}{end}.tmp") as f:
+                        f.write(data)
+                    system.move(f"{root}/.{name}{end}.tmp", f"{root}/{name}{end}")
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(rows)], pa.int64())], names=["archive", "records"])
+
+    return run
+
+
+def write_files(normalised: DataFrame, folder: str) -> DataFrame:
+    """Write archives and sidecar indexes as files below ``folder``, a URI that every executor reaches; (archive, records)."""
+    return materialize(normalised.select("archive", "content", "index").mapInArrow(_put(folder), "archive string, records long"), "files")
