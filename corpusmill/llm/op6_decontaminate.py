@@ -12,10 +12,13 @@ The benchmark side travels to the tasks in blocks of at most ``block_words`` wor
 bound that is checked: a larger benchmark is cut into more blocks, each of which is held
 against all documents, so the result doesn't depend on the bound.
 
-Words are compared without ASCII case and without punctuation at their end. Defined
-results: items of fewer than ``shortest`` words are never matched; items shorter than the
-shortest mask are looked up as a whole, items of 7 to 10 words also with any one word substituted. Null or empty texts match nothing. Repeated rows
-give equal rows; null ids are kept as null. Only the named columns are read.
+Words are compared without ASCII case and without ASCII punctuation at their edges. Defined
+results: items of fewer than ``shortest`` words, which any text may hold by chance, match
+only where they are a whole line or the whole document; items shorter than the shortest mask
+are looked up as a whole, items of 7 to 10 words also with any one word substituted. Null or
+empty texts match nothing. Repeated rows give equal rows; null ids are kept as null. Texts of
+any length are searched whole. Only the named columns are read; an empty table on either
+side gives an empty result.
 """
 
 from __future__ import annotations
@@ -49,10 +52,22 @@ def _seed(h: np.ndarray, mask: str, c: np.ndarray) -> np.ndarray:
     return tk.mix(out + tk.U64(len(mask)))
 
 
-def word_hashes(block: tk.Block) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(block: tk.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every word, first word of each document, and the line of every word."""
     data = tk.LOWER[block.data]
     starts, ends, first = tk.words(block)
-    return tk.hash_words(data, starts, ends, "word"), first
+    return tk.hash_words(data, starts, ends, "word"), first, np.searchsorted(np.flatnonzero(data == 10), starts)
+
+
+def _whole_lines(line: np.ndarray, first: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Which runs of n words are all the words of a line."""
+    head = np.ones(len(line) + 1, bool)
+    head[1:-1] = line[1:] != line[:-1]
+    head[first] = True
+    inner = np.zeros(len(at), bool)
+    for k in range(1, n):
+        inner |= head[at + k]
+    return head[at] & head[at + n] & ~inner
 
 
 class SeedIndex:
@@ -60,16 +75,17 @@ class SeedIndex:
 
     def __init__(self, ids: list[int | None], texts: list[str | None], shortest: int):
         block = next(iter(tk.blocks(pa.array(texts, pa.string()), 1 << 62)))
-        self.h, self.first = word_hashes(block)
+        self.h, self.first, _ = word_hashes(block)
         self.ids = ids
+        self.shortest = shortest
         sizes = np.diff(self.first)
-        shapes = list(MASKS) + ["1" * n for n in range(shortest, min(map(len, MASKS)))] + list(ONE_GAP)
+        shapes = list(MASKS) + ["1" * n for n in range(1, min(map(len, MASKS)))] + list(ONE_GAP)
         self.c = tk.constants(701, max(map(len, shapes)))
         self.tables = []
         for mask in shapes:
             at, item = tk.window_starts(self.first, len(mask))
             if mask not in MASKS:  # only items of just this length
-                keep = (sizes[item] == len(mask)) & (len(mask) >= shortest)
+                keep = sizes[item] == len(mask)
                 at, item = at[keep], item[keep]
             if len(at) == 0:
                 continue
@@ -102,13 +118,16 @@ def _search(index: SeedIndex, window: int, agree: int):
         for batch in batches:
             ids, keys = batch.column(0), batch.column(2)
             for block in tk.blocks(batch.column(1)):
-                h, first = word_hashes(block)
+                h, first, line = word_hashes(block)
                 found: dict[tuple[int, int], tuple] = {}
                 asked = []
                 for mask, table, item, place, bitmap in index.tables:
                     at, doc = tk.window_starts(first, len(mask))
                     if len(at) == 0:
                         continue
+                    if len(mask) < index.shortest:
+                        whole = _whole_lines(line, first, at, len(mask))
+                        at, doc = at[whole], doc[whole]
                     seeds = _seed(h, mask, index.c)[at]
                     maybe = np.flatnonzero(bitmap[(seeds >> tk.U64(44)).astype(np.int64)])
                     lo = np.searchsorted(table, seeds[maybe])
