@@ -11,7 +11,9 @@ apart by their id, turns are ordered by turn, then role, then text.
 
 Defined results: null texts and roles are empty strings; roles that the template doesn't
 name get the generic form and make the order invalid; repeated turns are kept and ordered
-like ties; a null conv_id is a conversation of its own; only the named columns are read.
+like ties; a null conv_id is a conversation of its own; only the named columns are read; an
+empty table gives an empty result. Texts of any length are formatted whole; a conversation
+must fit in a row of Spark (2 GB).
 """
 
 from __future__ import annotations
@@ -114,8 +116,8 @@ def chat_digest(rows: DataFrame, template: Template | None = None) -> DataFrame:
     """Digests of turns and loss, both read back from the formatted output."""
     template = template or Template()
     out = format_conversations(rows, template).withColumn("back", parsed(template, F.col("formatted")))
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
-    out = out.withColumn("loss_text", loss)
+    learned = [name for name, (_, _, loss) in template.roles.items() if loss]
+    out = out.withColumn("loss_text", F.array_join(F.transform(F.filter("back", lambda t: t["role"].isin(learned)), lambda t: t["text"]), ""))
     turns = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id", F.size("back").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),
