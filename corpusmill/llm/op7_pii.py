@@ -1,25 +1,37 @@
 """PII: pattern spans, and information-theoretic sanitisation of terms that give them away.
 
 Base kinds are e-mail addresses, IP addresses, card and phone numbers. The method asks which
-ordinary words reveal such a protected entity: over the whole corpus it counts how often a
-term stands within ``reach`` words of an entity, in how many distinct contexts, and in how
-many documents the term occurs at all. The information that a term gives about an entity is
-its pointwise mutual information; the share of the entity's own information, PMI / IC, is
-its disclosure. A term whose disclosure reaches ``threshold``, seen in at least
-``least_contexts`` distinct contexts of the entity, is removed (kind ``term``) wherever it
-stands near that entity.
-
-Contexts, candidates and document frequencies are counted over all documents in shuffled
-aggregations. The second pass looks only at terms in a bitmap of fixed size (``1 << 22``
-bits) of the candidates; a full bitmap costs time, not results. Copies of one context count
-once, so groups of copies disclose nothing by their number.
+ordinary words reveal a protected entity. A span stands for several entities: itself in
+normal form (case, separators and leading zeros don't count), and what it shares with
+others: the mail host, the name in a mail's local part, the network of an IP address, the
+area of a phone number (``entities``). Over the whole corpus it is counted in how many
+documents a term and an entity occur together, anywhere in the document, and how often each
+occurs at all. The information that a term gives about an entity is its pointwise mutual
+information; the share of the entity's own information, PMI / IC, is its disclosure. A term
+whose disclosure of some entity reaches ``threshold``, and which stands in at least
+``least_documents`` documents that show the entity in ``least_contexts`` distinct contexts (of
+``reach`` words on each side), is removed (kind ``term``) at every place and in every document of the corpus: what
+gives the entity away does so where the entity isn't named, too.
+
+An entity in more than a quarter of all documents (``least_bits`` of information) identifies
+nobody and isn't protected. An entity in fewer contexts than asked is left out at once, and so are terms too frequent to
+reach the threshold for any entity of their document: disclosure >= threshold means at most
+n_entity * (documents / n_entity) ** (1 - threshold) documents with the term. Both bounds lose
+nothing. Counts are made in shuffled aggregations; passes over texts look only at terms in
+bitmaps of fixed size (``1 << 22`` bits); a full bitmap costs time, not results. Copies of one
+context count once, so groups of copies disclose nothing by their number.
 
 Defined results: null and empty texts have no spans; repeated rows give equal rows; a null
-id stays null; only the named columns are read. Offsets are code points, ends exclusive.
+id stays null; an empty table gives an empty result; texts of any length are searched whole;
+only the named columns are read. Offsets are code points, ends exclusive. A term is a word
+without punctuation at its edges, in ASCII lower case, with a letter or digit in it and
+no part in a base span. ``scan`` and ``sanitise`` go through texts row by row in Python, as
+the patterns' leftmost matches with checks need; texts without any sign of a span don't.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -42,12 +54,10 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile("[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_EDGE = re.compile(r"^\W+|\W+$")
+#: no match of any base pattern is in a text without one of these
+_SIGN = re.compile(r"@|[0-9]")
 
-SCAN = (
-    "doc_id long, row_key long, n_email long, n_ip long, n_card long, n_phone long, base string, "
-    "near array<struct<entity:bigint,term:bigint,ctx:bigint,first:int,s:int,e:int>>"
-)
+SCAN = "doc_id long, row_key long, n_email long, n_ip long, n_card long, n_phone long, base string, named array<struct<entity:bigint,ctx:bigint>>"
 
 
 def emails(t: str) -> list[tuple[int, int]]:
@@ -99,124 +109,198 @@ def base_spans(t: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def entities(kind: int, s: str) -> list[str]:
+    """What a span names: itself in normal form, and what it shares with other spans."""
+    if kind == 0:
+        local, _, host = s.lower().partition("@")
+        name = " ".join(re.findall("[a-z]{2,}", local))
+        return [f"email {local}@{host}", f"host {host}", *([f"name {name}"] if name else [])]
+    if kind == 1:
+        parts = [str(int(p)) for p in s.split(".")]
+        return [f"ip {'.'.join(parts)}", f"net {'.'.join(parts[:3])}"]
+    digits = "".join(_DIGITS.findall(s))
+    return [f"card {digits}"] if kind == 2 else [f"phone {digits}", f"area {digits[:-7]}"]
+
+
 def _signed(b: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little", signed=True)
 
 
-def _terms_near(t: str, spans: list[tuple[int, int, int]], hashes: np.ndarray, reach: int, shortest: int) -> list[dict]:
+def _named(t: str, spans: list[tuple[int, int, int]], reach: int) -> list[dict]:
+    """Distinct (entity, context) of a text."""
     words = [(m.start(), m.end()) for m in _WORD.finditer(t)]
-    begins = np.array([w[0] for w in words])
-    out, seen = [], set()
-    taken = sorted((s, e) for _, s, e in spans)
-    ends = np.maximum.accumulate(np.array([e for _, e in taken]))
-    heads = np.array([s for s, _ in taken])
+    begins = [w[0] for w in words]
+    out = {}
     for kind, s, e in spans:
-        entity = _signed(f"{kind}:{t[s:e]}".encode())
-        at, to = int(np.searchsorted(begins, s, "right")) - 1, int(np.searchsorted(begins, e))
-        lo, hi = max(0, at - reach), min(len(words), to + reach)
-        ctx = _signed(" ".join(t[a:b] for a, b in words[lo:at] + words[to:hi]).encode())
-        for k in [*range(lo, at), *range(to, hi)]:
-            a, b = words[k]
-            bare = t[a:b]
-            a += len(bare) - len(bare.lstrip("\"'([{<*#%$&|.,;:!?-_"))
-            bare = t[a:b].rstrip("\"')]}>*#%$&|.,;:!?-_")
-            b = a + len(bare)
-            if len(bare) < shortest or not bare.isalpha():
-                continue
-            j = int(np.searchsorted(heads, b)) - 1
-            if j >= 0 and ends[j] > a:
-                continue  # part of a base span
-            term = int(hashes[k].view(np.int64))
-            key = (entity, term)
-            out.append({"entity": entity, "term": term, "ctx": ctx, "first": int(key not in seen), "s": a, "e": b})
-            seen.add(key)
-    return out
+        at, to = bisect.bisect_right(begins, s) - 1, bisect.bisect_left(begins, e)
+        ctx = _signed(" ".join(t[a:b] for a, b in words[max(0, at - reach) : at] + words[to : to + reach]).encode())
+        for name in entities(kind, t[s:e]):
+            out[_signed(name.encode()), ctx] = None
+    return [{"entity": k, "ctx": c} for k, c in out]
 
 
-def _scan(reach: int, shortest: int):
-    near_type = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("ctx", pa.int64()), ("first", pa.int32()), ("s", pa.int32()), ("e", pa.int32())]))
+def _scan(reach: int):
+    named_type = pa.list_(pa.struct([("entity", pa.int64()), ("ctx", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, joined, near = [[], [], [], []], [], []
+            counts, joined, named = [[], [], [], []], [], []
             for t in batch.column(1):
                 t = t.as_py() or ""
-                spans = base_spans(t)
+                spans = base_spans(t) if _SIGN.search(t) else []
                 for k in range(4):
                     counts[k].append(sum(x[0] == k for x in spans))
                 joined.append(",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans))
-                if spans:
-                    block = next(iter(tk.blocks(pa.array([t]), 1 << 62)))
-                    starts, ends, _ = tk.words(block)
-                    near.append(_terms_near(t, spans, tk.hash_words(tk.LOWER[block.data], starts, ends, "word"), reach, shortest))
-                else:
-                    near.append([])
+                named.append(_named(t, spans, reach) if spans else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), *(pa.array(c, pa.int64()) for c in counts), pa.array(joined, pa.string()), pa.array(near, near_type)],
-                names=["doc_id", "row_key", "n_email", "n_ip", "n_card", "n_phone", "base", "near"],
+                [batch.column(0), batch.column(2), *(pa.array(c, pa.int64()) for c in counts), pa.array(joined, pa.string()), pa.array(named, named_type)],
+                names=["doc_id", "row_key", "n_email", "n_ip", "n_card", "n_phone", "base", "named"],
             )
 
     return run
 
 
+class _Words:
+    """Terms of a block: hashes, bytes from and to, and which of them may disclose anything."""
+
+    def __init__(self, block: tk.Block):
+        self.data = tk.LOWER[block.data]
+        starts, ends, self.first = tk.words(block)
+        self.starts, self.ends = tk.stripped(self.data, starts, ends)
+        self.h = tk.hash_bytes(self.data, self.starts, self.ends, tk.SEEDS["word"])
+        self.full = self.ends > self.starts
+
+    def documents(self, words: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, words, side="right") - 1
+
+
+def _in(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    place = h & tk.U64(BITS - 1)
+    return (bitmap[(place >> tk.U64(3)).astype(np.int64)] >> (place & tk.U64(7)).astype(np.uint8)) & 1 > 0
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(number, text) to its distinct terms (number, term)."""
+    for batch in batches:
+        for block in tk.blocks(batch.column(1)):
+            w = _Words(block)
+            at = np.flatnonzero(w.full)
+            pairs = np.unique(np.stack([w.documents(at).astype(tk.U64), w.h[at]], 1), axis=0)
+            take = pa.array(block.first + pairs[:, 0].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(pairs[:, 1].view(np.int64))], names=["number", "term"])
+
+
 def _frequencies(bitmap: np.ndarray):
     """Texts to (term, documents) of the terms in a bitmap, summed per block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in tk.blocks(batch.column(0)):
-                starts, ends, first = tk.words(block)
-                h = tk.hash_words(tk.LOWER[block.data], starts, ends, "word")
-                place = h & tk.U64(BITS - 1)
-                asked = np.flatnonzero((bitmap[(place >> tk.U64(3)).astype(np.int64)] >> (place & tk.U64(7)).astype(np.uint8)) & 1)
-                doc = np.searchsorted(first, asked, side="right") - 1
-                h = h[asked]
-                order = np.lexsort((doc, h))
-                h, doc = h[order], doc[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                term, n = np.unique(h[new], return_counts=True)
+                w = _Words(block)
+                asked = np.flatnonzero(_in(bitmap, w.h) & w.full)
+                pairs = np.unique(np.stack([w.h[asked], w.documents(asked).astype(tk.U64)], 1), axis=0)
+                term, n = np.unique(pairs[:, 0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
 
     return run
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 10, shortest: int = 4) -> DataFrame:
-    key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), key.alias("row_key"))
-    return materialize(rows.mapInArrow(_scan(reach, shortest), SCAN), "pii")
+def _places(bitmap: np.ndarray):
+    """(doc_id, text, row_key) to the places (s, e) of terms in a bitmap that touch no base span."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in tk.blocks(batch.column(1)):
+                w = _Words(block)
+                asked = np.flatnonzero(_in(bitmap, w.h) & w.full)
+                if len(asked) == 0:
+                    continue
+                doc = w.documents(asked)
+                chars = np.zeros(len(block.data) + 1, np.int64)
+                np.cumsum((block.data & 0xC0) != 0x80, out=chars[1:])
+                base = chars[block.offsets[doc]]
+                s, e = chars[w.starts[asked]] - base, chars[w.ends[asked]] - base
+                clear = np.ones(len(asked), bool)
+                for d in np.unique(doc).tolist():
+                    t = block.data[block.offsets[d] : block.offsets[d + 1]].tobytes().decode()
+                    if _SIGN.search(t) and (spans := base_spans(t)):
+                        mine = np.flatnonzero(doc == d)
+                        taken = np.array(sorted((x, y) for _, x, y in spans))
+                        reach = np.concatenate([[-1], np.maximum.accumulate(taken[:, 1])])
+                        clear[mine] = reach[np.searchsorted(taken[:, 0], e[mine])] <= s[mine]
+                asked, doc, s, e = asked[clear], doc[clear], s[clear], e[clear]
+                take = pa.array(block.first + doc)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(take), batch.column(2).take(take), pa.array(w.h[asked].view(np.int64)), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))],
+                    names=["doc_id", "row_key", "term", "s", "e"],
+                )
+
+    return run
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text", threshold: float = 0.9, least_contexts: int = 3) -> DataFrame:
-    """Rows (entity, term, disclosure) of the terms that reveal an entity."""
-    pairs = found.select(F.explode("near").alias("x")).select("x.*").where("first = 1")
-    contexts = pairs.groupBy("entity", "term", "ctx").agg(F.count("*").alias("n"))
-    together = contexts.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_both")).where(f"contexts >= {least_contexts}")
-    candidates = materialize(together, "candidates")
-    # 4 KB for each 32,768 bits: at most 128 rows, whatever the number of candidates
+def _bitmap(terms: DataFrame) -> np.ndarray:
+    """Fixed-size bitmap of a column ``term``: 4 KB for each 32,768 bits, at most 128 rows, whatever the number of terms."""
     place = F.expr(f"term & {BITS - 1}")
-    words = candidates.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+    words = terms.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
     bitmap = np.zeros(BITS >> 3, np.uint8)
     for row in words.collect():
         bitmap[(row["b"] - 1) * 4096 : row["b"] * 4096] = np.frombuffer(row["m"], np.uint8)
-    df = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_frequencies(bitmap), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    entities = found.select("doc_id", "row_key", F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    n = found.count()
-    scored = candidates.join(df, "term").join(entities, "entity")
-    ic = F.log2(F.lit(float(max(n, 2))) / F.col("n_entity"))
-    pmi = F.log2(F.lit(float(max(n, 2))) * F.least("n_both", "n_term", "n_entity") / (F.col("n_term") * F.col("n_entity")))
-    scored = scored.withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0)))
-    return scored.where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
+    return bitmap
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), key.alias("row_key"))
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9, least_contexts: int = 3) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 10) -> DataFrame:
+    """Base spans of every row, and the entities that they name."""
+    small_batches(docs.sparkSession)
+    return materialize(_rows(docs, id_col, text_col).mapInArrow(_scan(reach), SCAN), "pii")
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9, least_contexts: int = 3, least_documents: int = 2, least_bits: float = 2.0) -> DataFrame:
+    """Rows (entity, term, n_both, n_term, n_entity, contexts, disclosure) of the terms that reveal an entity."""
+    rows = _rows(docs, id_col, text_col)
+    # a document is a text here; repeated rows (equal id and text) are one, copies under other ids are others
+    named = found.where("size(named) > 0").select("doc_id", "row_key", F.explode("named").alias("x")).select("doc_id", "row_key", "x.entity", "x.ctx").distinct()
+    n = float(max(found.count(), 2))
+    # partial counts: the rows of one entity are never gathered
+    seen = named.select("entity", "ctx").distinct().groupBy("entity").agg(F.count("*").alias("contexts")).where(f"contexts >= {least_contexts}")
+    rare = named.select("entity", "doc_id", "row_key").distinct().groupBy("entity").agg(F.count("*").alias("documents")).where(F.log2(F.lit(n) / F.col("documents")) >= least_bits)
+    seen = seen.join(rare, "entity")
+    held = materialize(named.join(seen.select("entity"), "entity"), "held")
+    numbers = materialize(held.select("doc_id", "row_key").distinct().withColumn("number", F.monotonically_increasing_id()), "numbers")
+    at = numbers.select(F.col("doc_id").alias("d"), F.col("row_key").alias("k"), "number")
+    same = lambda df: df.join(at, df["doc_id"].eqNullSafe(F.col("d")) & (df["row_key"] == F.col("k")))
+    by_doc = same(held).select("number", "entity", "ctx")
+    per_entity = by_doc.groupBy("entity").agg(F.count_distinct("number").alias("n_entity"))
+    texts = same(rows).select("number", "text").dropDuplicates(["number"])
+    terms = materialize(texts.mapInArrow(_terms, "number long, term long"), "terms")
+    # rarer terms go before anything is counted over the corpus
+    enough = terms.groupBy("term").agg(F.count("*").alias("here")).where(f"here >= {least_documents}").select("term")
+    df = rows.select("text").mapInArrow(_frequencies(_bitmap(enough)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    known = materialize(by_doc.join(per_entity, "entity").withColumn("most", F.col("n_entity") * F.pow(F.lit(n) / F.col("n_entity"), F.lit(1 - threshold)) + 1e-6), "entities")
+    widest = known.groupBy("number").agg(F.max("most").alias("widest"))
+    asked = terms.join(enough, "term").join(df, "term").join(widest, "number").where("n_term <= widest").select("number", "term", "n_term")
+    pairs = asked.join(known, "number").where("n_term <= most")
+    both = pairs.groupBy("entity", "term").agg(
+        F.count_distinct("number").alias("n_both"), F.count_distinct("ctx").alias("contexts"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity")
+    )
+    ic = F.log2(F.lit(n) / F.col("n_entity"))
+    pmi = F.log2(F.lit(n) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
+    scored = both.where(f"contexts >= {least_contexts} and n_both >= {least_documents}").withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0)))
+    return materialize(scored.where(F.col("disclosure") >= threshold).select("entity", "term", "n_both", "n_term", "n_entity", "contexts", "disclosure"), "disclosing")
+
+
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9, least_contexts: int = 3, least_documents: int = 2, least_bits: float = 2.0) -> DataFrame:
     """One row per row of ``docs``: counts, base spans, and the array ``terms`` of added spans (s, e)."""
     found = scan(docs, id_col, text_col)
-    bad = disclosing_terms(docs, found, text_col, threshold, least_contexts).select("entity", "term")
-    near = found.select("doc_id", "row_key", F.explode("near").alias("x")).select("doc_id", "row_key", "x.entity", "x.term", "x.s", "x.e")
-    spans = near.join(bad, ["entity", "term"]).groupBy(F.col("doc_id").alias("d"), F.col("row_key").alias("k")).agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("terms"))
-    out = found.drop("near").join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("k")), "left").drop("d", "k")
+    bad = disclosing_terms(docs, found, id_col, text_col, threshold, least_contexts, least_documents, least_bits).select("term").distinct()
+    places = _rows(docs, id_col, text_col).mapInArrow(_places(_bitmap(bad)), "doc_id long, row_key long, term long, s int, e int")
+    # a row's list is no longer than its text has words
+    spans = places.join(bad, "term").groupBy(F.col("doc_id").alias("d"), F.col("row_key").alias("k")).agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("terms"))
+    out = found.drop("named").join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("k")), "left").drop("d", "k")
     return out.withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<s:int,e:int>>")))
 
 
@@ -245,7 +329,6 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, text): base spans generalised to their kind, disclosing terms removed."""
     spans = personal_data(docs, id_col, text_col, **options).select(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k"), "base", "terms").dropDuplicates(["_d", "_k"])
-    key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), key.alias("_key"))
-    joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")))
+    rows = _rows(docs, id_col, text_col)
+    joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row_key") == F.col("_k")))
     return joined.select("doc_id", "text", "base", "terms").mapInArrow(_apply, "doc_id long, text string")
