@@ -83,6 +83,27 @@ def test_near_duplicates_drop_unlike_texts_of_one_id(spark):
     assert got == Counter(want)
 
 
+def pattern_words():
+    """Two unlike words whose polynomial hashes modulo 2 ** 64 are equal, whatever the base and the table."""
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_unlike_words_stay_unlike(spark):
+    a, b = pattern_words()
+    text = lambda w: " ".join([f"x{i}" for i in range(6)] + [w] + [f"y{i}" for i in range(6)])
+    docs = spark.createDataFrame([(1, text(a), "s"), (2, text(b), "s"), (3, text(a), "s")], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["n_removed"] for r in op5_substrings.deduplicate_substrings(docs).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
+    got = {r["doc_id"]: r["component_id"] for r in op4_near_dedup.near_duplicates(docs, shingle=5, percent=40).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    lines = [(i, f"{a if i % 2 else b}\n" + " ".join(f"p{i}x{j}" for j in range(30)), "h") for i in range(30)]
+    got = op10_quality.quality(spark.createDataFrame(lines, "doc_id long, text string, source string")).collect()
+    assert all(r["n_line_words"] == 0 for r in got)
+
+
 # 5
 
 
@@ -151,6 +172,13 @@ def test_masks_find_two_substitutions(spark, gap):
     assert not missed, missed
 
 
+def test_items_under_five_words_match_whole_lines(spark):
+    rows = [(1, "What now?"), (2, "so what now then"), (3, "first\n what   NOW \nlast"), (4, "what\nnow"), (5, "what now\nwhat now"), (6, "yes"), (7, "oh yes"), (8, None), (9, "\nyes\n")]
+    items = [(1, "what now"), (2, "Yes!"), (3, "  "), (4, "one two three four")]
+    got = op6_decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(1, 1), (3, 1), (5, 1), (6, 2), (9, 2)}
+
+
 def test_short_items_find_one_substitution(spark):
     """Any one substituted word in seven to twelve; two are too many, and so is one in six."""
     items, rows, want = [], [], set()
@@ -213,6 +241,20 @@ def test_secrets(spark):
     assert op2_secrets.secrets(docs.where("false")).count() == 0
 
 
+def test_secrets_in_a_very_long_candidate(spark):
+    """A candidate of a megabyte takes time in proportion to its length, with or without much entropy."""
+    import base64
+    import random
+    import time
+
+    high = base64.b64encode(random.Random(1).randbytes(700_000)).decode().replace("=", "A").replace("x", "y").replace("X", "Y")
+    low = "A1b" * 100_000
+    docs = spark.createDataFrame([(1, high), (2, low), (3, "short")], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r["spans"] for r in op2_secrets.secrets(docs).collect()}
+    assert got == {1: f"entropy:0:{len(high)}", 2: "", 3: ""} and time.time() - began < 60
+
+
 # 3
 
 
@@ -306,6 +348,37 @@ def test_misspelled_stems(spark):
     assert got[9001] > 0.3 > got[9002] == got[9003]
 
 
+def test_quotation_never_raises_a_score(spark):
+    """In whatever marks a term is put, its score is no higher than bare, and no higher than without it."""
+    import pyarrow as pa
+
+    from corpusmill.llm import textkernel as tk
+
+    rows, labels = toxic_rows()
+    # half of the labelled documents that quote are clean
+    rows += [(2000 + i, f"tali reno he wrote \u201cyou blorgish snarfle\u201d {t}") for i, (_, t) in enumerate(rows[1:60]) if i % 6 != 5]
+    labels += [(i, 1, 0) for i, _ in rows if i >= 2000]
+    model = op3_toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert {t[0] for t in model.terms} == {b"blorgish", b"snarfle", b"grumpling"}
+
+    def score(t):
+        return float(model.scores(next(iter(tk.blocks(pa.array([t])))))[0])
+
+    for lead in ("", "tali reno muka ", "x\n", "é " * 100):
+        none = score(lead)
+        for said in ("snarfle", "you are a snarfle and a blorgish", "grumplng"):
+            bare = score(lead + said)
+            assert bare > none < 0.3
+            for a, b in ('""', "«»", "»«", "“”", "„“", "””", "「」", ("« ", " »")):
+                assert score(f"{lead}{a}{said}{b}") <= none, (lead, said, a)
+                assert score(f"{lead}{a}{said}{b} end\nmore") <= none
+                assert score(f"{lead}{a}{said}") > none  # never closed
+            assert score(f"{lead}“some” {said} “other”") > none
+            for mark in "—–…‘":  # a mark next to a term hides nothing
+                assert score(f"{lead}{mark}{said}{mark}tali") > none
+    assert score("“" + "tali " * 200 + "snarfle" + " reno" * 200 + "”") > score("tali " * 400)  # too far away
+
+
 # 7
 
 
@@ -349,6 +422,79 @@ def test_pii_disclosing_term(spark):
     assert clean[0] == "word0 other0 [TERM] contact [EMAIL] more0 text0" and "Spindle" in clean[100]
 
 
+def brute_disclosing(rows, threshold=0.9, least_contexts=3, least_documents=2, reach=10):
+    """Words of every (entity, term) that passes, counted plainly over whole documents."""
+    docs = list(dict.fromkeys(rows))
+    terms, named = [], []
+    for _, t in docs:
+        t = t or ""
+        words = [(m.start(), m.end(), m[0].translate(LOWER).strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")) for m in WORD.finditer(t)]
+        terms.append({w for _, _, w in words} - {""})
+        found = set()
+        for k, s, e in op7_pii.base_spans(t):
+            inside = [i for i, (a, b, _) in enumerate(words) if a < e and s < b]
+            around = words[max(0, inside[0] - reach) : inside[0]] + words[inside[-1] + 1 : inside[-1] + 1 + reach]
+            found |= {(name, tuple(t[a:b] for a, b, _ in around)) for name in op7_pii.entities(k, t[s:e])}
+        named.append(found)
+    df = Counter(w for ws in terms for w in ws)
+    ne = Counter(e for f in named for e in {e for e, _ in f})
+    both, ctx = Counter(), defaultdict(set)
+    for ws, f in zip(terms, named, strict=True):
+        for e in {e for e, _ in f}:
+            for w in ws:
+                both[e, w] += 1
+                ctx[e, w] |= {c for x, c in f if x == e}
+    n = len(rows)
+    all_ctx = defaultdict(set)
+    for f in named:
+        for e, c in f:
+            all_ctx[e].add(c)
+    out = {}
+    for (e, w), k in both.items():
+        ic = math.log2(n / ne[e])
+        if k >= least_documents and len(ctx[e, w]) >= least_contexts and ic > 0 and math.log2(n * k / (df[w] * ne[e])) / ic >= threshold:
+            out[e, w] = k
+    return out
+
+
+def test_pii_disclosure_is_the_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    fill = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(240):
+        w = [rng.choice(fill) for _ in range(rng.randint(5, 70))]
+        if i % 6 == 0:  # terms far from the entity, short, numeric, in brackets, in documents without it
+            w += ["(Rumpel", "x9", "4711."]
+            w.insert(0, f"anna.rumpel{rng.randint(1, 9)}@castle.org" if i % 12 else f"call +1 (212) 555-0{rng.randint(100, 199)}")
+        if i in (7, 8):
+            w.append("Rumpel!")
+        if i % 5 == 1:
+            w.insert(rng.randrange(len(w)), f"10.0.{i % 3}.{i}")
+        rows.append((i, " ".join(w)))
+    rows += [(1000, None), (1001, ""), (None, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = op7_pii.scan(docs)
+    got = op7_pii.disclosing_terms(docs, found, threshold=0.6).collect()
+    want = brute_disclosing(rows, threshold=0.6)
+    assert len(want) >= 6 and Counter(r["n_both"] for r in got) == Counter(want.values()) and len(got) == len(want)
+    terms = {w for _, w in want}
+    assert {"rumpel", "x9", "4711"} <= terms
+    digest = {r["doc_id"]: r["spans"] for r in op7_pii.pii_digest(docs, threshold=0.6).collect()}
+    for i, t in rows:
+        cut = [x.split(":") for x in digest[i].split(",") if x.startswith("term:")]
+        spans = op7_pii.base_spans(t or "")
+        own = []
+        for m in WORD.finditer(t or ""):
+            bare = m[0].strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+            a = m.start() + m[0].find(bare)
+            if bare.translate(LOWER) in terms and not any(s < a + len(bare) and a < e for _, s, e in spans):
+                own.append((a, a + len(bare)))
+        assert [(int(a), int(b)) for _, a, b in cut] == own, (i, t)
+    assert op7_pii.sanitise(docs.where("false")).count() == 0
+
+
 # 8
 
 
@@ -412,6 +558,12 @@ def test_mixing(edge_docs, edge_rows, no_docs):
     assert op9_mixing.mixture(no_docs).count() == 0
     rows = op9_mixing.mixed_rows(edge_docs.drop("size"))
     assert rows.count() == sum(r["copies"] > 0 for r in got)
+    # names that clash: the caller's columns stay, the figures come as one column
+    clash = edge_docs.withColumn("target", F.lit("mine")).withColumn("mix", F.lit(1))
+    rows = op9_mixing.mixed_rows(clash)
+    assert rows.columns == [*clash.columns, "mix_1"]
+    assert bag(rows.select("doc_id", "size", "target", "mix_1.copies").collect()) == bag((r["doc_id"], 3, "mine", r["copies"]) for r in got if r["copies"] > 0)
+    assert op9_mixing.mixed_rows(no_docs).count() == 0
 
 
 def test_pivotal_expectation(spark):
@@ -427,6 +579,22 @@ def test_pivotal_expectation(spark):
     assert abs(sum(total.values()) / (25 * 40) - 0.3) < 0.03
 
 
+def test_pivotal_rounding_of_every_document(spark):
+    """Every document is taken as often as its fraction says, be it large or small, in one block or many."""
+    n, each = 4000, 40
+    items = spark.range(n * each).selectExpr(f"cast(id div {each} as string) source", "id doc_id", "1 n", f"10 + id % {each} * id % {each} size", f"0.3D * (10 + id % {each} * id % {each}) mass")
+    rows = op9_mixing.pivotal_rounding(items, 1)
+    by = rows.groupBy((F.col("doc_id") % each).alias("k")).agg(F.avg("copy").alias("p"), F.count("*").alias("c")).collect()
+    assert len(by) == each and all(r["c"] == n for r in by)
+    assert all(abs(r["p"] - 0.3) < 4.5 * math.sqrt(0.21 / n) for r in by), sorted((r["k"], r["p"]) for r in by)
+    # the total is off by less than the size of one document
+    off = rows.groupBy("source").agg((F.sum(F.col("copy") * F.col("size")) - F.sum("size") * 0.3).alias("d"), F.max("size").alias("most")).where("abs(d) > most + 1e-6")
+    assert off.count() == 0
+    one = items.selectExpr("'s' source", "doc_id", "n", "size", "mass").limit(5000)
+    d = op9_mixing.pivotal_rounding(one, 1).agg(F.count("*"), F.sum(F.col("copy") * F.col("size")) - F.sum("size") * 0.3, F.max("size")).first()
+    assert d[0] == 5000 and abs(d[1]) <= d[2]
+
+
 # 10
 
 
@@ -531,6 +699,30 @@ def test_warc(spark):
     assert op1_warc.read_archives(op1_warc.normalise_archives(op1_warc.write_archives(pages.where("false")))).count() == 0
 
 
+def test_warc_files(spark, tmp_path):
+    """Records are valid WARC/1.1 with ids of their own; archives go to files and come back."""
+    import gzip
+
+    rows = [(i % 7, f"http://h/{i}", f"<p>{i % 5}</p>" * 30) for i in range(20)] + [(3, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    normal = op1_warc.normalise_archives(op1_warc.write_archives(pages, archive_bytes=2000, date="2020-02-03T04:05:06Z"))
+    done = op1_warc.write_files(normal, f"file://{tmp_path}/warc").collect()
+    assert sum(r["records"] for r in done) == len(rows)
+    ids = []
+    for path in (tmp_path / "warc").glob("*.warc.gz"):
+        with gzip.open(path) as f:
+            for data, head in op1_warc.records(iter([f.read()])):
+                assert {"warc-type", "warc-record-id", "warc-date", "content-length", "warc-target-uri", "warc-payload-digest"} <= set(head) and head["warc-date"] == "2020-02-03T04:05:06Z"
+                block = data[data.index(b"\r\n\r\n") + 4 :]
+                assert block.startswith(b"HTTP/1.1 200 OK\r\n") and head["content-type"] == "application/http;msgtype=response"
+                assert (head["warc-type"] == "revisit") == ("warc-profile" in head)
+                ids.append(head["warc-record-id"])
+        assert len((path.parent / (path.name + ".cdx")).read_text().splitlines()) > 1
+    assert len(set(ids)) == len(ids) == len(rows)
+    back = op1_warc.read_archives(op1_warc.normalise_archives(op1_warc.read_files(spark, f"{tmp_path}/warc")))
+    assert bag(back.drop("url").collect()) == bag(op1_warc.read_archives(normal).drop("url").collect())
+
+
 def test_normalise_monolithic_stream():
     import gzip
     import io
