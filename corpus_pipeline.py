@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All
 but the last return the columns of ``documents``; the last returns the rows that the mix
 takes, with ``copies`` (how often each is repeated) and the figures of its source.
+
+Defined results, the same in every stage: an empty table gives an empty one with the same
+columns; columns beside those of ``documents`` are left out first, so no name clashes; null
+and empty texts fail the quality rules, and a stage that meets one all the same passes it on
+(the mix takes none of it); null ids, sources and languages are values like others, and rows
+that repeat an id with unlike texts are documents of their own; of rows equal in id and text
+one is left after near_dedup; of ties the smallest id stays, and without ids the smallest
+fingerprint of the text; texts of any length are worked on whole.
 """
 
 from __future__ import annotations
@@ -10,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm import op2_secrets, op4_near_dedup, op6_decontaminate, op9_mixing, op10_quality
-from corpusmill.llm.shared import materialize
+from corpusmill.llm.shared import discard, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -55,5 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

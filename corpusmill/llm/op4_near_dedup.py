@@ -18,15 +18,18 @@ class carries a minwise signature. The join grows ``trees`` independent trees:
 A pair of similarity s meets in a tree's first node with probability s and passes each
 further level with 1 - (1 - s)^2; with ten trees the share of links at 0.85 that no tree
 finds at the first level is 0.15^10 = 6e-9. A pair whose signatures agree in so few places
-that a similarity at the threshold has odds under 1e-8 isn't verified; all others are
-verified on the full sets, recomputed from the texts.
+that a similarity at the threshold has odds under ``screen`` isn't verified; with ``screen=0``
+every pair that meets is. Verification is on the full sets, recomputed from the texts: equal
+shingles are equal 64-bit hashes of words with a key for every place, and words of up to
+eight bytes have unlike hashes for certain.
 
 Defined results: null or empty texts have an empty set, are linked with nothing and are
 kept. Repeated rows are copies of each other. Rows with a null id have no place in the
-order: they get component_id null unless a row with an id is reachable, and kept is false
-in that case and true otherwise; an id with unlike texts is one node. Where rows are dropped
+order: they get component_id null and kept true unless a row with an id is reachable, and kept is false
+in that case; an id with unlike texts is one node. Where rows are dropped
 (``drop_near_duplicates``) unlike texts without an id or under one id are documents of their
-own, compared like all others. Columns other than ``id_col`` and ``text_col`` are never
+own, compared like all others. An empty table gives an empty result; texts of any length are
+compared whole. Columns other than ``id_col`` and ``text_col`` are never
 looked at, so clashing names do no harm.
 """
 
@@ -133,10 +136,12 @@ def _verify(size: int, percent: int):
     return run
 
 
-def _least_agreement(percent: int, n: int = SIGNATURE, odds: float = 1e-8) -> int:
+def _least_agreement(percent: int, odds: float, n: int = SIGNATURE) -> int:
     """The most agreeing places m with P(agreement < m | similarity = percent) <= odds."""
     from math import comb
 
+    if odds <= 0:
+        return 0
     p, total = percent / 100, 0.0
     for m in range(n + 1):
         total += comb(n, m) * p**m * (1 - p) ** (n - m)
@@ -145,22 +150,24 @@ def _least_agreement(percent: int, n: int = SIGNATURE, odds: float = 1e-8) -> in
     return n
 
 
-def _pairs_to_links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Distinct candidate pairs (u, v): filter by size and signature, verify on the texts."""
+def _pairs_to_links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, size: int, percent: int, screen: float, label: str) -> DataFrame:
+    """Distinct candidate pairs (u, v): filter by size and signature, verify on the texts; a table of links."""
     pairs = pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     s = sets.select("rep", "n_shingles", "sig")
     likely = (
         pairs.join(s.select(F.col("rep").alias("u"), F.col("n_shingles").alias("nu"), F.col("sig").alias("su")), "u")
         .join(s.select(F.col("rep").alias("v"), F.col("n_shingles").alias("nv"), F.col("sig").alias("sv")), "v")
         .where(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)")
-        .where(f"size(filter(zip_with(su, sv, (x, y) -> x = y), x -> x)) >= {_least_agreement(percent)}")
+        .where(f"size(filter(zip_with(su, sv, (x, y) -> x = y), x -> x)) >= {_least_agreement(percent, screen)}")
         .select("u", "v")
     )
     likely = materialize(likely, "pairs")
     asked = materialize(likely.select(F.explode(F.array("u", "v")).alias("rep")).distinct(), "asked")
     t = materialize(texts.join(asked, "rep", "left_semi"), "texts")
     found = likely.join(t.select(F.col("rep").alias("u"), F.col("text").alias("tu")), "u").join(t.select(F.col("rep").alias("v"), F.col("text").alias("tv")), "v")
-    return found.select("u", "v", "tu", "tv").mapInArrow(_verify(size, percent), "u long, v long")
+    links = materialize(found.select("u", "v", "tu", "tv").mapInArrow(_verify(size, percent), "u long, v long"), label)
+    discard(likely, asked, t)
+    return links
 
 
 def _leaf_pairs(members: DataFrame) -> DataFrame:
@@ -209,7 +216,7 @@ def _rest_pairs(rest: DataFrame, texts: DataFrame, size: int, percent: int) -> D
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, trees: int = 10, leaf: int = 12, depth: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, trees: int = 10, leaf: int = 12, depth: int = 3, screen: float = 1e-8
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     small_batches(docs.sparkSession)
@@ -243,7 +250,7 @@ def near_duplicates(
     def connect(pairs: DataFrame, label: str) -> None:
         """Verify pairs and merge what they link into the components known so far."""
         nonlocal known
-        links = materialize(_pairs_to_links(pairs, sets, texts, shingle, percent), label)
+        links = _pairs_to_links(pairs, sets, texts, shingle, percent, screen, label)
         if known is None or not links.isEmpty():
             links = links if known is None else links.unionByName(stars(known))
             known = components(links).select(F.col("node").alias("node_id"), "component")
@@ -270,6 +277,7 @@ def near_duplicates(
         if nodes.isEmpty():
             break
 
+    discard(sets, nodes)
     labels = classes.join(known, classes.rep == known.node_id, "left").select("n_shingles", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     out = described.drop("sig").join(labels, ["n_shingles", "k1", "k2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

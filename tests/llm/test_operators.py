@@ -59,6 +59,11 @@ def test_near_duplicates(edge_docs, edge_rows, size, percent, leaf, depth):
     assert bag(got.collect()) == bag(brute_components(edge_rows, size, percent))
 
 
+def test_near_duplicates_without_the_screen(edge_docs, edge_rows):
+    got = op4_near_dedup.near_duplicates(edge_docs, shingle=3, percent=85, screen=0)
+    assert bag(got.collect()) == bag(brute_components(edge_rows, 3, 85))
+
+
 def test_near_duplicates_drop_and_empty(edge_docs, edge_rows, no_docs):
     kept = op4_near_dedup.drop_near_duplicates(edge_docs)
     assert kept.columns == edge_docs.columns

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from tests.conftest import SF, compare
 
 import __spark_entry__
@@ -81,6 +82,23 @@ def test_pipeline(spark, tmp_path):
     assert sorted((r["doc_id"], r["taken"]) for r in corpus_pipeline.run(spark, here).collect()) == sorted((r["doc_id"], r["taken"]) for r in mixed)
 
 
+def test_stages_on_empty_and_awkward_tables(spark, tmp_path):
+    """Every stage: an empty table, and nulls in every column."""
+    here = str(tmp_path)
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{here}/benchmark.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    prose = " ".join(f"own{i} word{i}" for i in range(30))
+    rows = [(None, prose, None, None, None), (None, prose + " more of it at the end here", "en", "s", 1), (7, prose.upper() + " x" * 5, None, None, None), (8, None, "en", None, 0), (9, "", None, "s", None)]
+    awkward = spark.createDataFrame(rows, docs.schema).withColumn("size", F.lit("mine")).withColumn("row_key", F.lit(1))
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.where("false"), here)
+        assert empty.count() == 0 and (name == "mix" or empty.columns == docs.columns)
+        got = stage(spark, awkward, here)
+        assert name == "mix" or got.columns == docs.columns
+        n = got.count()
+        assert n == {"quality": 3, "near_dedup": 3, "decontaminate": 5, "secrets": 5}.get(name, n), name
+
+
 def test_masks_leave_a_seed_under_any_two_substitutions():
     import itertools
 
