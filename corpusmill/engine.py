@@ -1,13 +1,18 @@
 """A facade with the verbs of a retrieval service over catalogue tables in a folder.
 
-Tables are immutable snapshots: every change writes a new folder and swaps the pointer, so
-readers and failed jobs never see half a change. Collections are few; documents, chunks and
-entries are DataFrames of any size.
+A table is a list of immutable Parquet folders, and a manifest in the root names the folders
+of all tables. Every change writes new folders first and commits them by one new manifest, so
+readers and failed jobs never see half a change, and an engine that opens the root again finds
+all of it. Ingest appends folders in proportion to what arrives; deletes and updates rewrite
+the tables that they touch. ``vacuum`` deletes folders that the newest manifests don't name.
+Collections are few; documents, chunks and entries are DataFrames of any size. One writer at
+a time: a second one that commits on an old manifest gets an error and changes nothing.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +27,12 @@ from corpusmill.plans.events import Events
 from corpusmill.sources import loaders
 
 TABLES = {"collections": schemas.COLLECTION, "documents": schemas.DOCUMENT, "chunks": schemas.CHUNK, "entries": schemas.ENTRY}
+#: what an entry is found by, beside its metadata
+SCOPE = ("tenant_id", "collection_id", "document_id")
+
+
+class Conflict(RuntimeError):
+    pass
 
 
 class Engine:
@@ -29,22 +40,77 @@ class Engine:
         self.spark, self.root, self.tenant, self.app = spark, root.rstrip("/"), tenant, app
         self.embedder, self.events = embedder or HashingEmbedder(), Events()
         self.as_of = as_of
-        self.paths: dict[str, str | None] = dict.fromkeys(TABLES)
+        self.migrate()
 
     # tables
 
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
+    def _fs(self):
+        return self._path("_manifests").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _versions(self) -> list[int]:
+        names = [s.getPath().getName() for s in self._fs().listStatus(self._path("_manifests"))]
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def _read(self, version: int) -> dict[str, list[str]]:
+        stream = self._fs().open(self._path(f"_manifests/{version:012d}.json"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def migrate(self) -> None:
+        """Open the root: its newest manifest, or a first one without any folder."""
+        self._fs().mkdirs(self._path("_manifests"))
+        versions = self._versions()
+        self.version = versions[-1] if versions else -1
+        self.paths = self._read(self.version) if versions else {}
+        self.paths = {name: self.paths.get(name, []) for name in TABLES}
+        if not versions:
+            self._commit(self.paths)
+
+    def _commit(self, paths: dict[str, list[str]]) -> None:
+        fs, final, draft = self._fs(), self._path(f"_manifests/{self.version + 1:012d}.json"), self._path(f"_manifests/.{uuid.uuid4().hex}")
+        stream = fs.create(draft)
+        stream.write(bytearray(json.dumps(paths).encode()))
+        stream.close()
+        if fs.exists(final) or not fs.rename(draft, final):
+            fs.delete(draft, False)
+            raise Conflict(f"{self.root}: version {self.version + 1} was written by another engine; open the root again")
+        self.version, self.paths = self.version + 1, paths
+
     def table(self, name: str) -> DataFrame:
-        if self.paths[name] is None:
+        if not self.paths[name]:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(self.paths[name])
+        return self.spark.read.schema(TABLES[name]).parquet(*[f"{self.root}/{p}" for p in self.paths[name]])
+
+    def _write(self, name: str, df: DataFrame) -> str:
+        folder = f"{name}/{uuid.uuid4().hex}"
+        rows = df.select(*TABLES[name].fieldNames())
+        if name == "entries":  # row groups of few tenants and collections: equalities skip the others
+            rows = rows.sortWithinPartitions("tenant_id", "collection_id")
+        rows.write.parquet(f"{self.root}/{folder}")
+        return folder
 
     def _swap(self, **frames: DataFrame) -> None:
-        new = {}
-        for name, df in frames.items():
-            path = f"{self.root}/{name}/{uuid.uuid4().hex}"
-            df.select(*TABLES[name].fieldNames()).write.parquet(path)
-            new[name] = path
-        self.paths |= new
+        """Replace whole tables in one commit."""
+        self._commit(self.paths | {name: [self._write(name, df)] for name, df in frames.items()})
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Delete folders and manifests that the newest ``keep`` manifests don't need; the number of folders."""
+        fs, versions = self._fs(), self._versions()
+        live = {p for v in versions[-max(1, keep) :] for folders in self._read(v).values() for p in folders}
+        gone = 0
+        for name in TABLES:
+            if fs.exists(self._path(name)):
+                for s in fs.listStatus(self._path(name)):
+                    if f"{name}/{s.getPath().getName()}" not in live:
+                        gone += bool(fs.delete(s.getPath(), True))
+        for v in versions[: -max(1, keep)]:
+            fs.delete(self._path(f"_manifests/{v:012d}.json"), False)
+        return gone
 
     def _now(self) -> dt.datetime:
         return self.as_of or dt.datetime.now(dt.UTC).replace(tzinfo=None)
@@ -86,19 +152,19 @@ class Engine:
 
     def update_collection(self, collection_id: str, **changes) -> None:
         self.get_collection(collection_id)
-        rows = self.table("collections").where(F.col("id") == collection_id)
-        for k, v in (changes | {"updated_at": self._now()}).items():
-            rows = rows.withColumn(k, F.lit(v).cast(schemas.COLLECTION[k].dataType) if not isinstance(v, dict) else F.create_map(*[F.lit(x) for kv in v.items() for x in kv]))
-        self._swap(collections=self.table("collections").where(F.col("id") != collection_id).unionByName(rows))
+        self._update("collections", collection_id, changes)
 
     def list_collections(self, search: str = "", limit: int = 0, offset: int = 0) -> DataFrame:
         return catalog.list_collections(self.table("collections"), search, limit, offset)
 
+    def count_collections(self, search: str = "") -> int:
+        return catalog.count_collections(self.table("collections"), search)
+
     def delete_collection(self, collection_id: str) -> None:
         self.get_collection(collection_id)
         keep = lambda name: self.table(name).where(F.col("collection_id") != collection_id)
         self._swap(
-            chunks=keep("chunks"), documents=keep("documents"), entries=vectors.delete_where(self.table("entries"), {"collection_id": collection_id}),
+            chunks=keep("chunks"), documents=keep("documents"), entries=keep("entries"),
             collections=self.table("collections").where(F.col("id") != collection_id),
         )
         self.events.emit("collection_deleted", collection_id)
@@ -110,56 +176,138 @@ class Engine:
     # documents
 
     def ingest(self, collection_id: str, docs: DataFrame, content: str = "content", title: str = "title", source: str = "source", mime: str = "") -> DataFrame:
-        """Ingest a whole DataFrame as one plan; rows (document id, state). Duplicates of a hash are left out."""
+        """Ingest a whole DataFrame as one plan; rows (id, state, chunk_count) of the collection.
+
+        Empty contents and duplicates of a hash are left out. The new documents are committed as
+        ``processing`` first. Then chunks, entries and the documents as ``ready`` come in one
+        commit; a document that its loader can't parse is ``failed`` with the reason. When the
+        plan fails, all documents of this ingest stay as ``failed``, and nothing else does.
+        """
         c = self.get_collection(collection_id)
         self.events.emit("ingest_started", collection_id)
+        folder = None
         try:
-            return self._ingest(c, docs, content, title, source, mime)
+            fresh = self._new_documents(c, docs, content, title, source, mime)
+            folder = self._write("documents", fresh.drop("content"))
+            self._commit(self.paths | {"documents": [*self.paths["documents"], folder]})
+            contents = fresh.select("id", "content")
+            self._finish(c, folder, contents, mime)
         except Exception as e:
+            if folder:
+                rows = self._folder("documents", folder)
+                self._replace(folder, rows.withColumn("state", F.lit("failed")).withColumn("error", F.lit(f"{type(e).__name__}: {e}"[:500])))
             self.events.emit("ingest_failed", collection_id, error=e)
             raise
-
-    def _ingest(self, c: dict, docs: DataFrame, content: str, title: str, source: str, mime: str) -> DataFrame:
+        return self.table("documents").where(F.col("collection_id") == collection_id).select("id", "state", "chunk_count")
+
+    def ingest_batch(self, collection_id: str, batches: list[DataFrame], **options) -> list[DataFrame]:
+        """One ingest after the other. The first error ends it; what came before stays and is in the error's ``done``."""
+        done = []
+        for docs in batches:
+            try:
+                done.append(self.ingest(collection_id, docs, **options))
+            except Exception as e:
+                e.done = done
+                raise
+        return done
+
+    def _folder(self, name: str, folder: str) -> DataFrame:
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{folder}")
+
+    def _replace(self, folder: str, rows: DataFrame, **more: str) -> None:
+        """Commit another version of the documents of one folder, and further folders beside it."""
+        new = self._write("documents", rows)
+        paths = self.paths | {"documents": [new if p == folder else p for p in self.paths["documents"]]}
+        self._commit(paths | {name: [*paths[name], f] for name, f in more.items()})
+
+    def _new_documents(self, c: dict, docs: DataFrame, content: str, title: str, source: str, mime: str) -> DataFrame:
         pick = lambda n: F.col(n).cast("string") if n in docs.columns else F.lit("")
         now = F.lit(self._now()).cast("timestamp")
         rows = docs.where(F.coalesce(F.col(content), F.lit("")) != "").select(F.col(content).alias("content"), pick(title).alias("title"), pick(source).alias("source"))
         rows = rows.withColumn("content_hash", content_hash("content"))
         rows = catalog.first_of_hash(rows, ["content_hash"], ["source", "title"])
         rows = catalog.only_new(rows, self.table("documents").where(F.col("collection_id") == c["id"]), ["content_hash"])
-        rows = rows.withColumn("document_id", id_column("doc", F.lit(c["id"]), F.col("content_hash"))).withColumn("content_length", F.octet_length("content"))
+        return rows.select(
+            id_column("doc", F.lit(c["id"]), F.col("content_hash")).alias("id"), F.lit(c["id"]).alias("collection_id"), F.lit(c["tenant_id"]).alias("tenant_id"), "title", "source",
+            F.lit(mime).alias("source_type"), "content_hash", F.octet_length("content").alias("content_length"), F.lit(0).alias("chunk_count"),
+            F.create_map().cast("map<string,string>").alias("metadata"), F.lit("processing").alias("state"), F.lit("").alias("error"), now.alias("created_at"), now.alias("updated_at"), "content",
+        )
+
+    def _finish(self, c: dict, folder: str, contents: DataFrame, mime: str) -> None:
+        """Chunks and entries of the documents of a folder, and the documents' last state."""
+        ours = self._folder("documents", folder)
+        # the ids that were committed decide, whatever the input gives when it is read again
+        rows = contents.join(ours.select("id"), "id", "left_semi").withColumnRenamed("id", "document_id").dropDuplicates(["document_id"])
         loaded = loaders.load(rows, "content", mime) if mime and loaders.supports(mime) else rows
-        pieces = chunkers.chunk(loaded.select("document_id", "content"), "content", c["chunk_strategy"], c["chunk_size"], c["chunk_overlap"])
-        fixed = {"collection_id": c["id"], "tenant_id": c["tenant_id"]}
+        if "load_error" not in loaded.columns:
+            loaded = loaded.withColumn("load_error", F.lit(None).cast("string"))
+        pieces = chunkers.chunk(loaded.where("load_error is null").select("document_id", "content"), "content", c["chunk_strategy"], c["chunk_size"], c["chunk_overlap"])
+        now = F.lit(self._now()).cast("timestamp")
         chunks = pieces.select(
-            id_column("chk", F.col("document_id"), F.col("index")).alias("id"), "document_id", *[F.lit(v).alias(k) for k, v in fixed.items()], "content", "index",
+            id_column("chk", F.col("document_id"), F.col("index")).alias("id"), "document_id", F.lit(c["id"]).alias("collection_id"), F.lit(c["tenant_id"]).alias("tenant_id"), "content", "index",
             "start_offset", "end_offset", "token_count", F.create_map().cast("map<string,string>").alias("metadata"), F.lit(None).cast("string").alias("parent_id"), now.alias("created_at"),
         )
-        self._swap(chunks=self.table("chunks").unionByName(chunks))
-        fresh = self.table("chunks").join(rows.select("document_id"), "document_id", "left_semi")
-        counts = fresh.groupBy("document_id").agg(F.count("*").cast("int").alias("chunk_count"))
-        documents = rows.join(counts, "document_id", "left").select(
-            F.col("document_id").alias("id"), *[F.lit(v).alias(k) for k, v in fixed.items()], "title", "source", F.lit(mime).alias("source_type"), "content_hash", "content_length",
-            F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.create_map().cast("map<string,string>").alias("metadata"), F.lit("ready").alias("state"), F.lit("").alias("error"),
-            now.alias("created_at"), now.alias("updated_at"),
-        )
-        self._swap(entries=vectors.upsert(self.table("entries"), self._entries(fresh)), documents=self.table("documents").unionByName(documents))
-        self.events.emit("ingest_completed", c["id"])
-        return self.table("documents").where(F.col("collection_id") == c["id"]).select("id", "state", "chunk_count")
+        chunk_folder = self._write("chunks", chunks)
+        fresh = self._folder("chunks", chunk_folder)
+        n_chunks = fresh.count()
+        self.events.emit("ingest_chunked", c["id"], chunks=n_chunks)
+        entry_folder = self._write("entries", self._entries(fresh))
+        self.events.emit("ingest_embedded", c["id"], entries=n_chunks)
+        counts = fresh.groupBy(F.col("document_id").alias("id")).agg(F.count("*").cast("int").alias("_n"))
+        bad = loaded.where("load_error is not null").select(F.col("document_id").alias("id"), "load_error")
+        rows = ours.join(counts, "id", "left").join(bad, "id", "left")
+        rows = rows.withColumn("chunk_count", F.coalesce("_n", F.lit(0))).withColumn("state", F.when(F.col("load_error").isNull(), "ready").otherwise("failed"))
+        self._replace(folder, rows.withColumn("error", F.coalesce("load_error", F.lit(""))).withColumn("updated_at", now), chunks=chunk_folder, entries=entry_folder)
+        states = {r["state"]: r["n"] for r in self._folder("documents", self.paths["documents"][-1]).groupBy("state").agg(F.count("*").alias("n")).collect()}
+        if states.get("failed"):
+            self.events.emit("ingest_failed", c["id"], documents=states["failed"])
+        self.events.emit("ingest_completed", c["id"], documents=states.get("ready", 0), chunks=n_chunks)
 
     def _entries(self, chunks: DataFrame) -> DataFrame:
         meta = vectors.entry_metadata(F.col("collection_id"), F.col("document_id"), F.col("tenant_id"), F.col("index"), F.col("metadata"))
-        return chunks.select("id", self.embedder.column(F.col("content")).alias("vector"), "content", meta.alias("metadata"))
+        return chunks.select("id", self.embedder.column(F.col("content")).alias("vector"), "content", meta.alias("metadata"), *SCOPE)
+
+    def update_document(self, document_id: str, **changes) -> None:
+        """Replace columns of one document; an unknown id or state is an error."""
+        self.get_document(document_id)
+        if changes.get("state", "ready") not in schemas.STATES:
+            raise ValueError(f"unknown state {changes['state']!r}")
+        self._update("documents", document_id, changes)
+
+    def _update(self, table: str, row_id: str, changes: dict) -> None:
+        rows = self.table(table)
+        hit = F.col("id") == row_id
+        for k, v in (changes | {"updated_at": self._now()}).items():
+            kind = TABLES[table][k].dataType
+            new = F.create_map(*[F.lit(x) for kv in v.items() for x in kv]) if isinstance(v, dict) else F.lit(v)
+            rows = rows.withColumn(k, F.when(hit, new.cast(kind)).otherwise(F.col(k)))
+        self._swap(**{table: rows})
 
     def list_documents(self, **options) -> DataFrame:
         return catalog.list_documents(self.table("documents"), **options)
 
+    def count_documents(self, collection_id: str = "", state: str = "") -> int:
+        return catalog.count_documents(self.table("documents"), collection_id, state)
+
+    def get_chunk(self, chunk_id: str) -> dict:
+        return self._one("chunks", F.col("id") == chunk_id, chunk_id)
+
+    def list_chunks(self, document_id: str, limit: int = 0, offset: int = 0) -> DataFrame:
+        return catalog.page(self.table("chunks").where(F.col("document_id") == document_id), ["index"], limit, offset)
+
+    def count_chunks(self, collection_id: str = "", document_id: str = "") -> int:
+        return catalog.count_chunks(self.table("chunks"), collection_id, document_id)
+
+    def entity_counts(self) -> dict:
+        return catalog.entity_counts(self.table("collections"), self.table("documents"), self.table("chunks")).first().asDict()
+
     def get_document(self, document_id: str) -> dict:
         return self._one("documents", F.col("id") == document_id, document_id)
 
     def delete_document(self, document_id: str) -> None:
         self.get_document(document_id)
         self._swap(
-            entries=vectors.delete_where(self.table("entries"), {"document_id": document_id}), chunks=self.table("chunks").where(F.col("document_id") != document_id),
+            entries=self.table("entries").where(F.col("document_id") != document_id), chunks=self.table("chunks").where(F.col("document_id") != document_id),
             documents=self.table("documents").where(F.col("id") != document_id),
         )
         self.events.emit("document_deleted", document_id)
@@ -169,30 +317,30 @@ class Engine:
         self.get_collection(collection_id)
         self.events.emit("reindex_started", collection_id)
         ready = self.table("documents").where((F.col("collection_id") == collection_id) & (F.col("state") == "ready")).select(F.col("id").alias("document_id"))
-        rest = vectors.delete_where(self.table("entries"), {"collection_id": collection_id})
+        rest = self.table("entries").where(F.col("collection_id") != collection_id)
         self._swap(entries=rest.unionByName(self._entries(self.table("chunks").join(ready, "document_id", "left_semi"))))
         self.events.emit("reindex_completed", collection_id)
 
     # retrieval
 
-    def retrieve(self, query: str, collection_id: str = "", k: int = 0, min_score: float = 0.0, strategy: str = "similarity", filters: dict | None = None) -> DataFrame:
+    def retrieve(self, query: str, collection_id: str = "", k: int = 0, min_score: float = 0.0, strategy: str = "similarity", filters: dict | None = None, **options) -> DataFrame:
+        """Rows (query_id, id, score, content, metadata, rank). Tenant and collection are equalities on columns, ``filters`` on the metadata."""
         if not query:
             raise ValueError("query is required")
         self.events.emit("retrieval_started", collection_id)
-        where = dict(filters or {}) | ({"collection_id": collection_id} if collection_id else {})
-        options = {"filters": where, "tenant": self.tenant or None, "k": k if k > 0 else schemas.DEFAULTS["top_k"]}
-        if strategy == "similarity":
+        options |= {"filters": filters, "scope": self._scope(collection_id), "k": k if k > 0 else schemas.DEFAULTS["top_k"], "carry": ("content", "metadata")}
+        if strategy != "mmr":
             options["min_score"] = min_score
         try:
-            entries = self.table("entries")
-            found = retrieve.retrieve(entries, {"q": self.embedder.embed([query])[0]}, strategy, **options)
-            out = found.join(entries.select("id", "content", "metadata"), "id").orderBy("rank")
+            out = retrieve.retrieve(self.table("entries"), {"q": self.embedder.embed([query])[0]}, strategy, **options).orderBy("rank")
         except Exception as e:
             self.events.emit("retrieval_failed", collection_id, error=e)
             raise
         self.events.emit("retrieval_completed", collection_id)
         return out
 
+    def _scope(self, collection_id: str = "") -> dict[str, str]:
+        return ({"tenant_id": self.tenant} if self.tenant else {}) | ({"collection_id": collection_id} if collection_id else {})
+
     def search_collections(self, query: str, collection_ids: list[str], k: int = 0) -> DataFrame:
-        entries = self.table("entries").withColumn("collection_id", F.try_element_at("metadata", F.lit("collection_id")))
-        return retrieve.cross_collection(entries, {"q": self.embedder.embed([query])[0]}, collection_ids, k, tenant=self.tenant or None)
+        return retrieve.cross_collection(self.table("entries"), {"q": self.embedder.embed([query])[0]}, collection_ids, k, carry=("content", "metadata"), scope=self._scope())

@@ -45,5 +45,25 @@ def from_sql(value: str | None) -> str:
     return value or ""
 
 
+def to_bson(value: str | None) -> tuple[int, bytes]:
+    """(BSON type, bytes): a string (2) with its length and a closing zero, or null (10) for the nil id."""
+    if not value:
+        return 10, b""
+    data = value.encode() + b"\0"
+    return 2, len(data).to_bytes(4, "little") + data
+
+
+def from_bson(kind: int, data: bytes) -> str:
+    """The id of a BSON string; null is the nil id, any other type is an error."""
+    if kind == 10:
+        return ""
+    if kind != 2 or len(data) < 5 or int.from_bytes(data[:4], "little") != len(data) - 4 or data[-1] != 0:
+        raise IdError(f"not a BSON id (type {kind})")
+    value = data[4:-1].decode()
+    if value:
+        parse_id(value)
+    return value
+
+
 def has_prefix(c: Column, prefix: str) -> Column:
     return F.split(c, "_")[0] == prefix

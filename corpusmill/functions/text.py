@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Unicode white space, as a character class that Java and RE2 both read.
 SPACE = r"[\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same characters, for Python's strip (which by itself also takes U+001C to U+001F).
+SPACE_CHARS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 TRIM = rf"^{SPACE}+|{SPACE}+$"
 
 

@@ -60,6 +60,18 @@ def list_chunks(df: DataFrame, document: str) -> DataFrame:
     return df.where(F.col("document_id") == document).orderBy("index")
 
 
+def count_collections(df: DataFrame, search: str = "") -> int:
+    return df.where(contains_text("name", search)).count()
+
+
+def count_documents(df: DataFrame, collection: str = "", state: str = "") -> int:
+    return where_equal(df, collection_id=collection, state=state).count()
+
+
+def count_chunks(df: DataFrame, collection: str = "", document: str = "") -> int:
+    return where_equal(df, collection_id=collection, document_id=document).count()
+
+
 def first_of_hash(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """Of rows with equal keys the first; what a unique (collection, hash) constraint lets in."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -84,6 +96,13 @@ def count_states(documents: DataFrame) -> DataFrame:
     return documents.agg(F.count("*").alias("documents"), one("pending"), one("processing"), one("ready"), one("failed"))
 
 
+def entity_counts(collections: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The seven counters of an overview in one row: collections, documents, chunks and documents by state."""
+    c, k = collections.agg(F.count("*").alias("collections")), chunks.agg(F.count("*").alias("chunks"))
+    # each side is one row
+    return c.crossJoin(count_states(documents)).crossJoin(k)
+
+
 def with_collection_name(documents: DataFrame, collections: DataFrame) -> DataFrame:
     """Left join; an unknown collection shows its id."""
     names = collections.select(F.col("id").alias("collection_id"), F.col("name").alias("_name"))

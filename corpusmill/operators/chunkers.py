@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import SPACE, unicode_trim
+from corpusmill.functions.text import SPACE, SPACE_CHARS, unicode_trim
 from corpusmill.schemas import CHUNK_RESULT, DEFAULTS
 
 BYTES_PER_TOKEN = 4
@@ -101,7 +101,7 @@ def code(df: DataFrame, size: int, overlap: int) -> DataFrame:
 
 
 def _bare(b: bytes) -> bytes:
-    return b.decode("utf-8", "surrogateescape").strip().encode("utf-8", "surrogateescape")
+    return b.decode("utf-8", "surrogateescape").strip(SPACE_CHARS).encode("utf-8", "surrogateescape")
 
 
 def _split_down(text: bytes, separators: tuple[bytes, ...], size: int, overlap: int) -> list[bytes]:
@@ -133,7 +133,7 @@ def _split_down(text: bytes, separators: tuple[bytes, ...], size: int, overlap:
 
 
 def recursive_rows(text: str | None, size: int, overlap: int) -> list[dict]:
-    data = (text or "").strip().encode()
+    data = (text or "").strip(SPACE_CHARS).encode()
     rows, at = [], 0
     for i, c in enumerate(_split_down(data, tuple(s.encode() for s in RECURSIVE_SEPARATORS), size, overlap) if data else []):
         start = max(data.find(c, at), 0)  # glued chunks aren't in the text: they start at 0

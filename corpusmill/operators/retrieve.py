@@ -1,8 +1,12 @@
-"""Retrieval: similarity, diversity (MMR), rank fusion, re-ranking, cross-collection search."""
+"""Retrieval: similarity, diversity (MMR), rank fusion, re-ranking, cross-collection search.
+
+Every strategy takes ``carry``, the columns of the entries that its result brings along; they
+travel with the candidates, so a result is never joined with the corpus again.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -41,38 +45,44 @@ def pick_diverse(ids: list, rel: np.ndarray, m: np.ndarray, k: int, lam: float)
     return out
 
 
-def mmr(entries: DataFrame, queries: dict[str, list[float]], k: int = 10, lam: float = LAMBDA, id_col: str = "id", vector_col: str = "vector", **options) -> DataFrame:
-    """Maximal marginal relevance: rows (query_id, id, score, rank), rank is the order of selection.
+def mmr(
+    entries: DataFrame, queries: dict[str, list[float]], k: int = 10, lam: float = LAMBDA, id_col: str = "id", vector_col: str = "vector", carry: tuple[str, ...] = (), **options
+) -> DataFrame:
+    """Maximal marginal relevance: rows (query_id, id, score, the carried columns, rank), rank is the order of selection.
 
     One group per query holds at most ``pool_size(k)`` candidates. k = 0 gives no rows, and a
     minimal score isn't looked at.
     """
     options.pop("min_score", None)
-    found = vectors.search(entries, queries, pool_size(k), id_col=id_col, vector_col=vector_col, **options)
-    with_vectors = found.join(entries.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")), "id")
+    found = vectors.search(entries, queries, pool_size(k), id_col=id_col, vector_col=vector_col, carry=tuple(dict.fromkeys([vector_col, *carry])), **options)
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rank")
-        got = pick_diverse(rows["id"].tolist(), rows["score"].to_numpy(float), np.array(rows["v"].tolist(), float), k, lam)
-        out = rows.iloc[got][["query_id", "id", "score"]].copy()
-        out["rank"] = np.arange(1, len(out) + 1, dtype="int32")
-        return out
+    @F.pandas_udf("array<int>")
+    def choose(scores: pd.Series, pools: pd.Series) -> pd.Series:
+        chosen = []
+        for rel, pool in zip(scores, pools, strict=True):
+            m = np.array([np.asarray(v, float) for v in pool])
+            chosen.append(pick_diverse(list(range(len(rel))), np.asarray(rel, float), m, k, lam))
+        return pd.Series(chosen)
 
-    kind = dict(found.dtypes)["id"]
-    return with_vectors.groupBy("query_id").applyInPandas(choose, f"query_id string, id {kind}, score double, rank int")
+    # ordered by a comparison of ranks, as carried maps have no order
+    one = F.collect_list(F.struct("rank", "id", "score", *dict.fromkeys([vector_col, *carry])))
+    pools = found.groupBy("query_id").agg(F.array_sort(one, lambda a, b: a["rank"] - b["rank"]).alias("c"))
+    picks = choose(F.transform("c", lambda x: x["score"]), F.transform("c", lambda x: x[vector_col]))
+    out = pools.select("query_id", "c", F.posexplode(picks).alias("at", "pick")).withColumn("x", F.get("c", F.col("pick")))
+    return out.select("query_id", "x.id", "x.score", *[F.col("x").getField(c).alias(c) for c in carry], (F.col("at") + 1).cast("int").alias("rank"))
 
 
 def reciprocal_rank_fusion(lists: list[DataFrame], k: int = 0, key: str = "content", constant: int = RRF_K) -> DataFrame:
     """Fuse ranked lists (query_id, key, rank[, metadata]) by the sum of 1 / (constant + rank).
 
-    The key is the content: what repeats inside a list accumulates. Metadata come from the
-    first list that has the key. k <= 0 keeps all.
+    The key is the content: what repeats inside a list accumulates. Metadata, ids and whatever
+    else the lists bring come from the first list that has the key. k <= 0 keeps all.
     """
     parts = [d.withColumn("_list", F.lit(i)) for i, d in enumerate(lists)]
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p, allowMissingColumns=True)
-    more = [F.min_by("metadata", F.struct("_list", "rank")).alias("metadata")] if "metadata" in both.columns else []
+    more = [F.min_by(c, F.struct("_list", "rank")).alias(c) for c in both.columns if c not in ("query_id", key, "rank", "score", "_list")]
     fused = both.groupBy("query_id", key).agg(F.sum(1.0 / (constant + F.col("rank"))).alias("score"), *more)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", vectors.DIGITS)), key)
     out = fused.withColumn("rank", F.row_number().over(order))
@@ -88,25 +98,46 @@ def rerank(candidates: DataFrame, scorer: Column, k: int = 0) -> DataFrame:
 
 
 def cross_collection(
-    entries: DataFrame, query: dict[str, list[float]], collections: list[str], k: int = 0, collection_col: str = "collection_id", id_col: str = "id", **options
+    entries: DataFrame, query: dict[str, list[float]], collections: list[str], k: int = 0, collection_col: str = "collection_id", id_col: str = "id", carry: tuple[str, ...] = (), **options
 ) -> DataFrame:
     """Top k over the listed collections in one scan; hits of a collection listed twice come twice."""
     k = k if k > 0 else DEFAULTS["top_k"]
     if not collections:
-        return vectors.search(entries, query, k, id_col=id_col, **options)
-    order = F.create_map(*[F.lit(x) for i, c in enumerate(collections) for x in (c, i)]) if len(set(collections)) == len(collections) else None
+        return vectors.search(entries, query, k, id_col=id_col, carry=carry, **options)
     times = {c: collections.count(c) for c in collections}
-    rows = entries.where(F.col(collection_col).cast("string").isin(list(times)))
-    found = vectors.search(rows, query, k, id_col=id_col, **options)
-    found = found.join(rows.select(F.col(id_col).alias("id"), F.col(collection_col).cast("string").alias("collection_id")), "id")
-    if order is None:
+    rows = entries.where(F.col(collection_col).cast("string").isin(list(times))).withColumn("collection_id", F.col(collection_col).cast("string"))
+    found = vectors.search(rows, query, k, id_col=id_col, carry=tuple(dict.fromkeys(["collection_id", *carry])), **options)
+    if max(times.values()) > 1:
         repeat = F.create_map(*[F.lit(x) for c, n in times.items() for x in (c, n)])
         found = found.withColumn("_t", F.explode(F.sequence(F.lit(1), F.element_at(repeat, F.col("collection_id"))))).drop("_t")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
-STRATEGIES: dict[str, Callable] = {"similarity": similarity, "mmr": mmr}
+def hybrid(
+    entries: DataFrame, queries: dict[str, list[float]], k: int = 10, retrievers: tuple[str, ...] = ("similarity", "mmr"), key: str = "content", carry: tuple[str, ...] = (), **options
+) -> DataFrame:
+    """The named strategies' lists of ``pool_size(k)`` rows, fused by reciprocal rank."""
+    more = tuple(dict.fromkeys([key, *carry]))
+    lists = [retrieve(entries, queries, name, k=pool_size(k), carry=more, **options) for name in retrievers]
+    fused = reciprocal_rank_fusion([d.drop("score") for d in lists], k if k > 0 else 0, key)
+    return fused.select("query_id", "id", "score", *carry, "rank")
+
+
+def rerank_retriever(
+    entries: DataFrame, queries: dict[str, list[float]], k: int = 10, scorer: Callable[[Column, Column], Column] | None = None, base: str = "similarity", content: str = "content",
+    carry: tuple[str, ...] = (), **options,
+) -> DataFrame:
+    """Candidates of another strategy (``pool_size(k)`` of them), scored again by ``scorer(query_id, content)``.
+
+    A base's minimal score holds before, not after; where the scorer gives null the old score stays.
+    """
+    found = retrieve(entries, queries, base, k=pool_size(k), carry=tuple(dict.fromkeys([content, *carry])), **options)
+    score = scorer(F.col("query_id"), F.col(content)) if scorer else F.col("score")
+    return rerank(found, score, k).select("query_id", "id", "score", *carry, "rank")
+
+
+STRATEGIES: dict[str, Callable] = {"similarity": similarity, "mmr": mmr, "hybrid": hybrid, "rerank": rerank_retriever}
 
 
 def retrieve(entries: DataFrame, queries: dict[str, list[float]], strategy: str = "similarity", **options) -> DataFrame:
@@ -115,8 +146,3 @@ def retrieve(entries: DataFrame, queries: dict[str, list[float]], strategy: str
         raise ValueError(f"unknown retrieval strategy {strategy!r}")
     return STRATEGIES[strategy](entries, queries, **options)
 
-
-def batches(queries: dict[str, list[float]], size: int) -> Iterator[dict[str, list[float]]]:
-    names = list(queries)
-    for i in range(0, len(names), size):
-        yield {n: queries[n] for n in names[i : i + size]}

@@ -1,9 +1,11 @@
 """Vector entries: exact cosine search, filters, upsert and delete.
 
-Search scans the entries once: filters on promoted columns reach the Parquet scan, scores
-are NumPy products over Arrow batches, and every batch keeps only its own top k for each
-query, so what is shuffled is (tasks x queries x k) small rows. Scores are rounded to 9
-decimals before they are ranked, so equal vectors tie and the id decides.
+Search scans the entries once for a block of queries: equalities on real columns (``scope``)
+reach the Parquet scan, scores are NumPy products over Arrow batches, and every task keeps a
+running top k for each query and emits it once, with the columns that the caller wants to
+``carry`` along, so nothing is joined back. What is shuffled is (tasks x queries x k) rows.
+Scores are rounded to 9 decimals before they are ranked, so equal vectors tie and the id
+decides.
 """
 
 from __future__ import annotations
@@ -49,36 +51,73 @@ def tenant_matches(tenant: str | None, metadata: str = "metadata") -> Column:
     return matches({"tenant_id": tenant}, metadata, False) if tenant else F.lit(True)
 
 
-def _top(queries: dict, k: int, min_score: float, ids_as_string: bool):
+#: queries whose scores of one batch are in memory at a time
+_AT_ONCE = 256
+
+
+def _top(queries: dict, k: int, min_score: float, text_ids: bool):
     by_size: dict[int, list[str]] = {}
     for name, q in queries.items():
         by_size.setdefault(len(q), []).append(name)
 
+    def scored(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
+        vectors = batch.column(1)
+        sizes = np.array([0 if v is None else v for v in pa.compute.list_value_length(vectors).to_pylist()])
+        flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        for size, group in by_size.items():
+            fit = np.flatnonzero(sizes == size)
+            m = flat[first[fit][:, None] + np.arange(size)]
+            own = np.sqrt((m * m).sum(1))[:, None]
+            for at in range(0, len(group), _AT_ONCE):
+                names = group[at : at + _AT_ONCE]
+                q = np.array([queries[n] for n in names], np.float64).reshape(len(names), size)
+                norm = own * np.sqrt((q * q).sum(1))[None, :]
+                scores = np.zeros((len(names), len(sizes)))
+                scores[:, fit] = np.round(np.divide(m @ q.T, norm, out=np.zeros(norm.shape), where=norm > 0), DIGITS).T
+                yield from zip(names, scores, strict=True)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # of each query the scores, ids and numbers (among the rows held) of its best so far
+        kind = object if text_ids else np.int64
+        best = {n: (np.zeros(0), np.zeros(0, kind), np.zeros(0, np.int64)) for n in queries}
+        held: list[pa.RecordBatch] = []
+        n_held = 0
         for batch in batches:
-            ids = np.array(batch.column(0).to_pylist(), dtype=object if ids_as_string else None)
-            vectors = batch.column(1)
-            sizes = np.array([0 if v is None else v for v in pa.compute.list_value_length(vectors).to_pylist()])
-            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            first = np.concatenate([[0], np.cumsum(sizes)])
-            out_q, out_i, out_s = [], [], []
-            for size, group in by_size.items():
-                fit = np.flatnonzero(sizes == size)
-                m = flat[first[fit][:, None] + np.arange(size)]
-                q = np.array([queries[n] for n in group], np.float64).reshape(len(group), size)
-                norm = np.sqrt((m * m).sum(1))[:, None] * np.sqrt((q * q).sum(1))[None, :]
-                scores = np.zeros((len(ids), len(group)))
-                scores[fit] = np.round(np.divide(m @ q.T, norm, out=np.zeros(norm.shape), where=norm > 0), DIGITS)
-                for j, name in enumerate(group):
-                    score = scores[:, j]
-                    keep = np.flatnonzero(score >= min_score) if min_score > 0 else np.arange(len(ids))
-                    if len(keep) > 4 * k:  # everything that ties with the k-th stays
-                        keep = keep[score[keep] >= -np.partition(-score[keep], k - 1)[k - 1]]
-                    order = keep[np.lexsort((ids[keep], -score[keep]))][:k]
-                    out_q += [name] * len(order)
-                    out_i += ids[order].tolist()
-                    out_s += score[order].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.string()), pa.array(out_i, pa.string() if ids_as_string else pa.int64()), pa.array(out_s, pa.float64())], names=["query_id", "id", "score"])
+            ids = np.array(batch.column(0).to_pylist(), dtype=kind)
+            new: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+            for name, score in scored(batch):
+                have = best[name][0]
+                least = have[-1] if len(have) == k else -np.inf
+                keep = np.flatnonzero(score >= (max(least, min_score) if min_score > 0 else least))
+                if len(keep) > 4 * k:  # everything that ties with the k-th stays
+                    keep = keep[score[keep] >= -np.partition(-score[keep], k - 1)[k - 1]]
+                if len(keep):
+                    keep = keep[np.lexsort((ids[keep], -score[keep]))][:k]
+                    new[name] = keep, score[keep]
+            if not new:
+                continue
+            rows = np.unique(np.concatenate([r for r, _ in new.values()]))
+            held.append(pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(rows)) for i in (0, *range(2, batch.num_columns))], names=[f"c{i}" for i in range(batch.num_columns - 1)]))
+            for name, (r, score) in new.items():
+                s, i, at = best[name]
+                s, i, at = np.concatenate([s, score]), np.concatenate([i, ids[r]]), np.concatenate([at, n_held + np.searchsorted(rows, r)])
+                order = np.lexsort((i, -s))[:k]
+                best[name] = s[order], i[order], at[order]
+            n_held += len(rows)
+            if n_held > 4 * k * len(queries) + 10_000:  # let go of rows that no list needs any more
+                used = np.unique(np.concatenate([b[2] for b in best.values()]))
+                held = pa.Table.from_batches(held).take(pa.array(used)).combine_chunks().to_batches()
+                best = {n: (s, i, np.searchsorted(used, at)) for n, (s, i, at) in best.items()}
+                n_held = len(used)
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        for name, (s, _, at) in best.items():
+            if len(at):
+                part = table.take(pa.array(at)).combine_chunks()
+                columns = [c.chunk(0) for c in part.columns]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), columns[0], pa.array(s), *columns[1:]], names=["query_id", "id", "score", *(f"c{i}" for i in range(1, len(columns)))])
 
     return run
 
@@ -86,15 +125,24 @@ def _top(queries: dict, k: int, min_score: float, ids_as_string: bool):
 def search(
     entries: DataFrame, queries: dict[str, list[float]], k: int = 0, min_score: float = 0.0, filters: dict[str, str] | None = None,
     tenant: str | None = None, id_col: str = "id", vector_col: str = "vector", metadata: str = "metadata", max_queries: int = 10_000,
+    carry: tuple[str, ...] = (), scope: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Exact top k entries for each query: rows (query_id, id, score, rank), rank from 1.
+    """Exact top k entries for each query: rows (query_id, id, score, the carried columns, rank), rank from 1.
 
-    The queries travel with the tasks; their number is checked against ``max_queries``.
+    The queries travel with the tasks, ``max_queries`` at a time: more of them are further
+    scans. ``scope`` holds equalities on columns of ``entries``, ``filters`` on its metadata.
     """
     if len(queries) > max_queries:
-        raise ValueError(f"{len(queries)} queries in one search; {max_queries} at most: search in blocks")
+        names, out = list(queries), None
+        for at in range(0, len(names), max_queries):
+            block = {n: queries[n] for n in names[at : at + max_queries]}
+            part = search(entries, block, k, min_score, filters, tenant, id_col, vector_col, metadata, max_queries, carry, scope)
+            out = part if out is None else out.unionByName(part)
+        return out
     k = k if k > 0 else DEFAULTS["top_k"]
     rows = entries
+    for name, value in (scope or {}).items():
+        rows = rows.where(F.col(name) == value)
     if filters:
         rows = rows.where(matches(filters, metadata))
     if tenant:
@@ -102,7 +150,9 @@ def search(
     text_ids = dict(rows.dtypes)[id_col] == "string"
     id_type = "string" if text_ids else "long"
     ids = F.col(id_col) if text_ids else F.col(id_col).cast("long")
-    part = rows.select(ids.alias("id"), F.col(vector_col).alias("v")).mapInArrow(_top(queries, k, min_score, text_ids), f"query_id string, id {id_type}, score double")
+    rows = rows.select(ids.alias("id"), F.col(vector_col).alias("v"), *[F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)])
+    more = "".join(f", `{c}` {rows.schema[f'_carry{i}'].dataType.simpleString()}" for i, c in enumerate(carry))
+    part = rows.mapInArrow(_top(queries, k, min_score, text_ids), f"query_id string, id {id_type}, score double{more}")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return part.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -50,8 +50,22 @@ class Events:
         return self.frame(spark).where(F.col("action").isin([a for a in AUDITED if self.allow is None or a in self.allow]))
 
     def metrics(self, spark: SparkSession) -> DataFrame:
-        return counters(self.frame(spark))
+        return summed_counters(self.frame(spark))
 
 
 def counters(events: DataFrame, action: str = "action") -> DataFrame:
     return events.groupBy(action).agg(F.count("*").alias("n"))
+
+
+#: the details whose sums are counters of their own (fixed names)
+SUMMED = {"documents.ingested": ("ingest_completed", "documents"), "chunks.created": ("ingest_completed", "chunks")}
+
+
+def summed_counters(events: DataFrame) -> DataFrame:
+    """Rows (action, n): how often each counted action happened, and the sums of what ingests brought."""
+    out = counters(events.where(F.col("action").isin(list(COUNTED))))
+    for name, (action, detail) in SUMMED.items():
+        value = F.try_element_at("details", F.lit(detail)).cast("long")
+        total = F.coalesce(F.sum(F.when(F.col("action") == action, value)), F.lit(0))
+        out = out.unionByName(events.agg(F.lit(name).alias("action"), total.alias("n")).select("action", "n"))
+    return out

@@ -48,8 +48,7 @@ def store_step() -> Step:
 def retrieve_step(embedder, strategy: str = "similarity", k: int = 0, **options) -> Step:
     def run(s: State) -> State:
         query = {"q": embedder.embed([_need(s, "query")])[0]}
-        found = retrieve.retrieve(_need(s, "store"), query, strategy, k=k, **options)
-        return s | {"results": found.join(s["store"].select("id", "content", "metadata"), "id")}
+        return s | {"results": retrieve.retrieve(_need(s, "store"), query, strategy, k=k, carry=("content", "metadata"), **options)}
 
     return run
 

@@ -25,7 +25,8 @@ CHUNK = _struct(
     id=_S, document_id=_S, collection_id=_S, tenant_id=_S, content=_S, index=_I, start_offset=_I, end_offset=_I, token_count=_I,
     metadata=_META, parent_id=_S, created_at=_TS,
 )
-ENTRY = _struct(id=_S, vector=T.ArrayType(T.FloatType()), content=_S, metadata=_META)
+#: tenant, collection and document are columns beside the metadata, so equalities on them reach the scan
+ENTRY = _struct(id=_S, vector=T.ArrayType(T.FloatType()), content=_S, metadata=_META, tenant_id=_S, collection_id=_S, document_id=_S)
 CHUNK_RESULT = "array<struct<content:string,index:int,start_offset:int,end_offset:int,token_count:int>>"
 
 STATES = ("pending", "processing", "ready", "failed")

@@ -1,18 +1,24 @@
-"""Loaders: raw text of a known MIME type to plain text, as columns of a DataFrame."""
+"""Loaders: raw text of a known MIME type to plain text, as columns of a DataFrame.
+
+Markdown is a chain of expressions. HTML, CSV and JSON texts are parsed one by one in Python,
+in Arrow batches: their parsers keep state from character to character. A text that can't be
+parsed doesn't stop the job: its content is null and ``load_error`` says why.
+"""
 
 from __future__ import annotations
 
 import csv
 import io
 import json
-from collections.abc import Iterator
+import urllib.request
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import unicode_trim
+from corpusmill.functions.text import SPACE_CHARS, unicode_trim
 
 #: Regular expressions of Markdown, in the order in which they apply (fixed values).
 #: White space is written out because \s differs between dialects; (?d) ends lines at \n only.
@@ -27,11 +33,18 @@ MARKDOWN_STEPS = (
     (r"(?md)^[\t\n\f\r ]*[-*+][\t\n\f\r ]+", ""),
     (r"(?md)^[\t\n\f\r ]*[0-9]+\.[\t\n\f\r ]+", ""),
 )
+#: Elements whose text doesn't count, and those that end a line (fixed values).
 SKIPPED = ("script", "style", "noscript")
 BLOCKS = ("p", "div", "br", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr")
+#: File extensions (fixed values). Types that no loader supports are skipped by the directory loader.
 MIME_BY_EXTENSION = {
     "md": "text/markdown", "markdown": "text/markdown", "csv": "text/csv", "json": "application/json", "html": "text/html", "htm": "text/html",
-    "txt": "text/plain",
+    "txt": "text/plain", "text": "text/plain", "xhtml": "application/xhtml+xml",
+}
+#: MIME types of each loader
+TYPES = {
+    "text/plain": "text", "": "text", "text/markdown": "markdown", "text/x-markdown": "markdown", "text/html": "html", "application/xhtml+xml": "html", "text/csv": "csv",
+    "application/json": "json",
 }
 
 
@@ -51,7 +64,7 @@ class _Text(HTMLParser):
         self.skip = 0
 
     def _flush(self):
-        text = "".join(self.held).strip()
+        text = "".join(self.held).strip(SPACE_CHARS)
         self.held.clear()
         if text:
             self.out.append(text + " ")
@@ -84,7 +97,7 @@ class _Text(HTMLParser):
 
     def text(self) -> str:
         self._flush()
-        return "".join(self.out).strip()
+        return "".join(self.out).strip(SPACE_CHARS)
 
 
 def html_text(source: str | None) -> str:
@@ -96,8 +109,9 @@ def html_text(source: str | None) -> str:
 
 def csv_text(source: str | None, separator: str = " | ") -> tuple[str, int]:
     """(joined rows, number of rows); rows may have unlike numbers of fields."""
+    csv.field_size_limit(max(csv.field_size_limit(), len(source or "") + 1))
     rows = [r for r in csv.reader(io.StringIO(source or "", newline="")) if r]
-    return "\n".join(separator.join(r) for r in rows).strip(), len(rows)
+    return "\n".join(separator.join(r) for r in rows).strip(SPACE_CHARS), len(rows)
 
 
 def _number(v: float) -> str:
@@ -150,77 +164,135 @@ def _named(v, fields: tuple[str, ...]) -> Iterator[str]:
 def json_text(source: str | None, fields: tuple[str, ...] = ()) -> str:
     """All scalars depth first, keys sorted; or the named fields of objects, arrays descended."""
     v = json.loads(source or "null")
-    return "\n".join(_named(v, fields) if fields else _every(v)).strip()
+    return "\n".join(_named(v, fields) if fields else _every(v)).strip(SPACE_CHARS)
 
 
-def html(c: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(html_text)
+PARSED = "struct<content:string,row_count:int,error:string>"
+
+
+def _parsed(c: Column, parse: Callable[[str | None], tuple[str, int | None]]) -> Column:
+    """struct(content, row_count, error) of every text; content is null where there is an error."""
+
+    @F.pandas_udf(PARSED)
+    def run(s: pd.Series) -> pd.DataFrame:
+        out = []
+        for x in s:
+            try:
+                out.append((*parse(x), None))
+            except (ValueError, RecursionError, csv.Error) as e:
+                out.append((None, None, f"{type(e).__name__}: {e}"[:500]))
+        return pd.DataFrame(out, columns=["content", "row_count", "error"]).astype({"row_count": "Int32"})
 
     return run(c)
 
 
+def html_parsed(c: Column) -> Column:
+    return _parsed(c, lambda x: (html_text(x), None))
+
+
+def html(c: Column) -> Column:
+    return html_parsed(c)["content"]
+
+
 def csv_rows(c: Column, separator: str = " | ") -> Column:
-    """struct(content, row_count)"""
+    """struct(content, row_count, error)"""
+    return _parsed(c, lambda x: csv_text(x, separator))
 
-    @F.pandas_udf("struct<content:string,row_count:int>")
-    def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([csv_text(x, separator) for x in s], columns=["content", "row_count"])
 
-    return run(c)
+def json_parsed(c: Column, fields: tuple[str, ...] = ()) -> Column:
+    return _parsed(c, lambda x: (json_text(x, fields), None))
 
 
 def json_scalars(c: Column, fields: tuple[str, ...] = ()) -> Column:
-    """Flat objects with named fields stay in the JVM; anything else is walked in an Arrow batch."""
+    """All scalars of a JSON text, or the named fields; null where it isn't JSON."""
+    return json_parsed(c, fields)["content"]
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: json_text(x, fields))
 
-    return run(c)
+def loader_of(mime: str) -> str | None:
+    """The loader's name; parameters of the type, such as a charset, and its case don't count."""
+    return TYPES.get(mime.split(";")[0].strip().lower())
 
 
 def supports(mime: str) -> bool:
-    return mime in {"", "text/plain", *MIME_BY_EXTENSION.values()}
+    return loader_of(mime) is not None
 
 
 def load(df: DataFrame, source_col: str = "content", mime: str = "text/plain", json_fields: tuple[str, ...] = ()) -> DataFrame:
-    """Replace ``source_col`` by its plain text; adds mime_type and row_count for CSV."""
-    c = F.col(source_col)
-    if mime in ("", "text/plain"):
-        return df.withColumn("mime_type", F.lit("text/plain"))
-    if mime == "text/markdown":
-        out = df.withColumn(source_col, markdown(c))
-    elif mime == "text/html":
-        out = df.withColumn(source_col, html(c))
-    elif mime == "application/json":
-        out = df.withColumn(source_col, json_scalars(c, json_fields))
-    elif mime == "text/csv":
-        out = df.withColumn("_csv", csv_rows(c)).withColumn(source_col, F.col("_csv.content")).withColumn("row_count", F.col("_csv.row_count")).drop("_csv")
-    else:
+    """Replace ``source_col`` by its plain text; adds mime_type, load_error for types that are parsed, and row_count for CSV."""
+    c, kind = F.col(source_col), loader_of(mime)
+    if kind is None:
         raise ValueError(f"no loader supports {mime!r}")
-    return out.withColumn("mime_type", F.lit(mime))
+    if kind == "text":
+        return df.withColumn("mime_type", F.lit("text/plain"))
+    if kind == "markdown":
+        return df.withColumn(source_col, markdown(c)).withColumn("mime_type", F.lit(mime))
+    parsed = {"html": html_parsed, "csv": csv_rows, "json": lambda x: json_parsed(x, json_fields)}[kind](c)
+    out = df.withColumn("_parsed", parsed).withColumn(source_col, F.col("_parsed.content")).withColumn("load_error", F.col("_parsed.error"))
+    if kind == "csv":
+        out = out.withColumn("row_count", F.col("_parsed.row_count"))
+    return out.drop("_parsed").withColumn("mime_type", F.lit(mime))
 
 
 def mime_column(path: Column) -> Column:
     extension = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
     table = F.create_map(*[F.lit(x) for kv in MIME_BY_EXTENSION.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, extension), F.lit(""))
+    return F.coalesce(F.try_element_at(table, extension), F.lit("unknown"))
 
 
 def load_directory(spark: SparkSession, path: str, json_fields: tuple[str, ...] = ()) -> DataFrame:
     """Files below ``path`` in lexical order of their paths; unsupported ones are skipped.
 
-    Rows (source_path, mime_type, content, row_count). Each MIME type is one branch of the plan.
+    Rows (source_path, mime_type, content, row_count, load_error). Each MIME type is one branch of the plan.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     files = files.select(F.col("path").alias("source_path"), mime_column(F.col("path")).alias("m"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
-    parts = []
-    for mime in ("text/plain", "text/markdown", "text/html", "text/csv", "application/json"):
+    out = None
+    for mime in dict.fromkeys(MIME_BY_EXTENSION.values()):
         part = load(files.where(F.col("m") == mime).drop("m"), "content", mime, json_fields)
-        parts.append(part if "row_count" in part.columns else part.withColumn("row_count", F.lit(None).cast("int")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        for name, kind in (("row_count", "int"), ("load_error", "string")):
+            part = part if name in part.columns else part.withColumn(name, F.lit(None).cast(kind))
+        out = part if out is None else out.unionByName(part)
     return out.orderBy("source_path")
+
+
+def fetch(url: str, timeout: float = 30.0) -> tuple[str, str]:
+    """(text, MIME type) of an address; any status but 200 is an error."""
+    with urllib.request.urlopen(url, timeout=timeout) as r:
+        if getattr(r, "status", None) not in (200, None):
+            raise OSError(f"{url}: status {r.status}")
+        return r.read().decode(r.headers.get_content_charset() or "utf-8", "replace"), r.headers.get_content_type()
+
+
+def load_urls(df: DataFrame, url_col: str = "url", get: Callable[[str], tuple[str, str]] = fetch, json_fields: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``df`` with source_url, mime_type, content, row_count and load_error of what their addresses give.
+
+    The addresses are fetched on the executors, one after the other in each task; what can't be
+    fetched or has no loader has null content and an error.
+    """
+
+    @F.pandas_udf("struct<content:string,mime:string,row_count:int,error:string>")
+    def run(urls: pd.Series) -> pd.DataFrame:
+        out = []
+        for u in urls:
+            try:
+                text, mime = get(u)
+                kind = loader_of(mime)
+                if kind is None:
+                    raise ValueError(f"no loader supports {mime!r}")
+                rows = None
+                if kind == "html":
+                    text = html_text(text)
+                elif kind == "csv":
+                    text, rows = csv_text(text)
+                elif kind == "json":
+                    text = json_text(text, json_fields)
+                out.append((text, mime, rows, None))
+            except (OSError, ValueError, RecursionError, csv.Error) as e:
+                out.append((None, None, None, f"{type(e).__name__}: {e}"[:500]))
+        return pd.DataFrame(out, columns=["content", "mime", "row_count", "error"]).astype({"row_count": "Int32"})
+
+    out = df.withColumn("_got", run(F.col(url_col)))
+    content = F.when(F.col("_got.mime").isin([m for m, k in TYPES.items() if k == "markdown"]), markdown(F.col("_got.content"))).otherwise(F.col("_got.content"))
+    return out.select(
+        *df.columns, F.col(url_col).alias("source_url"), F.col("_got.mime").alias("mime_type"), content.alias("content"), F.col("_got.row_count").alias("row_count"), F.col("_got.error").alias("load_error")
+    )

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.engine import Engine
+from corpusmill.engine import Conflict, Engine
 from corpusmill.operators import catalog
 from corpusmill.operators.embed import HashingEmbedder
 from corpusmill.plans import pipeline as pl
@@ -44,6 +44,57 @@ def test_lifecycle(spark, engine):
     assert counts["collection_created"] == 1 and counts["ingest_completed"] == 2
 
 
+def test_reopened_engine(spark, tmp_path):
+    """What one engine commits another finds; a commit on an old manifest changes nothing."""
+    root = str(tmp_path)
+    first = Engine(spark, root, HashingEmbedder(32), tenant="t", as_of=dt.datetime(2024, 1, 1))
+    c = first.create_collection("books", strategy="sliding", size=4, overlap=1)
+    one = spark.createDataFrame([("the red fox runs over the hill",), ("blue whales swim in the deep sea",)], "content string")
+    two = spark.createDataFrame([("a third text about green birds",), ("the red fox runs over the hill",)], "content string")
+    assert [d.count() for d in first.ingest_batch(c, [one, two])] == [2, 3]
+    before = first.paths["entries"]
+    assert len(before) == 2  # an ingest appends
+    again = Engine(spark, root, HashingEmbedder(32), tenant="t")
+    assert again.get_collection(c)["name"] == "books" and again.count_documents(c, "ready") == 3 and again.count_collections("BOO") == 1
+    assert "birds" in again.retrieve("green birds", c, k=1).first()["content"]
+    assert again.retrieve("green birds", c, k=2, strategy="hybrid").count() == 2
+    best = again.retrieve("green birds", c, k=1, strategy="rerank", scorer=lambda q, t: F.contains(t, F.lit("whales")).cast("int")).first()
+    assert "whales" in best["content"]
+    doc = again.list_documents().first()["id"]
+    n = again.count_chunks(document_id=doc)
+    assert n == again.list_chunks(doc).count() == again.get_document(doc)["chunk_count"] and again.count_chunks(c) == again.table("entries").count()
+    chunk = again.list_chunks(doc).first()["id"]
+    assert again.get_chunk(chunk)["document_id"] == doc and [r["index"] for r in again.list_chunks(doc, 1, 1).collect()] == [1]
+    again.update_document(doc, title="new")
+    assert again.get_document(doc)["title"] == "new" and again.entity_counts()["collections"] == 1
+    with pytest.raises(catalog.NotFound):
+        again.update_document("doc_no", title="x")
+    with pytest.raises(Conflict):
+        first.update_collection(c, description="lost")
+    assert Engine(spark, root).get_collection(c)["description"] == ""
+    assert again.vacuum() > 0 and again.count_documents(c) == 3
+
+
+def test_document_states_and_counters(spark, engine):
+    c = engine.create_collection("json")
+    docs = spark.createDataFrame([('{"a": "good text"}',), ('{"a": broken',), ("",)], "content string")
+    got = {r["state"]: r["chunk_count"] for r in engine.ingest(c, docs, mime="application/json").collect()}
+    assert got == {"ready": 1, "failed": 0}
+    bad = engine.list_documents(state="failed").first()
+    assert "JSONDecodeError" in bad["error"]
+    seen = {r["action"]: r["n"] for r in engine.events.metrics(spark).collect()}
+    assert seen["ingest_chunked"] == seen["ingest_embedded"] == 1 and seen["documents.ingested"] == 1 and seen["chunks.created"] == 1 and seen["ingest_failed"] == 1
+
+    class Broken(HashingEmbedder):
+        def column(self, text):
+            return F.raise_error(F.lit("no model"))
+
+    engine.embedder = Broken(32)
+    with pytest.raises(Exception, match="no model"):
+        engine.ingest(c, spark.createDataFrame([("other text",)], "content string"))
+    assert engine.entity_counts() == {"collections": 1, "documents": 3, "pending": 0, "processing": 0, "ready": 1, "failed": 2, "chunks": 1}
+
+
 def test_pipeline_and_middleware(spark):
     seen = []
     docs = spark.createDataFrame([("1", "# Red fox\nThe fox runs. It is red."), ("2", "Whales swim in the sea.")], "document_id string, content string")

@@ -61,6 +61,30 @@ def test_loaders(spark):
     assert [loaders._number(v) for v in (3, 1e20, 1e21, 1e-5, 0.25)] == ["3", "100000000000000000000", "1e+21", "1e-05", "0.25"]
 
 
+def test_loaders_survive_bad_rows(spark):
+    rows = [(1, '{"a": 1'), (2, '{"a": "x"}'), (3, None), (4, "[" * 100_000)]
+    got = {r["i"]: (r["content"], r["load_error"]) for r in loaders.load(spark.createDataFrame(rows, "i int, content string"), mime="application/json; charset=utf-8").collect()}
+    assert got[2] == ("x", None) and got[3] == ("", None) and got[1][0] is None and got[1][1] and got[4][0] is None
+    wide = "a" * 200_000
+    got = loaders.load(spark.createDataFrame([(f"{wide},b\nc",)], "content string"), mime="text/csv").first()
+    assert (got["content"], got["row_count"], got["load_error"]) == (f"{wide} | b\nc", 2, None)
+    assert loaders.csv_text("\x1ca\u3000") == ("\x1ca", 1)
+    assert loaders.supports("text/x-markdown") and loaders.supports("application/xhtml+xml") and loaders.supports("TEXT/HTML; charset=utf-8") and not loaders.supports("image/png")
+
+
+def test_urls(spark):
+    pages = {"u1": ("<p>hi</p>", "text/html"), "u2": ("a,b\nc", "text/csv"), "u3": ("# T", "text/markdown"), "u4": ("x", "image/png")}
+
+    def get(url):
+        if url not in pages:
+            raise OSError("status 404")
+        return pages[url]
+
+    df = spark.createDataFrame([(u,) for u in [*pages, "u5"]], "url string")
+    got = {r["source_url"]: (r["content"], r["row_count"], r["load_error"] is None) for r in loaders.load_urls(df, get=get).collect()}
+    assert got == {"u1": ("hi", None, True), "u2": ("a | b\nc", 2, True), "u3": ("T", None, True), "u4": (None, None, False), "u5": (None, None, False)}
+
+
 def test_directory(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     for name, text in {"a.md": "# A", "sub/b.csv": "1,2", "c.bin": "no", "d.json": '{"k":"v"}', "e.txt": " t "}.items():
@@ -84,8 +108,10 @@ def test_search_filters_and_threshold(spark):
     # a missing key equals the empty string
     assert {r["id"] for r in vectors.search(e, q, 5, filters={"tag": ""}).collect()} == {"far", "odd"}
     assert vectors.search(e, q, 0).count() == 4
-    with pytest.raises(ValueError):
-        vectors.search(e, {"a": [1.0], "b": [1.0]}, max_queries=1)
+    # more queries than go into one scan are answered in blocks; carried columns come along
+    got = vectors.search(e.repartition(3), {"a": [1.0], "b": [1.0], "c": [0.0, 1.0, 0.0]}, 1, max_queries=2, carry=("content", "metadata")).collect()
+    assert {(r["query_id"], r["id"], r["content"]) for r in got} == {("a", "odd", "o"), ("b", "odd", "o"), ("c", "b", "world")}
+    assert vectors.search(e, q, 5, scope={"content": "world"}).first()["id"] == "b"
 
 
 def test_cosine_and_norm(spark):
@@ -148,6 +174,13 @@ def test_ids():
     assert {ids.new_id(p, 1).split("_")[0] for p in ids.PREFIXES} == set(ids.PREFIXES)
 
 
+def test_bson_ids():
+    assert ids.from_bson(*ids.to_bson("doc_abc")) == "doc_abc" and ids.to_bson("") == ids.to_bson(None) == (10, b"") and ids.from_bson(10, b"") == ""
+    for kind, data in ((16, b"\0\0\0\0"), (2, b"\x02\0\0\0x\0\0"), (2, ids.to_bson("nope")[1])):
+        with pytest.raises(ids.IdError):
+            ids.from_bson(kind, data)
+
+
 def test_hashing_embedder(spark):
     e = embed.HashingEmbedder(8)
     col = spark.createDataFrame([("a b a",), (None,)], "t string").select(e.column(F.col("t")).alias("v")).collect()
