@@ -53,9 +53,24 @@ def score_band(c) -> Column:
     return F.when(_col(c) >= 0.8, "high").when(_col(c) >= 0.5, "medium").otherwise("low")
 
 
+def shortest_number(x: Column) -> Column:
+    """A float in its shortest form: plain from 1e-4 to below 1e6, else with an exponent of two digits or more."""
+    plain = F.regexp_replace(x.cast("string"), r"\.0$", "")
+    # Spark changes to exponents below 1e-3 and from 1e7; decimals hold what lies between the two rules
+    digits = F.regexp_replace(F.regexp_replace(plain, r"E.*$", ""), r"\.0$", "")
+    power = F.regexp_extract(plain, r"E(-?[0-9]+)$", 1).cast("int")
+    small = F.concat(F.when(x < 0, "-").otherwise(""), F.lit("0.000"), F.regexp_replace(digits, r"[-.]", ""))
+    sign = F.when(x < 0, "-").otherwise("")
+    whole = F.regexp_replace(F.regexp_replace(plain, "^-", ""), r"\.", "")
+    million = F.regexp_replace(F.concat(sign, F.substring(whole, 1, 1), F.lit("."), F.substring(whole, 2, 20)), r"\.?0*$", "")
+    with_power = F.concat(digits, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    size = F.abs(x)
+    return F.when((size >= 1e6) & (size < 1e7), F.concat(million, F.lit("e+06"))).when((size >= 1e-4) & (size < 1e-3), small).when(F.contains(plain, F.lit("E")), with_power).otherwise(plain)
+
+
 def vector_literal(c) -> Column:
     """'[a,b,c]'"""
-    return F.concat(F.lit("["), F.array_join(F.transform(_col(c), lambda x: x.cast("string")), ","), F.lit("]"))
+    return F.concat(F.lit("["), F.array_join(F.transform(_col(c), shortest_number), ","), F.lit("]"))
 
 
 def contains_text(c, needle: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -147,6 +149,17 @@ def retrieve_rerank(spark, sf_dir):
     return retrieve.rerank(pairs, F.size(F.array_intersect("w", "qw")), K).select("query_id", "id", "score", F.col("rank").cast("int").alias("rank"))
 
 
+@query(f"""WITH {_SCORED},
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM s QUALIFY r <= 30),
+x AS (SELECT query_id, id, CASE WHEN id % 3 = 0 THEN score ELSE (id % 50) / 50.0::DOUBLE END AS score FROM p)
+SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM x) WHERE rank <= {K}""")
+def retrieve_rerank_search(spark, sf_dir):
+    """Re-rank over each query's own search results; the scorer knows two thirds of the entries, the others keep their score."""
+    number = lambda c: F.regexp_extract(c, "([0-9]+)", 1).cast("long")
+    scorer = lambda q, c: F.when(number(c) % 3 != 0, number(c) % 50 / 50.0)
+    return _shown(_searched(spark, sf_dir, lambda q: retrieve.retrieve(_entries(spark, sf_dir), q, "rerank", k=K, scorer=scorer)))
+
+
 # segmentation
 
 _TRIMMED = rf"""t AS (SELECT doc_id, regexp_replace(text, '\A{tx.SPACE}+|{tx.SPACE}+\z', '', 'g') AS x FROM documents WHERE text IS NOT NULL),
@@ -271,6 +284,16 @@ def load_csv_text(spark, sf_dir):
     return loaders.load(rows, "content", "text/csv").select("conv_id", F.col("content").alias("plain"), "row_count")
 
 
+@query(r"""SELECT conv_id, sha256(regexp_replace(string_agg(coalesce(text, '') || ' | ' || turn, chr(10) ORDER BY turn), '^[\t\n\v\f\r ]+|[\t\n\v\f\r ]+$', '', 'g')) AS sha256, count(*)::INTEGER AS row_count
+FROM conversations GROUP BY conv_id""")
+def load_csv_full_texts(spark, sf_dir):
+    """Each conversation's whole texts written as quoted CSV fields, quotation marks and line breaks in them, then loaded."""
+    quoted = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('",'), F.col("turn").cast("string"))
+    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", quoted.alias("line"))
+    rows = c.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n").alias("content"))
+    return loaders.load(rows, "content", "text/csv").select("conv_id", F.sha2("content", 256).alias("sha256"), "row_count")
+
+
 @query("""SELECT event_id, array_to_string(list_transform(list_sort(json_keys(props)), lambda k: json_extract_string(props, '$."' || k || '"')), chr(10)) AS plain FROM events""")
 def load_json_all(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", loaders.json_scalars(F.col("props")).alias("plain"))
@@ -323,6 +346,15 @@ def entity_counts(spark, sf_dir):
     return catalog.count_states(_documents(spark, sf_dir))
 
 
+@query(f"""WITH {_CATALOG} SELECT (SELECT count(*) FROM c) AS collections, count(*) AS documents, count_if(state = 'pending')::BIGINT AS pending, 0::BIGINT AS processing,
+count_if(state = 'ready')::BIGINT AS ready, count_if(state = 'failed')::BIGINT AS failed, coalesce(sum(ceil(content_length / 1848.0)), 0)::BIGINT AS chunks FROM d""")
+def entity_counts_all(spark, sf_dir):
+    """The seven counters of the overview."""
+    d = _documents(spark, sf_dir)
+    chunks = chunkers.chunk(d.select("collection_id", "text"), "text", "sliding", 512, 50)
+    return catalog.entity_counts(_collections(spark, sf_dir), d, chunks)
+
+
 @query(f"WITH {_CATALOG} SELECT id, title, state FROM d WHERE state = 'ready' ORDER BY doc_id LIMIT 50 OFFSET 20")
 def list_documents_page(spark, sf_dir):
     return catalog.list_documents(_documents(spark, sf_dir), state="ready", limit=catalog.clamp_limit(0), offset=20).select("id", "title", "state")
@@ -557,3 +589,38 @@ def pipeline_ingest(spark, sf_dir):
     store = p.run({"docs": _documents(spark, sf_dir)})["store"]
     get = lambda k: F.element_at("metadata", F.lit(k))
     return store.groupBy(get("document_id").cast("long").alias("doc_id"), get("collection_id").alias("collection_id")).agg(F.count("*").alias("n_chunks"))
+
+
+@query("""SELECT vec_id AS id, '[' || array_to_string(list_transform(embedding, lambda x: regexp_replace(x::VARCHAR, '\\.0$', '')), ',') || ']' AS literal FROM embeddings""")
+def vector_literal_float(spark, sf_dir):
+    """Every component in the shortest form of its 32 bits."""
+    return _entries(spark, sf_dir).select("id", tx.vector_literal("vector").alias("literal"))
+
+
+def _engine_root(spark: SparkSession) -> str:
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="engine-")
+    root = f"{shared.rstrip('/')}/engine-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return root
+
+
+@query(f"""WITH {_TRIMMED}, u AS (SELECT text AS t, min(doc_id) AS doc_id FROM documents WHERE coalesce(text, '') <> '' GROUP BY text),
+k AS (SELECT coalesce(sum(CASE WHEN b.n > 0 THEN greatest(ceil(b.n / 2048.0), 1) ELSE 0 END), 0)::BIGINT AS n FROM u JOIN b USING (doc_id))
+SELECT 'collection_created' AS action, 1::BIGINT AS n UNION ALL SELECT 'ingest_started', 1 UNION ALL SELECT 'ingest_chunked', 1 UNION ALL SELECT 'ingest_embedded', 1
+UNION ALL SELECT 'ingest_completed', 1 UNION ALL SELECT 'reindex_started', 1 UNION ALL SELECT 'reindex_completed', 1
+UNION ALL SELECT 'documents.ingested', (SELECT count(*) FROM u) UNION ALL SELECT 'chunks.created', (SELECT n FROM k)""")
+def engine_lifecycle(spark, sf_dir):
+    """All documents through the engine's verbs: create, ingest, reindex; then the counters of its own events."""
+    from corpusmill.engine import Engine
+
+    engine = Engine(spark, _engine_root(spark), embed.HashingEmbedder(16))
+    c = engine.create_collection("all", strategy="fixed", size=512)
+    engine._update("collections", c, {"chunk_overlap": 0})
+    engine.ingest(c, _docs(spark, sf_dir), content="text")
+    engine.reindex(c)
+    return engine.events.metrics(spark)

@@ -8,6 +8,7 @@ parsed doesn't stop the job: its content is null and ``load_error`` says why.
 from __future__ import annotations
 
 import csv
+import decimal
 import io
 import json
 import urllib.request
@@ -115,17 +116,14 @@ def csv_text(source: str | None, separator: str = " | ") -> tuple[str, int]:
 
 
 def _number(v: float) -> str:
-    """A JSON number in the shortest form: plain from 1e-4 to below 1e21, else with an exponent."""
+    """A JSON number in the shortest form: plain from 1e-4 to below 1e6, else with an exponent of two digits or more."""
     x = float(v)
     if x == 0:
         return "-0" if str(x)[0] == "-" else "0"
-    if 1e-4 <= abs(x) < 1e21:
-        return str(int(x)) if x == int(x) else repr(x) if "e" not in repr(x) else f"{x:.20f}".rstrip("0")
-    mantissa, _, exponent = repr(x).partition("e")
-    if not exponent:
-        mantissa, _, exponent = f"{x:.17e}".partition("e")
-        mantissa = mantissa.rstrip("0").rstrip(".")
-    return f"{mantissa.removesuffix('.0')}e{int(exponent):+03d}"
+    digits, _, exponent = f"{decimal.Decimal(repr(x)).normalize():e}".partition("e")
+    if -4 <= int(exponent) < 6:
+        return f"{decimal.Decimal(repr(x)).normalize():f}"
+    return f"{digits}e{int(exponent):+03d}"
 
 
 def _plain(v) -> str:

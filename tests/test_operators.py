@@ -58,7 +58,8 @@ def test_loaders(spark):
     assert loaders.csv_text("a,b\nc") == ("a | b\nc", 2)
     assert loaders.json_text('{"b": [1, "x", null], "a": true}') == "true\n1\nx"
     assert loaders.json_text('[{"a": 1.5, "n": null}, {"a": [1, 2]}]', ("a", "n")) == "1.5\n<nil>\n[1 2]"
-    assert [loaders._number(v) for v in (3, 1e20, 1e21, 1e-5, 0.25)] == ["3", "100000000000000000000", "1e+21", "1e-05", "0.25"]
+    numbers = {3: "3", 1e20: "1e+20", 1e21: "1e+21", 1e-5: "1e-05", 0.25: "0.25", 123456: "123456", 1e6: "1e+06", 1234567.5: "1.2345675e+06", -0.0001: "-0.0001", 1e100: "1e+100", 0.1 + 0.2: "0.30000000000000004"}
+    assert {v: loaders._number(v) for v in numbers} == numbers
 
 
 def test_loaders_survive_bad_rows(spark):
@@ -162,6 +163,12 @@ def test_text_functions(spark):
     assert r["t"] == "é x" and r["n"] == len("  é x ".encode()) // 4 and r["p"].endswith("...")
 
 
+def test_vector_literal(spark):
+    v = [0.5, 1.0, -2.0, 0.00012, 1e-5, 3.4e38, 1e6, 999999.0, 1234567.0, 0.0, -1.5e-7, 100.25]
+    got = spark.createDataFrame([(v,)], "v array<float>").select(tx.vector_literal("v")).first()[0]
+    assert got == "[0.5,1,-2,0.00012,1e-05,3.4e+38,1e+06,999999,1.234567e+06,0,-1.5e-07,100.25]"
+
+
 def test_ids():
     i = ids.new_id("doc", "k")
     assert ids.parse_id(i) == tuple(i.split("_", 1)) and ids.new_id("doc", "k") == i != ids.new_id("doc", "l")
