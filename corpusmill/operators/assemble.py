@@ -11,25 +11,25 @@ from corpusmill.schemas import DEFAULTS
 HEADER = "Relevant context:\n\n"
 SEPARATOR = "\n\n---\n\n"
 _CITED = "array<struct<chunk_index:int,content:string,score:double>>"
+_FITS = "array<struct<chunk_index:int,rank:int>>"
 
 
-def pack(results: Column, max_tokens: int) -> Column:
+def pack(sizes: Column, max_tokens: int) -> Column:
     """First fit in rank order: what doesn't fit is skipped and later ones are still tried.
 
-    results: array<struct<content, score>>. struct(used, dropped, kept).
+    sizes: array<struct<rank, tokens>>. struct(at, used, dropped, kept: array<struct<chunk_index, rank>>).
     """
 
     def step(acc: Column, x: Column) -> Column:
-        t = token_count(x["content"])
-        fits = acc["used"] + t <= max_tokens
-        one = F.array(F.struct(acc["at"].alias("chunk_index"), x["content"].alias("content"), x["score"].alias("score")))
+        fits = acc["used"] + x["tokens"] <= max_tokens
+        one = F.array(F.struct(acc["at"].alias("chunk_index"), x["rank"].alias("rank")))
         return F.struct(
-            (acc["at"] + 1).alias("at"), F.when(fits, acc["used"] + t).otherwise(acc["used"]).alias("used"),
+            (acc["at"] + 1).alias("at"), F.when(fits, acc["used"] + x["tokens"]).otherwise(acc["used"]).alias("used"),
             F.when(fits, acc["dropped"]).otherwise(acc["dropped"] + 1).alias("dropped"), F.when(fits, F.concat(acc["kept"], one)).otherwise(acc["kept"]).alias("kept"),
         )
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("used"), F.lit(0).alias("dropped"), F.array().cast(_CITED).alias("kept"))
-    return F.aggregate(results, zero, step)
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("used"), F.lit(0).alias("dropped"), F.array().cast(_FITS).alias("kept"))
+    return F.aggregate(sizes, zero, step)
 
 
 def render(contents: Column, header: str = HEADER, separator: str = SEPARATOR, footer: str = "", numbered: bool = True) -> Column:
@@ -41,13 +41,20 @@ def render(contents: Column, header: str = HEADER, separator: str = SEPARATOR, f
 def assemble(ranked: DataFrame, group: list[str], max_tokens: int = 0, rank: str = "rank", content: str = "content", score: str = "score", **template) -> DataFrame:
     """One row per group: context, citations, total_tokens, truncated_count.
 
-    A group is the ranked list of one query, which retrieval has cut to k.
+    A group is the ranked list of one query; ranks (1, 2, ...) are distinct within it. Only ranks and token
+    counts of a group are gathered to decide what fits; of the texts only those that do, which
+    the budget bounds.
     """
     limit = max_tokens if max_tokens > 0 else DEFAULTS["max_tokens"]
-    order = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(content).alias("content"), F.col(score).cast("double").alias("score"))))
-    rows = ranked.groupBy(*group).agg(order.alias("_l")).withColumn("_p", pack(F.col("_l"), limit))
-    return rows.select(
-        *group, render(F.transform("_p.kept", lambda c: c["content"]), **template).alias("context"), F.col("_p.kept").alias("citations"),
+    rows = ranked.select(F.struct(*group).alias("_g"), F.col(rank).cast("int").alias("_r"), F.col(content).alias("_c"), F.col(score).cast("double").alias("_s"))
+    sizes = rows.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct(F.col("_r").alias("rank"), F.coalesce(token_count("_c"), F.lit(0)).alias("tokens")))).alias("_l"))
+    packed = sizes.select("_g", pack(F.col("_l"), limit).alias("_p"))
+    fits = packed.select("_g", F.explode("_p.kept").alias("_k")).select(F.col("_g").alias("_kg"), "_k.chunk_index", F.col("_k.rank").alias("_kr"))
+    cited = rows.join(fits, F.col("_g").eqNullSafe(F.col("_kg")) & (F.col("_r") == F.col("_kr")))
+    cited = cited.groupBy(F.col("_g").alias("_cg")).agg(F.array_sort(F.collect_list(F.struct("chunk_index", F.col("_c").alias("content"), F.col("_s").alias("score")))).alias("_cited"))
+    out = packed.join(cited, F.col("_g").eqNullSafe(F.col("_cg")), "left").withColumn("_cited", F.coalesce("_cited", F.array().cast(_CITED)))
+    return out.select(
+        *[F.col("_g").getField(c).alias(c) for c in group], render(F.transform("_cited", lambda c: c["content"]), **template).alias("context"), F.col("_cited").alias("citations"),
         F.col("_p.used").alias("total_tokens"), F.col("_p.dropped").alias("truncated_count"),
     )
 

@@ -20,11 +20,13 @@ from corpusmill.schemas import CHUNK_RESULT, DEFAULTS
 
 BYTES_PER_TOKEN = 4
 _WS = r"[\t\n\f\r ]"
-_SENTENCE = rf"(?s).*?[.!?]+{_WS}+|(?s).+$"
+#: a sentence ends at white space behind its punctuation
+_SENTENCE_END = rf"(?<=[.!?]){_WS}+"
+_SOLID = "[^" + SPACE[1:]
 #: Boundaries of code blocks in order of preference (fixed values).
 CODE_SEPARATORS = ("\nfunc ", "\ndef ", "\nclass ", "\nfunction ", "\nconst ", "\nvar ", "\ntype ", "\n\n", "\n")
 RECURSIVE_SEPARATORS = ("\n\n", "\n", ". ", " ")
-_PIECES = "array<struct<content:string,start:int>>"
+_CUTS = "array<struct<first:int,start:int>>"
 
 
 def _windows(df: DataFrame, size: int, step: int, whole_tail: bool) -> DataFrame:
@@ -40,24 +42,32 @@ def _windows(df: DataFrame, size: int, step: int, whole_tail: bool) -> DataFrame
 
 
 def _pack(pieces: Column, limit: int, joiner: str) -> Column:
-    """Greedy packing: flush when the next piece and its joiner don't fit; starts are cumulative output lengths."""
+    """Greedy packing: flush when the next piece and its joiner don't fit; starts are cumulative output lengths.
+
+    The fold works on lengths and keeps the first piece of every chunk; texts are joined once.
+    """
     slack = len(joiner.encode())
 
-    def step(acc: Column, p: Column) -> Column:
-        full = (F.octet_length(acc["cur"]) + F.octet_length(p) + slack > limit) & (F.octet_length(acc["cur"]) > 0)
-        flushed = F.concat(acc["out"], F.array(F.struct(acc["cur"].alias("content"), acc["start"].alias("start"))))
-        grown = F.when(F.octet_length(acc["cur"]) > 0, F.concat(acc["cur"], F.lit(joiner), p)).otherwise(p)
+    def step(acc: Column, n: Column) -> Column:
+        opens = acc["cur"] == 0
+        full = ~opens & (acc["cur"] + n + slack > limit)
+        start = F.when(full, acc["start"] + acc["cur"]).otherwise(acc["start"])
+        cut = F.array(F.struct(acc["at"].alias("first"), start.alias("start")))
         return F.struct(
-            F.when(full, flushed).otherwise(acc["out"]).alias("out"), F.when(full, p).otherwise(grown).alias("cur"),
-            F.when(full, acc["start"] + F.octet_length(acc["cur"])).otherwise(acc["start"]).alias("start"),
+            (acc["at"] + 1).alias("at"), F.when(opens | full, F.concat(acc["out"], cut)).otherwise(acc["out"]).alias("out"),
+            F.when(opens | full, n).otherwise(acc["cur"] + slack + n).alias("cur"), start.alias("start"),
         )
 
-    def finish(acc: Column) -> Column:
-        rest = F.array(F.struct(acc["cur"].alias("content"), acc["start"].alias("start")))
-        return F.when(F.octet_length(acc["cur"]) > 0, F.concat(acc["out"], rest)).otherwise(acc["out"])
+    def joined(x: Column) -> Column:
+        text = lambda c, i: F.array_join(F.slice(x["p"], c["first"] + 1, F.coalesce(F.get(x["cuts"], i + 1)["first"], F.size(x["p"])) - c["first"]), joiner)
+        return F.transform(x["cuts"], lambda c, i: F.struct(text(c, i).alias("content"), c["start"].alias("start")))
+
+    def folded(p: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(_CUTS).alias("out"), F.lit(0).alias("cur"), F.lit(0).alias("start"))
+        return F.struct(p.alias("p"), F.aggregate(F.transform(p, F.octet_length), zero, step, lambda acc: acc["out"]).alias("cuts"))
 
-    zero = F.struct(F.array().cast(_PIECES).alias("out"), F.lit("").alias("cur"), F.lit(0).alias("start"))
-    return F.aggregate(pieces, zero, step, finish)
+    # each transform over one element works its value out once, however often it is used
+    return F.transform(F.transform(F.array(pieces), folded), joined)[0]
 
 
 def _exploded(df: DataFrame, packed: Column) -> DataFrame:
@@ -81,7 +91,7 @@ def sliding(df: DataFrame, size: int, overlap: int) -> DataFrame:
 
 def semantic(df: DataFrame, size: int, overlap: int) -> DataFrame:
     """Whole sentences, packed up to the size; overlap is ignored."""
-    sentences = F.transform(F.regexp_extract_all("_text", F.lit(_SENTENCE), F.lit(0)), unicode_trim)
+    sentences = F.transform(F.split("_text", _SENTENCE_END, -1), unicode_trim)
     return _exploded(df, _pack(F.filter(sentences, lambda s: s != ""), size, " "))
 
 
@@ -91,11 +101,11 @@ def code(df: DataFrame, size: int, overlap: int) -> DataFrame:
     def blocks(sep: str) -> Column:
         parts = F.split("_text", "".join(f"\\{c}" if not c.isalnum() and c not in "\n " else c for c in sep), -1)
         kept = F.transform(parts, lambda p, i: F.when(i > 0, F.concat(F.lit(sep), p)).otherwise(p))
-        return F.filter(kept, lambda p: unicode_trim(p) != "")
+        several = F.transform(F.array(F.filter(kept, lambda p: p.rlike(_SOLID))), lambda b: F.when(F.size(b) > 1, b))[0]
+        return F.when(F.contains("_text", F.lit(sep)), several)
 
-    found = F.array(F.col("_text"))
-    for sep in reversed(CODE_SEPARATORS):
-        found = F.when(F.contains("_text", F.lit(sep)) & (F.size(blocks(sep)) > 1), blocks(sep)).otherwise(found)
+    # a kind of boundary is looked at only where those before it gave nothing
+    found = F.coalesce(*[blocks(sep) for sep in CODE_SEPARATORS], F.array(F.col("_text")))
     trimmed = F.transform(found, lambda b: F.regexp_replace(b, r"[ \t]+\z", ""))
     return _exploded(df, _pack(F.filter(trimmed, lambda b: b != ""), size, ""))
 
