@@ -353,6 +353,86 @@ def test_misspelled_stems(spark):
     assert got[9001] > 0.3 > got[9002] == got[9003]
 
 
+def brute_features(t, terms, context):
+    """The features of one text, term by term and word by word."""
+    import numpy as np
+
+    from corpusmill.llm import textkernel as tk
+
+    def lev1(a, b):
+        if abs(len(a) - len(b)) > 1:
+            return False
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+        a, b = sorted((a, b), key=len)
+        return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    punct = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    raw = t or ""
+    marks = {i for i, c in enumerate(raw) if c in '"«»“”„‟「」『』'}
+    plain = "".join(" " if c in "¡«»¿\u00a0" or "\u2000" <= c <= "\u203f" or "\u3000" <= c <= "\u301f" else c for c in raw).translate(LOWER)
+    words = []
+    for m in WORD.finditer(plain):
+        bare = m[0].strip(punct)
+        words.append((m.start() + m[0].find(bare), m.start(), m.end(), bare.encode()))
+    hits = []
+    for k, (_, _, _, w) in enumerate(words):
+        exact = max([wt for x, wt, stem, _ in terms if w and (w.startswith(x) if stem else w == x)], default=0.0)
+        near = max(
+            [wt for x, wt, stem, may in terms if may and w and (any(w[i - 1 : i] == x[-1:] and lev1(w[: i - 1], x[:-1]) and w[: i - 1] != x[:-1] for i in range(1, len(w) + 1)) if stem else lev1(w, x))],
+            default=0.0,
+        )
+        if exact or near:
+            hits.append((k, np.float32(exact), np.float32(near)))
+    at_hit = {k for k, _, _ in hits}
+    odds = dict(zip(context.known.tolist(), context.odds.tolist(), strict=True))
+    x = [0.0] * 7
+    for k, exact, near in hits:
+        s = words[k][0]
+        lo, hi = raw.rfind("\n", 0, s) + 1, raw.find("\n", s)
+        hi = len(raw) if hi < 0 else hi
+        a = max(lo, words[k - op3_toxicity.SPAN - 1][2] if k > op3_toxicity.SPAN else 0)
+        b = min(hi, words[k + op3_toxicity.SPAN + 1][1] if k + op3_toxicity.SPAN + 1 < len(words) else len(raw))
+        quoted = len([i for i in marks if lo <= i < s]) % 2 == 1 and any(a <= i < s for i in marks) and any(s <= i < b for i in marks)
+        mass = float(exact) if exact else 0.8 * float(near)
+        around = 0.0
+        for j in range(max(0, k - op3_toxicity.REACH), min(len(words), k + op3_toxicity.REACH + 1)):
+            if j not in at_hit:
+                d = np.frombuffer(words[j][3], np.uint8)
+                around += odds.get(int(tk.hash_bytes(d, np.array([0]), np.array([len(d)]), tk.SEEDS["word"])[0]), 0.0)
+        around = min(3.0, max(-3.0, around))
+        x[5] += mass * max(-around, 0)
+        if quoted:
+            x[6] += mass
+        else:
+            x[0] += mass
+            x[1] += 1.0 if exact else 0.8
+            x[2] = max(x[2], mass)
+            x[4] += mass * max(around, 0)
+    x[3] = 50 * x[0] / max(len(words), 1)
+    return [v if i == 2 else math.log1p(v) for i, v in enumerate(x)]
+
+
+def test_scores_are_the_brute_force(spark):
+    """The query's scores over every text, from naive edit distances and marks."""
+    import pyarrow as pa
+
+    from corpusmill.llm import textkernel as tk
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows, toxic = toxic_rows()
+    extra = spark.createDataFrame([(i + 10**6, t) for i, t in rows], "doc_id long, text string")
+    more = spark.createDataFrame([(i + 10**6, q, x) for i, q, x in toxic], "doc_id long, quality int, toxic int")
+    model = op3_toxicity.train(docs.select("doc_id", "text").unionByName(extra), labels.unionByName(more))
+    assert model.automaton is not None and len(model.terms) >= 3
+    texts = [t for _, t in rows[:200]] + [r["text"] for r in docs.select("text").collect() if len(r["text"] or "") < 4000]
+    texts += ['he said "snarfle" and “blorgishly” left', "snarfl—grumplings «x» tali", "snarfle\n\"blorgish\n\"", None, ""]
+    for t in texts:
+        z = sum(a * b for a, b in zip(brute_features(t, model.terms, model.context), model.weights, strict=False)) + model.weights[-1]
+        assert float(model.scores(next(iter(tk.blocks(pa.array([t], pa.string())))))[0]) == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-6), t
+
+
 def test_quotation_never_raises_a_score(spark):
     """In whatever marks a term is put, its score is no higher than bare, and no higher than without it."""
     import pyarrow as pa

@@ -10,7 +10,7 @@ import __spark_entry__
 import corpus_pipeline
 from corpusmill.llm import op6_decontaminate, oracles, queries
 
-from .test_operators import WORD, brute_components, brute_quality, brute_targets
+from .test_operators import LOWER, WORD, brute_components, brute_quality, brute_targets
 
 
 def normal(w):
@@ -82,6 +82,33 @@ def test_pipeline(spark, tmp_path):
     assert sorted((r["doc_id"], r["taken"]) for r in corpus_pipeline.run(spark, here).collect()) == sorted((r["doc_id"], r["taken"]) for r in mixed)
 
 
+def test_op6_is_the_brute_force(spark):
+    """Every pair of document and item, all alignments compared word by word."""
+    import numpy as np
+
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    ids = {}
+    code = lambda t: np.array([ids.setdefault(w, len(ids)) for w in (x.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for x in WORD.findall((t or "").translate(LOWER)))], int)
+    coded, want = [(i, code(t)) for i, t in items], set()
+    for d, t in rows:
+        w = code(t)
+        for i, q in coded:
+            need = min(13, len(q))
+            least = 11 if need == 13 else -(-need * 11 // 13)
+            if len(w) < need or np.isin(w, q).sum() < least:
+                continue
+            same = np.zeros((len(w) + 2 * len(q), len(q)), bool)
+            same[len(q) : len(q) + len(w)] = w[:, None] == q[None, :]
+            # the window's rows and columns go up together
+            lined = np.stack([np.roll(same[:, k], -k) for k in range(len(q))], 1)
+            run = np.cumsum(np.concatenate([np.zeros((len(lined), 1), int), lined], 1), 1)
+            if ((run[:, need:] - run[:, :-need]) >= least).any():
+                want.add((d, i))
+    got = {(r["doc_id"], r["item_id"]) for r in queries.queries()["op6_decontaminate"](spark, SF).collect()}
+    assert got == want and want
+
+
 def test_stages_on_empty_and_awkward_tables(spark, tmp_path):
     """Every stage: an empty table, and nulls in every column."""
     here = str(tmp_path)
