@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,16 +40,16 @@ def render(contents: Column, header: str = HEADER, separator: str = SEPARATOR, f
     return F.concat(F.lit(header), F.array_join(shown, separator), F.lit(footer))
 
 
-def assemble(ranked: DataFrame, group: list[str], max_tokens: int = 0, rank: str = "rank", content: str = "content", score: str = "score", **template) -> DataFrame:
+def assemble(ranked: DataFrame, group: list[str], max_tokens: int = 0, rank: str = "rank", content: str = "content", score: str = "score", tokens: Callable[[Column], Column] = token_count, **template) -> DataFrame:
     """One row per group: context, citations, total_tokens, truncated_count.
 
     A group is the ranked list of one query; ranks (1, 2, ...) are distinct within it. Only ranks and token
     counts of a group are gathered to decide what fits; of the texts only those that do, which
-    the budget bounds.
+    the budget bounds. ``tokens`` counts a content's tokens.
     """
     limit = max_tokens if max_tokens > 0 else DEFAULTS["max_tokens"]
     rows = ranked.select(F.struct(*group).alias("_g"), F.col(rank).cast("int").alias("_r"), F.col(content).alias("_c"), F.col(score).cast("double").alias("_s"))
-    sizes = rows.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct(F.col("_r").alias("rank"), F.coalesce(token_count("_c"), F.lit(0)).alias("tokens")))).alias("_l"))
+    sizes = rows.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct(F.col("_r").alias("rank"), F.coalesce(tokens(F.col("_c")).cast("int"), F.lit(0)).alias("tokens")))).alias("_l"))
     packed = sizes.select("_g", pack(F.col("_l"), limit).alias("_p"))
     fits = packed.select("_g", F.explode("_p.kept").alias("_k")).select(F.col("_g").alias("_kg"), "_k.chunk_index", F.col("_k.rank").alias("_kr"))
     cited = rows.join(fits, F.col("_g").eqNullSafe(F.col("_kg")) & (F.col("_r") == F.col("_kr")))

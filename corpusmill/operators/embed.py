@@ -68,14 +68,14 @@ class PrecomputedEmbedder:
 
 
 class RemoteEmbedder:
-    """Batches of texts through a callable ``post(texts) -> [(index, vector)], total_tokens``.
+    """Texts, ``batch`` at a time, through a callable ``post(texts) -> [(index, vector)], total_tokens``.
 
     Results are placed by their index; each text gets total // count tokens. The callable
     stands for the network, which isn't reachable here.
     """
 
-    def __init__(self, post, dimensions: int = 1536):
-        self.post, self.dimensions = post, dimensions
+    def __init__(self, post, dimensions: int = 1536, batch: int = 512):
+        self.post, self.dimensions, self.batch = post, dimensions, batch
 
     def embed_with_tokens(self, texts: list[str]) -> list[tuple[list[float], int]]:
         if not texts:
@@ -83,11 +83,16 @@ class RemoteEmbedder:
         rows, total = self.post(texts)
         out: list = [None] * len(texts)
         for i, v in rows:
+            if not 0 <= i < len(texts):
+                raise ValueError(f"the embedding service answered for text {i} of {len(texts)}")
             out[i] = v
+        if any(v is None for v in out):
+            raise ValueError("the embedding service left texts out")
         return [(v, total // len(texts)) for v in out]
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        return [v for v, _ in self.embed_with_tokens(texts)]
+        parts = (texts[i : i + self.batch] for i in range(0, len(texts), self.batch))
+        return [v for part in parts for v, _ in self.embed_with_tokens(part)]
 
     def column(self, text: Column) -> Column:
         embed = self.embed

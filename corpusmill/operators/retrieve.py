@@ -140,6 +140,11 @@ def rerank_retriever(
 STRATEGIES: dict[str, Callable] = {"similarity": similarity, "mmr": mmr, "hybrid": hybrid, "rerank": rerank_retriever}
 
 
+def register(name: str, strategy: Callable) -> None:
+    """Add a strategy: (entries, queries, k, carry, **options) to ranked rows."""
+    STRATEGIES[name] = strategy
+
+
 def retrieve(entries: DataFrame, queries: dict[str, list[float]], strategy: str = "similarity", **options) -> DataFrame:
     """Run the named strategy."""
     if strategy not in STRATEGIES:

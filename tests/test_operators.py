@@ -198,3 +198,38 @@ def test_hashing_embedder(spark):
 def test_remote_embedder_places_by_index():
     r = embed.RemoteEmbedder(lambda t: ([(1, [2.0]), (0, [1.0])], 7), 1)
     assert r.embed_with_tokens(["x", "y"]) == [([1.0], 3), ([2.0], 3)] and r.embed([]) == []
+
+
+def test_remote_embedder_refuses_bad_answers():
+    for rows in ([(0, [1.0]), (2, [2.0])], [(0, [1.0])]):
+        with pytest.raises(ValueError):
+            embed.RemoteEmbedder(lambda t, rows=rows: (rows, 2), 1).embed(["a", "b"])
+    calls = []
+    e = embed.RemoteEmbedder(lambda t: (calls.append(len(t)), ([(i, [float(len(x))]) for i, x in enumerate(t)], 0))[1], 1, batch=2)
+    assert e.embed(["a", "bb", "ccc"]) == [[1.0], [2.0], [3.0]] and calls == [2, 1]
+
+
+def test_connectors(spark, tmp_path):
+    from corpusmill.sources.connectors import Connector
+
+    df = spark.createDataFrame([(1, "a")], "id int, name string")
+    for c in (Connector("memory"), Connector("parquet", str(tmp_path))):
+        c.write(df, "some_rows")
+        c.write(df.selectExpr("id + 1 id", "name"), "some_rows")
+        assert sorted(r["id"] for r in c.read(spark, "some_rows").collect()) == [1, 2]
+    assert Connector("sqlite", "jdbc:sqlite:x").source("t") == ("jdbc", {"url": "jdbc:sqlite:x", "dbtable": "t", "driver": "org.sqlite.JDBC"})
+    assert Connector("mongo", "mongodb://h/db").source("t")[1]["collection"] == "t"
+    for bad in (("oracle", "x"), ("postgres", "")):
+        with pytest.raises(ValueError):
+            Connector(*bad)
+
+
+def test_plugged_strategy_and_token_counter(spark):
+    import corpusmill.protocols as pr
+
+    retrieve.register("first", lambda entries, queries, k=0, carry=(), **options: entries.selectExpr("'q' query_id", "id", "1.0D score", *carry, "1 rank"))
+    e = entries(spark, [("a", [1.0], "hello", {})])
+    assert retrieve.retrieve(e, {"q": [1.0]}, "first", carry=("content",)).first()["content"] == "hello"
+    ranked = spark.createDataFrame([("q", i + 1, t, 1.0) for i, t in enumerate(("a b", "c d e", "f"))], "query_id string, rank int, content string, score double")
+    got = assemble.assemble(ranked, ["query_id"], 3, tokens=lambda c: F.size(F.split(c, " "))).first()
+    assert [x["content"] for x in got["citations"]] == ["a b", "f"] and got["truncated_count"] == 1 and len(pr.__all__) == 7
