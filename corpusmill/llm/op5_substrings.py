@@ -181,16 +181,16 @@ def _pack(buckets: int, window: int, run: int, ranking: _Ranking):
                     lo, hi, bucket = lo[order], hi[order], bucket[order]
                     begin, stop = starts[at[lo]], ends[at[hi - 1] + window - 1]
                     head = {"id": ids[doc[lo]], "key": keys[doc[lo]], "start": at[lo] - first[doc[lo]], "n": hi - lo, "size": stop - begin}
-                    # a packed string keeps its words and separators; lines break between strings
-                    size = head["size"] + 1
-                    total = np.cumsum(size)
-                    source = np.arange(int(total[-1])) - np.repeat(total - size - begin, size)
-                    joined = block.data[np.minimum(source, len(block.data) - 1)]
-                    joined[total - 1] = 10
                     bounds = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
                     for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                        c0 = int(total[x - 1]) if x else 0
-                        body = _join({k: v[x:y] for k, v in head.items()}, joined[c0 : int(total[y - 1])])
+                        # a packed string keeps its words and separators; lines break between strings. One
+                        # bucket at a time: the places of all strings' bytes would take 24 times their text
+                        size = head["size"][x:y] + 1
+                        total = np.cumsum(size)
+                        source = np.arange(int(total[-1])) - np.repeat(total - size - begin[x:y], size)
+                        joined = block.data[np.minimum(source, len(block.data) - 1)]
+                        joined[total - 1] = 10
+                        body = _join({k: v[x:y] for k, v in head.items()}, joined)
                         # a few strings aren't worth a compressor; id and row_key hold the sizes
                         small = len(body) < 1024
                         out.append((int(bucket[x]), 1 if small else 2, len(body), y - x, body if small else codec.compress(body, asbytes=True)))
