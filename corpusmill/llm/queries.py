@@ -18,6 +18,9 @@ from . import (
     op8_chat,
     op9_mixing,
     op10_quality,
+    op11_lm,
+    op12_divergence,
+    op13_merkle,
     oracles,
 )
 
@@ -88,6 +91,23 @@ def op10_quality(spark: SparkSession, sf_dir: str, op=op10_quality) -> DataFrame
     return op.quality(_table(spark, sf_dir, "documents")).drop("row_key")
 
 
+@_query
+def op11_lm(spark: SparkSession, sf_dir: str, op=op11_lm) -> DataFrame:
+    return op.score_documents(_table(spark, sf_dir, "documents"), held_out=op.fold())
+
+
+@_query
+def op12_divergence(spark: SparkSession, sf_dir: str, op=op12_divergence) -> DataFrame:
+    return op.divergence(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_merkle(spark: SparkSession, sf_dir: str, op=op13_merkle) -> DataFrame:
+    """Rows whose id has an even crc32 lose the line breaks of their texts after the manifest was made."""
+    docs = _table(spark, sf_dir, "documents")
+    return op.manifest(docs, tampered={"text": F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"))).otherwise(F.col("text"))})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
