@@ -25,7 +25,7 @@ def pool_size(k: int) -> int:
     return max(3 * k, 20)
 
 
-def similarity(entries: DataFrame, queries: dict[str, list[float]], k: int = 0, **options) -> DataFrame:
+def similarity(entries: DataFrame, queries: dict[str, list[float]] | DataFrame, k: int = 0, **options) -> DataFrame:
     return vectors.search(entries, queries, k, **options)
 
 
@@ -46,7 +46,7 @@ def pick_diverse(ids: list, rel: np.ndarray, m: np.ndarray, k: int, lam: float)
 
 
 def mmr(
-    entries: DataFrame, queries: dict[str, list[float]], k: int = 10, lam: float = LAMBDA, id_col: str = "id", vector_col: str = "vector", carry: tuple[str, ...] = (), **options
+    entries: DataFrame, queries: dict[str, list[float]] | DataFrame, k: int = 10, lam: float = LAMBDA, id_col: str = "id", vector_col: str = "vector", carry: tuple[str, ...] = (), **options
 ) -> DataFrame:
     """Maximal marginal relevance: rows (query_id, id, score, the carried columns, rank), rank is the order of selection.
 
@@ -98,7 +98,7 @@ def rerank(candidates: DataFrame, scorer: Column, k: int = 0) -> DataFrame:
 
 
 def cross_collection(
-    entries: DataFrame, query: dict[str, list[float]], collections: list[str], k: int = 0, collection_col: str = "collection_id", id_col: str = "id", carry: tuple[str, ...] = (), **options
+    entries: DataFrame, query: dict[str, list[float]] | DataFrame, collections: list[str], k: int = 0, collection_col: str = "collection_id", id_col: str = "id", carry: tuple[str, ...] = (), **options
 ) -> DataFrame:
     """Top k over the listed collections in one scan; hits of a collection listed twice come twice."""
     k = k if k > 0 else DEFAULTS["top_k"]
@@ -115,7 +115,7 @@ def cross_collection(
 
 
 def hybrid(
-    entries: DataFrame, queries: dict[str, list[float]], k: int = 10, retrievers: tuple[str, ...] = ("similarity", "mmr"), key: str = "content", carry: tuple[str, ...] = (), **options
+    entries: DataFrame, queries: dict[str, list[float]] | DataFrame, k: int = 10, retrievers: tuple[str, ...] = ("similarity", "mmr"), key: str = "content", carry: tuple[str, ...] = (), **options
 ) -> DataFrame:
     """The named strategies' lists of ``pool_size(k)`` rows, fused by reciprocal rank."""
     more = tuple(dict.fromkeys([key, *carry]))
@@ -125,7 +125,7 @@ def hybrid(
 
 
 def rerank_retriever(
-    entries: DataFrame, queries: dict[str, list[float]], k: int = 10, scorer: Callable[[Column, Column], Column] | None = None, base: str = "similarity", content: str = "content",
+    entries: DataFrame, queries: dict[str, list[float]] | DataFrame, k: int = 10, scorer: Callable[[Column, Column], Column] | None = None, base: str = "similarity", content: str = "content",
     carry: tuple[str, ...] = (), **options,
 ) -> DataFrame:
     """Candidates of another strategy (``pool_size(k)`` of them), scored again by ``scorer(query_id, content)``.
@@ -145,7 +145,7 @@ def register(name: str, strategy: Callable) -> None:
     STRATEGIES[name] = strategy
 
 
-def retrieve(entries: DataFrame, queries: dict[str, list[float]], strategy: str = "similarity", **options) -> DataFrame:
+def retrieve(entries: DataFrame, queries: dict[str, list[float]] | DataFrame, strategy: str = "similarity", **options) -> DataFrame:
     """Run the named strategy."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown retrieval strategy {strategy!r}")

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as tx
 from corpusmill.functions.ids import has_prefix
-from corpusmill.operators import assemble, catalog, chunkers, embed, retrieve, vectors
+from corpusmill.operators import assemble, catalog, chunkers, embed, ivf, retrieve, vectors
 from corpusmill.plans.events import counters
 from corpusmill.plans.registry import query
 from corpusmill.sources import loaders
+from corpusmill.tables import shared_folder
 
 K = 10
 
@@ -29,25 +26,10 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.concat(F.lit("vec "), "vec_id").alias("content"), meta.alias("metadata"), F.col("label").alias("collection_id"))
 
 
-def _query_blocks(spark: SparkSession, sf_dir: str, shift: int = 0, size: int = 512) -> Iterator[dict[str, list[float]]]:
-    """The stated query set in blocks: every vector whose id is divisible by 100 (shift: the one after it)."""
-    rows = _t(spark, sf_dir, "embeddings").where(F.col("vec_id") % 100 == shift).select("vec_id", "embedding").orderBy("vec_id")
-    block = {}
-    for r in rows.toLocalIterator():
-        block[str(r["vec_id"] - shift)] = r["embedding"]
-        if len(block) == size:
-            yield block
-            block = {}
-    yield block
-
-
-def _searched(spark: SparkSession, sf_dir: str, search: Callable[[dict[str, list[float]]], DataFrame], shift: int = 0) -> DataFrame:
-    """The hits of all blocks of queries; a query's rows come from one block."""
-    found = None
-    for block in _query_blocks(spark, sf_dir, shift):
-        if block or found is None:
-            found = search(block) if found is None else found.unionByName(search(block))
-    return found
+def _queries(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
+    """The stated query set: every vector whose id is divisible by 100 (shift: the one after it)."""
+    rows = _t(spark, sf_dir, "embeddings").where(F.col("vec_id") % 100 == shift)
+    return rows.select((F.col("vec_id") - shift).cast("string").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 def _shown(found: DataFrame, *more: str) -> DataFrame:
@@ -68,34 +50,34 @@ SELECT query_id, id, round(score, 6) AS score, rank FROM (
 
 @query(_search_sql())
 def search_topk_cosine(spark, sf_dir):
-    return _shown(_searched(spark, sf_dir, lambda q: vectors.search(_entries(spark, sf_dir), q, K)))
+    return _shown(vectors.search(_entries(spark, sf_dir), _queries(spark, sf_dir), K))
 
 
 @query(_search_sql("score >= 0.2"))
 def search_min_score(spark, sf_dir):
-    return _shown(_searched(spark, sf_dir, lambda q: vectors.search(_entries(spark, sf_dir), q, K, min_score=0.2)))
+    return _shown(vectors.search(_entries(spark, sf_dir), _queries(spark, sf_dir), K, min_score=0.2))
 
 
 @query(_search_sql("label = 3"))
 def search_metadata_filter(spark, sf_dir):
-    return _shown(_searched(spark, sf_dir, lambda q: vectors.search(_entries(spark, sf_dir), q, K, filters={"collection_id": "3"})))
+    return _shown(vectors.search(_entries(spark, sf_dir), _queries(spark, sf_dir), K, filters={"collection_id": "3"}))
 
 
 @query(_search_sql("id % 3 = 1"))
 def search_tenant_filter(spark, sf_dir):
-    return _shown(_searched(spark, sf_dir, lambda q: vectors.search(_entries(spark, sf_dir), q, K, tenant="1")))
+    return _shown(vectors.search(_entries(spark, sf_dir), _queries(spark, sf_dir), K, tenant="1"))
 
 
 @query(_search_sql(k=5))
 def search_batch_topk(spark, sf_dir):
-    return _shown(_searched(spark, sf_dir, lambda q: vectors.search(_entries(spark, sf_dir), q, 5)))
+    return _shown(vectors.search(_entries(spark, sf_dir), _queries(spark, sf_dir), 5))
 
 
 @query(f"""WITH {_SCORED}
 SELECT query_id, id, round(score, 6) AS score, rank, label::VARCHAR AS collection_id FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM s WHERE label IN (1, 3, 5)) WHERE rank <= {K}""")
 def search_cross_collection(spark, sf_dir):
-    return _shown(_searched(spark, sf_dir, lambda q: retrieve.cross_collection(_entries(spark, sf_dir), q, ["1", "3", "5"], K)), "collection_id")
+    return _shown(retrieve.cross_collection(_entries(spark, sf_dir), _queries(spark, sf_dir), ["1", "3", "5"], K), "collection_id")
 
 
 @query(f"""WITH {_SCORED},
@@ -112,7 +94,7 @@ def retrieve_rrf(spark, sf_dir):
     e = _entries(spark, sf_dir)
     lists = []
     for shift in (0, 1):
-        found = _searched(spark, sf_dir, lambda q: vectors.search(e, q, 30), shift)
+        found = vectors.search(e, _queries(spark, sf_dir, shift), 30)
         lists.append(found.select("query_id", F.concat(F.lit("vec "), "id").alias("content"), "rank"))
     return retrieve.reciprocal_rank_fusion(lists, K).select("query_id", "content", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
@@ -131,7 +113,7 @@ sel AS (
     FROM sel s JOIN sims c ON c.q = s.q WHERE s.n < {K} AND NOT list_contains(s.chosen, c.id)) GROUP BY q, n)
 SELECT sel.q AS query_id, sel.id, round(c.rel, 6) AS score, sel.n AS rank FROM sel JOIN cand c ON c.q = sel.q AND c.id = sel.id WHERE sel.n > 0""")
 def retrieve_mmr(spark, sf_dir):
-    return _shown(_searched(spark, sf_dir, lambda q: retrieve.mmr(_entries(spark, sf_dir), q, K)))
+    return _shown(retrieve.mmr(_entries(spark, sf_dir), _queries(spark, sf_dir), K))
 
 
 @query(rf"""WITH b AS (SELECT item_id::VARCHAR AS query_id, list_distinct(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM benchmark),
@@ -157,7 +139,25 @@ def retrieve_rerank_search(spark, sf_dir):
     """Re-rank over each query's own search results; the scorer knows two thirds of the entries, the others keep their score."""
     number = lambda c: F.regexp_extract(c, "([0-9]+)", 1).cast("long")
     scorer = lambda q, c: F.when(number(c) % 3 != 0, number(c) % 50 / 50.0)
-    return _shown(_searched(spark, sf_dir, lambda q: retrieve.retrieve(_entries(spark, sf_dir), q, "rerank", k=K, scorer=scorer)))
+    return _shown(retrieve.retrieve(_entries(spark, sf_dir), _queries(spark, sf_dir), "rerank", k=K, scorer=scorer))
+
+
+def _index(spark, sf_dir) -> ivf.Index:
+    path = shared_folder(spark, "ivf")
+    ivf.build(_entries(spark, sf_dir), path)
+    return ivf.Index(spark, path)
+
+
+@query()
+def search_ivf(spark, sf_dir):
+    """An index over all vectors, and the stated queries in their nearest lists; recall is tested against brute force."""
+    return _shown(_index(spark, sf_dir).search(_queries(spark, sf_dir), K))
+
+
+@query(_search_sql())
+def search_ivf_exact(spark, sf_dir):
+    """The same index, and every list that may hold a better hit."""
+    return _shown(_index(spark, sf_dir).search(_queries(spark, sf_dir), K, exact=True))
 
 
 # segmentation
@@ -597,18 +597,6 @@ def vector_literal_float(spark, sf_dir):
     return _entries(spark, sf_dir).select("id", tx.vector_literal("vector").alias("literal"))
 
 
-def _engine_root(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="engine-")
-    root = f"{shared.rstrip('/')}/engine-{uuid.uuid4().hex}"
-    place = spark._jvm.org.apache.hadoop.fs.Path(root)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return root
-
-
 @query(f"""WITH {_TRIMMED}, u AS (SELECT text AS t, min(doc_id) AS doc_id FROM documents WHERE coalesce(text, '') <> '' GROUP BY text),
 k AS (SELECT coalesce(sum(CASE WHEN b.n > 0 THEN greatest(ceil(b.n / 2048.0), 1) ELSE 0 END), 0)::BIGINT AS n FROM u JOIN b USING (doc_id))
 SELECT 'collection_created' AS action, 1::BIGINT AS n UNION ALL SELECT 'ingest_started', 1 UNION ALL SELECT 'ingest_chunked', 1 UNION ALL SELECT 'ingest_embedded', 1
@@ -618,7 +606,7 @@ def engine_lifecycle(spark, sf_dir):
     """All documents through the engine's verbs: create, ingest, reindex; then the counters of its own events."""
     from corpusmill.engine import Engine
 
-    engine = Engine(spark, _engine_root(spark), embed.HashingEmbedder(16))
+    engine = Engine(spark, shared_folder(spark, "engine"), embed.HashingEmbedder(16))
     c = engine.create_collection("all", strategy="fixed", size=512)
     engine._update("collections", c, {"chunk_overlap": 0})
     engine.ingest(c, _docs(spark, sf_dir), content="text")
