@@ -63,7 +63,7 @@ def shortest_number(x: Column) -> Column:
     sign = F.when(x < 0, "-").otherwise("")
     whole = F.regexp_replace(F.regexp_replace(plain, "^-", ""), r"\.", "")
     million = F.regexp_replace(F.concat(sign, F.substring(whole, 1, 1), F.lit("."), F.substring(whole, 2, 20)), r"\.?0*$", "")
-    with_power = F.concat(digits, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    with_power = F.concat(digits, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
     size = F.abs(x)
     return F.when((size >= 1e6) & (size < 1e7), F.concat(million, F.lit("e+06"))).when((size >= 1e-4) & (size < 1e-3), small).when(F.contains(plain, F.lit("E")), with_power).otherwise(plain)
 

@@ -8,9 +8,7 @@ parsed doesn't stop the job: its content is null and ``load_error`` says why.
 from __future__ import annotations
 
 import csv
-import decimal
 import io
-import json
 import urllib.request
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
@@ -19,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.functions import text as tx
 from corpusmill.functions.text import SPACE_CHARS, unicode_trim
 
 #: Regular expressions of Markdown, in the order in which they apply (fixed values).
@@ -115,56 +114,6 @@ def csv_text(source: str | None, separator: str = " | ") -> tuple[str, int]:
     return "\n".join(separator.join(r) for r in rows).strip(SPACE_CHARS), len(rows)
 
 
-def _number(v: float) -> str:
-    """A JSON number in the shortest form: plain from 1e-4 to below 1e6, else with an exponent of two digits or more."""
-    x = float(v)
-    if x == 0:
-        return "-0" if str(x)[0] == "-" else "0"
-    digits, _, exponent = f"{decimal.Decimal(repr(x)).normalize():e}".partition("e")
-    if -4 <= int(exponent) < 6:
-        return f"{decimal.Decimal(repr(x)).normalize():f}"
-    return f"{digits}e{int(exponent):+03d}"
-
-
-def _plain(v) -> str:
-    if v is None:
-        return "<nil>"
-    if isinstance(v, bool):
-        return "true" if v else "false"
-    if isinstance(v, int | float):
-        return _number(v)
-    if isinstance(v, dict):
-        return "map[" + " ".join(f"{k}:{_plain(v[k])}" for k in sorted(v)) + "]"
-    if isinstance(v, list):
-        return "[" + " ".join(map(_plain, v)) + "]"
-    return v
-
-
-def _every(v) -> Iterator[str]:
-    if isinstance(v, dict):
-        for k in sorted(v):
-            yield from _every(v[k])
-    elif isinstance(v, list):
-        for x in v:
-            yield from _every(x)
-    elif v is not None:
-        yield _plain(v)
-
-
-def _named(v, fields: tuple[str, ...]) -> Iterator[str]:
-    if isinstance(v, dict):
-        yield from (_plain(v[f]) for f in fields if f in v)
-    elif isinstance(v, list):
-        for x in v:
-            yield from _named(x, fields)
-
-
-def json_text(source: str | None, fields: tuple[str, ...] = ()) -> str:
-    """All scalars depth first, keys sorted; or the named fields of objects, arrays descended."""
-    v = json.loads(source or "null")
-    return "\n".join(_named(v, fields) if fields else _every(v)).strip(SPACE_CHARS)
-
-
 PARSED = "struct<content:string,row_count:int,error:string>"
 
 
@@ -197,8 +146,91 @@ def csv_rows(c: Column, separator: str = " | ") -> Column:
     return _parsed(c, lambda x: csv_text(x, separator))
 
 
+#: what a piece of a JSON text still is: finished text, or a value to be listed, searched for fields, or written out
+_TEXT, _LIST, _FIND, _WRITE = 0, 1, 2, 3
+_PIECES = "array<struct<mode:int,t:string,v:variant>>"
+#: nesting that the JSON parser takes
+_DEEPEST = 1000
+
+
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once."""
+    return F.transform(F.array(c), f)[0]
+
+
+def _as_text(v: Column) -> Column:
+    """A scalar other than null; null for a number beyond the doubles."""
+    whole = lambda n: F.when(F.abs(n) < 1_000_000, n.cast("string"))
+
+    def told(kind: Column) -> Column:
+        plain = F.try_variant_get(v, "$", "string")
+        x = F.try_variant_get(v, "$", "double")
+        number = F.when(F.abs(x) != F.lit(float("inf")), tx.shortest_number(x))
+        return F.when((kind == "STRING") | (kind == "BOOLEAN"), plain).otherwise(F.coalesce(F.when(kind == "BIGINT", whole(F.try_variant_get(v, "$", "long"))), number))
+
+    return _once(F.schema_of_variant(v), told)
+
+
+def _opened(x: Column, fields: tuple[str, ...]) -> Column:
+    """What a piece becomes on the next level: an array takes its place, so the order stays."""
+    text = lambda t: F.struct(F.lit(_TEXT).alias("mode"), t.alias("t"), F.lit(None).cast("variant").alias("v"))
+    value = lambda mode, v: F.struct(F.lit(mode).alias("mode"), F.lit(None).cast("string").alias("t"), v.alias("v"))
+    nothing = F.array().cast(_PIECES)
+
+    def level(y: Column) -> Column:
+        items, members, v = y["items"], y["members"], x["v"]
+        children = lambda mode: F.coalesce(F.transform(items, lambda e: value(mode, e)), F.transform(F.map_values(members), lambda e: value(mode, e)))
+        listed = F.coalesce(children(_LIST), F.when(F.is_variant_null(v), nothing).otherwise(F.array(text(F.concat(_as_text(v), F.lit("\n"))))))
+        named = [F.when(F.map_contains_key(members, f), F.array(value(_WRITE, F.try_element_at(members, F.lit(f))), text(F.lit("\n")))).otherwise(nothing) for f in fields]
+        found = F.coalesce(F.transform(items, lambda e: value(_FIND, e)), F.when(members.isNotNull(), F.concat(nothing, *named)), nothing)
+        spaced = lambda i: F.when(i > 0, " ").otherwise("")
+        array = F.flatten(F.transform(items, lambda e, i: F.array(text(spaced(i)), value(_WRITE, e))))
+        pairs = F.flatten(F.transform(F.map_entries(members), lambda e, i: F.array(text(F.concat(spaced(i), e["key"], F.lit(":"))), value(_WRITE, e["value"]))))
+        around = lambda a, c, b: F.concat(F.array(text(F.lit(a))), c, F.array(text(F.lit(b))))
+        written = F.coalesce(around("[", array, "]"), around("map[", pairs, "]"), F.array(text(F.when(F.is_variant_null(v), "<nil>").otherwise(_as_text(v)))))
+        return F.when(x["mode"] == _LIST, listed).when(x["mode"] == _FIND, found).otherwise(written)
+
+    containers = F.struct(F.try_variant_get(x["v"], "$", "array<variant>").alias("items"), F.try_variant_get(x["v"], "$", "map<string,variant>").alias("members"))
+    return F.when(x["mode"] == _TEXT, F.array(x)).otherwise(_once(containers, level))
+
+
 def json_parsed(c: Column, fields: tuple[str, ...] = ()) -> Column:
-    return _parsed(c, lambda x: (json_text(x, fields), None))
+    """struct(content, row_count, error): all scalars depth first, keys sorted; or the named fields of objects, arrays descended.
+
+    The text becomes a VARIANT, and its levels are opened one after the other in the JVM. A
+    null or empty text has the content ''. Not JSON, and so an error: text behind the value, a
+    number beyond the doubles, nesting beyond 1,000, and more bytes than a VARIANT holds. Of
+    equal keys the last counts where the session allows them (``allow_equal_keys``).
+    """
+    body = F.coalesce(c, F.lit(""))
+    # the parser ignores what stands behind a value; no such text is whole in both of these
+    inside, also = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"":'), body, F.lit("}")))
+    root = F.when(also.isNotNull(), _once(inside, lambda v: F.try_variant_get(v, "$[0]", "variant")))
+    start = lambda v: F.array(F.struct(F.lit(_FIND if fields else _LIST).alias("mode"), F.lit(None).cast("string").alias("t"), v.alias("v")))
+    levels = F.least(F.lit(_DEEPEST), F.length(F.regexp_replace(body, r"[^\[{]", ""))) + 1
+
+    def step(acc: Column, _) -> Column:
+        opened = F.flatten(F.transform(acc["p"], lambda x: _opened(x, fields)))
+        following = _once(opened, lambda p: F.struct(p.alias("p"), F.exists(p, lambda x: x["mode"] != _TEXT).alias("open")))
+        return F.when(acc["open"], following).otherwise(acc)
+
+    def walked(v: Column) -> Column:
+        zero = F.struct(start(v).cast(_PIECES).alias("p"), F.lit(True).alias("open"))
+        pieces = F.aggregate(F.sequence(F.lit(1), levels), zero, step, lambda acc: acc["p"])
+        return F.when(v.isNotNull(), _once(pieces, lambda p: F.when(~F.exists(p, lambda x: x["t"].isNull()), tx.unicode_trim(F.array_join(F.transform(p, lambda x: x["t"]), "")))))
+
+    out = _once(root, lambda v: F.struct(walked(v).alias("content"), v.isNull().alias("bad")))
+    error = lambda y: F.when(y["bad"], "ValueError: not one JSON value, or nested too deep").when(y["content"].isNull(), "ValueError: a number beyond the doubles")
+    full = _once(out, lambda y: F.struct(y["content"].alias("content"), F.lit(None).cast("int").alias("row_count"), error(y).alias("error")))
+    blank = F.struct(F.lit("").alias("content"), F.lit(None).cast("int").alias("row_count"), F.lit(None).cast("string").alias("error"))
+    return F.when(body == "", blank).otherwise(full)
+
+
+def allow_equal_keys(spark: SparkSession) -> None:
+    """Of equal keys in a JSON object the last counts, unless the session says otherwise."""
+    key = "spark.sql.variant.allowDuplicateKeys"
+    if spark.conf.get(key, "false") == "false":
+        spark.conf.set(key, "true")
 
 
 def json_scalars(c: Column, fields: tuple[str, ...] = ()) -> Column:
@@ -220,6 +252,8 @@ def load(df: DataFrame, source_col: str = "content", mime: str = "text/plain", j
     c, kind = F.col(source_col), loader_of(mime)
     if kind is None:
         raise ValueError(f"no loader supports {mime!r}")
+    if kind == "json":
+        allow_equal_keys(df.sparkSession)
     if kind == "text":
         return df.withColumn("mime_type", F.lit("text/plain"))
     if kind == "markdown":
@@ -268,29 +302,31 @@ def load_urls(df: DataFrame, url_col: str = "url", get: Callable[[str], tuple[st
     fetched or has no loader has null content and an error.
     """
 
-    @F.pandas_udf("struct<content:string,mime:string,row_count:int,error:string>")
+    @F.pandas_udf("struct<content:string,mime:string,error:string>")
     def run(urls: pd.Series) -> pd.DataFrame:
         out = []
         for u in urls:
             try:
-                text, mime = get(u)
-                kind = loader_of(mime)
-                if kind is None:
-                    raise ValueError(f"no loader supports {mime!r}")
-                rows = None
-                if kind == "html":
-                    text = html_text(text)
-                elif kind == "csv":
-                    text, rows = csv_text(text)
-                elif kind == "json":
-                    text = json_text(text, json_fields)
-                out.append((text, mime, rows, None))
-            except (OSError, ValueError, RecursionError, csv.Error) as e:
-                out.append((None, None, None, f"{type(e).__name__}: {e}"[:500]))
-        return pd.DataFrame(out, columns=["content", "mime", "row_count", "error"]).astype({"row_count": "Int32"})
-
-    out = df.withColumn("_got", run(F.col(url_col)))
-    content = F.when(F.col("_got.mime").isin([m for m, k in TYPES.items() if k == "markdown"]), markdown(F.col("_got.content"))).otherwise(F.col("_got.content"))
+                out.append((*get(u), None))
+            except (OSError, ValueError) as e:
+                out.append((None, None, f"{type(e).__name__}: {e}"[:500]))
+        return pd.DataFrame(out, columns=["content", "mime", "error"])
+
+    allow_equal_keys(df.sparkSession)
+    table = F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv])
+    got = df.withColumn("_got", run(F.col(url_col)))
+    kind = F.coalesce(F.try_element_at(table, F.lower(F.trim(F.substring_index("_got.mime", ";", 1)))), F.lit(""))
+    body, mime, failed = F.col("_got.content"), F.col("_got.mime"), F.col("_got.error").isNotNull()
+    only = lambda k: F.when(kind == k, body)
+    plain = lambda c: F.struct(c.alias("content"), F.lit(None).cast("int").alias("row_count"), F.lit(None).cast("string").alias("error"))
+    unknown = F.struct(F.lit(None).cast("string").alias("content"), F.lit(None).cast("int").alias("row_count"), F.concat(F.lit("ValueError: no loader supports "), mime).alias("error"))
+    parsed = (
+        F.when(failed, F.struct(F.lit(None).cast("string").alias("content"), F.lit(None).cast("int").alias("row_count"), F.col("_got.error").alias("error")))
+        .when(kind == "text", plain(body)).when(kind == "markdown", plain(markdown(body))).when(kind == "html", html_parsed(only("html")))
+        .when(kind == "csv", csv_rows(only("csv"))).when(kind == "json", json_parsed(only("json"), json_fields)).otherwise(unknown)
+    )
+    out = got.withColumn("_parsed", parsed)
+    known = F.when(F.col("_parsed.error").isNull(), mime)
     return out.select(
-        *df.columns, F.col(url_col).alias("source_url"), F.col("_got.mime").alias("mime_type"), content.alias("content"), F.col("_got.row_count").alias("row_count"), F.col("_got.error").alias("load_error")
+        *df.columns, F.col(url_col).alias("source_url"), known.alias("mime_type"), F.col("_parsed.content").alias("content"), F.col("_parsed.row_count").alias("row_count"), F.col("_parsed.error").alias("load_error")
     )

@@ -56,10 +56,6 @@ def test_loaders(spark):
     assert loaders.html_text("<p>a</p><script>s</script>b") == "a \nb"
     assert loaders.html_text("<title>t&amp;u</title><noscript>n</noscript>x<br>y") == "t&u x \ny"
     assert loaders.csv_text("a,b\nc") == ("a | b\nc", 2)
-    assert loaders.json_text('{"b": [1, "x", null], "a": true}') == "true\n1\nx"
-    assert loaders.json_text('[{"a": 1.5, "n": null}, {"a": [1, 2]}]', ("a", "n")) == "1.5\n<nil>\n[1 2]"
-    numbers = {3: "3", 1e20: "1e+20", 1e21: "1e+21", 1e-5: "1e-05", 0.25: "0.25", 123456: "123456", 1e6: "1e+06", 1234567.5: "1.2345675e+06", -0.0001: "-0.0001", 1e100: "1e+100", 0.1 + 0.2: "0.30000000000000004"}
-    assert {v: loaders._number(v) for v in numbers} == numbers
 
 
 def test_loaders_survive_bad_rows(spark):
