@@ -180,12 +180,13 @@ def _tile(top: int):
             sources, totals = code[mine][order], total[mine][order]
             counts = np.zeros((len(sources), len(names)), np.int64)
             counts[np.searchsorted(sources, code[at]), column[side[~plain] == s]] = n[at]
-            matrices.append((sources, counts, share(counts, totals[:, None], v)))
-        (a, a_counts, p), (b, _, q) = matrices[0], matrices[-1]
-        values = np.zeros((len(a), len(b)), np.int64)
+            matrices.append((sources, counts, share(counts, totals[:, None], v), share(np.zeros_like(totals), totals, v)))
+        (a, a_counts, p, p_none), (b, _, q, q_none) = matrices[0], matrices[-1]
+        # kept terms of the block that no source of the tile has: equal columns, worked out once
+        values = (int(rows.column("block_terms").filter(pa.array(plain))[0].as_py()) - len(names)) * distance(p_none[:, None], q_none[None, :])
         step = max(1, _SLICE // max(1, len(b) * len(names)))
         for i in range(0, len(a), step):
-            values[i : i + step] = distance(p[i : i + step, None, :], q[None, :, :]).sum(2)
+            values[i : i + step] += distance(p[i : i + step, None, :], q[None, :, :]).sum(2)
         i, j = np.divmod(np.arange(values.size), max(1, len(b)))
         if first == second:
             i, j = i[i != j], j[i != j]
@@ -245,8 +246,10 @@ def divergence(
         "lang", "code", F.explode(F.sequence(F.lit(0), (F.col("tb") - 1).cast("int"))).alias("block"), "total", "v", "lang_total", "sb",
         F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("lang_n"),
     )
-    cells = cells.join(groups, ["lang", "code"])
-    rows = marks.unionByName(cells.withColumn("block", _deal("term", F.col("tb"))).drop("tb"))
+    cells = cells.join(groups, ["lang", "code"]).withColumn("block", _deal("term", F.col("tb"))).drop("tb")
+    in_block = cells.groupBy("lang", "block", "term").agg(F.lit(1)).groupBy("lang", "block").agg(F.count("*").alias("block_terms"))
+    marks = marks.join(in_block, ["lang", "block"], "left").na.fill(0, ["block_terms"])
+    rows = marks.unionByName(cells.withColumn("block_terms", F.lit(None).cast("long")))
     # a source block meets itself and every other one, the lower number first
     rows = rows.withColumn("own", _deal("code", F.col("sb"))).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("sb") - 1).cast("int"))))
     rows = rows.select("*", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side")).drop("own", "other", "sb")
