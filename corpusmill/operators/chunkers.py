@@ -9,10 +9,11 @@ bytes, ``content`` the valid text.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import SPACE, SPACE_CHARS, unicode_trim
@@ -23,9 +24,10 @@ _WS = r"[\t\n\f\r ]"
 #: a sentence ends at white space behind its punctuation
 _SENTENCE_END = rf"(?<=[.!?]){_WS}+"
 _SOLID = "[^" + SPACE[1:]
-#: Boundaries of code blocks in order of preference (fixed values).
+#: Boundaries of code blocks and of recursive chunks in order of preference (fixed values).
 CODE_SEPARATORS = ("\nfunc ", "\ndef ", "\nclass ", "\nfunction ", "\nconst ", "\nvar ", "\ntype ", "\n\n", "\n")
 RECURSIVE_SEPARATORS = ("\n\n", "\n", ". ", " ")
+CHUNK_COLUMNS = ("index", "start_offset", "end_offset", "token_count", "content", "raw")
 _CUTS = "array<struct<first:int,start:int>>"
 
 
@@ -174,9 +176,93 @@ def register(name: str, chunker: Callable[[DataFrame, int, int], DataFrame]) ->
     STRATEGIES[name] = chunker
 
 
+# chunks of one text, for the table function
+
+TABLE = "index int, content string, start_offset int, end_offset int, token_count int, raw binary"
+Pieces = Iterator[tuple[bytes, int]]
+
+
+def _window_rows(whole_tail: bool) -> Callable[[str, int, int], Pieces]:
+    def cut(text: str, size: int, overlap: int) -> Pieces:
+        data, step = text.encode(), max(1, size - overlap)
+        last = max(0, -(-(len(data) - size) // step)) if whole_tail else -(-len(data) // step) - 1
+        return ((data[k * step : k * step + size], k * step) for k in range(last + 1))
+
+    return cut
+
+
+def _packed_rows(pieces: Iterator[str], limit: int, joiner: str) -> Pieces:
+    held: list[str] = []
+    size = start = 0
+    for p in pieces:
+        n = len(p.encode())
+        if held and size + n + len(joiner) > limit:
+            yield joiner.join(held).encode(), start
+            held, start, size = [p], start + size, n
+        else:
+            size += n + (len(joiner) if held else 0)
+            held.append(p)
+    if held:
+        yield joiner.join(held).encode(), start
+
+
+def _semantic_rows(text: str, size: int, overlap: int) -> Pieces:
+    sentences = (s.strip(SPACE_CHARS) for s in re.split(_SENTENCE_END, text))
+    return _packed_rows(filter(None, sentences), size, " ")
+
+
+def _code_rows(text: str, size: int, overlap: int) -> Pieces:
+    blocks = [text]
+    for sep in CODE_SEPARATORS:
+        first, *rest = text.split(sep)
+        several = [b for b in [first, *(sep + p for p in rest)] if b.strip(SPACE_CHARS)]
+        if rest and len(several) > 1:
+            blocks = several
+            break
+    return _packed_rows(filter(None, (b.rstrip(" \t") for b in blocks)), size, "")
+
+
+#: (trimmed text, size and overlap in bytes) to (bytes, offset), and the end where it isn't offset + bytes
+ROWS: dict[str, Callable] = {
+    "fixed": _window_rows(True), "fixed_first_window": lambda t, size, overlap: [(t.encode()[:size], 0)], "sliding": _window_rows(False), "semantic": _semantic_rows, "code": _code_rows,
+    "recursive": lambda t, size, overlap: ((r["content"].encode(), r["start_offset"], r["end_offset"]) for r in recursive_rows(t, size, overlap)),
+}
+
+
+def register_rows(name: str, cut: Callable[[str, int, int], Pieces]) -> None:
+    """Add a chunker of single texts: (trimmed text, size and overlap in bytes) to (bytes, offset) in order."""
+    ROWS[name] = cut
+
+
+def register_table_function(spark: SparkSession, name: str = "chunk") -> None:
+    """``SELECT ... FROM docs, LATERAL chunk(text, strategy, size, overlap)`` with all chunkers of ``ROWS`` as they are now.
+
+    Sizes, overlaps and what 0 or null means are those of ``chunk``. A null, empty or blank
+    text has no chunks; an unknown strategy is an error. The columns are those of TABLE.
+    """
+    known = dict(ROWS)
+
+    class Chunk:
+        def eval(self, text: str, strategy: str, size: int, overlap: int):
+            if strategy not in known:
+                raise ValueError(f"unknown chunk strategy {strategy!r}")
+            size = size if size and size > 0 else DEFAULTS["chunk_size"]
+            if strategy == "sliding" and not (overlap and overlap > 0):
+                overlap = DEFAULTS["chunk_overlap"]
+            body = (text or "").strip(SPACE_CHARS)
+            if not body:
+                return
+            for i, (raw, start, *given) in enumerate(known[strategy](body, size * BYTES_PER_TOKEN, (overlap or 0) * BYTES_PER_TOKEN)):
+                end = given[0] if given else start + len(raw)
+                yield i, raw.decode("utf-8", "replace"), start, end, (end - start) // BYTES_PER_TOKEN, raw
+
+    spark.udtf.register(name, F.udtf(Chunk, returnType=TABLE, useArrow=True))
+
+
 def chunk(df: DataFrame, text_col: str = "text", strategy: str = "recursive", size: int = 0, overlap: int | None = None) -> DataFrame:
     """Rows of ``df`` without the text, times its chunks: index, start_offset, end_offset, token_count, content, raw.
 
+    A column of ``df`` with the name of one of these gives way to it; other names can't clash.
     A size of 0 means the default. Overlap None or 0 means the default for sliding, none for the others.
     """
     if strategy not in STRATEGIES:
@@ -185,10 +271,12 @@ def chunk(df: DataFrame, text_col: str = "text", strategy: str = "recursive", si
     if strategy == "sliding":
         overlap = overlap if overlap and overlap > 0 else DEFAULTS["chunk_overlap"]
     overlap = overlap or 0
-    rows = df.withColumn("_text", unicode_trim(F.coalesce(F.col(text_col), F.lit("")))).drop(text_col)
+    text = unicode_trim(F.coalesce(F.col(text_col), F.lit("")))
+    rows = df.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in df.columns if c != text_col], F.lit(None).alias("_none")).alias("_row"), text.alias("_text"))
     out = STRATEGIES[strategy](rows, size * BYTES_PER_TOKEN, overlap * BYTES_PER_TOKEN)
     tokens = F.col("_tokens") if "_tokens" in out.columns else ((F.col("end_offset") - F.col("start_offset")) / BYTES_PER_TOKEN).cast("int")
-    return out.withColumn("token_count", tokens).drop("_text", "_tokens")
+    mine = [c for c in df.columns if c not in (text_col, *CHUNK_COLUMNS)]
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in mine], *CHUNK_COLUMNS[:3], "raw", "content", tokens.alias("token_count"))
 
 
-__all__ = ["SPACE", "STRATEGIES", "chunk", "recursive_rows", "register"]
+__all__ = ["ROWS", "SPACE", "STRATEGIES", "chunk", "recursive_rows", "register", "register_rows", "register_table_function"]

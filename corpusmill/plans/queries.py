@@ -241,6 +241,33 @@ def chunk_recursive(spark, sf_dir):
     return _chunk_columns(chunkers.chunk(_docs(spark, sf_dir), "text", "recursive", 512, 50))
 
 
+def _chunk_sql(spark, sf_dir, strategies: str) -> DataFrame:
+    chunkers.register_table_function(spark)
+    columns = "c.index AS chunk_index, c.start_offset, c.end_offset, c.token_count, sha2(c.raw, 256) AS sha256"
+    return spark.sql(f"SELECT d.doc_id, s.strategy, {columns} FROM {{docs}} d, (VALUES {strategies}) AS s(strategy, overlap), LATERAL chunk(d.text, s.strategy, 512, s.overlap) c", docs=_docs(spark, sf_dir))
+
+
+def _each_strategy_sql() -> str:
+    tail = f"WITH {_TRIMMED}, w AS (SELECT doc_id, h, k, k * 1848 AS s, least(k * 1848 + 2048, n) AS e FROM (SELECT doc_id, h, n, unnest(range(0, COUNT_OF)) AS k FROM b)) {_WINDOW_TAIL}"
+    parts = {
+        "fixed": tail.replace("COUNT_OF", "greatest(ceil((n - 2048) / 1848.0)::BIGINT, 0) + 1"), "sliding": tail.replace("COUNT_OF", "ceil(n / 1848.0)::BIGINT"),
+        "semantic": _pack_sql(_SENTENCES, " "), "code": _pack_sql(_code_pieces(), ""),
+    }
+    return " UNION ALL ".join(f"SELECT '{name}' AS strategy, * FROM ({sql})" for name, sql in parts.items())
+
+
+@query(_each_strategy_sql())
+def chunk_table_function(spark, sf_dir):
+    """Four strategies in SQL, by the table function."""
+    return _chunk_sql(spark, sf_dir, "('fixed', 50), ('sliding', 50), ('semantic', 0), ('code', 0)")
+
+
+@query()
+def chunk_recursive_sql(spark, sf_dir):
+    """The recursive strategy in SQL; equal to chunk_recursive."""
+    return _chunk_sql(spark, sf_dir, "('recursive', 50)").drop("strategy")
+
+
 # loaders
 
 
