@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-
 
 class Embedder(Protocol):
     dimensions: int
@@ -30,31 +29,77 @@ class HashingEmbedder:
         self.dimensions = dimensions
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        return [_embed_one(t, self.dimensions, {}) for t in texts]
+        return _hashed(pa.array([t or "" for t in texts], pa.string()), self.dimensions, {}).to_pylist()
 
     def column(self, text: Column) -> Column:
         n = self.dimensions
 
-        @F.pandas_udf("array<float>")
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            known: dict = {}
-            for s in batches:
-                if len(known) > 200_000:
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            known: dict[str, int] = {}
+            for texts in batches:
+                if len(known) > _KNOWN:
                     known.clear()
-                yield s.map(lambda t: _embed_one(t or "", n, known))
-
-        return run(text)
-
-
-def _embed_one(text: str, n: int, known: dict) -> list[float]:
-    v = np.zeros(n)
-    for w in _TOKEN.findall(text):
+                yield _hashed(texts, n, known)
+
+        # marked so that no plan works it out twice, as filters on its size would
+        return F.arrow_udf(_typed(run), "array<float>").asNondeterministic()(text)
+
+
+#: words whose buckets a task remembers
+_KNOWN = 500_000
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: cells of the counts of one slice of texts
+_CELLS = 1 << 22
+
+
+def _typed(run):
+    """The annotations that tell an iterator of arrays from a single one."""
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return run
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words between ASCII white space, and the text of each."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    edges = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if data is not None else np.zeros(0, np.uint8)
+    edges = edges - edges[0]
+    solid = ~_IS_SPACE[raw]
+    begin = solid.copy()
+    begin[1:] &= ~solid[:-1]
+    inner = edges[(edges > 0) & (edges < len(raw))]
+    begin[inner] |= solid[inner]
+    starts = np.flatnonzero(begin)
+    # a word's bytes are those from its start to the next one's, without white space
+    sizes = np.add.reduceat(solid.astype(np.int64), starts) if len(starts) else starts
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends.tobytes()), pa.py_buffer(raw[solid].tobytes()))
+    return words, np.searchsorted(edges, starts, side="right") - 1
+
+
+def _hashed(texts: pa.Array, n: int, known: dict[str, int]) -> pa.Array:
+    """Unit vectors of word counts; every distinct word of a batch is hashed once."""
+    words, text = _words(texts)
+    coded = words.dictionary_encode()
+    bucket = np.zeros(len(coded.dictionary), np.int64)
+    for i, w in enumerate(coded.dictionary.to_pylist()):
         b = known.get(w)
         if b is None:
-            b = known[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % n
-        v[b] += 1
-    length = np.sqrt((v * v).sum())
-    return (v / length if length else v).astype(np.float32).tolist()
+            b = known[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+        bucket[i] = b % n
+    cell = text * n + bucket[coded.indices.to_numpy()]
+    parts = []
+    step = max(1, _CELLS // n)
+    for at in range(0, len(texts), step):
+        rows = min(step, len(texts) - at)
+        lo, hi = np.searchsorted(text, at), np.searchsorted(text, at + rows)
+        counts = np.bincount(cell[lo:hi] - at * n, minlength=rows * n).reshape(rows, n).astype(float)
+        length = np.sqrt((counts * counts).sum(1, keepdims=True))
+        parts.append((counts / np.where(length > 0, length, 1)).astype(np.float32).ravel())
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.float32)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * n, pa.int32()), pa.array(flat))
 
 
 class PrecomputedEmbedder:

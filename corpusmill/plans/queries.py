@@ -511,10 +511,10 @@ def vector_norm(spark, sf_dir):
   SELECT doc_id, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS w FROM documents) d GROUP BY ALL""")
 def embed_hashing(spark, sf_dir):
     """Bucket counts read back from the unit vectors: each is a multiple of the smallest component's unit."""
-    d = _t(spark, sf_dir, "documents").select("doc_id", "text", embed.HashingEmbedder(64).column(F.col("text")).alias("v"))
     words = F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    d = _docs(spark, sf_dir).select("doc_id", words.alias("w"), embed.HashingEmbedder(64).column(F.col("text")).alias("v"))
     total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double"))
-    x = d.select("doc_id", words.alias("w"), total.alias("t"), F.posexplode("v").alias("bucket", "x")).where("x > 0")
+    x = d.select("doc_id", "w", total.alias("t"), F.posexplode("v").alias("bucket", "x")).where("x > 0")
     return x.select("doc_id", "bucket", F.round(F.col("x") / F.col("t") * F.col("w")).cast("long").alias("n"))
 
 
