@@ -9,24 +9,32 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.schemas import EVENT
+
 log = logging.getLogger(__name__)
 
+#: Names of the hooks (fixed values).
 HOOKS = (
     "collection_created", "collection_deleted", "document_deleted", "ingest_started", "ingest_chunked", "ingest_embedded", "ingest_completed",
     "ingest_failed", "retrieval_started", "retrieval_completed", "retrieval_failed", "reindex_started", "reindex_completed", "shutdown",
 )
 AUDITED = tuple(h for h in HOOKS if h not in ("ingest_chunked", "ingest_embedded", "shutdown"))
 COUNTED = tuple(h for h in HOOKS if h != "shutdown")
-SCHEMA = "seq long, action string, resource string, outcome string, severity string, details map<string,string>"
 
 
 @dataclass
 class Events:
-    """Callbacks in registration order; an error in one is logged and doesn't stop the others."""
+    """Callbacks in registration order; an error in one is logged and doesn't stop the others.
+
+    ``rows`` are the events that aren't stored yet; ``stored`` gives the table of those that are.
+    """
 
     hooks: dict[str, list[Callable]] = field(default_factory=dict)
     rows: list[tuple] = field(default_factory=list)
     allow: frozenset | None = None
+    first: int = 0
+    stored: Callable[[], DataFrame] | None = None
+    told: int = 0
 
     def on(self, hook: str, call: Callable) -> None:
         if hook not in HOOKS:
@@ -35,7 +43,8 @@ class Events:
 
     def emit(self, hook: str, resource: str = "", **details) -> None:
         failed = hook.endswith("_failed")
-        self.rows.append((len(self.rows), hook, resource, "failure" if failed else "success", "critical" if failed else "info", {k: str(v) for k, v in details.items()}))
+        self.rows.append((self.first + self.told, hook, resource, "failure" if failed else "success", "critical" if failed else "info", {k: str(v) for k, v in details.items()}))
+        self.told += 1
         for call in self.hooks.get(hook, []):
             try:
                 call(resource, **details)
@@ -43,7 +52,8 @@ class Events:
                 log.exception("hook %s", hook)
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, SCHEMA)
+        rows = spark.createDataFrame(self.rows, EVENT)
+        return self.stored().unionByName(rows) if self.stored else rows
 
     def audit(self, spark: SparkSession) -> DataFrame:
         """The audited actions, or those of them that are allowed."""

@@ -644,6 +644,50 @@ def vector_literal_float(spark, sf_dir):
     return _entries(spark, sf_dir).select("id", tx.vector_literal("vector").alias("literal"))
 
 
+def _engine(spark, sf_dir):
+    """All documents in one collection of a new engine, and a second, empty one."""
+    from corpusmill.engine import Engine
+
+    engine = Engine(spark, shared_folder(spark, "engine"), embed.HashingEmbedder(16))
+    c = engine.create_collection("all", strategy="fixed", size=512)
+    engine.update_collection(c, chunk_overlap=0)
+    engine.ingest(c, _docs(spark, sf_dir).withColumn("title", F.col("doc_id")), content="text")
+    return engine, c
+
+
+_DISTINCT_TEXTS = f"""WITH {_TRIMMED}, u AS (SELECT text AS t, min(doc_id::VARCHAR) AS title FROM documents WHERE coalesce(text, '') <> '' GROUP BY text),
+k AS (SELECT u.title, u.t, coalesce(CASE WHEN b.n > 0 THEN greatest(ceil(b.n / 2048.0), 1) ELSE 0 END, 0)::BIGINT AS n, coalesce(b.n, 0) AS bytes FROM u LEFT JOIN b ON b.doc_id = u.title::BIGINT)"""
+
+
+@query(f"""{_DISTINCT_TEXTS} SELECT title, 'ready' AS state, sha256(t) AS content_hash, n::INTEGER AS chunk_count, n AS n_chunks, bytes::BIGINT AS n_bytes, n AS n_entries, n AS n_units, 2::BIGINT AS dims FROM k""".replace("2::BIGINT AS dims", "16 * n AS dims"))
+def engine_tables(spark, sf_dir):
+    """What an ingest and a reindex leave in the tables: documents, and their chunks, entries and unit vectors."""
+    engine, c = _engine(spark, sf_dir)
+    engine.reindex(c)
+    chunks = engine.table("chunks").groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("n_chunks"), F.sum(F.col("end_offset") - F.col("start_offset")).alias("n_bytes"))
+    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    e = engine.table("entries").select(F.col("document_id").alias("id"), F.size("vector").alias("d"), (F.abs(square - 1) < 1e-5).cast("long").alias("unit"))
+    e = e.groupBy("id").agg(F.count("*").alias("n_entries"), F.sum("unit").alias("n_units"), F.sum("d").cast("long").alias("dims"))
+    d = engine.table("documents").join(chunks, "id", "left").join(e, "id", "left").na.fill(0, ["n_chunks", "n_bytes", "n_entries", "n_units", "dims"])
+    return d.select("title", "state", "content_hash", "chunk_count", "n_chunks", "n_bytes", "n_entries", "n_units", "dims")
+
+
+@query(f"""{_DISTINCT_TEXTS}, s AS (SELECT count(*) AS d, coalesce(sum(n), 0)::BIGINT AS c FROM k)
+SELECT action, 'success' AS outcome, 'info' AS severity, CASE WHEN action = 'ingest_completed' THEN d END::BIGINT AS documents, CASE WHEN action = 'ingest_completed' THEN c END::BIGINT AS chunks
+FROM s, (VALUES ('collection_created'), ('ingest_started'), ('ingest_completed'), ('retrieval_started'), ('retrieval_completed'), ('collection_deleted')) a(action)""")
+def engine_audit(spark, sf_dir):
+    """The audit rows of a real run, read by an engine that opens the folder afterwards."""
+    from corpusmill.engine import Engine
+
+    engine, c = _engine(spark, sf_dir)
+    engine.retrieve("the", c, k=3)
+    engine.delete_collection(c)
+    engine.stop()
+    rows = (again := Engine(spark, engine.root)).events.audit(again.spark)
+    number = lambda k: F.try_element_at("details", F.lit(k)).cast("long").alias(k)
+    return rows.select("action", "outcome", "severity", number("documents"), number("chunks"))
+
+
 @query(f"""WITH {_TRIMMED}, u AS (SELECT text AS t, min(doc_id) AS doc_id FROM documents WHERE coalesce(text, '') <> '' GROUP BY text),
 k AS (SELECT coalesce(sum(CASE WHEN b.n > 0 THEN greatest(ceil(b.n / 2048.0), 1) ELSE 0 END), 0)::BIGINT AS n FROM u JOIN b USING (doc_id))
 SELECT 'collection_created' AS action, 1::BIGINT AS n UNION ALL SELECT 'ingest_started', 1 UNION ALL SELECT 'ingest_chunked', 1 UNION ALL SELECT 'ingest_embedded', 1
@@ -651,11 +695,6 @@ UNION ALL SELECT 'ingest_completed', 1 UNION ALL SELECT 'reindex_started', 1 UNI
 UNION ALL SELECT 'documents.ingested', (SELECT count(*) FROM u) UNION ALL SELECT 'chunks.created', (SELECT n FROM k)""")
 def engine_lifecycle(spark, sf_dir):
     """All documents through the engine's verbs: create, ingest, reindex; then the counters of its own events."""
-    from corpusmill.engine import Engine
-
-    engine = Engine(spark, shared_folder(spark, "engine"), embed.HashingEmbedder(16))
-    c = engine.create_collection("all", strategy="fixed", size=512)
-    engine._update("collections", c, {"chunk_overlap": 0})
-    engine.ingest(c, _docs(spark, sf_dir), content="text")
+    engine, c = _engine(spark, sf_dir)
     engine.reindex(c)
     return engine.events.metrics(spark)

@@ -27,6 +27,7 @@ CHUNK = _struct(
 )
 #: tenant, collection and document are columns beside the metadata, so equalities on them reach the scan
 ENTRY = _struct(id=_S, vector=T.ArrayType(T.FloatType()), content=_S, metadata=_META, tenant_id=_S, collection_id=_S, document_id=_S)
+EVENT = _struct(seq=_L, action=_S, resource=_S, outcome=_S, severity=_S, details=_META)
 CHUNK_RESULT = "array<struct<content:string,index:int,start_offset:int,end_offset:int,token_count:int>>"
 
 STATES = ("pending", "processing", "ready", "failed")

@@ -138,3 +138,106 @@ def test_chunk_stream(spark, tmp_path):
         chunk_stream(spark, str(src), docs.schema, str(tmp_path / "out"), str(tmp_path / "cp"), size=2, overlap=1).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == 4 and got.select("id").distinct().count() == 4
+
+
+def texts(spark, *rows):
+    return spark.createDataFrame([(t,) for t in rows], "content string")
+
+
+def files(root):
+    return {str(p.relative_to(root)): p.stat().st_mtime_ns for p in root.rglob("*.parquet")}
+
+
+def test_collections_do_not_touch_each_other(spark, engine, tmp_path):
+    a, b = (engine.create_collection(n, strategy="sliding", size=4, overlap=1) for n in "ab")
+    for c in (a, b):
+        engine.ingest(c, texts(spark, "the red fox runs over the hill", "blue whales swim in the deep sea"))
+    other = lambda: {k: v for k, v in files(tmp_path).items() if f"collection_id={b}/" in k}
+    before = other()
+    assert before
+    engine.reindex(a)
+    engine.delete_document(engine.list_documents(collection=a).first()["id"])
+    engine.update_document(engine.list_documents(collection=a).first()["id"], title="t")
+    engine.delete_collection(a)
+    assert other() == before and engine.count_documents() == 2 and engine.count_chunks(b) == engine.table("entries").count()
+    assert engine.vacuum() > 0 and set(other()) < set(before) and engine.count_documents() == 2 and not any(f"collection_id={a}/" in k for k in files(tmp_path))
+    assert engine.count_chunks(b) == engine.table("entries").count() > 0
+    plan = engine.retrieve("x", b)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(collection_id" in plan
+
+
+def test_conflict_leaves_nothing_behind(spark, tmp_path):
+    first = Engine(spark, str(tmp_path), HashingEmbedder(32))
+    c = first.create_collection("books")
+    second = Engine(spark, str(tmp_path), HashingEmbedder(32))
+    first.ingest(c, texts(spark, "one text"))
+    before = files(tmp_path)
+    with pytest.raises(Conflict):
+        second.ingest(c, texts(spark, "another text"))
+    assert files(tmp_path).keys() == before.keys()
+    assert [r["action"] for r in second.events.frame(spark).orderBy("seq").collect()][-2:] == ["ingest_started", "ingest_failed"]
+    assert Engine(spark, str(tmp_path)).count_documents(c, "ready") == 1
+
+
+def test_unsafe_file_systems_are_refused(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("corpusmill.engine.SAFE", ("hdfs",))
+    with pytest.raises(ValueError, match="only_writer"):
+        Engine(spark, str(tmp_path))
+    assert Engine(spark, str(tmp_path), only_writer=True).health()
+
+
+def test_events_survive(spark, tmp_path):
+    first = Engine(spark, str(tmp_path), HashingEmbedder(32))
+    c = first.create_collection("books")
+    first.ingest(c, texts(spark, "one text"))
+    again = Engine(spark, str(tmp_path), HashingEmbedder(32))
+    again.ingest(c, texts(spark, "two"))
+    counts = {r["action"]: r["n"] for r in again.events.metrics(spark).collect()}
+    assert counts["collection_created"] == 1 and counts["ingest_completed"] == 2 and counts["documents.ingested"] == 2
+    seqs = [r["seq"] for r in again.events.frame(spark).collect()]
+    assert len(set(seqs)) == len(seqs)
+
+
+def test_stream_into_the_catalogue(spark, tmp_path):
+    """Duplicates over batches, a replay of all batches and a broken attempt leave every document once."""
+    from corpusmill.streaming.ingest import ingest_stream
+
+    engine = Engine(spark, str(tmp_path / "cat"), HashingEmbedder(32))
+    c = engine.create_collection("books", strategy="sliding", size=4, overlap=1)
+    source, n = tmp_path / "in", 0
+
+    def arrive(*rows):
+        nonlocal n
+        n += 1
+        texts(spark, *rows).coalesce(1).write.parquet(str(source / f"part{n}"))
+
+    def run(checkpoint):
+        docs = spark.readStream.schema("content string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(source))
+        ingest_stream(engine, c, docs, str(tmp_path / checkpoint), "files").awaitTermination()
+
+    state = lambda: (sorted((r["content_hash"], r["state"], r["chunk_count"]) for r in engine.list_documents().collect()), engine.count_chunks(c), engine.table("entries").count())
+    arrive("the red fox runs over the hill", "blue whales swim in the deep sea")
+    arrive("a third text about green birds", "the red fox runs over the hill")
+    run("cp")
+    whole = state()
+    assert len(whole[0]) == 3 and {s for _, s, _ in whole[0]} == {"ready"} and whole[1] == whole[2] > 0
+    run("cp")  # nothing new
+    run("other")  # all batches again
+    assert state() == whole
+    arrive("a fourth text that breaks at first")
+
+    class Broken(HashingEmbedder):
+        def column(self, text):
+            return F.raise_error(F.lit("no model"))
+
+    good, engine.embedder = engine.embedder, Broken(32)
+    with pytest.raises(Exception, match="no model"):
+        run("cp")
+    engine.embedder = good
+    run("cp")
+    rows, chunks, entries = state()
+    assert len(rows) == 4 and {s for _, s, _ in rows} == {"ready"} and chunks == entries > whole[1]
+    counts = {r["action"]: r["n"] for r in engine.events.metrics(spark).collect()}
+    assert counts["documents.ingested"] == 4 and counts["ingest_failed"] == 1
+    with pytest.raises(ValueError):
+        ingest_stream(engine, c, None, "", "a-b")
