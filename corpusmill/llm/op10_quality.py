@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .shared import materialize, row_key, small_batches
+from .shared import free_name, materialize, row_key, small_batches
 
 SYMBOLS = "#*$%&|<>"
 _IS_SYMBOL = np.zeros(256, bool)
@@ -225,13 +225,14 @@ def keep_good_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     limits = {k: options.pop(k) for k in ("min_docs", "max_share") if k in options}
     base, removed = line_decisions(docs, id_col, text_col, host_col, **limits)
     removed = materialize(removed, "removed")
+    own_id, own_key, gone = (free_name(docs, c) for c in ("good_id", "good_key", "gone_lines"))
     # a row's list is no longer than its text has lines
-    lines = removed.groupBy(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k")).agg(F.collect_set("line").alias("_gone"))
-    good = decisions(base, removed, **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct()
-    good = good.join(lines, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left").drop("_d", "_k")
+    lines = removed.groupBy(F.col("doc_id").alias("d"), F.col("row_key").alias("k")).agg(F.collect_set("line").alias(gone))
+    good = decisions(base, removed, **options).where("kept").select(F.col("doc_id").alias(own_id), F.col("row_key").alias(own_key)).distinct()
+    good = good.join(lines, F.col(own_id).eqNullSafe(F.col("d")) & (F.col(own_key) == F.col("k")), "left").drop("d", "k")
     key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.coalesce(F.col(host_col).cast("string"), F.lit("\u0000null")))
-    rows = docs.join(good, docs[id_col].cast("long").eqNullSafe(good["_id"]) & (key == good["_key"]))
+    rows = docs.join(good, docs[id_col].cast("long").eqNullSafe(good[own_id]) & (key == good[own_key]))
     # texts that lose nothing don't travel to Python
-    touched = F.when(F.col("_gone").isNotNull(), F.col(text_col).cast("string"))
-    shorter = F.arrow_udf(_cut_lines, "string")(touched, F.col("_gone"))
+    touched = F.when(F.col(gone).isNotNull(), F.col(text_col).cast("string"))
+    shorter = F.arrow_udf(_cut_lines, "string")(touched, F.col(gone))
     return rows.withColumn(text_col, F.coalesce(shorter, F.col(text_col))).select(*docs.columns)

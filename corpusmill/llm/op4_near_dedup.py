@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .shared import components, discard, materialize, small_batches
+from .shared import components, discard, free_name, materialize, small_batches
 
 SIGNATURE = 64
 SET_SCHEMA = "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>"
@@ -294,14 +294,15 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     id_col, text_col = options.pop("id_col", "doc_id"), options.pop("text_col", "text")
     own_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     key = F.xxhash64(F.coalesce(text, F.lit("\u0000null")))
-    pairs = docs.select(own_id.alias("_kept_id"), key.alias("_kept_key"))
-    if pairs.groupBy("_kept_id").agg(F.min("_kept_key").alias("lo"), F.max("_kept_key").alias("hi")).where("_kept_id is null or lo <> hi").isEmpty():
+    one, other, number = (free_name(docs, c) for c in ("kept_id", "kept_key", "kept_n"))
+    pairs = docs.select(own_id.alias(one), key.alias(other))
+    if pairs.groupBy(one).agg(F.min(other).alias("lo"), F.max(other).alias("hi")).where(F.col(one).isNull() | (F.col("lo") != F.col("hi"))).isEmpty():
         labelled = near_duplicates(docs, id_col, text_col, **options)
-        kept = labelled.where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-        return docs.join(kept, docs[id_col].cast("long") == kept["_kept_id"], "left_semi").dropDuplicates([id_col])
+        kept = labelled.where("kept").select(F.col("doc_id").alias(one)).distinct()
+        return docs.join(kept, docs[id_col].cast("long") == kept[one], "left_semi").dropDuplicates([id_col])
     # ids don't name documents: number them; the numbers ascend through the sorted partitions
-    numbers = materialize(pairs.distinct().orderBy(F.asc_nulls_last("_kept_id"), "_kept_key").withColumn("_kept_n", F.monotonically_increasing_id()), "numbers")
-    numbered = docs.join(numbers, own_id.eqNullSafe(numbers["_kept_id"]) & (key == numbers["_kept_key"])).drop("_kept_id", "_kept_key")
-    labelled = near_duplicates(numbered, "_kept_n", text_col, **options)
-    kept = labelled.where("kept").select(F.col("doc_id").alias("_kept_n")).distinct()
-    return numbered.join(kept, "_kept_n", "left_semi").dropDuplicates(["_kept_n"]).select(*docs.columns)
+    numbers = materialize(pairs.distinct().orderBy(F.asc_nulls_last(one), other).withColumn(number, F.monotonically_increasing_id()), "numbers")
+    numbered = docs.join(numbers, own_id.eqNullSafe(numbers[one]) & (key == numbers[other])).drop(one, other)
+    labelled = near_duplicates(numbered, number, text_col, **options)
+    kept = labelled.where("kept").select(F.col("doc_id").alias(number)).distinct()
+    return numbered.join(kept, number, "left_semi").dropDuplicates([number]).select(*docs.columns)

@@ -5,21 +5,27 @@ ordinary words reveal a protected entity. A span stands for several entities: it
 normal form (case, separators and leading zeros don't count), and what it shares with
 others: the mail host, the name in a mail's local part, the network of an IP address, the
 area of a phone number (``entities``). Over the whole corpus it is counted in how many
-documents a term and an entity occur together, anywhere in the document, and how often each
+texts a term and an entity occur together, anywhere in the text, and how often each
 occurs at all. The information that a term gives about an entity is its pointwise mutual
-information; the share of the entity's own information, PMI / IC, is its disclosure. A term
-whose disclosure of some entity reaches ``threshold``, and which stands in at least
-``least_documents`` documents that show the entity in ``least_contexts`` distinct contexts (of
-``reach`` words on each side), is removed (kind ``term``) at every place and in every document of the corpus: what
-gives the entity away does so where the entity isn't named, too.
-
-An entity in more than a quarter of all documents (``least_bits`` of information) identifies
-nobody and isn't protected. An entity in fewer contexts than asked is left out at once, and so are terms too frequent to
-reach the threshold for any entity of their document: disclosure >= threshold means at most
-n_entity * (documents / n_entity) ** (1 - threshold) documents with the term. Both bounds lose
-nothing. Counts are made in shuffled aggregations; passes over texts look only at terms in
-bitmaps of fixed size (``1 << 22`` bits); a full bitmap costs time, not results. Copies of one
-context count once, so groups of copies disclose nothing by their number.
+information (PMI), and the share of the entity's own information (IC) is its disclosure. A term whose
+disclosure of some entity reaches ``threshold`` is removed (kind ``term``) at every place and in
+every document of the corpus: what gives the entity away does so where the entity isn't named, too.
+
+Both are judged with one text left out, so a text is no evidence for itself: with n texts, t
+with the term, m with the entity and k with both, PMI = log2((n - 1) (k - 1) / ((t - 1) (m -
+1))) and IC = log2((n - 1) / (m - 1)). Words that meet an entity in a single text, where any word would,
+so disclose nothing, and there is no least count besides. A document is a distinct text:
+repeated rows and copies under other ids are one. Near copies don't add up either, as k
+and m are never more than the distinct contexts (of ``reach`` words on each side) in which the
+entity is seen there.
+
+An entity in more than a quarter of all texts (``least_bits`` of information) identifies
+nobody and isn't protected. Entities with m = 1, terms of one text, and terms too frequent to
+reach the threshold for any entity of their text are left out at once: disclosure >= threshold means
+t - 1 <= (m - 1) * ((n - 1) / (m - 1)) ** (1 - threshold). These bounds lose nothing. Counts are
+made in shuffled aggregations; passes over texts look only at terms in bitmaps of fixed size
+(``1 << 22`` bits); a full bitmap costs time, not results. Texts that have copies are counted by their
+fingerprint, all others by number.
 
 Defined results: null and empty texts have no spans; repeated rows give equal rows; a null
 id stays null; an empty table gives an empty result; texts of any length are searched whole;
@@ -190,17 +196,24 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(pairs[:, 1].view(np.int64))], names=["number", "term"])
 
 
-def _frequencies(bitmap: np.ndarray):
-    """Texts to (term, documents) of the terms in a bitmap, summed per block."""
+def _frequencies(bitmap: np.ndarray, copied: np.ndarray):
+    """(text, row_key) to (term, n, copy) of the terms in a bitmap: summed per block, but one row per text where it may have copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            keys = batch.column(1).to_numpy()
             for block in tk.blocks(batch.column(0)):
                 w = _Words(block)
                 asked = np.flatnonzero(_in(bitmap, w.h) & w.full)
                 pairs = np.unique(np.stack([w.h[asked], w.documents(asked).astype(tk.U64)], 1), axis=0)
-                term, n = np.unique(pairs[:, 0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
+                key = keys[block.first + pairs[:, 1].astype(np.int64)]
+                several = _in(copied, key.view(tk.U64))
+                term, n = np.unique(pairs[~several, 0], return_counts=True)
+                both = np.unique(np.stack([pairs[several, 0].view(np.int64), key[several]], 1), axis=0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([term.view(np.int64), both[:, 0]])), pa.array(np.concatenate([n, np.ones(len(both), np.int64)])), pa.concat_arrays([pa.nulls(len(term), pa.int64()), pa.array(both[:, 1])])],
+                    names=["term", "n", "copy"],
+                )
 
     return run
 
@@ -259,44 +272,42 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
     return materialize(_rows(docs, id_col, text_col).mapInArrow(_scan(reach), SCAN), "pii")
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9, least_contexts: int = 3, least_documents: int = 2, least_bits: float = 2.0) -> DataFrame:
-    """Rows (entity, term, n_both, n_term, n_entity, contexts, disclosure) of the terms that reveal an entity."""
+def disclosing_terms(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9, least_bits: float = 2.0) -> DataFrame:
+    """Rows (entity, term, k, t, m, disclosure) of the terms that reveal an entity."""
     rows = _rows(docs, id_col, text_col)
-    # a document is a text here; repeated rows (equal id and text) are one, copies under other ids are others
-    named = found.where("size(named) > 0").select("doc_id", "row_key", F.explode("named").alias("x")).select("doc_id", "row_key", "x.entity", "x.ctx").distinct()
-    n = float(max(found.count(), 2))
+    texts = found.groupBy("row_key").agg(F.count("*").alias("rows"))
+    n, copies = texts.agg(F.count("*"), F.count_if(F.col("rows") > 1)).first()
+    copied = _bitmap(texts.where("rows > 1").select(F.col("row_key").alias("term"))) if copies else np.zeros(BITS >> 3, np.uint8)
+    rest = float(max(n, 2) - 1)
+    named = found.where("size(named) > 0").select("row_key", F.explode("named").alias("x")).select("row_key", "x.entity", "x.ctx").distinct()
     # partial counts: the rows of one entity are never gathered
-    seen = named.select("entity", "ctx").distinct().groupBy("entity").agg(F.count("*").alias("contexts")).where(f"contexts >= {least_contexts}")
-    rare = named.select("entity", "doc_id", "row_key").distinct().groupBy("entity").agg(F.count("*").alias("documents")).where(F.log2(F.lit(n) / F.col("documents")) >= least_bits)
-    seen = seen.join(rare, "entity")
-    held = materialize(named.join(seen.select("entity"), "entity"), "held")
-    numbers = materialize(held.select("doc_id", "row_key").distinct().withColumn("number", F.monotonically_increasing_id()), "numbers")
-    at = numbers.select(F.col("doc_id").alias("d"), F.col("row_key").alias("k"), "number")
-    same = lambda df: df.join(at, df["doc_id"].eqNullSafe(F.col("d")) & (df["row_key"] == F.col("k")))
-    by_doc = same(held).select("number", "entity", "ctx")
-    per_entity = by_doc.groupBy("entity").agg(F.count_distinct("number").alias("n_entity"))
-    texts = same(rows).select("number", "text").dropDuplicates(["number"])
-    terms = materialize(texts.mapInArrow(_terms, "number long, term long"), "terms")
-    # rarer terms go before anything is counted over the corpus
-    enough = terms.groupBy("term").agg(F.count("*").alias("here")).where(f"here >= {least_documents}").select("term")
-    df = rows.select("text").mapInArrow(_frequencies(_bitmap(enough)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    known = materialize(by_doc.join(per_entity, "entity").withColumn("most", F.col("n_entity") * F.pow(F.lit(n) / F.col("n_entity"), F.lit(1 - threshold)) + 1e-6), "entities")
-    widest = known.groupBy("number").agg(F.max("most").alias("widest"))
-    asked = terms.join(enough, "term").join(df, "term").join(widest, "number").where("n_term <= widest").select("number", "term", "n_term")
-    pairs = asked.join(known, "number").where("n_term <= most")
-    both = pairs.groupBy("entity", "term").agg(
-        F.count_distinct("number").alias("n_both"), F.count_distinct("ctx").alias("contexts"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity")
-    )
-    ic = F.log2(F.lit(n) / F.col("n_entity"))
-    pmi = F.log2(F.lit(n) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    scored = both.where(f"contexts >= {least_contexts} and n_both >= {least_documents}").withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0)))
-    return materialize(scored.where(F.col("disclosure") >= threshold).select("entity", "term", "n_both", "n_term", "n_entity", "contexts", "disclosure"), "disclosing")
-
-
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9, least_contexts: int = 3, least_documents: int = 2, least_bits: float = 2.0) -> DataFrame:
+    contexts = named.select("entity", "ctx").distinct().groupBy("entity").agg(F.count("*").alias("contexts"))
+    per_entity = named.select("entity", "row_key").distinct().groupBy("entity").agg(F.count("*").alias("texts")).join(contexts, "entity")
+    per_entity = per_entity.where(F.log2((rest + 1) / F.col("texts")) >= least_bits).select("entity", F.least("texts", "contexts").alias("m")).where("m > 1")
+    most = 1 + (F.col("m") - 1) * F.pow(rest / (F.col("m") - 1), F.lit(1 - threshold)) + 1e-6
+    held = named.join(per_entity.withColumn("most", most), "entity")
+    held = materialize(held, "held")
+    widest = held.groupBy("row_key").agg(F.max("most").alias("widest"))
+    whole = rows.join(widest.select("row_key"), "row_key", "left_semi").select("row_key", "text").dropDuplicates(["row_key"])
+    terms = materialize(whole.select(F.col("row_key").alias("number"), "text").mapInArrow(_terms, "number long, term long"), "terms")
+    # terms of one text go before anything is counted over the corpus
+    enough = terms.groupBy("term").agg(F.count("*").alias("here")).where("here > 1").select("term")
+    counted = rows.select("text", "row_key").mapInArrow(_frequencies(_bitmap(enough), copied), "term long, n long, copy long")
+    counted = counted.groupBy("term", "copy").agg(F.sum("n").alias("n")).groupBy("term").agg(F.sum(F.when(F.col("copy").isNull(), F.col("n")).otherwise(1)).alias("t"))
+    asked = terms.withColumnRenamed("number", "row_key").join(enough, "term").join(counted, "term").join(widest, "row_key").where("t <= widest").select("row_key", "term", "t")
+    pairs = asked.join(held, "row_key").where("t <= most")
+    both = pairs.groupBy("entity", "term").agg(F.count_distinct("row_key").alias("texts"), F.count_distinct("ctx").alias("contexts"), F.first("t").alias("t"), F.first("m").alias("m"))
+    both = both.withColumn("k", F.least("texts", "contexts")).where("k > 1")
+    ic = F.log2(rest / (F.col("m") - 1))
+    pmi = F.log2(rest * (F.col("k") - 1) / ((F.col("t") - 1) * (F.col("m") - 1)))
+    scored = both.withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0)))
+    return materialize(scored.where(F.col("disclosure") >= threshold).select("entity", "term", "k", "t", "m", "disclosure"), "disclosing")
+
+
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9, least_bits: float = 2.0) -> DataFrame:
     """One row per row of ``docs``: counts, base spans, and the array ``terms`` of added spans (s, e)."""
     found = scan(docs, id_col, text_col)
-    bad = disclosing_terms(docs, found, id_col, text_col, threshold, least_contexts, least_documents, least_bits).select("term").distinct()
+    bad = disclosing_terms(docs, found, id_col, text_col, threshold, least_bits).select("term").distinct()
     places = _rows(docs, id_col, text_col).mapInArrow(_places(_bitmap(bad)), "doc_id long, row_key long, term long, s int, e int")
     # a row's list is no longer than its text has words
     spans = places.join(bad, "term").groupBy(F.col("doc_id").alias("d"), F.col("row_key").alias("k")).agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("terms"))

@@ -68,6 +68,14 @@ def row_key(*columns: str) -> F.Column:
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000null")) for c in columns])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u, v): rows (node, component), component the smallest node.
 

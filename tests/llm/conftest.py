@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, node long, size long, u string, component string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, node long, size long, u string, component string, _id long, _key long, _gone string, good_id long, kept_id long, kept_key string, kept_n long, gone_lines string, _kept_id long"
 
 
 def _prose(rng, n):
@@ -28,7 +28,7 @@ def edge_rows():
     rows.append(rows[4])  # a repeated row
     rows.append((None, base[5], "en", "s1", 1))
     rows.append((None, "null id alone, nothing else like it in here", None, None, None))
-    return [(*r, 1, 2, 3, "u", "c") for r in rows]
+    return [(*r, 1, 2, 3, "u", "c", 4, 5, "g", 6, 7, "k", 8, "l", 9) for r in rows]
 
 
 @pytest.fixture(scope="session")

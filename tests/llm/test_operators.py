@@ -499,6 +499,7 @@ def test_pii_disclosing_term(spark):
     rows = [(i, f"word{i} other{i} Rumpel contact rumpel@castle.org more{i} text{i}") for i in range(5)]
     rows += [(50 + i, f"unlike{i} plain text about thing{i} and contact somebody{i}@mail{i}.org please") for i in range(30)]
     rows += [(100 + i, "contact us about Spindle at spin@wheel.org now") for i in range(6)]  # copies of one context
+    rows += [(200, f"near copy {i} of one context about Spinner that reads on and on with the address spinner@wheel{0}.org in it, and reads on after it in the same old way, {i}") for i in range(4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = op7_pii.pii_digest(docs)
     terms = {(r["doc_id"], rows_text[int(a) : int(b)]) for r in got.collect() for rows_text in [dict(rows)[r["doc_id"]]] for k, a, b in [x.split(":") for x in r["spans"].split(",") if x] if k == "term"}
@@ -507,9 +508,9 @@ def test_pii_disclosing_term(spark):
     assert clean[0] == "word0 other0 [TERM] contact [EMAIL] more0 text0" and "Spindle" in clean[100]
 
 
-def brute_disclosing(rows, threshold=0.9, least_contexts=3, least_documents=2, reach=10):
-    """Words of every (entity, term) that passes, counted plainly over whole documents."""
-    docs = list(dict.fromkeys(rows))
+def brute_disclosing(rows, threshold=0.9, reach=10):
+    """Words of every (entity, term) that passes, counted plainly over whole distinct texts, one text left out."""
+    docs = list({(t or ""): (i, t) for i, t in rows}.values())
     terms, named = [], []
     for _, t in docs:
         t = t or ""
@@ -529,20 +530,22 @@ def brute_disclosing(rows, threshold=0.9, least_contexts=3, least_documents=2, r
             for w in ws:
                 both[e, w] += 1
                 ctx[e, w] |= {c for x, c in f if x == e}
-    n = len(rows)
+    n = len(docs)
     all_ctx = defaultdict(set)
     for f in named:
         for e, c in f:
             all_ctx[e].add(c)
     out = {}
-    for (e, w), k in both.items():
-        ic = math.log2(n / ne[e])
-        if k >= least_documents and len(ctx[e, w]) >= least_contexts and ic > 0 and math.log2(n * k / (df[w] * ne[e])) / ic >= threshold:
+    for (e, w), texts in both.items():
+        k, m = min(texts, len(ctx[e, w])), min(ne[e], len(all_ctx[e]))
+        if k > 1 and math.log2(n / ne[e]) >= 2 and math.log2((n - 1) * (k - 1) / ((df[w] - 1) * (m - 1))) / math.log2((n - 1) / (m - 1)) >= threshold:
             out[e, w] = k
     return out
 
 
-def test_pii_disclosure_is_the_brute_force(spark):
+@pytest.mark.parametrize("copies", [0, 1, 3])
+def test_pii_disclosure_is_the_brute_force(spark, copies):
+    """With repeated rows and copies under other ids, too: they change nothing."""
     import random
 
     rng = random.Random(5)
@@ -559,11 +562,14 @@ def test_pii_disclosure_is_the_brute_force(spark):
             w.insert(rng.randrange(len(w)), f"10.0.{i % 3}.{i}")
         rows.append((i, " ".join(w)))
     rows += [(1000, None), (1001, ""), (None, rows[0][1])]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = brute_disclosing(rows, threshold=0.6)
+    rows += rows[:90] * copies + [(2000 + i + 300 * c, t) for c in range(copies) for i, (_, t) in enumerate(rows[:240])]
+    assert brute_disclosing(rows, threshold=0.6) == plain
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     found = op7_pii.scan(docs)
     got = op7_pii.disclosing_terms(docs, found, threshold=0.6).collect()
     want = brute_disclosing(rows, threshold=0.6)
-    assert len(want) >= 6 and Counter(r["n_both"] for r in got) == Counter(want.values()) and len(got) == len(want)
+    assert len(want) >= 6 and Counter(r["k"] for r in got) == Counter(want.values()) and len(got) == len(want)
     terms = {w for _, w in want}
     assert {"rumpel", "x9", "4711"} <= terms
     digest = {r["doc_id"]: r["spans"] for r in op7_pii.pii_digest(docs, threshold=0.6).collect()}
