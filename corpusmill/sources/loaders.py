@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import csv
 import io
+import time
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -295,22 +297,44 @@ def fetch(url: str, timeout: float = 30.0) -> tuple[str, str]:
         return r.read().decode(r.headers.get_content_charset() or "utf-8", "replace"), r.headers.get_content_type()
 
 
-def load_urls(df: DataFrame, url_col: str = "url", get: Callable[[str], tuple[str, str]] = fetch, json_fields: tuple[str, ...] = ()) -> DataFrame:
+def persistent(get: Callable[[str], tuple[str, str]], tries: int = 3, pause: float = 0.5, wait: Callable[[float], None] = time.sleep) -> Callable[[str], tuple[str, str]]:
+    """Asks again after a failure that may pass, each time after twice the pause; a refusal (status 4xx but 408 and 429) is final."""
+
+    def run(url: str) -> tuple[str, str]:
+        for n in range(tries):
+            try:
+                return get(url)
+            except OSError as e:
+                code = getattr(e, "code", None)
+                if n + 1 == tries or isinstance(code, int) and 400 <= code < 500 and code not in (408, 429):
+                    raise
+                wait(pause * 2**n)
+        raise AssertionError
+
+    return run
+
+
+def load_urls(
+    df: DataFrame, url_col: str = "url", get: Callable[[str], tuple[str, str]] = fetch, json_fields: tuple[str, ...] = (), at_once: int = 8, tries: int = 3, pause: float = 0.5
+) -> DataFrame:
     """Rows of ``df`` with source_url, mime_type, content, row_count and load_error of what their addresses give.
 
-    The addresses are fetched on the executors, one after the other in each task; what can't be
-    fetched or has no loader has null content and an error.
+    The addresses are fetched on the executors, ``at_once`` in each task, and asked again up to
+    ``tries`` times; what can't be fetched or has no loader has null content and an error.
     """
 
     @F.pandas_udf("struct<content:string,mime:string,error:string>")
     def run(urls: pd.Series) -> pd.DataFrame:
-        out = []
-        for u in urls:
+        ask = persistent(get, tries, pause)
+
+        def one(u: str) -> tuple:
             try:
-                out.append((*get(u), None))
+                return (*ask(u), None)
             except (OSError, ValueError) as e:
-                out.append((None, None, f"{type(e).__name__}: {e}"[:500]))
-        return pd.DataFrame(out, columns=["content", "mime", "error"])
+                return None, None, f"{type(e).__name__}: {e}"[:500]
+
+        with ThreadPoolExecutor(at_once) as pool:
+            return pd.DataFrame(list(pool.map(one, urls)), columns=["content", "mime", "error"])
 
     allow_equal_keys(df.sparkSession)
     table = F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv])

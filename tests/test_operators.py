@@ -78,7 +78,7 @@ def test_urls(spark):
         return pages[url]
 
     df = spark.createDataFrame([(u,) for u in [*pages, "u5"]], "url string")
-    got = {r["source_url"]: (r["content"], r["row_count"], r["load_error"] is None) for r in loaders.load_urls(df, get=get).collect()}
+    got = {r["source_url"]: (r["content"], r["row_count"], r["load_error"] is None) for r in loaders.load_urls(df, get=get, pause=0.01).collect()}
     assert got == {"u1": ("hi", None, True), "u2": ("a | b\nc", 2, True), "u3": ("T", None, True), "u4": (None, None, False), "u5": (None, None, False)}
 
 
