@@ -349,6 +349,8 @@ class Engine:
 
     def _entries(self, chunks: DataFrame) -> DataFrame:
         meta = vectors.entry_metadata(F.col("collection_id"), F.col("document_id"), F.col("tenant_id"), F.col("index"), F.col("metadata"))
+        if hasattr(self.embedder, "attach"):  # vectors that are kept
+            return self.embedder.attach(chunks, "content").select("id", "vector", "content", meta.alias("metadata"), *SCOPE)
         return chunks.select("id", self.embedder.column(F.col("content")).alias("vector"), "content", meta.alias("metadata"), *SCOPE)
 
     def update_document(self, document_id: str, **changes) -> None:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,25 +14,45 @@ from corpusmill.schemas import DEFAULTS
 HEADER = "Relevant context:\n\n"
 SEPARATOR = "\n\n---\n\n"
 _CITED = "array<struct<chunk_index:int,content:string,score:double>>"
-_FITS = "array<struct<chunk_index:int,rank:int>>"
-
-
-def pack(sizes: Column, max_tokens: int) -> Column:
-    """First fit in rank order: what doesn't fit is skipped and later ones are still tried.
-
-    sizes: array<struct<rank, tokens>>. struct(at, used, dropped, kept: array<struct<chunk_index, rank>>).
-    """
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["tokens"] <= max_tokens
-        one = F.array(F.struct(acc["at"].alias("chunk_index"), x["rank"].alias("rank")))
-        return F.struct(
-            (acc["at"] + 1).alias("at"), F.when(fits, acc["used"] + x["tokens"]).otherwise(acc["used"]).alias("used"),
-            F.when(fits, acc["dropped"]).otherwise(acc["dropped"] + 1).alias("dropped"), F.when(fits, F.concat(acc["kept"], one)).otherwise(acc["kept"]).alias("kept"),
-        )
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("used"), F.lit(0).alias("dropped"), F.array().cast(_FITS).alias("kept"))
-    return F.aggregate(sizes, zero, step)
+_FOLDED = "key string, rank int, chunk_index int, used int, dropped int"
+
+
+def _fold(limit: int):
+    """Rows (key, rank, tokens) sorted so to the ranks that fit, and a row of totals behind each key; what is held is a key's running totals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, used, dropped = None, 0, 0
+        out: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = (pa.string(), *[pa.int32()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "rank", "chunk_index", "used", "dropped"])
+
+        started = False
+        at = 0
+        for rows in batches:
+            keys = rows.column(0).dictionary_encode()
+            names = keys.dictionary.to_pylist()
+            for k, rank, tokens in zip(keys.indices.to_pylist(), rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True):
+                if not started or names[k] != key:
+                    if started:
+                        out.append((key, None, None, used, dropped))
+                    key, used, dropped, at, started = names[k], 0, 0, 0, True
+                if used + tokens <= limit:
+                    used += tokens
+                    out.append((key, rank, at, None, None))
+                else:
+                    dropped += 1
+                at += 1
+            if len(out) > 10_000:
+                yield batch()
+                out = []
+        if started:
+            out.append((key, None, None, used, dropped))
+        yield batch()
+
+    return run
 
 
 def render(contents: Column, header: str = HEADER, separator: str = SEPARATOR, footer: str = "", numbered: bool = True) -> Column:
@@ -43,21 +64,25 @@ def render(contents: Column, header: str = HEADER, separator: str = SEPARATOR, f
 def assemble(ranked: DataFrame, group: list[str], max_tokens: int = 0, rank: str = "rank", content: str = "content", score: str = "score", tokens: Callable[[Column], Column] = token_count, **template) -> DataFrame:
     """One row per group: context, citations, total_tokens, truncated_count.
 
-    A group is the ranked list of one query; ranks (1, 2, ...) are distinct within it. Only ranks and token
-    counts of a group are gathered to decide what fits; of the texts only those that do, which
-    the budget bounds. ``tokens`` counts a content's tokens.
+    A group is the ranked list of one query; ranks (1, 2, ...) are distinct within it. First fit in
+    rank order: what doesn't fit is skipped, and later ones are still tried. The ranks and token
+    counts of a group are folded in one sorted pass that holds no list, however long the group is;
+    of the texts only those that fit are gathered, which the budget bounds. ``tokens`` counts a
+    content's tokens.
     """
     limit = max_tokens if max_tokens > 0 else DEFAULTS["max_tokens"]
-    rows = ranked.select(F.struct(*group).alias("_g"), F.col(rank).cast("int").alias("_r"), F.col(content).alias("_c"), F.col(score).cast("double").alias("_s"))
-    sizes = rows.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct(F.col("_r").alias("rank"), F.coalesce(tokens(F.col("_c")).cast("int"), F.lit(0)).alias("tokens")))).alias("_l"))
-    packed = sizes.select("_g", pack(F.col("_l"), limit).alias("_p"))
-    fits = packed.select("_g", F.explode("_p.kept").alias("_k")).select(F.col("_g").alias("_kg"), "_k.chunk_index", F.col("_k.rank").alias("_kr"))
-    cited = rows.join(fits, F.col("_g").eqNullSafe(F.col("_kg")) & (F.col("_r") == F.col("_kr")))
-    cited = cited.groupBy(F.col("_g").alias("_cg")).agg(F.array_sort(F.collect_list(F.struct("chunk_index", F.col("_c").alias("content"), F.col("_s").alias("score")))).alias("_cited"))
-    out = packed.join(cited, F.col("_g").eqNullSafe(F.col("_cg")), "left").withColumn("_cited", F.coalesce("_cited", F.array().cast(_CITED)))
+    key = F.to_json(F.struct(*group), {"ignoreNullFields": "false"})
+    rows = ranked.select(key.alias("key"), F.struct(*group).alias("_g"), F.col(rank).cast("int").alias("rank"), F.col(content).alias("_c"), F.col(score).cast("double").alias("_s"))
+    sizes = rows.select("key", "rank", F.coalesce(tokens(F.col("_c")).cast("int"), F.lit(0)).alias("tokens"))
+    folded = sizes.repartition("key").sortWithinPartitions("key", "rank").mapInArrow(_fold(limit), _FOLDED)
+    # a rank that fits brings its text, the totals the groups' names
+    fits = rows.join(folded, ["key", "rank"]).select("key", F.col("_g"), F.struct("chunk_index", F.col("_c").alias("content"), F.col("_s").alias("score")).alias("one"), "used", "dropped")
+    names = rows.groupBy("key").agg(F.first("_g").alias("_g"))
+    totals = folded.where("rank is null").join(names, "key").select("key", "_g", F.lit(None).cast(_CITED[6:-1]).alias("one"), "used", "dropped")
+    out = fits.unionByName(totals).groupBy("key").agg(F.first("_g").alias("_g"), F.array_sort(F.collect_list("one")).alias("_cited"), F.max("used").alias("used"), F.max("dropped").alias("dropped"))
     return out.select(
         *[F.col("_g").getField(c).alias(c) for c in group], render(F.transform("_cited", lambda c: c["content"]), **template).alias("context"), F.col("_cited").alias("citations"),
-        F.col("_p.used").alias("total_tokens"), F.col("_p.dropped").alias("truncated_count"),
+        F.col("used").alias("total_tokens"), F.col("dropped").alias("truncated_count"),
     )
 
 

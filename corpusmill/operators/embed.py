@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import time
+import uuid
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -10,9 +12,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.tables import materialize
+
 
 class Embedder(Protocol):
     dimensions: int
@@ -116,16 +120,29 @@ class RemoteEmbedder:
     """Texts, ``batch`` at a time, through a callable ``post(texts) -> [(index, vector)], total_tokens``.
 
     Results are placed by their index; each text gets total // count tokens. The callable
-    stands for the network, which isn't reachable here.
+    stands for the network, which isn't reachable here. A call that fails with an OSError is
+    repeated, ``tries`` times in all, each time after twice the ``pause``; a task makes no more
+    than ``rate`` calls a second (0: no limit).
     """
 
-    def __init__(self, post, dimensions: int = 1536, batch: int = 512):
+    def __init__(self, post, dimensions: int = 1536, batch: int = 512, tries: int = 3, pause: float = 0.5, rate: float = 0.0):
         self.post, self.dimensions, self.batch = post, dimensions, batch
+        self.tries, self.pause, self.rate = tries, pause, rate
+
+    def _call(self, texts: list[str]):
+        for n in range(self.tries):
+            try:
+                return self.post(texts)
+            except OSError:
+                if n + 1 == self.tries:
+                    raise
+                time.sleep(self.pause * 2**n)
+        raise AssertionError
 
     def embed_with_tokens(self, texts: list[str]) -> list[tuple[list[float], int]]:
         if not texts:
             return []
-        rows, total = self.post(texts)
+        rows, total = self._call(texts)
         out: list = [None] * len(texts)
         for i, v in rows:
             if not 0 <= i < len(texts):
@@ -136,8 +153,12 @@ class RemoteEmbedder:
         return [(v, total // len(texts)) for v in out]
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        parts = (texts[i : i + self.batch] for i in range(0, len(texts), self.batch))
-        return [v for part in parts for v, _ in self.embed_with_tokens(part)]
+        out: list[list[float]] = []
+        for i in range(0, len(texts), self.batch):
+            if i and self.rate:
+                time.sleep(1 / self.rate)
+            out += [v for v, _ in self.embed_with_tokens(texts[i : i + self.batch])]
+        return out
 
     def column(self, text: Column) -> Column:
         embed = self.embed
@@ -147,3 +168,51 @@ class RemoteEmbedder:
             return pd.Series(embed(s.fillna("").tolist()))
 
         return run(text)
+
+
+class StoredEmbedder:
+    """Another embedder's vectors, kept in a table by content hash and model, so a text is asked for once.
+
+    ``attach`` joins vectors to rows. Distinct texts that the table lacks are asked for first, in
+    rounds of about ``round_texts``, in tasks of about ``task_texts`` each, and every round is
+    written before the next begins: a repeated task asks for its own texts again, a repeated job for
+    those of the round that broke, and what was answered before for nothing. Null is the empty text.
+    """
+
+    def __init__(self, inner: Embedder, spark: SparkSession, path: str, model: str, task_texts: int = 512, round_texts: int = 100_000):
+        self.inner, self.spark, self.model, self.dimensions = inner, spark, model, inner.dimensions
+        self.path, self.task_texts, self.round_texts = f"{path.rstrip('/')}/vectors", task_texts, round_texts
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return self.inner.embed(texts)
+
+    def table(self) -> DataFrame:
+        """hash, vector of this model."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        schema = "hash string, vector array<float>, model string"
+        if not place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place):
+            return self.spark.createDataFrame([], schema).select("hash", "vector")
+        # a round that broke off has left no committed files, and a text that two jobs asked for counts once
+        rows = self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(self.path)
+        return rows.where(F.col("model") == self.model).groupBy("hash").agg(F.first("vector").alias("vector"))
+
+    def remember(self, texts: DataFrame, text_col: str) -> int:
+        """Ask for the texts that the table lacks; how many they were."""
+        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+        wanted = texts.select(F.sha2(text, 256).alias("hash"), text.alias("text"))
+        unseen = materialize(wanted.join(self.table().select("hash"), "hash", "left_anti").dropDuplicates(["hash"]), "unseen")
+        n = unseen.count()
+        rounds = -(-n // self.round_texts)
+        for r in range(rounds):
+            part = unseen.where(F.pmod(F.xxhash64("hash"), F.lit(rounds)) == r)
+            part = part.repartition(max(1, -(-n // (rounds * self.task_texts))), "hash")
+            part = part.select("hash", self.inner.column(F.col("text")).alias("vector"), F.lit(self.model).alias("model"))
+            part.write.parquet(f"{self.path}/{uuid.uuid4().hex}")
+        return n
+
+    def attach(self, rows: DataFrame, text_col: str, vector_col: str = "vector") -> DataFrame:
+        """The rows with their vectors."""
+        self.remember(rows, text_col)
+        hash_ = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+        known = self.table().select(F.col("hash").alias("_hash"), F.col("vector").alias(vector_col))
+        return rows.join(known, hash_ == F.col("_hash"), "left").drop("_hash")
