@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.ids import id_column
 from corpusmill.operators import assemble, chunkers, retrieve, vectors
 from corpusmill.sources import loaders
+from corpusmill.tables import materialize
 
 State = dict
 Step = Callable[[State], State]
@@ -119,20 +122,62 @@ def tracing_middleware(before: Callable[[str], None], after: Callable[[str, Exce
     return wrap
 
 
-def cache_middleware(store: dict | None = None):
-    """Memoise a step by its name and its input: plans by their semantic hash, the rest by value."""
-    known = {} if store is None else store
-
-    def key(v):
-        return v.semanticHash() if hasattr(v, "semanticHash") else repr(v)
-
-    def wrap(name: str, step: Step) -> Step:
-        def run(s: State) -> State:
-            k = (name, tuple(sorted((n, key(v)) for n, v in s.items())))
-            if k not in known:
-                known[k] = step(s)
-            return known[k]
-
-        return run
-
-    return wrap
+class Cache:
+    """Results of steps, kept as tables under a SHA-256 of the step's input.
+
+    The key covers every value of the state: of a DataFrame its plan and the path, length and time of
+    each file that it reads, so changed files miss; of anything else its text. What a step made
+    of DataFrames is written once, and a later run with the same input reads these tables.
+    """
+
+    def __init__(self) -> None:
+        self.known: dict[tuple[str, str], tuple[State, list[DataFrame]]] = {}
+
+    @staticmethod
+    def fingerprint(v) -> str:
+        if not isinstance(v, DataFrame):
+            return repr(v)
+        jvm, conf = v.sparkSession._jvm, v.sparkSession._jsc.hadoopConfiguration()
+        out = [str(v.semanticHash()), v._jdf.queryExecution().analyzed().canonicalized().toString()]
+        for f in sorted(v.inputFiles()):
+            place = jvm.org.apache.hadoop.fs.Path(f)
+            status = place.getFileSystem(conf).getFileStatus(place)
+            out.append(f"{f} {status.getLen()} {status.getModificationTime()}")
+        return "\n".join(out)
+
+    @classmethod
+    def key(cls, state: State) -> str:
+        text = "".join(f"{len(x)}:{x}" for name, v in sorted(state.items()) for x in (name, cls.fingerprint(v)))
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    def middleware(self, *names: str) -> Callable[[str, Step], Step]:
+        """Caches the steps of these names; without any, all of them."""
+
+        def wrap(name: str, step: Step) -> Step:
+            if names and name not in names:
+                return step
+
+            def run(s: State) -> State:
+                k = (name, self.key(s))
+                if k not in self.known:
+                    out = step(s)
+                    made = {n: materialize(v, "cached") for n, v in out.items() if isinstance(v, DataFrame) and v is not s.get(n)}
+                    self.known[k] = (out | made, list(made.values()))
+                return self.known[k][0]
+
+            return run
+
+        return wrap
+
+    def clear(self) -> None:
+        """Forget all results and delete their tables."""
+        for _, tables in self.known.values():
+            for df in tables:
+                for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+                    place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+                    place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+        self.known = {}
+
+
+def cache_middleware(*names: str) -> Callable[[str, Step], Step]:
+    return Cache().middleware(*names)
