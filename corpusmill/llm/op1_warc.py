@@ -78,7 +78,11 @@ def record_bytes(
 
 
 def parse_headers(head: bytes) -> dict[str, str]:
-    lines = head.decode().split("\r\n")
+    try:
+        text = head.decode()
+    except UnicodeDecodeError:
+        text = head.decode("latin-1")
+    lines = text.split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:] if x)}
@@ -90,16 +94,21 @@ def _page(value: str | None) -> int | None:
 
 
 def inflate(stream: io.BufferedIOBase) -> Iterator[bytes]:
-    """Pieces of an inflated gzip stream of one member or many."""
+    """Pieces of an inflated gzip stream of one member or many; zeros behind a member are padding."""
     d, data = zlib.decompressobj(31), stream.read(PIECE)
+    started = bool(data)
     while data:
         yield d.decompress(data)
         if d.eof:
-            rest = d.unused_data
-            d, data = zlib.decompressobj(31), rest or stream.read(PIECE)
+            data = d.unused_data.lstrip(b"\0")
+            while not data and (piece := stream.read(PIECE)):
+                data = piece.lstrip(b"\0")
+            if data:
+                d = zlib.decompressobj(31)
         else:
             data = stream.read(PIECE)
-    yield d.flush()
+    if started and not d.eof:
+        raise ValueError("truncated gzip stream")
 
 
 def records(pieces: Iterator[bytes]) -> Iterator[tuple[bytes, dict[str, str]]]:
@@ -125,6 +134,8 @@ def records(pieces: Iterator[bytes]) -> Iterator[tuple[bytes, dict[str, str]]]:
                     raise ValueError("truncated WARC record")
                 return
         headers = parse_headers(bytes(buffer[at:end]))
+        if not headers.get("content-length", "").isdigit():
+            raise ValueError("a WARC record without a length")
         size = end - at + 4 + int(headers["content-length"]) + 4
         while len(buffer) - at < size:
             if not more():
@@ -133,18 +144,22 @@ def records(pieces: Iterator[bytes]) -> Iterator[tuple[bytes, dict[str, str]]]:
         at += size
 
 
+#: record types that hold a page
+PAGES = ("response", "resource", "conversion")
+
+
 def member(data: bytes, level: int = 1) -> bytes:
     c = zlib.compressobj(level, zlib.DEFLATED, 31)
     return c.compress(data) + c.flush()
 
 
-def normalise(stream: io.BufferedIOBase, sink: io.BufferedIOBase) -> list[tuple]:
-    """Rewrite a gzip WARC with one member per record; the rows of its sidecar index."""
-    index, offset = [], 0
+def normalise(stream: io.BufferedIOBase, sink: io.BufferedIOBase, index: list[tuple] | None = None) -> list[tuple]:
+    """Rewrite a gzip WARC with one member per record; the rows of its sidecar index, which ``index`` has so far when it breaks."""
+    index, offset = [] if index is None else index, 0
     for data, headers in records(inflate(stream)):
         packed = member(data)
         sink.write(packed)
-        index.append((offset, len(packed), headers["warc-record-id"], _page(headers.get("x-page-id")), headers["warc-type"]))
+        index.append((offset, len(packed), headers.get("warc-record-id", ""), _page(headers.get("x-page-id")), headers.get("warc-type", "")))
         offset += len(packed)
     return index
 
@@ -156,7 +171,7 @@ def read_member(content: bytes, offset: int, length: int) -> tuple[dict[str, str
     headers = parse_headers(data[:end])
     block = data[end + 4 : end + 4 + int(headers["content-length"])]
     if headers.get("content-type", "").startswith("application/http"):
-        block = block[block.index(b"\r\n\r\n") + 4 :]
+        block = block.partition(b"\r\n\r\n")[2]
     return headers, block
 
 
@@ -192,10 +207,15 @@ def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             sink = io.BytesIO()
-            index = normalise(io.BytesIO(batch.column(1)[i].as_buffer()), sink)
+            index: list[tuple] = []
+            error = None
+            try:
+                normalise(io.BytesIO(batch.column(1)[i].as_buffer() or b""), sink, index)
+            except (ValueError, zlib.error) as e:
+                error = f"{type(e).__name__}: {e}"
             rows = [dict(zip(("offset", "length", "record_id", "page_id", "record_type"), r, strict=True)) for r in index]
             kind = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([sink.getvalue()], pa.binary()), pa.array([rows], kind)], names=["archive", "content", "index"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([sink.getvalue()], pa.binary()), pa.array([rows], kind), pa.array([error], pa.string())], names=["archive", "content", "index", "error"])
 
 
 def _read(with_payload: bool):
@@ -206,11 +226,16 @@ def _read(with_payload: bool):
                 rows = []
                 for x in batch.column(2)[i].as_py():
                     headers, body = read_member(content, x["offset"], x["length"])
-                    digest, length = headers["warc-payload-digest"].rpartition(":")[2], int(headers["x-payload-length"])
-                    if headers["warc-type"] == "response":
+                    kind = headers.get("warc-type", "")
+                    if kind == "revisit":
+                        algorithm, _, digest = headers.get("warc-payload-digest", "").rpartition(":")
+                        digest, length = digest if algorithm == "sha256" else None, _page(headers.get("x-payload-length"))
+                    elif kind in PAGES:
                         digest, length = hashlib.sha256(body).hexdigest(), len(body)
-                    url = "" if "x-no-url" in headers else headers["warc-target-uri"]
-                    rows.append((_page(headers.get("x-page-id")), length, digest, headers["warc-type"], _page(headers.get("x-refers-to-page")), url, body if with_payload else None))
+                    else:
+                        continue
+                    url = "" if "x-no-url" in headers else headers.get("warc-target-uri", "").strip("<>")
+                    rows.append((_page(headers.get("x-page-id")), length, digest, kind, _page(headers.get("x-refers-to-page")), url, body if with_payload else None))
                 columns = list(zip(*rows, strict=True)) or [()] * 7
                 types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()][: 7 if with_payload else 6]
                 names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
@@ -242,12 +267,20 @@ def write_archives(
 
 
 def normalise_archives(archives: DataFrame) -> DataFrame:
-    """(archive, content) of any gzip layout to (archive, content, index), one member per record."""
-    return materialize(archives.select("archive", "content").mapInArrow(_normalise, f"archive string, content binary, index {INDEX}"), "normalised")
+    """(archive, content) of any gzip layout to (archive, content, index, error), one member per record.
+
+    A damaged archive keeps the records before the damage and says in ``error`` what it was.
+    """
+    return materialize(archives.select("archive", "content").mapInArrow(_normalise, f"archive string, content binary, index {INDEX}, error string"), "normalised")
 
 
 def read_archives(normalised: DataFrame, with_payload: bool = False) -> DataFrame:
-    """Every record of normalised archives, read through the sidecar index."""
+    """Every page of normalised archives, read through the sidecar index.
+
+    Of archives from elsewhere these are the records of type response, resource, conversion and
+    revisit; others (warcinfo, request, metadata) are passed over. Their page_id and what a
+    revisit doesn't say of its payload (a SHA-256, a length) are null.
+    """
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
     return normalised.select("archive", "content", "index").mapInArrow(_read(with_payload), schema + (", payload binary" if with_payload else ""))
 

@@ -826,3 +826,38 @@ def test_normalise_monolithic_stream():
         assert page == i and op1_warc.read_member(sink.getvalue(), offset, length)[1] == f"body{i}".encode() * 9000
     with pytest.raises(ValueError):
         op1_warc.normalise(io.BytesIO(gzip.compress(recs[0][:-9])), io.BytesIO())
+
+
+def foreign(records, pad=b"", whole=True):
+    """A gzip archive as other tools write it."""
+    import gzip
+
+    parts = []
+    for lines, block in records:
+        head = b"\r\n".join([b"WARC/1.0", *lines, b"Content-Length: " + str(len(block)).encode()])
+        parts.append(head + b"\r\n\r\n" + block + b"\r\n\r\n")
+    return (gzip.compress(b"".join(parts)) if whole else b"".join(map(gzip.compress, parts))) + pad
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_foreign_archives(spark, whole):
+    page = b"<p>page</p>"
+    records = [
+        ([b"WARC-Type: warcinfo", b"WARC-Record-ID: <urn:a>"], b"software: x\r\n"),
+        ([b"WARC-Type: request", b"WARC-Record-ID: <urn:b>", b"Content-Type: application/http; msgtype=request"], b"GET / HTTP/1.1\r\n\r\n"),
+        ([b"WARC-Type: response", b"WARC-Record-ID: <urn:c>", b"WARC-Target-URI: <http://x/caf\xe9>", b"Content-Type: application/http; msgtype=response"], b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + page),
+        ([b"WARC-Type: resource", b"WARC-Target-URI: http://x/r"], b""),
+        ([b"WARC-Type: revisit", b"WARC-Target-URI: http://x/v", b"WARC-Payload-Digest: sha1:ABC", b"Content-Type: application/http"], b"HTTP/1.1 304 no end of head"),
+    ]
+    good = foreign(records, b"\0" * 700_000, whole)
+    cut = foreign(records, whole=False)
+    damaged = cut[: cut.rindex(b"\x1f\x8b") + 20]
+    rows = [("good", good), ("damaged", damaged), ("text", b"not gzip"), ("empty", b""), ("null", None), ("no length", __import__("gzip").compress(b"WARC/1.0\r\nA: b\r\n\r\n"))]
+    done = op1_warc.normalise_archives(spark.createDataFrame(rows, "archive string, content binary"))
+    errors = {r["archive"]: (len(r["index"]), r["error"] is None) for r in done.collect()}
+    assert errors == {"good": (5, True), "damaged": (4, False), "text": (0, False), "empty": (0, True), "null": (0, True), "no length": (0, False)}
+    got = [tuple(r) for r in op1_warc.read_archives(done.where("archive = 'good'"), with_payload=True).collect()]
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    assert got == [
+        (None, len(page), digest(page), "response", None, "http://x/caf\xe9", page), (None, 0, digest(b""), "resource", None, "http://x/r", b""), (None, None, None, "revisit", None, "http://x/v", b""),
+    ]
