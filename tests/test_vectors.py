@@ -100,3 +100,11 @@ def test_index_of_nothing(spark, tmp_path):
     e = spark.createDataFrame([], "id string, vector array<float>")
     ivf.build(e, str(tmp_path / "x"))
     assert ivf.Index(spark, str(tmp_path / "x")).search({"q": [1.0]}, exact=True).isEmpty()
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_recall_of_the_query(spark, sf):
+    from corpusmill.plans.registry import queries
+
+    want, found = ({(r["query_id"], r["id"]) for r in queries()[n](spark, f"/root/testdata/{sf}").collect()} for n in ("search_topk_cosine", "search_ivf"))
+    assert len(want & found) >= 0.9 * len(want)
