@@ -33,7 +33,7 @@ def brute_contaminated(text, items, window=13, agree=11):
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", n)[0] for n in queries.queries()} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} == {re.match(r"op\d+_", n)[0] for n in queries.queries()} and "pipeline" in names
     assert set(oracles.SQL) <= set(queries.queries())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontaminate", "secrets", "mix"]
 
