@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 import time
 import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -102,9 +104,17 @@ class _Text(HTMLParser):
         return "".join(self.out).strip(SPACE_CHARS)
 
 
-def html_text(source: str | None) -> str:
+#: an ampersand that opens no number, and the name that it opens, if any
+_NAMED = re.compile(r"&(?!#[0-9]+;|#[xX][0-9A-Fa-f]+;)([A-Za-z][A-Za-z0-9]*;)?")
+
+
+def html_text(source: str | None, closed: bool = False) -> str:
+    """``closed``: a character reference ends in a semicolon, as XHTML has it, else it is text; HTML also reads ``&amp`` without one."""
+    source = source or ""
+    if closed and "&" in source:
+        source = _NAMED.sub(lambda m: m[0] if m[1] in html5 else "&amp;" + m[0][1:], source)
     p = _Text()
-    p.feed(source or "")
+    p.feed(source)
     p.close()
     return p.text()
 
@@ -135,12 +145,12 @@ def _parsed(c: Column, parse: Callable[[str | None], tuple[str, int | None]]) ->
     return run(c)
 
 
-def html_parsed(c: Column) -> Column:
-    return _parsed(c, lambda x: (html_text(x), None))
+def html_parsed(c: Column, closed: bool = False) -> Column:
+    return _parsed(c, lambda x: (html_text(x, closed), None))
 
 
-def html(c: Column) -> Column:
-    return html_parsed(c)["content"]
+def html(c: Column, closed: bool = False) -> Column:
+    return html_parsed(c, closed)["content"]
 
 
 def csv_rows(c: Column, separator: str = " | ") -> Column:

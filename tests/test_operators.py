@@ -66,6 +66,9 @@ def test_loaders_survive_bad_rows(spark):
     got = loaders.load(spark.createDataFrame([(f"{wide},b\nc",)], "content string"), mime="text/csv").first()
     assert (got["content"], got["row_count"], got["load_error"]) == (f"{wide} | b\nc", 2, None)
     assert loaders.csv_text("\x1ca\u3000") == ("\x1ca", 1)
+    refs = "<title>a&amp</title>&amp;lt; &lt;b&gt; &ltc &notit; &ampx; &#39;&#x41; &#65 R&D &nosuch; &"
+    assert loaders.html_text(refs, closed=True) == "a&amp &lt; <b> &ltc &notit; &ampx; 'A &#65 R&D &nosuch; &"
+    assert loaders.html_text("<title>a&amp</title>&ltc") == "a& <c"
     assert loaders.supports("text/x-markdown") and loaders.supports("application/xhtml+xml") and loaders.supports("TEXT/HTML; charset=utf-8") and not loaders.supports("image/png")
 
 
