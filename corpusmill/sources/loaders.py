@@ -170,9 +170,9 @@ def _once(c: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(c), f)[0]
 
 
-def _as_text(v: Column) -> Column:
+def _as_text(v: Column, plain_integers: bool = False) -> Column:
     """A scalar other than null; null for a number beyond the doubles."""
-    whole = lambda n: F.when(F.abs(n) < 1_000_000, n.cast("string"))
+    whole = lambda n: n.cast("string") if plain_integers else F.when(F.abs(n) < 1_000_000, n.cast("string"))
 
     def told(kind: Column) -> Column:
         plain = F.try_variant_get(v, "$", "string")
@@ -183,7 +183,7 @@ def _as_text(v: Column) -> Column:
     return _once(F.schema_of_variant(v), told)
 
 
-def _opened(x: Column, fields: tuple[str, ...]) -> Column:
+def _opened(x: Column, fields: tuple[str, ...], plain_integers: bool) -> Column:
     """What a piece becomes on the next level: an array takes its place, so the order stays."""
     text = lambda t: F.struct(F.lit(_TEXT).alias("mode"), t.alias("t"), F.lit(None).cast("variant").alias("v"))
     value = lambda mode, v: F.struct(F.lit(mode).alias("mode"), F.lit(None).cast("string").alias("t"), v.alias("v"))
@@ -192,27 +192,28 @@ def _opened(x: Column, fields: tuple[str, ...]) -> Column:
     def level(y: Column) -> Column:
         items, members, v = y["items"], y["members"], x["v"]
         children = lambda mode: F.coalesce(F.transform(items, lambda e: value(mode, e)), F.transform(F.map_values(members), lambda e: value(mode, e)))
-        listed = F.coalesce(children(_LIST), F.when(F.is_variant_null(v), nothing).otherwise(F.array(text(F.concat(_as_text(v), F.lit("\n"))))))
+        listed = F.coalesce(children(_LIST), F.when(F.is_variant_null(v), nothing).otherwise(F.array(text(F.concat(_as_text(v, plain_integers), F.lit("\n"))))))
         named = [F.when(F.map_contains_key(members, f), F.array(value(_WRITE, F.try_element_at(members, F.lit(f))), text(F.lit("\n")))).otherwise(nothing) for f in fields]
         found = F.coalesce(F.transform(items, lambda e: value(_FIND, e)), F.when(members.isNotNull(), F.concat(nothing, *named)), nothing)
         spaced = lambda i: F.when(i > 0, " ").otherwise("")
         array = F.flatten(F.transform(items, lambda e, i: F.array(text(spaced(i)), value(_WRITE, e))))
         pairs = F.flatten(F.transform(F.map_entries(members), lambda e, i: F.array(text(F.concat(spaced(i), e["key"], F.lit(":"))), value(_WRITE, e["value"]))))
         around = lambda a, c, b: F.concat(F.array(text(F.lit(a))), c, F.array(text(F.lit(b))))
-        written = F.coalesce(around("[", array, "]"), around("map[", pairs, "]"), F.array(text(F.when(F.is_variant_null(v), "<nil>").otherwise(_as_text(v)))))
+        written = F.coalesce(around("[", array, "]"), around("map[", pairs, "]"), F.array(text(F.when(F.is_variant_null(v), "<nil>").otherwise(_as_text(v, plain_integers)))))
         return F.when(x["mode"] == _LIST, listed).when(x["mode"] == _FIND, found).otherwise(written)
 
     containers = F.struct(F.try_variant_get(x["v"], "$", "array<variant>").alias("items"), F.try_variant_get(x["v"], "$", "map<string,variant>").alias("members"))
     return F.when(x["mode"] == _TEXT, F.array(x)).otherwise(_once(containers, level))
 
 
-def json_parsed(c: Column, fields: tuple[str, ...] = ()) -> Column:
+def json_parsed(c: Column, fields: tuple[str, ...] = (), plain_integers: bool = False) -> Column:
     """struct(content, row_count, error): all scalars depth first, keys sorted; or the named fields of objects, arrays descended.
 
     The text becomes a VARIANT, and its levels are opened one after the other in the JVM. A
     null or empty text has the content ''. Not JSON, and so an error: text behind the value, a
     number beyond the doubles, nesting beyond 1,000, and more bytes than a VARIANT holds. Of
     equal keys the last counts where the session allows them (``allow_equal_keys``).
+    ``plain_integers``: integers of 64 bits are written in full, also from a million on.
     """
     body = F.coalesce(c, F.lit(""))
     # the parser ignores what stands behind a value; no such text is whole in both of these
@@ -222,7 +223,7 @@ def json_parsed(c: Column, fields: tuple[str, ...] = ()) -> Column:
     levels = F.least(F.lit(_DEEPEST), F.length(F.regexp_replace(body, r"[^\[{]", ""))) + 1
 
     def step(acc: Column, _) -> Column:
-        opened = F.flatten(F.transform(acc["p"], lambda x: _opened(x, fields)))
+        opened = F.flatten(F.transform(acc["p"], lambda x: _opened(x, fields, plain_integers)))
         following = _once(opened, lambda p: F.struct(p.alias("p"), F.exists(p, lambda x: x["mode"] != _TEXT).alias("open")))
         return F.when(acc["open"], following).otherwise(acc)
 
@@ -245,9 +246,9 @@ def allow_equal_keys(spark: SparkSession) -> None:
         spark.conf.set(key, "true")
 
 
-def json_scalars(c: Column, fields: tuple[str, ...] = ()) -> Column:
+def json_scalars(c: Column, fields: tuple[str, ...] = (), plain_integers: bool = False) -> Column:
     """All scalars of a JSON text, or the named fields; null where it isn't JSON."""
-    return json_parsed(c, fields)["content"]
+    return json_parsed(c, fields, plain_integers)["content"]
 
 
 def loader_of(mime: str) -> str | None:
@@ -259,7 +260,7 @@ def supports(mime: str) -> bool:
     return loader_of(mime) is not None
 
 
-def load(df: DataFrame, source_col: str = "content", mime: str = "text/plain", json_fields: tuple[str, ...] = ()) -> DataFrame:
+def load(df: DataFrame, source_col: str = "content", mime: str = "text/plain", json_fields: tuple[str, ...] = (), plain_integers: bool = False) -> DataFrame:
     """Replace ``source_col`` by its plain text; adds mime_type, load_error for types that are parsed, and row_count for CSV."""
     c, kind = F.col(source_col), loader_of(mime)
     if kind is None:
@@ -270,7 +271,7 @@ def load(df: DataFrame, source_col: str = "content", mime: str = "text/plain", j
         return df.withColumn("mime_type", F.lit("text/plain"))
     if kind == "markdown":
         return df.withColumn(source_col, markdown(c)).withColumn("mime_type", F.lit(mime))
-    parsed = {"html": html_parsed, "csv": csv_rows, "json": lambda x: json_parsed(x, json_fields)}[kind](c)
+    parsed = {"html": html_parsed, "csv": csv_rows, "json": lambda x: json_parsed(x, json_fields, plain_integers)}[kind](c)
     out = df.withColumn("_parsed", parsed).withColumn(source_col, F.col("_parsed.content")).withColumn("load_error", F.col("_parsed.error"))
     if kind == "csv":
         out = out.withColumn("row_count", F.col("_parsed.row_count"))

@@ -84,6 +84,23 @@ def test_numbers(spark):
     assert [c for c, _ in got(spark, values)] == [number(json.loads(v)) for v in values]
 
 
+def test_queries_on_ids_from_a_million(spark, tmp_path):
+    """Ids are written in full, as the SQL of the queries has them."""
+    from tests.conftest import compare
+
+    from corpusmill.plans import registry
+
+    ids = [999_999, 1_000_000, 1_234_567, 12_345_678, 2**40, 2**53 + 1]
+    spark.createDataFrame([(i, i + 1, "click", '{"n": %d, "x": 0.5}' % i) for i in ids], "event_id long, user_id long, event_type string, props string").coalesce(1).write.parquet(f"{tmp_path}/e")
+    spark.createDataFrame([(i, k, "user", f"t {k}") for i in ids for k in range(2)], "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/c")
+    (tmp_path / "sf").mkdir()
+    for folder, name in (("e", "events"), ("c", "conversations")):
+        (part,) = (tmp_path / folder).glob("*.parquet")
+        part.rename(tmp_path / "sf" / f"{name}.parquet")
+    for name in ("load_json_all", "load_json_nested", "load_json_fields"):
+        compare(spark, name, registry.queries()[name], registry.oracle_sql()[name], str(tmp_path / "sf"))
+
+
 def test_what_is_not_json(spark):
     bad = ['{"a": 1', "[1]]", '{"a": 1} x', '{"a":1}{"b":2}', "1,2", '1,"w":2', "1}", "1] , [2", "'a'", "01", "NaN", "tru", "[1,]", "1e400", "[" * 100_000, "[" * 1200 + "]" * 1200]
     assert got(spark, bad) == [(None, False)] * len(bad)
