@@ -36,6 +36,13 @@ def test_recursive_query_is_chunk_recursive(spark):
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_rows_travel_in_small_batches(spark, texts):
+    """No Arrow batch of 10,000 texts, and no table for the chunks of each."""
+    for name in ("chunk_table_function", "chunk_recursive_sql"):
+        plan = queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPythonUDTF" in plan and "ArrowEvalPythonUDTF" not in plan
+
+
 def test_user_chunkers_and_unknown_names(spark):
     chunkers.register_rows("halves", lambda t, size, overlap: [(t.encode()[: len(t) // 2], 0), (t.encode()[len(t) // 2 :], len(t) // 2)])
     chunkers.register_table_function(spark, "cut")
