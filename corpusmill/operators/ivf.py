@@ -86,6 +86,20 @@ def _nearest(c: np.ndarray):
     return F.arrow_udf(run, "list int, cosine double")
 
 
+def _smallest(few: DataFrame, n: int, sample: int) -> list:
+    """The ``sample`` rows of the smallest hashes ``h``, of at most ``n``.
+
+    Each task sends its own smallest rows to the driver, ``sample`` of them if it has so many. So those with hashes
+    above what a sample of n needs are left out first; where that was too much (hashes that aren't even), all are asked.
+    """
+    share = (1.2 * sample + 1000) / max(n, 1)
+    if share < 1:
+        found = few.where(F.col("h") < int(-(2**63) + share * 2**64)).orderBy("h", "i").limit(sample).collect()
+        if len(found) == sample:
+            return found
+    return few.orderBy("h", "i").limit(sample).collect()
+
+
 def build(
     entries: DataFrame, path: str, lists: int = 0, recall: float = 0.95, k: int = 10, sample: int = SAMPLE, id_col: str = "id", vector_col: str = "vector", file_rows: int = 500_000
 ) -> DataFrame:
@@ -95,7 +109,7 @@ def build(
     n = rows.count()
     lists = min(MOST_LISTS, sample, lists if lists > 0 else max(1, round(math.sqrt(n) / 2)))
     few = rows.where(F.size(vector_col) > 0).select(F.xxhash64(id_col).alias("h"), F.col(id_col).cast("string").alias("i"), F.col(vector_col).cast("array<double>").alias("v"))
-    x = [np.array(r["v"], float) for r in few.orderBy("h", "i").limit(sample).collect()]  # at most ``sample`` rows
+    x = [np.array(r["v"], float) for r in _smallest(few, n, sample)]
     size = max(sorted({len(v) for v in x}), key=lambda s: sum(len(v) == s for v in x), default=0)
     fit = np.array([v for v in x if len(v) == size and np.abs(v).sum() > 0] or np.zeros((0, size)))
     c = fit_centroids(_unit(fit), lists) if len(fit) else np.zeros((0, size))

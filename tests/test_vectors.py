@@ -96,6 +96,13 @@ def test_index_as_a_strategy(index, frames, data):
     assert got(found) == brute(data[0], data[1][:1], 4)
 
 
+def test_sample_of_an_index(spark):
+    """The smallest hashes, of which tasks send little more than the sample; all rows are asked where hashes aren't even."""
+    even = spark.range(0, 50_000, numPartitions=5).select(F.xxhash64("id").alias("h"), F.col("id").cast("string").alias("i"))
+    for few in (even, even.withColumn("h", F.lit(2**62))):
+        assert ivf._smallest(few, 50_000, 300) == few.orderBy("h", "i").limit(300).collect()
+
+
 def test_index_of_nothing(spark, tmp_path):
     e = spark.createDataFrame([], "id string, vector array<float>")
     ivf.build(e, str(tmp_path / "x"))
