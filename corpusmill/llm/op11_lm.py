@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .shared import discard, materialize, small_batches
+from .shared import LARGE_ROWS, discard, materialize, small_batches
 
 BLOCK_BYTES = 8 << 20
 UNIT = 1e10
@@ -561,7 +561,7 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     small_batches(docs.sparkSession)
     held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held.alias("held"))
-    return materialize(rows.mapInArrow(_sequences, SEQUENCES), "tokens")
+    return materialize(rows.mapInArrow(_sequences, SEQUENCES), "tokens", LARGE_ROWS)
 
 
 def scores(tokens: DataFrame, model: Model, vocabulary: DataFrame) -> DataFrame:

@@ -37,7 +37,12 @@ def small_batches(spark: SparkSession, size: str = "8m") -> None:
         spark.conf.set(key, size)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+#: for tables whose rows hold megabytes: by default Parquet counts bytes every hundred rows at the earliest, and
+#: readers and writers hold a page, and readers a row group, at once
+LARGE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+
+
+def materialize(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
     """Cut the lineage: write a table into the shared folder and read it again.
 
     The written files survive the loss of executors, and later steps read only the
@@ -46,7 +51,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/corpusmill-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)

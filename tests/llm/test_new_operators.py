@@ -274,3 +274,17 @@ def test_oracles(spark, name):
     from tests.conftest import compare
 
     compare(spark, name, queries.queries()[name], queries.oracle_sql()[name])
+
+
+def test_blocks_are_not_held_all_at_once(spark):
+    """A page holds one block of tokens, a row group a few, however many blocks a task writes."""
+    import pyarrow.parquet as pq
+
+    from corpusmill.llm import op11_lm
+
+    text = F.array_join(F.sequence(F.lit(0), F.lit(130_000)), " ")
+    table = op11_lm.sequences(spark.range(40, numPartitions=1).select(F.col("id").alias("doc_id"), text.alias("text")))
+    (path,) = (f.removeprefix("file:") for f in table.inputFiles())
+    meta = pq.ParquetFile("/" + path.lstrip("/")).metadata
+    assert meta.num_rows >= 5
+    assert meta.num_row_groups > 1 and max(meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)) < 40 << 20
