@@ -22,7 +22,8 @@ entity is seen there.
 An entity in more than a quarter of all texts (``least_bits`` of information) identifies
 nobody and isn't protected. Entities with m = 1, terms of one text, and terms too frequent to
 reach the threshold for any entity of their text are left out at once: disclosure >= threshold means
-t - 1 <= (m - 1) * ((n - 1) / (m - 1)) ** (1 - threshold). These bounds lose nothing. Counts are
+t - 1 <= (k - 1) * ((n - 1) / (m - 1)) ** (1 - threshold), where k is at most m, and t at least
+the number of texts with the term that name any entity. These bounds lose nothing. Counts are
 made in shuffled aggregations; passes over texts look only at terms in bitmaps of fixed size
 (``1 << 22`` bits); a full bitmap costs time, not results. Texts that have copies are counted by their
 fingerprint, all others by number.
@@ -48,10 +49,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .shared import materialize, small_batches
+from .shared import discard, materialize, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 BITS = 1 << 22
+#: texts of an entity for one share of its terms, and shares at most
+SHARE_TEXTS, SHARES = 128, 64
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 # a match can't start inside a run of digits unless it could start at the run's beginning
@@ -185,15 +188,25 @@ def _in(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[(place >> tk.U64(3)).astype(np.int64)] >> (place & tk.U64(7)).astype(np.uint8)) & 1 > 0
 
 
+def _picked(bitmap: np.ndarray):
+    """The rows (row_key, text) with their key in a bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_in(bitmap, batch.column(0).to_numpy().view(tk.U64))))
+
+    return run
+
+
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(number, text) to its distinct terms (number, term)."""
+    """(row_key, text, widest) to its distinct terms (row_key, term, widest)."""
     for batch in batches:
         for block in tk.blocks(batch.column(1)):
             w = _Words(block)
             at = np.flatnonzero(w.full)
             pairs = np.unique(np.stack([w.documents(at).astype(tk.U64), w.h[at]], 1), axis=0)
             take = pa.array(block.first + pairs[:, 0].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(pairs[:, 1].view(np.int64))], names=["number", "term"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(pairs[:, 1].view(np.int64)), batch.column(2).take(take)], names=["row_key", "term", "widest"])
 
 
 def _frequencies(bitmap: np.ndarray, copied: np.ndarray):
@@ -272,6 +285,27 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
     return materialize(_rows(docs, id_col, text_col).mapInArrow(_scan(reach), SCAN), "pii")
 
 
+def _together(terms: DataFrame, held: DataFrame) -> DataFrame:
+    """Rows (entity, term, here, m, k) with k > 1; here is the number of texts in ``terms`` with the term, and so no more than t.
+
+    The terms of a text travel to its entities as arrays. An entity of many texts is dealt out in shares of its
+    terms, so that counts stay whole in a share.
+    """
+    here = terms.groupBy("term").agg(F.count("*").alias("here")).where("here > 1")
+    known = terms.join(here, "term").where("here <= widest")
+    lists = known.groupBy("row_key").agg(F.collect_list(F.struct("term", "here")).alias("terms"))
+    shares = F.least(F.ceil(F.col("texts") / SHARE_TEXTS), F.lit(SHARES)).cast("int")
+    met = lists.join(held, "row_key").withColumn("shares", shares)
+    met = met.select("*", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    mine = F.filter("terms", lambda x: (x["here"] <= F.col("most")) & (F.pmod(x["term"], F.col("shares")) == F.col("share")))
+    met = met.withColumn("terms", mine).where("size(terms) > 0")
+    met = met.select("entity", "share", "m", "ctxs", F.col("terms.term").alias("term"), F.col("terms.here").alias("here")).repartition("entity", "share")
+    met = met.select("entity", "share", "m", "ctxs", F.explode(F.arrays_zip("term", "here")).alias("x"))
+    met = met.select("entity", "share", "m", F.col("x.term").alias("term"), F.col("x.here").alias("here"), F.posexplode("ctxs").alias("at", "ctx"))
+    both = met.groupBy("entity", "share", "term", "here", "m").agg(F.count_if(F.col("at") == 0).alias("texts"), F.count_distinct("ctx").alias("contexts"))
+    return both.withColumn("k", F.least("texts", "contexts")).where("k > 1")
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9, least_bits: float = 2.0) -> DataFrame:
     """Rows (entity, term, k, t, m, disclosure) of the terms that reveal an entity."""
     rows = _rows(docs, id_col, text_col)
@@ -279,25 +313,28 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, id_col: str = "doc_id",
     n, copies = texts.agg(F.count("*"), F.count_if(F.col("rows") > 1)).first()
     copied = _bitmap(texts.where("rows > 1").select(F.col("row_key").alias("term"))) if copies else np.zeros(BITS >> 3, np.uint8)
     rest = float(max(n, 2) - 1)
-    named = found.where("size(named) > 0").select("row_key", F.explode("named").alias("x")).select("row_key", "x.entity", "x.ctx").distinct()
+    named = found.where("size(named) > 0").select("row_key", F.explode("named").alias("x"))
+    named = named.groupBy("row_key", F.col("x.entity").alias("entity")).agg(F.collect_set("x.ctx").alias("ctxs"))
     # partial counts: the rows of one entity are never gathered
-    contexts = named.select("entity", "ctx").distinct().groupBy("entity").agg(F.count("*").alias("contexts"))
-    per_entity = named.select("entity", "row_key").distinct().groupBy("entity").agg(F.count("*").alias("texts")).join(contexts, "entity")
-    per_entity = per_entity.where(F.log2((rest + 1) / F.col("texts")) >= least_bits).select("entity", F.least("texts", "contexts").alias("m")).where("m > 1")
-    most = 1 + (F.col("m") - 1) * F.pow(rest / (F.col("m") - 1), F.lit(1 - threshold)) + 1e-6
-    held = named.join(per_entity.withColumn("most", most), "entity")
+    contexts = named.select("entity", F.explode("ctxs").alias("ctx")).distinct().groupBy("entity").agg(F.count("*").alias("contexts"))
+    per_entity = named.groupBy("entity").agg(F.count("*").alias("texts")).join(contexts, "entity")
+    per_entity = per_entity.where(F.log2((rest + 1) / F.col("texts")) >= least_bits).select("entity", "texts", F.least("texts", "contexts").alias("m")).where("m > 1")
+    # the factor by which a term may be more frequent than its company with the entity
+    slack = F.pow(rest / (F.col("m") - 1), F.lit(1 - threshold))
+    held = named.join(per_entity.withColumn("most", 1 + (F.col("m") - 1) * slack + 1e-6), "entity")
     held = materialize(held, "held")
     widest = held.groupBy("row_key").agg(F.max("most").alias("widest"))
-    whole = rows.join(widest.select("row_key"), "row_key", "left_semi").select("row_key", "text").dropDuplicates(["row_key"])
-    terms = materialize(whole.select(F.col("row_key").alias("number"), "text").mapInArrow(_terms, "number long, term long"), "terms")
-    # terms of one text go before anything is counted over the corpus
-    enough = terms.groupBy("term").agg(F.count("*").alias("here")).where("here > 1").select("term")
-    counted = rows.select("text", "row_key").mapInArrow(_frequencies(_bitmap(enough), copied), "term long, n long, copy long")
+    # a join would shuffle every text as soon as these keys are too many to be broadcast
+    whole = rows.select("row_key", "text").mapInArrow(_picked(_bitmap(held.select(F.col("row_key").alias("term")))), "row_key long, text string")
+    whole = whole.dropDuplicates(["row_key"]).join(widest, "row_key").select("row_key", "text", "widest")
+    terms = materialize(whole.mapInArrow(_terms, "row_key long, term long, widest double"), "terms")
+    # terms that no entity can meet often enough go before anything is counted over the corpus
+    both = _together(terms, held).where((rest <= F.col("m") - 1) | (F.col("here") - 1 <= (F.col("k") - 1) * slack + 1e-6))
+    both = materialize(both.select("entity", "term", "k", "m"), "together")
+    discard(terms, held)
+    counted = rows.select("text", "row_key").mapInArrow(_frequencies(_bitmap(both), copied), "term long, n long, copy long")
     counted = counted.groupBy("term", "copy").agg(F.sum("n").alias("n")).groupBy("term").agg(F.sum(F.when(F.col("copy").isNull(), F.col("n")).otherwise(1)).alias("t"))
-    asked = terms.withColumnRenamed("number", "row_key").join(enough, "term").join(counted, "term").join(widest, "row_key").where("t <= widest").select("row_key", "term", "t")
-    pairs = asked.join(held, "row_key").where("t <= most")
-    both = pairs.groupBy("entity", "term").agg(F.count_distinct("row_key").alias("texts"), F.count_distinct("ctx").alias("contexts"), F.first("t").alias("t"), F.first("m").alias("m"))
-    both = both.withColumn("k", F.least("texts", "contexts")).where("k > 1")
+    both = both.join(counted, "term")
     ic = F.log2(rest / (F.col("m") - 1))
     pmi = F.log2(rest * (F.col("k") - 1) / ((F.col("t") - 1) * (F.col("m") - 1)))
     scored = both.withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0)))

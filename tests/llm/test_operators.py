@@ -5,6 +5,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -586,6 +587,32 @@ def test_pii_disclosure_is_the_brute_force(spark, copies):
     assert op7_pii.sanitise(docs.where("false")).count() == 0
 
 
+def _pii_rows(near, n=260, rest=1200):
+    """n texts name one host, with ``near`` contexts; words in all of them, in two texts of one name each, and anywhere."""
+    rows = [(i, f"Castle{i % 7} hall{i % (n // 2)} u{i} ask guard{'abcdefghij'[i % 10]}{i}@keep.org says v{i % near} w{i % 50}") for i in range(n)]
+    return rows + [(1000 + i, f"w{i % 50} hall{i % 400} plain{i} Castle{i % 3} text") for i in range(rest)]
+
+
+@pytest.mark.parametrize("near", [3, 260])
+def test_pii_entity_of_many_texts_is_dealt_out(spark, near):
+    rows = _pii_rows(near)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = op7_pii.disclosing_terms(docs, op7_pii.scan(docs), threshold=0.3).collect()
+    want = brute_disclosing(rows, threshold=0.3)
+    assert len(want) > 3 and len(got) == len(want) and Counter(r["k"] for r in got) == Counter(want.values())
+
+
+def test_pii_asks_the_corpus_for_no_term_that_meets_an_entity_once(spark, monkeypatch):
+    """Each pair of texts with one mail host shares a word; all other words are in texts of unlike hosts, or too frequent there."""
+    rows = [(i, f"key{i // 2} other{(i * 7) % 30} same{i % 3} x{i} at {i}@host{i // 2}.org z{i}") for i in range(60)] + [(100 + i, f"plain{i} text") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked, real = [], op7_pii._frequencies
+    monkeypatch.setattr(op7_pii, "_frequencies", lambda bitmap, copied: asked.append(int(np.unpackbits(bitmap).sum())) or real(bitmap, copied))
+    got = op7_pii.disclosing_terms(docs, op7_pii.scan(docs)).collect()
+    assert len(got) == len(brute_disclosing(rows)) >= 30
+    assert len({r["term"] for r in got}) == asked[0]
+
+
 # 8
 
 
