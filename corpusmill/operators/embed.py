@@ -41,20 +41,23 @@ class HashingEmbedder:
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             known: dict[str, int] = {}
             for texts in batches:
-                if len(known) > _KNOWN:
-                    known.clear()
-                yield _hashed(texts, n, known)
+                for part in _slices(texts):
+                    if len(known) > _KNOWN:
+                        known.clear()
+                    yield _hashed(part, n, known)
 
         # marked so that no plan works it out twice, as filters on its size would
         return F.arrow_udf(_typed(run), "array<float>").asNondeterministic()(text)
 
 
-#: words whose buckets a task remembers
-_KNOWN = 500_000
+#: words whose buckets a task remembers, and bytes of those that it does
+_KNOWN, _KNOWN_BYTES = 50_000, 64
+#: bytes of text that are worked on at once; what a worker holds is a multiple of it, whatever an Arrow batch has
+_SLICE = 1 << 20
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: cells of the counts of one slice of texts
-_CELLS = 1 << 22
+_CELLS = 1 << 18
 
 
 def _typed(run):
@@ -63,6 +66,16 @@ def _typed(run):
     return run
 
 
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Consecutive texts of at most ``_SLICE`` bytes, or one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _SLICE, side="right")))
+        yield texts.slice(at, to - at)
+        at = to
+
+
 def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words between ASCII white space, and the text of each."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
@@ -76,22 +89,25 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     inner = edges[(edges > 0) & (edges < len(raw))]
     begin[inner] |= solid[inner]
     starts = np.flatnonzero(begin)
-    # a word's bytes are those from its start to the next one's, without white space
-    sizes = np.add.reduceat(solid.astype(np.int64), starts) if len(starts) else starts
-    ends = np.concatenate([[0], np.cumsum(sizes)])
+    stop = solid.copy()
+    stop[:-1] &= ~solid[1:]
+    stop[inner - 1] |= solid[inner - 1]
+    ends = np.concatenate([[0], np.cumsum(np.flatnonzero(stop) + 1 - starts)])
     words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends.tobytes()), pa.py_buffer(raw[solid].tobytes()))
     return words, np.searchsorted(edges, starts, side="right") - 1
 
 
 def _hashed(texts: pa.Array, n: int, known: dict[str, int]) -> pa.Array:
-    """Unit vectors of word counts; every distinct word of a batch is hashed once."""
+    """Unit vectors of word counts; every distinct word of the texts is hashed once."""
     words, text = _words(texts)
     coded = words.dictionary_encode()
     bucket = np.zeros(len(coded.dictionary), np.int64)
     for i, w in enumerate(coded.dictionary.to_pylist()):
         b = known.get(w)
         if b is None:
-            b = known[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+            b = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+            if len(w) <= _KNOWN_BYTES:
+                known[w] = b
         bucket[i] = b % n
     cell = text * n + bucket[coded.indices.to_numpy()]
     parts = []

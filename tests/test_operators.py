@@ -219,6 +219,27 @@ def test_hashing_embedder(spark):
     assert np.linalg.norm(e.embed(["a b c"])[0]) == pytest.approx(1)
 
 
+def test_hashing_embedder_memory_is_bounded(monkeypatch):
+    """A batch of 16 MB, with nulls, a long text and long words, takes no more than a few slices; vectors are those of single texts."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    made = []
+    monkeypatch.setattr(embed.F, "arrow_udf", lambda f, kind: made.append(f) or type("U", (), {"asNondeterministic": lambda self: lambda c: None})())
+    e = embed.HashingEmbedder(16)
+    e.column(None)
+    texts = [None, "", " ", "é\tü \n", "x" * 3_000_000 + " y", *(f"w{i} and w{i % 7} " * 150 for i in range(8000)), None, "z"]
+    batch = pa.array(texts, pa.string())
+    tracemalloc.start()
+    got = [v for part in made[0](iter([batch.slice(0, 0), batch])) for v in part.flatten().to_numpy().reshape(-1, 16)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == len(texts) and peak < 64 << 20, peak
+    for i in (0, 1, 2, 3, 4, 5, 700, 7999, len(texts) - 2, len(texts) - 1):
+        assert got[i].tolist() == e.embed([texts[i]])[0], i
+
+
 def test_remote_embedder_places_by_index():
     r = embed.RemoteEmbedder(lambda t: ([(1, [2.0]), (0, [1.0])], 7), 1)
     assert r.embed_with_tokens(["x", "y"]) == [([1.0], 3), ([2.0], 3)] and r.embed([]) == []
